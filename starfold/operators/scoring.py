@@ -182,3 +182,64 @@ def _profile_pieces(rated: DataFrame, vectors: DataFrame) -> DataFrame:
         F.transform("vec", lambda x: x / F.col("_length")).alias("direction"))
     return marked.groupBy("userId", "pieces", "piece").agg(
         F.collect_list("direction").alias("rated_unit")).drop("piece")
+
+
+# ------------------------------------------------------------------ score components
+
+_SUMMARY = pa.schema([("userId", pa.int64())] + [
+    (f"{part}_{stat}", pa.float64()) for part in ("popularity", "personal")
+    for stat in ("min", "max", "sum", "sumsq")] + [("n", pa.int64())])
+SUMMARY_DDL = ", ".join(["userId long"] + [
+    f"{part}_{stat} double" for part in ("popularity", "personal")
+    for stat in ("min", "max", "sum", "sumsq")] + ["n long"])
+
+
+def _summarise_cell(users: pa.Table, items: pa.Table) -> pa.Table:
+    if users.num_rows == 0 or items.num_rows == 0:
+        return _SUMMARY.empty_table()
+    personal = _list_matrix(users.column("vec")) @ _list_matrix(items.column("vec")).T
+    bias = items.column("bias").to_numpy()
+    m = users.num_rows
+    popularity = [np.full(m, v) for v in (bias.min(), bias.max(), bias.sum(), (bias ** 2).sum())]
+    own = [personal.min(axis=1), personal.max(axis=1), personal.sum(axis=1),
+           (personal ** 2).sum(axis=1)]
+    columns = [users.column("userId").combine_chunks(), *map(pa.array, popularity),
+               *map(pa.array, own), pa.array(np.full(m, len(bias), dtype=np.int64))]
+    return pa.Table.from_arrays(columns, schema=_SUMMARY)
+
+
+def score_components(users: DataFrame, items: DataFrame,
+                     user_ids: DataFrame | None = None) -> DataFrame:
+    """Range and spread of the popular part (item bias) and the personal part
+    (user . item) of each user's scores over all items, and the ratio of the spreads.
+
+    Items are met in blocks as in the ranking; only sums and extremes leave a task.
+    """
+    n_items = _block_count(items, "movieId", ITEMS_PER_BLOCK)
+    n_users = _block_count(user_ids if user_ids is not None else users, "userId",
+                           USERS_PER_BLOCK)
+    left = users.where(F.col("vec").isNotNull()).select(
+        "userId", F.col("vec").cast("array<double>").alias("vec"),
+        _block_of("userId", n_users).alias("user_block"),
+        F.explode(F.sequence(F.lit(0), n_items - 1)).alias("item_block"))
+    right = items.select(
+        "movieId", F.col("vec").cast("array<double>").alias("vec"),
+        F.col("bias").cast("double").alias("bias"), _block_of("movieId", n_items).alias("item_block"),
+        F.explode(F.sequence(F.lit(0), n_users - 1)).alias("user_block"))
+    cells = left.groupBy("user_block", "item_block").cogroup(
+        right.groupBy("user_block", "item_block")).applyInArrow(_summarise_cell, SUMMARY_DDL)
+    merged = []
+    for part in ("popularity", "personal"):
+        merged += [F.min(f"{part}_min").alias(f"{part}_min"),
+                   F.max(f"{part}_max").alias(f"{part}_max"),
+                   F.sum(f"{part}_sum").alias(f"{part}_sum"),
+                   F.sum(f"{part}_sumsq").alias(f"{part}_sumsq")]
+    totals = cells.groupBy("userId").agg(*merged, F.sum("n").alias("n"))
+    for part in ("popularity", "personal"):
+        average = F.col(f"{part}_sum") / F.col("n")
+        variance = F.col(f"{part}_sumsq") / F.col("n") - average * average
+        totals = totals.withColumn(f"{part}_std", F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return totals.select(
+        "userId", *[f"{part}_{stat}" for part in ("popularity", "personal")
+                    for stat in ("min", "max", "std")],
+        F.try_divide("personal_std", "popularity_std").alias("std_ratio"))

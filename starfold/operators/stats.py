@@ -52,16 +52,6 @@ def spread_per_alpha(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("alpha").agg(F.stddev_pop("predicted").alias("pred_spread"))
 
 
-def component_ranges(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Range and spread of the popular and the personal part of scores."""
-    out = []
-    for part in ("popularity", "personal"):
-        out += [F.min(part).alias(f"{part}_min"), F.max(part).alias(f"{part}_max"),
-                F.stddev_pop(part).alias(f"{part}_std")]
-    ranges = parts.groupBy(*by).agg(*out)
-    return ranges.withColumn("std_ratio", F.try_divide("personal_std", "popularity_std"))
-
-
 def norm_report(users: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """Length of each user vector beside the average length of the item vectors."""
     average = items.agg(F.avg(norm(F.col("vec"), size))).scalar()

@@ -108,3 +108,10 @@ def append_progress(spark: SparkSession, path: str, tag: str, row: dict) -> None
 
 def read_progress(spark: SparkSession, path: str, tag: str = DEFAULT_TAG) -> DataFrame:
     return spark.read.schema(schemas.PROGRESS).parquet(f"{path}/progress/tag={tag}")
+
+
+def forget(spark: SparkSession, path: str, tag: str) -> None:
+    """Drop a variant's completion marks and progress, so that training starts over."""
+    for table in ("config", "progress"):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/tag={tag}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
