@@ -52,29 +52,28 @@ def genre_dictionary(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- numeric block
 
 
-def exact_median(df: DataFrame, value: Column, default: float) -> Column:
-    """Exact median of the positive values as a scalar column.
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of the positive values of several columns.
 
-    A sketch brackets the middle within a thousandth of the ranks; only values inside
+    A sketch brackets each middle within a thousandth of the ranks; only values inside
     the bracket are sorted, and the middle ones are picked by their exact rank.
     """
-    positive = df.select(value.cast("double").alias("v")).where(F.col("v") > 0)
-    bracket = positive.agg(F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [0.499, 0.501], 2000).alias("edge"))).scalar()
-    inside = positive.where(F.col("v").between(bracket["edge"][0], bracket["edge"][1]))
-    tallies = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    below = positive.agg(F.count(F.when(F.col("v") < bracket["edge"][0], 1))).scalar()
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tallies.withColumn("last", below + F.sum("c").over(order))
-    first, second = F.floor((bracket["n"] - 1) / 2), F.floor(bracket["n"] / 2)
-    # Ranks count from 0: a value covers the ranks [last - c, last - 1].
-    def covers(rank):
-        return (F.col("last") - F.col("c") <= rank) & (rank < F.col("last"))
-
-    middle = ranked.agg(F.avg(F.when(covers(first), F.col("v"))) / 2
-                        + F.avg(F.when(covers(second), F.col("v"))) / 2)
-    return F.coalesce(middle.scalar(), F.lit(default))
+    positive = {c: F.when(F.col(c) > 0, F.col(c)) for c in columns}
+    sketch = df.agg(*[F.struct(
+        F.count(v).alias("n"), F.percentile_approx(v, [0.499, 0.501], 2000).alias("edge")).alias(c)
+        for c, v in positive.items()]).first()
+    medians: dict[str, float | None] = {}
+    for column, value in positive.items():
+        n, edge = sketch[column]
+        if not n:
+            medians[column] = None
+            continue
+        low, high = edge
+        below = df.agg(F.count(F.when(value < low, 1))).first()[0]
+        inside = df.select(value.alias("v")).where(F.col("v").between(low, high))
+        wanted = inside.orderBy("v").offset((n - 1) // 2 - below).limit(2 - n % 2).collect()
+        medians[column] = sum(row["v"] for row in wanted) / len(wanted)
+    return medians
 
 
 def _numeric_inputs(records: DataFrame) -> DataFrame:
@@ -89,58 +88,57 @@ def _numeric_inputs(records: DataFrame) -> DataFrame:
         F.when(F.col("original_language") == "en", 1.0).otherwise(0.0).alias("is_english"))
 
 
-def _numeric_values(inputs: DataFrame, stats: Column) -> DataFrame:
+def _numeric_values(inputs: DataFrame, stats: dict[str, float]) -> DataFrame:
     """The transformed, not yet normalised columns."""
+    known = {name: F.lit(value) for name, value in stats.items()}
     return inputs.select(
         "movieId", "year", "is_english",
-        bayesian_average(F.col("vote_average"), F.col("vote_count"), stats["bayesian_m"],
+        bayesian_average(F.col("vote_average"), F.col("vote_count"), known["bayesian_m"],
                          PRIOR_VOTES).alias("bayesian_vote"),
         F.log1p("vote_count").alias("vote_count_log"),
-        positive_or(F.col("runtime"), stats["runtime_impute_value"]).alias("runtime"),
-        F.log1p(positive_or(F.col("budget"), stats["budget_impute_value"])).alias("budget_log"),
-        F.log1p(positive_or(F.col("revenue"), stats["revenue_impute_value"])).alias("revenue_log"))
+        positive_or(F.col("runtime"), known["runtime_impute_value"]).alias("runtime"),
+        F.log1p(positive_or(F.col("budget"), known["budget_impute_value"])).alias("budget_log"),
+        F.log1p(positive_or(F.col("revenue"), known["revenue_impute_value"])).alias("revenue_log"))
+
+
+NORMALISED = ("bayesian_vote", "vote_count_log", "runtime", "budget_log", "revenue_log")
 
 
 def fit_numeric(records: DataFrame) -> DataFrame:
-    """One row with the values every later encoding needs, 15 doubles and the prior weight."""
+    """One row with every number a later encoding needs.
+
+    Imputed values come first, because the means and deviations are those of the
+    imputed columns; all of it is aggregated, and only the final numbers reach the driver.
+    """
     inputs = _numeric_inputs(records)
     year = F.when(F.col("year") > 0, F.col("year"))
-    level = inputs.agg(F.struct(
+    level = inputs.agg(
         F.coalesce(F.avg(F.when(F.col("vote_count") > 0, F.col("vote_average"))),
                    F.lit(6.0)).alias("bayesian_m"),
         F.coalesce(F.avg(F.when(F.col("runtime") > 0, F.col("runtime"))),
                    F.lit(90.0)).alias("runtime_impute_value"),
         F.coalesce(F.avg(year), F.lit(1990.0)).alias("year_mean"),
-        F.coalesce(F.stddev_pop(year), F.lit(20.0)).alias("year_std"))).scalar()
-    imputes = inputs.limit(0)  # only the session is needed
-    first = imputes.sparkSession.range(1).select(F.struct(
-        level["bayesian_m"].alias("bayesian_m"),
-        level["runtime_impute_value"].alias("runtime_impute_value"),
-        exact_median(inputs, F.col("budget"), 1.0).alias("budget_impute_value"),
-        exact_median(inputs, F.col("revenue"), 1.0).alias("revenue_impute_value"))).scalar()
-    values = _numeric_values(inputs, first)
-    normals = []
-    for column, name in (("bayesian_vote", "bayesian_vote"), ("vote_count_log", "vote_count_log"),
-                         ("runtime", "runtime"), ("budget_log", "budget_log"),
-                         ("revenue_log", "revenue_log")):
-        normals += [F.avg(column).alias(f"{name}_mean"),
-                    usable_std(F.stddev_pop(column)).alias(f"{name}_std")]
-    return values.agg(*normals).select(
-        F.lit(PRIOR_VOTES).alias("bayesian_C"), "*",
-        *[first[c].alias(c) for c in ("bayesian_m", "runtime_impute_value",
-                                      "budget_impute_value", "revenue_impute_value")],
-        level["year_mean"].alias("year_mean"), level["year_std"].alias("year_std"))
+        F.coalesce(F.stddev_pop(year), F.lit(20.0)).alias("year_std")).first().asDict()
+    medians = exact_medians(inputs, ["budget", "revenue"])
+    level |= {f"{c}_impute_value": 1.0 if m is None else m for c, m in medians.items()}
+    moments = []
+    for name in NORMALISED:
+        moments += [F.avg(name).alias(f"{name}_mean"),
+                    usable_std(F.stddev_pop(name)).alias(f"{name}_std")]
+    normal = _numeric_values(inputs, level).agg(*moments).first().asDict()
+    stats = {"bayesian_C": PRIOR_VOTES, **level, **normal}
+    return records.sparkSession.createDataFrame(
+        [tuple(stats.values())], ", ".join(f"{name} double" for name in stats))
 
 
 def numeric_block(records: DataFrame, stats: DataFrame) -> DataFrame:
     """The seven numeric columns, normalised with saved statistics."""
-    row = stats.select(F.struct("*")).scalar()
+    row = stats.first().asDict()
     values = _numeric_values(_numeric_inputs(records), row)
     normalised = [
-        *[z_score(F.col(c), row[f"{c}_mean"], row[f"{c}_std"])
-          for c in ("bayesian_vote", "vote_count_log", "runtime", "budget_log", "revenue_log")],
-        F.when(F.col("year") > 0, (F.col("year") - row["year_mean"])
-               / (row["year_std"] + F.lit(1e-9))).otherwise(0.0),
+        *[z_score(F.col(c), F.lit(row[f"{c}_mean"]), F.lit(row[f"{c}_std"])) for c in NORMALISED],
+        F.when(F.col("year") > 0, (F.col("year") - F.lit(row["year_mean"]))
+               / F.lit(row["year_std"] + 1e-9)).otherwise(0.0),
         F.col("is_english")]
     columns = F.array(*[F.struct(F.lit(len(GENRE_IDS) + i).alias("feature_id"), v.alias("value"))
                         for i, v in enumerate(normalised)])
@@ -165,17 +163,18 @@ def fit_terms(records: DataFrame, counts: DataFrame | None = None,
     A term must occur in min(5, max(1, n / 200)) items, or in one if that leaves none.
     """
     counts = term_counts(records) if counts is None else counts
-    n = records.agg(F.count(F.lit(1))).scalar()
+    n = records.count()
     frequency = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    floor = F.least(F.lit(5), F.greatest(F.lit(1), F.floor(n / F.lit(200))))
-    widest = frequency.agg(F.max("df")).scalar()
-    kept = frequency.where(F.col("df") >= F.when(widest >= floor, floor).otherwise(F.lit(1)))
+    floor = min(5, max(1, n // 200))
+    if floor > 1 and frequency.where(F.col("df") >= floor).isEmpty():
+        floor = 1
+    kept = frequency.where(F.col("df") >= floor)
     top = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
     # At most max_terms rows remain, so numbering them in one task is bounded.
     return top.select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"), "term",
-        smooth_idf(n, F.col("df")).alias("idf"))
+        smooth_idf(F.lit(n), F.col("df")).alias("idf"))
 
 
 def director_occurrences(records: DataFrame) -> DataFrame:
@@ -198,27 +197,24 @@ def fit_vocab(records: DataFrame, min_director_films: int = MIN_DIRECTOR_FILMS,
     """All feature columns in order: genres, numbers, terms, directors, cast."""
     fixed = genre_dictionary(records)
     base = len(GENRE_IDS) + len(NUMERIC)
-    terms = fit_terms(records)
-    n_terms = F.coalesce(terms.agg(F.max("pos") + 1).scalar(), F.lit(0))
-    keyword = terms.select(
+    terms = fit_terms(records).select(
         (F.lit(base) + F.col("pos")).cast("int").alias("feature_id"), F.lit("keyword").alias("block"),
         F.col("term").alias("key"), F.concat(F.lit("kw:"), "term").alias("name"), "idf")
 
     def people(occurrences, minimum, block, offset):
-        chosen = dense_index(frequent_people(occurrences, minimum), "person", "pos")
-        return chosen.select(
-            (offset + F.col("pos")).cast("int").alias("feature_id"), F.lit(block).alias("block"),
-            F.col("person").cast("string").alias("key"),
+        chosen = frequent_people(occurrences, minimum)
+        numbered = dense_index(chosen, "person", "pos")
+        return chosen.count(), numbered.select(
+            (F.lit(offset) + F.col("pos")).cast("int").alias("feature_id"),
+            F.lit(block).alias("block"), F.col("person").cast("string").alias("key"),
             F.concat(F.lit(f"{block}:"), F.col("person").cast("string")).alias("name"),
             F.lit(None).cast("double").alias("idf"))
 
-    directors = people(director_occurrences(records), min_director_films, "director",
-                       F.lit(base) + n_terms)
-    n_directors = frequent_people(director_occurrences(records), min_director_films).agg(
-        F.count(F.lit(1))).scalar()
-    cast = people(cast_occurrences(records), min_cast_films, "cast",
-                  F.lit(base) + n_terms + n_directors)
-    return fixed.unionByName(keyword).unionByName(directors).unionByName(cast)
+    start = base + terms.count()
+    n_directors, directors = people(director_occurrences(records), min_director_films,
+                                    "director", start)
+    _, cast = people(cast_occurrences(records), min_cast_films, "cast", start + n_directors)
+    return fixed.unionByName(terms).unionByName(directors).unionByName(cast)
 
 
 # ------------------------------------------------------------------- encoding
@@ -306,8 +302,8 @@ def density(features: DataFrame, vocab: DataFrame) -> DataFrame:
     # The vocabulary is joined by id only to name the block of each value.
     filled = features.join(vocab.select("feature_id", "block"), "feature_id").groupBy(
         "block").agg(F.count(F.lit(1)).alias("nnz"))
-    n_items = features.agg(F.countDistinct("movieId")).scalar()
-    share = F.col("nnz") / (F.col("n_features") * n_items)
+    n_items = features.agg(F.countDistinct("movieId")).first()[0]
+    share = F.col("nnz") / (F.col("n_features") * F.lit(n_items))
     return columns.join(filled, "block", "left").select(
         "block", "n_features", F.coalesce("nnz", F.lit(0)).alias("nnz"),
         F.coalesce(share, F.lit(0.0)).alias("density"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 ONE_RANGE_IDS = 100_000
+N_RANGES = 256
 
 
 def dense_index(ids: DataFrame, key: str, name: str = "idx",
@@ -16,22 +17,19 @@ def dense_index(ids: DataFrame, key: str, name: str = "idx",
     meets in a single task.
     """
     distinct = ids.select(key).distinct()
-    buckets = _value_ranges(distinct, key, one_range_ids)
+    cuts = F.percentile_approx(key, [i / N_RANGES for i in range(1, N_RANGES)], 20_000)
+    n, bounds = distinct.agg(F.count(F.lit(1)), cuts).first()
+    if n <= one_range_ids:
+        numbered = F.row_number().over(Window.orderBy(key)) - 1
+        return distinct.select(key, numbered.cast("long").alias(name))
+    # The cut points are a list of N_RANGES - 1 numbers, whatever the number of ids.
+    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    passed = F.size(F.filter(bounds, lambda bound: bound < F.col(key)))
+    ranged = distinct.withColumn("_range", passed)
     within = Window.partitionBy("_range").orderBy(key)
-    numbered = buckets.withColumn("_pos", F.row_number().over(within))
-    sizes = buckets.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    numbered = ranged.withColumn("_pos", F.row_number().over(within))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    joined = numbered.join(starts, "_range")
+    joined = numbered.join(F.broadcast(starts), "_range")
     return joined.select(key, (F.col("_start") + F.col("_pos") - 1).cast("long").alias(name))
-
-
-def _value_ranges(distinct: DataFrame, key: str, one_range_ids: int) -> DataFrame:
-    """Add ``_range``, ascending in the key, from approximate quantiles of the key."""
-    # 255 cut points: a range holds under half a percent of the ids.
-    cuts = F.percentile_approx(key, [i / 256 for i in range(1, 256)], 20_000)
-    one_range = F.count(F.lit(1)) <= F.lit(one_range_ids)
-    bounds = distinct.agg(F.when(~one_range, F.array_distinct(cuts))).scalar()
-    passed = F.size(F.filter("_bounds", lambda bound: bound < F.col(key)))
-    return distinct.withColumn("_bounds", bounds).select(
-        key, F.coalesce(F.when(F.col("_bounds").isNotNull(), passed), F.lit(0)).alias("_range"))

@@ -43,14 +43,18 @@ def predict_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, mean: Co
         "_u", "_ub", "_i", "_ib")
 
 
-def _block_count(df: DataFrame, key: str, per_block: int) -> Column:
-    """Number of blocks as a scalar subquery over the keys alone."""
-    return df.agg(F.greatest(
-        F.lit(1), F.ceil(F.approx_count_distinct(key) / F.lit(per_block))).cast("int")).scalar()
+def _block_count(df: DataFrame, key: str, per_block: int) -> int:
+    """Number of blocks, from an approximate count of the keys."""
+    n = df.agg(F.approx_count_distinct(key)).first()[0]
+    return max(1, -(-n // per_block))
 
 
-def _block_of(key: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(key), blocks).cast("int")
+def _block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _every_block(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
 def _id_lists(column: pa.Array) -> list[np.ndarray]:
@@ -148,14 +152,14 @@ def top_items(
     if min_support > 0:
         vectors = (profile_items if profile_items is not None else items)
         left = left.join(_profile_pieces(rated, vectors), "userId")
-    left = left.withColumn("item_block", F.explode(F.sequence(F.lit(0), n_item_blocks - 1)))
+    left = left.withColumn("item_block", _every_block(n_item_blocks))
     left = left.join(masked, ["userId", "item_block"], "left").withColumn(
         "user_block", _block_of("userId", n_user_blocks))
     right = items.select(
         "movieId", F.col("vec").cast("array<double>").alias("vec"),
         F.col("bias").cast("double").alias("bias"),
         _block_of("movieId", n_item_blocks).alias("item_block"),
-        F.explode(F.sequence(F.lit(0), n_user_blocks - 1)).alias("user_block"))
+        _every_block(n_user_blocks).alias("user_block"))
     low, high = bounds or (None, None)
     cells = left.groupBy("user_block", "item_block").cogroup(
         right.groupBy("user_block", "item_block")).applyInArrow(
@@ -221,11 +225,11 @@ def score_components(users: DataFrame, items: DataFrame,
     left = users.where(F.col("vec").isNotNull()).select(
         "userId", F.col("vec").cast("array<double>").alias("vec"),
         _block_of("userId", n_users).alias("user_block"),
-        F.explode(F.sequence(F.lit(0), n_items - 1)).alias("item_block"))
+        _every_block(n_items).alias("item_block"))
     right = items.select(
         "movieId", F.col("vec").cast("array<double>").alias("vec"),
         F.col("bias").cast("double").alias("bias"), _block_of("movieId", n_items).alias("item_block"),
-        F.explode(F.sequence(F.lit(0), n_users - 1)).alias("user_block"))
+        _every_block(n_users).alias("user_block"))
     cells = left.groupBy("user_block", "item_block").cogroup(
         right.groupBy("user_block", "item_block")).applyInArrow(_summarise_cell, SUMMARY_DDL)
     merged = []

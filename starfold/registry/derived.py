@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from starfold.operators import features as feat
 from starfold.operators.filters import min_support
@@ -90,15 +90,16 @@ class Derived:
         return min_support(self.ratings)
 
     @cached_property
-    def mean(self) -> Column:
-        return self.kept.agg(F.avg("rating")).scalar()
+    def mean(self) -> float:
+        """Mean training rating; a number, as it is in a loaded model."""
+        return self.kept.agg(F.avg("rating")).first()[0]
 
     def factors(self, size: int | None = None) -> DataFrame:
         """Embeddings as frozen item vectors, with damped mean biases."""
         vec = F.col("embedding") if size is None else F.slice("embedding", 1, size)
         vectors = self.table("embeddings").select(F.col("vec_id").alias("movieId"),
                                                   vec.alias("vec"))
-        return vectors.join(damped_bias(self.kept, self.mean), "movieId")
+        return vectors.join(damped_bias(self.kept, F.lit(self.mean)), "movieId")
 
     @cached_property
     def factors2(self) -> DataFrame:
@@ -157,34 +158,28 @@ class Derived:
     @cached_property
     def responses(self) -> DataFrame:
         """Raw JSON answers, with gaps: unknown jobs, missing ids, missing fields."""
-        lines = self.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(
-            F.max("l_linenumber").alias("line"), F.sum("l_quantity").alias("q"))
-        person = F.when(F.col("l_suppkey") % 9 == 4, None).otherwise(F.col("l_suppkey"))
-        job = F.when(F.col("line") % 3 == 0, "Director").otherwise("Writer")
-        entries = lines.withColumn("_pos", F.struct(-F.col("q"), F.col("l_suppkey")))
-        listed = entries.groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.struct(
-            F.col("_pos"), person.alias("id"), job.alias("job"),
-            F.when(F.col("line") == 7, None).otherwise(F.col("line")).alias("order")))).alias("p"))
-        credits = F.to_json(F.struct(
-            F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["job"].alias("job"))).alias(
-                "crew"),
-            F.transform("p", lambda x: F.struct(x["id"].alias("id"),
-                                                x["order"].alias("order"))).alias("cast")))
-        key = F.col("p_partkey")
+        words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+        size = lambda w: F.length(w).cast("long")
+        person = lambda w: F.when(size(w) % 9 != 4, size(w))
+        docs = self.table("documents").withColumn("w", words)
+        crew = F.transform("w", lambda w: F.struct(
+            person(w).alias("id"),
+            F.when(size(w) % 3 == 0, "Director").otherwise("Writer").alias("job")))
+        cast = F.transform("w", lambda w: F.struct(
+            person(w).alias("id"),
+            F.when(size(w) != 7, size(w).cast("int")).alias("order")))
+        named = F.transform("w", lambda w: F.struct(size(w).alias("id"), w.alias("name")))
+        key = F.col("doc_id")
         detail = F.to_json(F.struct(
-            F.array(F.struct(F.length("p_type").cast("long").alias("id")),
+            F.array(F.struct(F.col("n_chars").alias("id")),
                     F.struct(F.lit(None).cast("long").alias("id"))).alias("genres"),
-            F.when(key % 11 != 0, F.col("p_size").cast("double")).alias("runtime"),
-            F.lower("p_type").alias("original_language"),
-            F.when(key % 3 != 0, F.col("p_retailprice")).alias("budget")))
-        keywords = F.to_json(F.struct(F.transform(
-            F.split("p_name", " "),
-            lambda w: F.struct(F.length(w).cast("long").alias("id"), w.alias("name"))).alias(
-            "keywords")))
-        parts = self.table("part").join(listed, F.col("p_partkey") == F.col("l_partkey"), "left")
-        return parts.select(
+            F.when(key % 11 != 0, F.col("n_chars").cast("double")).alias("runtime"),
+            F.col("lang").alias("original_language"),
+            F.when(key % 3 != 0, key.cast("double")).alias("budget")))
+        return docs.select(
             (key * 10).alias("tmdb_id"), F.when(key % 17 != 3, detail).alias("detail"),
-            F.when(key % 19 != 2, keywords).alias("keywords"), credits.alias("credits"))
+            F.when(key % 19 != 2, F.to_json(F.struct(named.alias("keywords")))).alias("keywords"),
+            F.to_json(F.struct(crew.alias("crew"), cast.alias("cast"))).alias("credits"))
 
     def weights(self, vocab: DataFrame, size: int) -> DataFrame:
         """Feature weights from a formula, the same in every engine."""

@@ -1,40 +1,33 @@
-"""Explicit schemas of every table the engine reads; nothing is inferred."""
+"""Explicit schemas of every table the engine reads, as DDL; nothing is inferred."""
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-RATINGS = _struct("userId long, movieId long, rating double, timestamp long")
-ITEMS = _struct("movieId long, title string, genres string")
-LINKS = _struct("movieId long, imdbId string, tmdbId double")
-EXPORT = _struct("`Date` string, `Name` string, `Year` int, `URI` string, `Rating` double")
-RESOLVED = _struct(
+RATINGS = "userId long, movieId long, rating double, timestamp long"
+ITEMS = "movieId long, title string, genres string"
+LINKS = "movieId long, imdbId string, tmdbId double"
+EXPORT = "`Date` string, `Name` string, `Year` int, `URI` string, `Rating` double"
+RESOLVED = (
     "query_title string, query_year int, tmdb_id long, original_title string, "
     "release_year string, rating double"
 )
-CATALOG = _struct("id long, title string, original_title string, release_date string, rnk int")
-RECORD = _struct(
+CATALOG = "id long, title string, original_title string, release_date string, rnk int"
+RECORD = (
     "tmdb_id long, genre_ids array<long>, runtime double, release_date string, "
     "original_language string, vote_average double, vote_count long, budget double, "
     "revenue double, keyword_ids array<long>, keyword_names array<string>, "
     "director_ids array<long>, cast array<struct<id:long,order:int>>"
 )
-DETAIL_RESPONSE = _struct(
+DETAIL_RESPONSE = (
     "genres array<struct<id:long>>, runtime double, release_date string, "
     "original_language string, vote_average double, vote_count long, budget double, revenue double"
 )
-KEYWORDS_RESPONSE = _struct("keywords array<struct<id:long,name:string>>")
-CREDITS_RESPONSE = _struct(
+KEYWORDS_RESPONSE = "keywords array<struct<id:long,name:string>>"
+CREDITS_RESPONSE = (
     "crew array<struct<id:long,job:string>>, cast array<struct<id:long,order:int>>"
 )
-ITEM_FEATURES = _struct("movieId long, feature_id int, value double")
-VOCAB = _struct("feature_id int, block string, key string, name string, idf double")
-ITEM_FACTORS = _struct("movieId long, vec array<float>, bias double")
-FEATURE_WEIGHTS = _struct("feature_id int, vec array<float>, bias double")
-PROGRESS = _struct(
+ITEM_FEATURES = "movieId long, feature_id int, value double"
+VOCAB = "feature_id int, block string, key string, name string, idf double"
+ITEM_FACTORS = "movieId long, vec array<float>, bias double"
+FEATURE_WEIGHTS = "feature_id int, vec array<float>, bias double"
+PROGRESS = (
     "epoch int, of int, mse_loss double, rmse double, objective double, "
     "updated_at string, done boolean"
 )

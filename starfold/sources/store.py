@@ -101,8 +101,8 @@ def load_model(spark: SparkSession, path: str, tag: str | None = None) -> Model:
 
 
 def append_progress(spark: SparkSession, path: str, tag: str, row: dict) -> None:
-    fields = [row.get(name) for name in schemas.PROGRESS.names]
-    spark.createDataFrame([tuple(fields)], schemas.PROGRESS).coalesce(1).write.mode(
+    names = [field.split()[0] for field in schemas.PROGRESS.split(", ")]
+    spark.createDataFrame([tuple(row.get(name) for name in names)], schemas.PROGRESS).coalesce(1).write.mode(
         "append").parquet(f"{path}/progress/tag={tag}")
 
 
