@@ -157,7 +157,7 @@ def residual_report(ratings: DataFrame, factors: DataFrame, mean: float | Column
     """
     mean = _as_column(mean)
     ridge = fold_in(ratings, factors, mean, alphas).withColumn(
-        "solver", F.concat(F.lit("ridge_"), F.format_number("alpha", "0.###")))
+        "solver", F.concat(F.lit("ridge_"), F.col("alpha").cast("string")))
     plain = fold_in(ratings, factors, mean, solver="least_squares").withColumn(
         "solver", F.lit("least_squares"))
     users = ridge.unionByName(plain).where(F.col("status") == "ok").select(
