@@ -52,27 +52,34 @@ def genre_dictionary(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- numeric block
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians of the positive values of several columns.
+def _positive(column: str) -> Column:
+    return F.when(F.col(column) > 0, F.col(column))
 
-    A sketch brackets each middle within a thousandth of the ranks; only values inside
-    the bracket are sorted, and the middle ones are picked by their exact rank.
+
+def median_sketch(column: str) -> Column:
+    """Aggregate: number of positive values and a bracket around their median."""
+    value = _positive(column)
+    return F.struct(F.count(value).alias("n"),
+                    F.percentile_approx(value, [0.499, 0.501], 2000).alias("edge"))
+
+
+def exact_medians(df: DataFrame, sketches: dict[str, tuple]) -> dict[str, float | None]:
+    """Exact medians of the positive values, given each column's :func:`median_sketch`.
+
+    Only values inside the bracket, a few thousandths of all, are sorted; the middle
+    ones are picked by their exact rank.
     """
-    positive = {c: F.when(F.col(c) > 0, F.col(c)) for c in columns}
-    sketch = df.agg(*[F.struct(
-        F.count(v).alias("n"), F.percentile_approx(v, [0.499, 0.501], 2000).alias("edge")).alias(c)
-        for c, v in positive.items()]).first()
-    medians: dict[str, float | None] = {}
-    for column, value in positive.items():
-        n, edge = sketch[column]
-        if not n:
-            medians[column] = None
-            continue
-        low, high = edge
-        below = df.agg(F.count(F.when(value < low, 1))).first()[0]
-        inside = df.select(value.alias("v")).where(F.col("v").between(low, high))
-        wanted = inside.orderBy("v").offset((n - 1) // 2 - below).limit(2 - n % 2).collect()
-        medians[column] = sum(row["v"] for row in wanted) / len(wanted)
+    known = {c: s for c, s in sketches.items() if s["n"]}
+    medians: dict[str, float | None] = dict.fromkeys(sketches)
+    if not known:
+        return medians
+    below = df.agg(*[F.count(F.when(_positive(c) < s["edge"][0], 1)).alias(c)
+                     for c, s in known.items()]).first()
+    for column, (n, (low, high)) in known.items():
+        inside = df.select(_positive(column).alias("v")).where(F.col("v").between(low, high))
+        wanted = inside.orderBy("v").offset((n - 1) // 2 - below[column]).limit(2 - n % 2)
+        middle = [row["v"] for row in wanted.collect()]
+        medians[column] = sum(middle) / len(middle)
     return medians
 
 
@@ -118,8 +125,10 @@ def fit_numeric(records: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("runtime") > 0, F.col("runtime"))),
                    F.lit(90.0)).alias("runtime_impute_value"),
         F.coalesce(F.avg(year), F.lit(1990.0)).alias("year_mean"),
-        F.coalesce(F.stddev_pop(year), F.lit(20.0)).alias("year_std")).first().asDict()
-    medians = exact_medians(inputs, ["budget", "revenue"])
+        F.coalesce(F.stddev_pop(year), F.lit(20.0)).alias("year_std"),
+        median_sketch("budget").alias("budget"),
+        median_sketch("revenue").alias("revenue")).first().asDict()
+    medians = exact_medians(inputs, {c: level.pop(c) for c in ("budget", "revenue")})
     level |= {f"{c}_impute_value": 1.0 if m is None else m for c, m in medians.items()}
     moments = []
     for name in NORMALISED:
@@ -167,14 +176,14 @@ def fit_terms(records: DataFrame, counts: DataFrame | None = None,
     frequency = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     floor = min(5, max(1, n // 200))
-    if floor > 1 and frequency.where(F.col("df") >= floor).isEmpty():
-        floor = 1
-    kept = frequency.where(F.col("df") >= floor)
-    top = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
-    # At most max_terms rows remain, so numbering them in one task is bounded.
-    return top.select(
-        (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"), "term",
-        smooth_idf(F.lit(n), F.col("df")).alias("idf"))
+    enough = F.col("df") >= floor
+    # At most max_terms rows reach the driver, which is what makes them a vocabulary.
+    top = frequency.orderBy(enough.desc(), F.col("total").desc(), "term").limit(max_terms).collect()
+    kept = [row for row in top if row["df"] >= floor] or top
+    rows = [(pos, row["term"], row["df"])
+            for pos, row in enumerate(sorted(kept, key=lambda row: row["term"]))]
+    terms = records.sparkSession.createDataFrame(rows, "pos int, term string, df long")
+    return terms.select("pos", "term", smooth_idf(F.lit(n), F.col("df")).alias("idf"))
 
 
 def director_occurrences(records: DataFrame) -> DataFrame:

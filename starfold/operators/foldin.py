@@ -86,35 +86,53 @@ _LOO = pa.schema([("key", pa.int64()), ("alpha", pa.float64()), ("n", pa.int64()
                   ("se", pa.float64()), ("ae", pa.float64()), ("e", pa.float64())])
 
 
-def _centred(gram: np.ndarray):
-    """Eigen form of the centred Gram matrix, with the means and the cross product."""
-    k = gram.shape[0] - 2
-    n = gram[-1, -1]
-    mean_x, mean_y = gram[:k, -1] / n, gram[k, -1] / n
-    values, axes = np.linalg.eigh(gram[:k, :k] - n * np.outer(mean_x, mean_x))
-    cross = axes.T @ (gram[:k, k] - n * mean_x * mean_y)
-    return n, mean_x, mean_y, values, axes, cross
+def _error_sums(key: int, alpha: float, residual: np.ndarray, leverage: np.ndarray,
+                rating: np.ndarray, clamp: bool) -> tuple:
+    """Error sums when each row is left out in turn.
 
+    ``e_i / (1 - h_ii)`` equals the error of a refit without row i, so no refit is needed.
+    """
+    error = -residual / (1.0 - leverage)
+    if clamp:
+        error = np.clip(rating + error, LOWEST_RATING, HIGHEST_RATING) - rating
+    return (key, alpha, len(error), float((error ** 2).sum()), float(np.abs(error).sum()),
+            float(error.sum()))
+
+
+def _held_out_all(key: int, x: np.ndarray, y: np.ndarray, rating: np.ndarray,
+                  alphas: Sequence[float], clamp: bool) -> list[tuple]:
+    """All rows of a key at hand: one decomposition, of the smaller of rows and factors."""
+    n, k = x.shape
+    x, y = x - x.mean(axis=0), y - y.mean()
+    if n <= k:
+        values, axes = np.linalg.eigh(x @ x.T)
+        values = np.maximum(values, 0.0)
+    else:
+        values, right = np.linalg.eigh(x.T @ x)
+        values = np.maximum(values, 0.0)
+        axes = (x @ right) / np.sqrt(np.maximum(values, 1e-300))
+    shares = axes.T @ y
+    out = []
+    for alpha in alphas:
+        kept = values / (values + alpha)
+        out.append(_error_sums(key, alpha, y - axes @ (kept * shares),
+                               1.0 / n + (axes ** 2) @ kept, rating, clamp))
+    return out
 
-def _held_out_sums(key: int, gram: np.ndarray, x: np.ndarray, y: np.ndarray,
-                   rating: np.ndarray, alphas: Sequence[float], clamp: bool) -> list[tuple]:
-    """Error sums when each given row is left out of a fit on all rows of ``gram``.
 
-    Uses the leverage identity ``e_i / (1 - h_ii)``, which equals refitting without
-    row i, so one decomposition serves every row and every penalty.
-    """
-    n, mean_x, mean_y, values, axes, cross = _centred(gram)
+def _held_out_chunk(key: int, gram: np.ndarray, x: np.ndarray, y: np.ndarray,
+                    rating: np.ndarray, alphas: Sequence[float], clamp: bool) -> list[tuple]:
+    """Some rows of a key, beside the Gram matrix of all of them."""
+    k, n = gram.shape[0] - 2, gram[-1, -1]
+    mean_x, mean_y = gram[:k, -1] / n, gram[k, -1] / n
+    values, axes = np.linalg.eigh(gram[:k, :k] - n * np.outer(mean_x, mean_x))
+    cross = axes.T @ (gram[:k, k] - n * mean_x * mean_y)
     rotated = (x - mean_x) @ axes
     out = []
     for alpha in alphas:
         scale = 1.0 / (np.maximum(values, 0.0) + alpha)
-        residual = (y - mean_y) - rotated @ (scale * cross)
-        leverage = 1.0 / n + (rotated ** 2) @ scale
-        error = -residual / (1.0 - leverage)
-        if clamp:
-            error = np.clip(rating + error, LOWEST_RATING, HIGHEST_RATING) - rating
-        out.append((key, alpha, len(error), float((error ** 2).sum()),
-                    float(np.abs(error).sum()), float(error.sum())))
+        out.append(_error_sums(key, alpha, (y - mean_y) - rotated @ (scale * cross),
+                               1.0 / n + (rotated ** 2) @ scale, rating, clamp))
     return out
 
 
@@ -133,11 +151,7 @@ def _loo_light(alphas: Sequence[float], clamp: bool, min_rows: int):
         def close():
             z = np.concatenate(parts)
             if len(z) >= min_rows:
-                a = z[:, [*range(z.shape[1] - 2), z.shape[1] - 2, z.shape[1] - 1]].copy()
-                rating = a[:, -1].copy()
-                a[:, -1] = 1.0
-                rows.extend(_held_out_sums(open_key, a.T @ a, a[:, :-2], a[:, -2], rating,
-                                           alphas, clamp))
+                rows.extend(_held_out_all(open_key, z[:, :-2], z[:, -2], z[:, -1], alphas, clamp))
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -172,7 +186,7 @@ def _loo_chunk(alphas: Sequence[float], clamp: bool):
             return _LOO.empty_table()
         flat = _list_matrix(total.column("gram"))[0]
         p = int(round((np.sqrt(5 + 4 * len(flat)) - 1) / 2))
-        rows = _held_out_sums(
+        rows = _held_out_chunk(
             chunk.column("key")[0].as_py(), flat[: p * p].reshape(p, p),
             _list_matrix(chunk.column("vec")), chunk.column("y").to_numpy(),
             chunk.column("rating").to_numpy(), alphas, clamp)
@@ -209,19 +223,22 @@ def leave_one_out_sums(rows: DataFrame, key: str, alphas: Sequence[float], clamp
         F.col("vec").cast("array<double>").alias("vec"), "y", "rating")
     light = (marked.where("n_chunks = 1").repartition("key").sortWithinPartitions("key")
              .mapInArrow(_loo_light(alphas, clamp, min_rows), LOO_DDL))
+    if heavy.table is None:
+        return light.withColumnRenamed("key", key)
     large = marked.where("n_chunks > 1")
     grams = (large.drop("rating").repartition("key", "chunk")
              .sortWithinPartitions("key", "chunk")
              .mapInArrow(_accumulate(RidgeSpec(alphas=alphas)), RESULT_DDL)
              .select("key", "gram").repartition("key").sortWithinPartitions("key")
              .mapInArrow(_gram_sum, "key long, gram array<double>"))
-    per_chunk = grams.join(F.broadcast(heavy.withColumnRenamed(key, "key")), "key").select(
+    chunks = heavy.table.withColumnRenamed(key, "key")
+    per_chunk = grams.join(F.broadcast(chunks), "key").select(
         "key", "gram", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-    heavy_sums = large.groupBy("key", "chunk").cogroup(
+    per_chunk_sums = large.groupBy("key", "chunk").cogroup(
         per_chunk.groupBy("key", "chunk")).applyInArrow(_loo_chunk(alphas, clamp), LOO_DDL)
-    sums = light.unionByName(heavy_sums).groupBy("key", "alpha").agg(
+    heavy_sums = per_chunk_sums.groupBy("key", "alpha").agg(
         *[F.sum(c).alias(c) for c in ("n", "se", "ae", "e")])
-    return sums.withColumnRenamed("key", key)
+    return light.unionByName(heavy_sums).withColumnRenamed("key", key)
 
 
 def error_metrics(sums: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ key in the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,22 +40,33 @@ class RidgeSpec:
     min_rows: int = 2
 
 
-def heavy_keys(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Keys with too many rows for one chunk, with their number of chunks.
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Keys with too many rows for one chunk, ``key, n_chunks``; ``None`` if there are none."""
+
+    table: DataFrame | None
+
+
+def heavy_keys(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> HeavyKeys:
+    """Find the keys above the row bound; two numbers per table reach the driver.
 
-    The bound rises with the table so that at most ``MAX_HEAVY_KEYS`` keys pass;
-    the broadcast of the result is at most a few megabytes at any scale.
+    The bound rises with the table so that at most ``MAX_HEAVY_KEYS`` keys can pass;
+    the broadcast of the result is a few megabytes at any scale.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    bound = F.greatest(F.lit(chunk_rows), F.ceil(total / F.lit(MAX_HEAVY_KEYS)))
-    heavy = counts.where(F.col("_rows") > bound)
-    return heavy.select(key, F.ceil(F.col("_rows") / bound).cast("int").alias("n_chunks"))
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    bound = max(chunk_rows, -(-(total or 0) // MAX_HEAVY_KEYS))
+    if (largest or 0) <= bound:
+        return HeavyKeys(None)
+    chunks = F.ceil(F.col("_rows") / F.lit(bound)).cast("int").alias("n_chunks")
+    return HeavyKeys(counts.where(F.col("_rows") > bound).select(key, chunks))
 
 
-def add_chunks(rows: DataFrame, key: str, spread: Column, heavy: DataFrame) -> DataFrame:
+def add_chunks(rows: DataFrame, key: str, spread: Column, heavy: HeavyKeys) -> DataFrame:
     """Mark every row with the chunk of its key; light keys have one chunk."""
-    marked = rows.join(F.broadcast(heavy), key, "left").withColumn(
+    if heavy.table is None:
+        return rows.withColumn("n_chunks", F.lit(1)).withColumn("chunk", F.lit(0))
+    marked = rows.join(F.broadcast(heavy.table), key, "left").withColumn(
         "n_chunks", F.coalesce("n_chunks", F.lit(1)))
     return marked.withColumn("chunk", F.pmod(F.xxhash64(spread), F.col("n_chunks")).cast("int"))
 
@@ -289,7 +300,7 @@ def ridge_by_key(
     spread: str,
     spec: RidgeSpec,
     priors: DataFrame | None = None,
-    heavy: DataFrame | None = None,
+    heavy: HeavyKeys | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One ridge solution per key.
@@ -309,15 +320,20 @@ def ridge_by_key(
         F.col("y").cast("double").alias("y"))
     if priors is not None:
         # The prior of a heavy key travels as its own chunk and joins in the merge.
-        prior = priors.join(F.broadcast(heavy), key, "left").select(
+        if heavy.table is None:
+            marked = priors.withColumn("n_chunks", F.lit(1))
+        else:
+            marked = priors.join(F.broadcast(heavy.table), key, "left").withColumn(
+                "n_chunks", F.coalesce("n_chunks", F.lit(1)))
+        prior = marked.select(
             F.col(key).cast("long").alias("key"),
-            F.when(F.col("n_chunks").isNull(), 0).otherwise(-1).alias("chunk"),
-            F.coalesce("n_chunks", F.lit(1)).alias("n_chunks"),
+            F.when(F.col("n_chunks") == 1, 0).otherwise(-1).alias("chunk"), "n_chunks",
             F.lit(True).alias("is_prior"), F.col("vec").cast("array<double>").alias("vec"),
             F.col("bias").cast("double").alias("y"))
         data = data.unionByName(prior)
     grams = data.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(
         _accumulate(spec), RESULT_DDL)
-    solved = grams.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _merge(spec), RESULT_DDL)
-    return solved.drop("gram").withColumnRenamed("key", key)
+    if heavy.table is not None:
+        grams = grams.repartition("key").sortWithinPartitions("key").mapInArrow(
+            _merge(spec), RESULT_DDL)
+    return grams.drop("gram").withColumnRenamed("key", key)

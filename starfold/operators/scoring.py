@@ -57,20 +57,42 @@ def _every_block(blocks: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
-def _id_lists(column: pa.Array) -> list[np.ndarray]:
-    """Each row's id list; an empty list for null."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
-    return np.split(values, np.cumsum(lengths)[:-1])
+def _hide_rated(score: np.ndarray, ids: np.ndarray, rated: pa.Array) -> None:
+    """Set the scores of rated items to minus infinity; ``ids`` ascend."""
+    lengths = rated.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rated.flatten().to_numpy(zero_copy_only=False)
+    if len(flat):
+        score[np.repeat(np.arange(len(lengths)), lengths), np.searchsorted(ids, flat)] = -np.inf
 
 
-def _best(scores: np.ndarray, allowed: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the n best allowed scores; equal scores keep ascending positions."""
-    where = np.flatnonzero(allowed)
-    if len(where) > n:
-        floor = np.partition(scores[where], len(where) - n)[len(where) - n]
-        where = where[scores[where] >= floor]
-    return where[np.argsort(-scores[where], kind="stable")][:n]
+def _best(score: np.ndarray, n: int, keep_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the n best finite scores per row, ties to the lower column.
+
+    Rows marked in ``keep_all`` keep every finite score.
+    """
+    width = score.shape[1]
+    floor = np.full(len(score), -np.inf)
+    if width > n:
+        floor = np.partition(score, width - n, axis=1)[:, width - n]
+        floor[keep_all] = -np.inf
+    row, column = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    position = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    chosen = (position < n) | keep_all[row]
+    return row[chosen], column[chosen]
+
+
+def _support(users: pa.Table, q: np.ndarray) -> np.ndarray:
+    """Largest cosine of every item to the rated items of each user."""
+    lengths = np.linalg.norm(q, axis=1)
+    directions = q / np.maximum(lengths, NORM_FLOOR)[:, None]
+    support = np.empty((users.num_rows, len(q)))
+    for row, piece in enumerate(users.column("rated_unit")):
+        profile = _list_matrix(piece.values)
+        support[row] = (directions @ profile.T).max(axis=1)
+    support[:, lengths < NORM_FLOOR] = 0.0
+    return support
 
 
 def _score_cell(n: int, low: float | None, high: float | None, min_support: float):
@@ -82,33 +104,19 @@ def _score_cell(n: int, low: float | None, high: float | None, min_support: floa
         items = items.sort_by("movieId")
         ids = items.column("movieId").to_numpy()
         q = _list_matrix(items.column("vec"))
-        item_bias = items.column("bias").to_numpy()
-        u = _list_matrix(users.column("vec"))
-        raw = u @ q.T + users.column("base").to_numpy()[:, None]
-        raw += users.column("bias_weight").to_numpy()[:, None] * item_bias[None, :]
-        score = raw if low is None else np.clip(raw, low, high)
-        rated = _id_lists(users.column("rated").combine_chunks())
+        raw = _list_matrix(users.column("vec")) @ q.T + users.column("base").to_numpy()[:, None]
+        raw += np.outer(users.column("bias_weight").to_numpy(), items.column("bias").to_numpy())
+        score = raw.copy() if low is None else np.clip(raw, low, high)
+        _hide_rated(score, ids, users.column("rated").combine_chunks())
+        keep_all, support = np.zeros(len(score), dtype=bool), None
         if min_support > 0:
-            lengths = np.linalg.norm(q, axis=1)
-            directions = q / np.maximum(lengths, NORM_FLOOR)[:, None]
-            pieces = users.column("rated_unit").to_pylist()
-            split = users.column("pieces").to_numpy()
-        keys = users.column("userId").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for row in range(len(keys)):
-            allowed = ~np.isin(ids, rated[row])
-            keep, support = n, np.full(len(ids), np.nan)
-            if min_support > 0:
-                profile = np.asarray(pieces[row], dtype=np.float64)
-                support = np.where(lengths < NORM_FLOOR, 0.0, (directions @ profile.T).max(axis=1))
-                allowed &= support >= min_support
-                if split[row] > 1:
-                    keep = len(ids)
-            best = _best(score[row], allowed, keep)
-            for column, values in zip(out, (np.full(len(best), keys[row]), ids[best],
-                                            raw[row, best], score[row, best], support[best])):
-                column.append(values)
-        arrays = [np.concatenate(c) for c in out]
+            support = _support(users, q)
+            score[support < min_support] = -np.inf
+            keep_all = users.column("pieces").to_numpy() > 1
+        row, column = _best(score, n, keep_all)
+        support = np.full(len(row), np.nan) if support is None else support[row, column]
+        arrays = (users.column("userId").to_numpy()[row], ids[column], raw[row, column],
+                  score[row, column], support)
         return pa.Table.from_arrays(
             [pa.array(a, f.type, from_pandas=True) for a, f in zip(arrays, _TOP)], schema=_TOP)
 
@@ -139,12 +147,11 @@ def top_items(
     n_item_blocks = _block_count(items, "movieId", ITEMS_PER_BLOCK)
     n_user_blocks = _block_count(user_ids if user_ids is not None else users, "userId",
                                  USERS_PER_BLOCK)
-    rated = rated.select("userId", "movieId").distinct()
-    # Only rated items that are candidates need masking; their number per user and
-    # item block is bounded by the block.
+    # Only rated items that are candidates need masking; as distinct items of one block
+    # their number per user is bounded, and repeats are dropped before the shuffle.
     masked = rated.join(items.select("movieId"), "movieId", "left_semi").groupBy(
         "userId", _block_of("movieId", n_item_blocks).alias("item_block")).agg(
-        F.collect_list("movieId").alias("rated"))
+        F.collect_set("movieId").alias("rated"))
     left = users.where(F.col("vec").isNotNull()).select(
         "userId", F.col("vec").cast("array<double>").alias("vec"),
         F.col("base").cast("double").alias("base"),
@@ -176,7 +183,8 @@ def top_items(
 
 def _profile_pieces(rated: DataFrame, vectors: DataFrame) -> DataFrame:
     """Directions of the rated items per user, in pieces of bounded length."""
-    directions = rated.join(vectors.select("movieId", "vec"), "movieId").select(
+    pairs = rated.select("userId", "movieId").distinct()
+    directions = pairs.join(vectors.select("movieId", "vec"), "movieId").select(
         "userId", "movieId", F.col("vec").cast("array<double>").alias("vec"))
     sizes = directions.groupBy("userId").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(RATED_PER_PIECE)).cast("int").alias("pieces"))

@@ -294,7 +294,7 @@ def enrich_meta(d):
 @query
 def item_stats_join(d):
     scores = rec.popularity(d.factors2, d.mean).withColumn("score", r6(F.col("score")))
-    return stats.with_item_stats(scores, d.ratings)
+    return stats.with_item_stats(scores, d.stored)
 
 
 @query
@@ -336,7 +336,7 @@ def convergence(d):
 
 @query
 def norm_report(d):
-    users = foldin.fold_in(d.ratings, d.factors2, d.mean).where("status = 'ok'")
+    users = foldin.fold_in(d.stored, d.factors2, d.mean).where("status = 'ok'")
     return stats.norm_report(users, d.factors2, SMALL).select(
         "userId", r6(F.col("user_norm")).alias("user_norm"),
         r6(F.col("avg_item_norm")).alias("avg_item_norm"))
@@ -484,19 +484,19 @@ def item_repr_hybrid(d):
 
 @query
 def fold_in_k2(d):
-    users = foldin.fold_in(d.ratings, d.factors2, d.mean)
+    users = foldin.fold_in(d.stored, d.factors2, d.mean)
     return users.select("userId", "alpha", "n", "status", r6(F.col("bias")).alias("bias"),
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
 
 
 @query
 def fold_in(d):
-    return _exploded(foldin.fold_in(d.ratings, d.factors(), d.mean).where("status = 'ok'"))
+    return _exploded(foldin.fold_in(d.stored, d.factors(), d.mean).where("status = 'ok'"))
 
 
 @query
 def fold_in_least_squares(d):
-    users = foldin.fold_in(d.ratings, d.factors2, d.mean, solver="least_squares").where("n >= 5")
+    users = foldin.fold_in(d.stored, d.factors2, d.mean, solver="least_squares").where("n >= 5")
     return users.select("userId", "n", r6(F.col("bias")).alias("bias"),
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
 
@@ -505,7 +505,7 @@ LOO_ALPHAS = (1.0, 10.0, 100.0)
 
 
 def _loo(d, clamp=True):
-    return foldin.leave_one_out(d.ratings, d.factors2, d.mean, LOO_ALPHAS, clamp)
+    return foldin.leave_one_out(d.stored, d.factors2, d.mean, LOO_ALPHAS, clamp)
 
 
 def _rounded_errors(rows):
@@ -525,7 +525,7 @@ def loo_alpha_unclamped(d):
 
 @query
 def loo_alpha_full(d):
-    return _rounded_errors(foldin.leave_one_out(d.ratings, d.factors(), d.mean, LOO_ALPHAS))
+    return _rounded_errors(foldin.leave_one_out(d.stored, d.factors(), d.mean, LOO_ALPHAS))
 
 
 @query
@@ -535,13 +535,13 @@ def best_alpha(d):
 
 @query
 def fold_in_tuned(d):
-    users = foldin.fold_in_tuned(d.ratings, d.factors2, d.mean, LOO_ALPHAS, clamp=True)
+    users = foldin.fold_in_tuned(d.stored, d.factors2, d.mean, LOO_ALPHAS, clamp=True)
     return users.select("userId", "alpha", "n", r6(F.col("bias")).alias("bias"),
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
 
 
 def _residuals(d):
-    return rec.residual_report(d.ratings, d.factors2, d.mean, SMALL, [0.1, 100.0])
+    return rec.residual_report(d.stored, d.factors2, d.mean, SMALL, [0.1, 100.0])
 
 
 @query
@@ -577,7 +577,7 @@ def alpha_spread(d):
 
 @query
 def predict_pairs(d):
-    users = foldin.fold_in(d.ratings, d.factors2, d.mean)
+    users = foldin.fold_in(d.stored, d.factors2, d.mean)
     pairs = tables.profile(d.profile_events).select("userId", "movieId")
     out = scoring.predict_pairs(pairs, users, d.factors2, F.lit(d.mean), SMALL)
     return out.select("userId", "movieId", r6(F.col("raw")).alias("raw"),
@@ -591,24 +591,24 @@ def _top(rows, *extra):
 
 @query
 def recommend_topn(d):
-    return _top(rec.recommend(d.ratings, d.factors2, d.items, d.mean, 5), "title", "genres")
+    return _top(rec.recommend(d.stored, d.factors2, d.items, d.mean, 5), "title", "genres")
 
 
 @query
 def recommend_filtered(d):
-    return _top(rec.recommend(d.ratings, d.factors2, d.items, d.mean, 5, genres="Brand#1,o",
+    return _top(rec.recommend(d.stored, d.factors2, d.items, d.mean, 5, genres="Brand#1,o",
                               min_ratings=25), "genres")
 
 
 @query
 def support_filter(d):
-    return _top(rec.recommend(d.ratings, d.factors2, d.items, d.mean, 5, min_support_sim=0.999),
+    return _top(rec.recommend(d.stored, d.factors2, d.items, d.mean, 5, min_support_sim=0.999),
                 r6(F.col("support")).alias("support"))
 
 
 @query
 def recommend_full(d):
-    return _top(rec.recommend(d.ratings, d.factors(), d.items, d.mean, 5), "title")
+    return _top(rec.recommend(d.stored, d.factors(), d.items, d.mean, 5), "title")
 
 
 @query
@@ -617,12 +617,12 @@ def popularity(d):
 
 
 def _favourites(d):
-    return d.ratings.where("rating >= 4.75")
+    return d.stored.where("rating >= 4.75")
 
 
 @query
 def item_cf(d):
-    return _exploded(rec.preference_vectors(d.ratings, d.factors(), d.mean, 64))
+    return _exploded(rec.preference_vectors(d.stored, d.factors(), d.mean, 64))
 
 
 @query
@@ -643,8 +643,8 @@ def recommend_tiered_genre(d):
 
 @query
 def score_components(d):
-    users = foldin.fold_in(d.ratings, d.factors2, d.mean).where("status = 'ok'")
-    parts = scoring.score_components(users, d.factors2, d.ratings)
+    users = foldin.fold_in(d.stored, d.factors2, d.mean).where("status = 'ok'")
+    parts = scoring.score_components(users, d.factors2, d.stored)
     return parts.select("userId", *[r6(F.col(c)).alias(c) for c in parts.columns if c != "userId"])
 
 
@@ -659,7 +659,7 @@ def predict_requests(d):
         F.concat(F.lit("e"), F.col("line_no").cast("string")).alias("request_id"), "userId",
         F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"),
         (F.col("movieId") * 23).alias("movieId"))
-    out = rec.predict_requests(by_title.unionByName(by_id), d.ratings, d.items, d.factors2,
+    out = rec.predict_requests(by_title.unionByName(by_id), d.stored, d.items, d.factors2,
                                _content2(d), d.mean, SMALL)
     return out.withColumn("raw", r6(F.col("raw"))).withColumn("predicted", r6(F.col("predicted")))
 
@@ -678,11 +678,11 @@ def demo_profile(d):
 
 @query
 def holdout_split(d):
-    return evaluate.holdout_split(d.ratings, 0.3, 5)
+    return evaluate.holdout_split(d.stored, 0.3, 5)
 
 
 def _ablation(d):
-    split = evaluate.holdout_split(d.ratings, 0.3, 5)
+    split = evaluate.holdout_split(d.stored, 0.3, 5)
     users = foldin.fold_in(split.where("part = 'train'").drop("part"), d.factors2, d.mean)
     return evaluate.ablation_predictions(split.where("part = 'test'").drop("part"), users,
                                          d.factors2, _content2(d), d.mean, SMALL)
@@ -698,7 +698,7 @@ DRAW_SIZES, DRAWS, CASCADE_ALPHAS = (5, 10), 3, (1.0, 100.0)
 
 
 def _pool(d):
-    return filters.warm_only(d.ratings, d.factors2)
+    return filters.warm_only(d.stored, d.factors2)
 
 
 @query
@@ -734,7 +734,7 @@ def cascade_best(d):
 
 @query
 def sanity_check(d):
-    rows = evaluate.sanity_check(d.ratings, {1: d.factors(1), 2: d.factors2}, d.mean,
+    rows = evaluate.sanity_check(d.stored, {1: d.factors(1), 2: d.factors2}, d.mean,
                                  CASCADE_ALPHAS)
     return rows.select("userId", F.col("k").cast("long").alias("k"), "alpha", "n",
                        r6(F.col("rmse")).alias("rmse"))
@@ -745,7 +745,7 @@ def sanity_check(d):
 
 def _progress(d, features, params):
     folder = new_folder(d.spark, "train")
-    training.train(d.spark, d.ratings, folder, features, params)
+    training.train(d.spark, d.stored, folder, features, params)
     return store.read_progress(d.spark, folder).select(
         "epoch", r6(F.col("mse_loss")).alias("mse_loss"),
         r6(F.col("objective")).alias("objective"), "done")
