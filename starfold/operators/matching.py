@@ -271,3 +271,9 @@ def warm_set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.select("movieId"), right.select("movieId")
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(
         b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def search_title(catalog: DataFrame, title: str, year: int | None = None):
+    """Best catalog hit of one title, or ``None``."""
+    one = catalog.sparkSession.createDataFrame([(title, year)], "title string, year int")
+    return nearest_year_matches(one, catalog).first()

@@ -704,7 +704,7 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                round(mean_rmse, 6) as mean_rmse, round(std_rmse, 6) as std_rmse from cascade""",
     "cascade_best": """
         select "userId", n::bigint as n, k::bigint as best_k, alpha as best_alpha,
-               round(mean_rmse, 6) as best_mean_rmse from cascade
+               round(round(mean_rmse, 9), 6) as best_mean_rmse from cascade
         qualify row_number() over (partition by "userId", n
             order by round(mean_rmse, 9), k, alpha) = 1""",
     "sanity_check": ("""
