@@ -202,11 +202,14 @@ def frequent_people(occurrences: DataFrame, minimum: int) -> DataFrame:
 
 
 def fit_vocab(records: DataFrame, min_director_films: int = MIN_DIRECTOR_FILMS,
-              min_cast_films: int = MIN_CAST_FILMS) -> DataFrame:
-    """All feature columns in order: genres, numbers, terms, directors, cast."""
+              min_cast_films: int = MIN_CAST_FILMS, counts: DataFrame | None = None) -> DataFrame:
+    """All feature columns in order: genres, numbers, terms, directors, cast.
+
+    counts: :func:`term_counts` of the records, when the caller has them stored.
+    """
     fixed = genre_dictionary(records)
     base = len(GENRE_IDS) + len(NUMERIC)
-    terms = fit_terms(records).select(
+    terms = fit_terms(records, counts).select(
         (F.lit(base) + F.col("pos")).cast("int").alias("feature_id"), F.lit("keyword").alias("block"),
         F.col("term").alias("key"), F.concat(F.lit("kw:"), "term").alias("name"), "idf")
 
@@ -241,12 +244,14 @@ def genre_block(records: DataFrame, vocab: DataFrame) -> DataFrame:
         "movieId", "feature_id", F.lit(1.0).alias("value"))
 
 
-def keyword_block(records: DataFrame, vocab: DataFrame) -> DataFrame:
+def keyword_block(records: DataFrame, vocab: DataFrame,
+                  counts: DataFrame | None = None) -> DataFrame:
     """TF-IDF of the kept terms, each item's row scaled to length one."""
+    counts = term_counts(records) if counts is None else counts
     # The vocabulary holds at most MAX_TERMS terms.
     terms = F.broadcast(vocab.where(F.col("block") == "keyword").select(
         "feature_id", F.col("key").alias("term"), "idf"))
-    weights = term_counts(records).join(terms, "term").select(
+    weights = counts.join(terms, "term").select(
         "movieId", "feature_id", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"))
     row = Window.partitionBy("movieId")  # at most MAX_TERMS rows per item
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))
@@ -266,10 +271,11 @@ def cast_block(records: DataFrame, vocab: DataFrame) -> DataFrame:
     return listed.join(_ids(vocab, "cast"), "person").select("movieId", "feature_id", "value")
 
 
-def transform(records: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
+def transform(records: DataFrame, vocab: DataFrame, stats: DataFrame,
+              counts: DataFrame | None = None) -> DataFrame:
     """Encode records with a saved vocabulary and saved statistics."""
     blocks = [genre_block(records, vocab), numeric_block(records, stats),
-              keyword_block(records, vocab), director_block(records, vocab),
+              keyword_block(records, vocab, counts), director_block(records, vocab),
               cast_block(records, vocab)]
     out = blocks[0]
     for block in blocks[1:]:

@@ -220,7 +220,7 @@ def leave_one_out_sums(rows: DataFrame, key: str, alphas: Sequence[float], clamp
     heavy = heavy_keys(rows, key, chunk_rows)
     marked = add_chunks(rows, key, F.col("movieId"), heavy).select(
         F.col(key).alias("key"), "chunk", "n_chunks", F.lit(False).alias("is_prior"),
-        F.col("vec").cast("array<double>").alias("vec"), "y", "rating")
+        "vec", "y", "rating")
     light = (marked.where("n_chunks = 1").repartition("key").sortWithinPartitions("key")
              .mapInArrow(_loo_light(alphas, clamp, min_rows), LOO_DDL))
     if heavy.table is None:

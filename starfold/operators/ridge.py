@@ -306,7 +306,8 @@ def ridge_by_key(
     """One ridge solution per key.
 
     rows: ``key, spread, vec, y``; ``spread`` is a column that differs between the
-    rows of a key and decides the chunk. priors: ``key, vec, bias`` the solution is
+    rows of a key and decides the chunk. Vectors travel in the type they have (floats
+    are half the exchange) and are computed with in double. priors: ``key, vec, bias`` the solution is
     pulled towards (penalised intercept only). heavy: result of :func:`heavy_keys`
     on a table with the same keys, when the caller already has it.
     Returns ``key, alpha, n, vec, bias, sse, spread``; ``vec`` is null below
@@ -316,8 +317,7 @@ def ridge_by_key(
         heavy = heavy_keys(rows, key, chunk_rows)
     data = add_chunks(rows, key, F.col(spread), heavy).select(
         F.col(key).cast("long").alias("key"), "chunk", "n_chunks",
-        F.lit(False).alias("is_prior"), F.col("vec").cast("array<double>").alias("vec"),
-        F.col("y").cast("double").alias("y"))
+        F.lit(False).alias("is_prior"), "vec", F.col("y").cast("double").alias("y"))
     if priors is not None:
         # The prior of a heavy key travels as its own chunk and joins in the merge.
         if heavy.table is None:
@@ -328,8 +328,8 @@ def ridge_by_key(
         prior = marked.select(
             F.col(key).cast("long").alias("key"),
             F.when(F.col("n_chunks") == 1, 0).otherwise(-1).alias("chunk"), "n_chunks",
-            F.lit(True).alias("is_prior"), F.col("vec").cast("array<double>").alias("vec"),
-            F.col("bias").cast("double").alias("y"))
+            F.lit(True).alias("is_prior"),
+            F.col("vec").cast(rows.schema["vec"].dataType).alias("vec"), F.col("bias").cast("double").alias("y"))
         data = data.unionByName(prior)
     grams = data.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(
         _accumulate(spec), RESULT_DDL)

@@ -163,8 +163,7 @@ def top_items(
     left = left.join(masked, ["userId", "item_block"], "left").withColumn(
         "user_block", _block_of("userId", n_user_blocks))
     right = items.select(
-        "movieId", F.col("vec").cast("array<double>").alias("vec"),
-        F.col("bias").cast("double").alias("bias"),
+        "movieId", "vec", F.col("bias").cast("double").alias("bias"),
         _block_of("movieId", n_item_blocks).alias("item_block"),
         _every_block(n_user_blocks).alias("user_block"))
     low, high = bounds or (None, None)
@@ -235,8 +234,7 @@ def score_components(users: DataFrame, items: DataFrame,
         _block_of("userId", n_users).alias("user_block"),
         _every_block(n_items).alias("item_block"))
     right = items.select(
-        "movieId", F.col("vec").cast("array<double>").alias("vec"),
-        F.col("bias").cast("double").alias("bias"), _block_of("movieId", n_items).alias("item_block"),
+        "movieId", "vec", F.col("bias").cast("double").alias("bias"), _block_of("movieId", n_items).alias("item_block"),
         _every_block(n_users).alias("user_block"))
     cells = left.groupBy("user_block", "item_block").cogroup(
         right.groupBy("user_block", "item_block")).applyInArrow(_summarise_cell, SUMMARY_DDL)

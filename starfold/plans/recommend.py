@@ -11,7 +11,7 @@ from starfold.functions.vectors import unit, weighted_sum, zeros
 from starfold.operators import features as feat
 from starfold.operators.filters import in_all_genres, in_genre, rated_often, warm_only
 from starfold.operators.foldin import DEFAULT_ALPHA, _as_column, fold_in
-from starfold.operators.matching import first_hit, search_status
+from starfold.operators.matching import first_hit, nearest_year_matches, search_status
 from starfold.operators.scoring import predict, top_items
 
 TIER_MINIMUM = 10
@@ -97,42 +97,59 @@ def recommend_tiered(matched: DataFrame, factors: DataFrame, items: DataFrame,
 
 def predict_requests(requests: DataFrame, ratings: DataFrame, items: DataFrame,
                      factors: DataFrame, content: DataFrame, mean: float | Column,
-                     size: int, alpha: float = DEFAULT_ALPHA) -> DataFrame:
+                     size: int, alpha: float = DEFAULT_ALPHA, catalog: DataFrame | None = None,
+                     catalog_content: DataFrame | None = None) -> DataFrame:
     """Answer requests ``request_id, userId, title, year, movieId`` with a rating each.
 
     A request names an item id or a title and year. ``status`` is warm or cold for an
     answered request, else ambiguous, not_found, unscorable or too_few (ratings of the
     user). ``own_rating`` is set where the user had already rated the item.
+
+    With a catalog, a title that is no item is looked up there and scored from
+    ``catalog_content`` (``tmdb_id, vec, bias``); ``tmdb_id`` is set on such answers.
     """
     mean = _as_column(mean)
-    by_title = requests.where(F.col("movieId").isNull())
-    found = search_status(by_title.select("title", "year"), items).select(
-        "title", "year", F.col("movieId").alias("_found"), F.col("status").alias("_search"))
-    known = items.select(F.col("movieId").alias("_found"), F.lit("found").alias("_search"))
-    resolved = by_title.withColumn("year", F.col("year").cast("int")).join(
-        found, ["title", "year"], "left").unionByName(
-        requests.where(F.col("movieId").isNotNull()).join(
-            known, F.col("movieId") == F.col("_found"), "left").withColumn(
-            "year", F.col("year").cast("int")).select(
-            "title", "year", *[c for c in requests.columns if c not in ("title", "year")],
-            "_found", "_search"))
-    located = resolved.drop("movieId").withColumnRenamed("_found", "movieId").withColumn(
+    requests = requests.select("request_id", "userId", "title",
+                               F.col("year").cast("int").alias("year"), "movieId")
+    by_title = requests.where(F.col("movieId").isNull()).drop("movieId")
+    found = search_status(by_title, items).select(
+        "title", "year", "movieId", F.col("status").alias("_search"))
+    titled = by_title.join(found, ["title", "year"], "left")
+    known = items.select("movieId", F.lit("found").alias("_search"))
+    by_id = requests.where(F.col("movieId").isNotNull()).join(known, "movieId", "left")
+    located = titled.unionByName(by_id).withColumn(
         "_search", F.coalesce("_search", F.lit("not_found")))
+    if catalog is None:
+        located = located.withColumn("tmdb_id", F.lit(None).cast("long"))
+        fresh = located.limit(0).select("tmdb_id", F.lit(None).cast("array<double>").alias("_f"),
+                                        F.lit(None).cast("double").alias("_fb"))
+    else:
+        lost = (F.col("_search") == "not_found") & F.col("title").isNotNull()
+        hits = nearest_year_matches(located.where(lost), catalog).select(
+            F.col("title").alias("_title"), F.col("year").alias("_year"),
+            F.col("id").alias("tmdb_id"))
+        same = (F.col("title") == F.col("_title")) & F.col("year").eqNullSafe(F.col("_year"))
+        located = located.join(hits, lost & same, "left").drop("_title", "_year")
+        fresh = catalog_content.select("tmdb_id", F.col("vec").alias("_f"),
+                                       F.col("bias").alias("_fb"))
     vectors = feat.item_representations(items, factors, content).select(
         "movieId", F.col("vec").alias("_i"), F.col("bias").alias("_ib"),
         F.col("status").alias("_item_status"))
     users = fold_in(ratings, factors, mean, [alpha]).select(
         "userId", F.col("vec").alias("_u"), F.col("bias").alias("_ub"))
     own = ratings.select("userId", "movieId", F.col("rating").alias("own_rating"))
-    joined = located.join(vectors, "movieId", "left").join(users, "userId", "left").join(
-        own, ["userId", "movieId"], "left")
-    raw = predict(F.col("_u"), F.col("_ub"), F.col("_i"), F.col("_ib"), mean, size)
-    status = (F.when(F.col("_search") != "found", F.col("_search"))
-              .when(F.col("_item_status") == "unscorable", "unscorable")
-              .when(F.col("_u").isNull(), "too_few").otherwise(F.col("_item_status")))
+    joined = (located.join(vectors, "movieId", "left").join(fresh, "tmdb_id", "left")
+              .join(users, "userId", "left").join(own, ["userId", "movieId"], "left"))
+    raw = predict(F.col("_u"), F.col("_ub"), F.coalesce("_i", "_f"), F.coalesce("_ib", "_fb"),
+                  mean, size)
+    missing = F.col("tmdb_id").isNull() & (F.col("_search") != "found")
+    scorable = F.col("_i").isNotNull() | F.col("_f").isNotNull()
+    status = (F.when(missing, F.col("_search")).when(~scorable, "unscorable")
+              .when(F.col("_u").isNull(), "too_few")
+              .otherwise(F.coalesce("_item_status", F.lit("cold"))))
     answered = F.col("status").isin("warm", "cold")
     return joined.withColumn("status", status).select(
-        "request_id", "userId", "movieId", "status", "own_rating",
+        "request_id", "userId", "movieId", "tmdb_id", "status", "own_rating",
         F.when(answered, raw).alias("raw"), F.when(answered, clamp(raw)).alias("predicted"))
 
 

@@ -80,7 +80,7 @@ def _identity(total: DataFrame, content: DataFrame | None) -> DataFrame:
     negative = content.select(
         "movieId", F.transform("vec", lambda x: -x).alias("vec"), (-F.col("bias")).alias("bias"))
     rest = _total(total, negative)
-    return rest.join(total.select("movieId", "n"), "movieId")
+    return rest.join(total.select("movieId", "n", "sse"), "movieId")
 
 
 def _content_step(weights: DataFrame, identity: DataFrame, features: DataFrame, strength,
@@ -144,6 +144,7 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
     if features is not None:
         features = _written(features.join(
             rows.select("movieId").distinct(), "movieId", "left_semi"), f"{work}/features")
+    as_floats = F.col("vec").cast("array<float>").alias("vec")
     user_spec = RidgeSpec((params.reg_user,), "penalised", params.reg_per_row, 1)
     item_spec = RidgeSpec((params.reg_item,), "penalised", params.reg_per_row, 1)
     if start > 1:
@@ -162,51 +163,49 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
     for epoch in range(start, epochs + 1):
         total = _total(items, content)
         by_user = rows.join(total, "movieId").select(
-            "userId", "movieId", "vec", (F.col("rating") - mean - F.col("bias")).alias("y"))
+            "userId", "movieId", as_floats, (F.col("rating") - mean - F.col("bias")).alias("y"))
         users = _written(ridge_by_key(by_user, "userId", "movieId", user_spec,
-                                      heavy=heavy_users), f"{work}/users-{epoch % 2}")
+                                      heavy=heavy_users), store.epoch_path(path, "users", tag, epoch))
         by_item = rows.join(users.select("userId", "vec", "bias"), "userId").select(
-            "userId", "movieId", "vec", (F.col("rating") - mean - F.col("bias")).alias("y"))
-        total = _written(ridge_by_key(by_item, "movieId", "userId", item_spec, content,
-                                      heavy=heavy_items), f"{work}/total-{epoch % 2}")
+            "userId", "movieId", as_floats, (F.col("rating") - mean - F.col("bias")).alias("y"))
+        solved = ridge_by_key(by_item, "movieId", "userId", item_spec, content, heavy=heavy_items)
+        item_path = store.epoch_path(path, "items", tag, epoch)
         strength = F.lit(params.reg_item) * (
             F.col("n").cast("double") if params.reg_per_row else F.lit(1.0))
-        if features is not None:
+        if features is None:
+            items = _written(solved, item_path)
+        else:
+            total = _written(solved, f"{work}/total-{epoch % 2}")
             for step in range(params.content_steps):
-                identity = _identity(total, content)
-                weights = _written(_content_step(weights, identity, features, strength, params),
-                                   f"{work}/weights-{epoch % 2}-{step}")
+                moved = _content_step(weights, _identity(total, content), features, strength, params)
+                last_step = step == params.content_steps - 1
+                weights = _written(
+                    moved.withColumn("vec", F.col("vec").cast("array<float>")),
+                    store.epoch_path(path, "weights", tag, epoch) if last_step
+                    else f"{work}/weights-{epoch % 2}-{step}")
                 content = _written(project(features, weights, params.components),
                                    f"{work}/content-{epoch % 2}-{step}")
-        identity = _identity(total, content)
-        tables = {"items": identity.select("movieId", F.col("vec").cast("array<float>").alias("vec"),
-                                           "bias", "n"),
-                  "users": users.select("userId", "vec", "bias", "n")}
-        if features is not None:
-            tables["weights"] = weights.select(
-                "feature_id", F.col("vec").cast("array<float>").alias("vec"), "bias")
+            items = _written(_identity(total, content).withColumn(
+                "vec", F.col("vec").cast("array<float>")), item_path)
         config = spark.createDataFrame(
             [(params.components, params.dry_run, float(mean), features is not None)],
             "components int, dry_run boolean, global_mean double, has_content boolean")
-        store.write_epoch(path, tag, epoch, config, **tables)
-        _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, total, users,
-                      identity, weights, strength, params)
-        items = store.read_epoch(spark, path, "items", tag, epoch)
-        if features is not None:
-            weights = store.read_epoch(spark, path, "weights", tag, epoch)
+        store.complete_epoch(path, tag, epoch, config)
+        _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, users, items, weights,
+                      strength, params)
     return store.load_model(spark, path, tag)
 
 
-def _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, total, users, identity,
-                  weights, strength, params) -> None:
+def _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, users, items, weights,
+                  strength, params) -> None:
     """Progress row; the loss falls out of the item regressions without another pass."""
-    mse = total.agg(F.sum("sse")).first()[0] / max(n_rows, 1)
-    evaluated = epoch % eval_every == 0 or epoch == epochs
     size = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) + F.col("bias") * F.col("bias")
-    penalty = users.agg(F.sum("spread")).first()[0]
-    penalty += identity.agg(F.sum(strength * size)).first()[0]
+    squares, penalty = items.agg(F.sum("sse"), F.sum(strength * size)).first()
+    mse = squares / max(n_rows, 1)
+    penalty += users.agg(F.sum("spread")).first()[0]
     if weights is not None:
         penalty += params.weight_decay * (weights.agg(F.sum(size)).first()[0] or 0.0)
+    evaluated = epoch % eval_every == 0 or epoch == epochs
     store.append_progress(spark, path, tag, {
         "epoch": epoch, "of": epochs, "mse_loss": mse, "rmse": mse ** 0.5 if evaluated else None,
         "objective": mse * n_rows + penalty,

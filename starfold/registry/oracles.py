@@ -269,6 +269,9 @@ def loo_sql(rows: str, alpha: str, keys: str = '"userId"', clamp: bool = True) -
                       (select unnest([{alpha}])::double as a)))), mu"""
 
 
+TABLES["catalog_genres"] = TABLES["genre_rows"].replace(
+    "from encoded)", 'from (select p_partkey * 10 as "movieId", * from part))')
+TABLES["catalog_content2"] = TABLES["content2"].replace("genre_rows", "catalog_genres")
 TABLES["fold2"] = fold_sql("warm2", "100")
 TABLES["loo"] = loo_sql("warm2", "1, 10, 100")
 TABLES["loo_free"] = loo_sql("warm2", "1, 10, 100", clamp=False)
@@ -639,10 +642,13 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
         requests as (
             select 't' || e."userId" || '-' || e.line_no as request_id, e."userId",
                    case when n = 1 then "movieId" end as "movieId",
-                   case when n is null then 'not_found' when n > 1 then 'ambiguous' end as problem
+                   case when n is null then h.id end as tmdb_id,
+                   case when n > 1 then 'ambiguous' when n is null and h.id is null then 'not_found'
+                   end as problem
             from export e left join found f on f.title = e.title and f.year = e.year
+            left join hits h on h.title = e.title and h.year is not distinct from e.year
             union all
-            select 'e' || line_no, "userId", i."movieId",
+            select 'e' || line_no, "userId", p."movieId" * 23, null,
                    case when i."movieId" is null then 'not_found' end
             from profile_events p left join items i on i."movieId" = p."movieId" * 23),
         reps as (
@@ -653,11 +659,13 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                    case when f."movieId" is not null then x2 else c2 end as i2
             from items i left join f2 f using ("movieId") left join content2 c using ("movieId")),
         answers as (
-            select q.request_id, q."userId", q."movieId", o.rating as own_rating,
-                   coalesce(problem, case when kind = 'unscorable' then kind
-                                          when u.b is null then 'too_few' else kind end) as status,
-                   mu + b + ib + w1 * i1 + w2 * i2 as raw
+            select q.request_id, q."userId", q."movieId", q.tmdb_id, o.rating as own_rating,
+                   coalesce(problem, case
+                       when coalesce(i1, k.c1) is null then 'unscorable'
+                       when u.b is null then 'too_few' else coalesce(kind, 'cold') end) as status,
+                   mu + b + coalesce(ib, k.cb) + w1 * coalesce(i1, k.c1) + w2 * coalesce(i2, k.c2) as raw
             from requests q left join reps r on r."movieId" = q."movieId"
+            left join catalog_content2 k on k."movieId" = q.tmdb_id
             left join fold2 u on u."userId" = q."userId"
             left join ratings o on o."userId" = q."userId" and o."movieId" = q."movieId", mu)
         select * replace (case when status in ('warm', 'cold') then round(raw, 6) end as raw),

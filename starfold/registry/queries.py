@@ -10,6 +10,7 @@ from starfold.functions import scalars, vectors
 from starfold.operators import evaluate, features as feat, filters, foldin, matching, scoring, stats
 from starfold.operators.indexing import dense_index
 from starfold.plans import recommend as rec, train as training
+from starfold.plans.content import build_content_store
 from starfold.registry.derived import SMALL, Derived
 from starfold.session import new_folder
 from starfold.sources import store, tables
@@ -398,22 +399,24 @@ def features_tfidf(d):
 
 @query
 def features_director(d):
-    names = _vocab(d).select("feature_id", "name")
-    return feat.director_block(d.linked, _vocab(d)).join(names, "feature_id").select(
+    vocab = _vocab(d)
+    names = vocab.select("feature_id", "name")
+    return feat.director_block(d.linked, vocab).join(names, "feature_id").select(
         "movieId", "name", "value")
 
 
 @query
 def features_cast(d):
-    names = _vocab(d).select("feature_id", "name")
-    return _rounded(feat.cast_block(d.linked, _vocab(d)).join(names, "feature_id").select(
+    vocab = _vocab(d)
+    names = vocab.select("feature_id", "name")
+    return _rounded(feat.cast_block(d.linked, vocab).join(names, "feature_id").select(
         "movieId", "name", "value"))
 
 
 @query
 def features_all(d):
-    rows = feat.transform(d.linked, _vocab(d), feat.fit_numeric(d.linked))
-    return _rounded(rows)
+    built = build_content_store(d.spark, d.records, d.links, new_folder(d.spark, "content"))
+    return _rounded(built.features)
 
 
 def _served(d):
@@ -442,9 +445,8 @@ def content_row(d):
 
 @query
 def feature_density(d):
-    vocab = _vocab(d)
-    rows = feat.transform(d.linked, vocab, feat.fit_numeric(d.linked))
-    return feat.density(rows, vocab).withColumn("density", r6(F.col("density")))
+    built = build_content_store(d.spark, d.records, d.links, new_folder(d.spark, "content"))
+    return feat.density(built.features, built.vocab).withColumn("density", r6(F.col("density")))
 
 
 def _genre_features(d):
@@ -659,8 +661,12 @@ def predict_requests(d):
         F.concat(F.lit("e"), F.col("line_no").cast("string")).alias("request_id"), "userId",
         F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"),
         (F.col("movieId") * 23).alias("movieId"))
+    genres = feat.genre_dictionary(d.items)
+    by_record = feat.genre_block(d.records.withColumnRenamed("tmdb_id", "movieId"), genres)
+    fresh = feat.project(by_record, d.weights(genres, SMALL), SMALL)
     out = rec.predict_requests(by_title.unionByName(by_id), d.stored, d.items, d.factors2,
-                               _content2(d), d.mean, SMALL)
+                               _content2(d), d.mean, SMALL, catalog=d.catalog,
+                               catalog_content=fresh.withColumnRenamed("movieId", "tmdb_id"))
     return out.withColumn("raw", r6(F.col("raw"))).withColumn("predicted", r6(F.col("predicted")))
 
 
@@ -709,9 +715,9 @@ def draws(d):
 
 
 def _cascade(d):
-    samples = evaluate.draws(_pool(d), DRAW_SIZES, DRAWS, 0)
+    samples = d.written(evaluate.draws(_pool(d), DRAW_SIZES, DRAWS, 0), "draws")
     errors = evaluate.cascade_errors(_pool(d), {1: d.factors(1), 2: d.factors2}, d.mean, samples,
-                                     CASCADE_ALPHAS)
+                                     CASCADE_ALPHAS, DRAW_SIZES, DRAWS)
     return evaluate.cascade_results(errors)
 
 

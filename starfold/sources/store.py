@@ -55,19 +55,17 @@ def load_content_store(spark: SparkSession, path: str) -> ContentStore:
     return ContentStore(*(spark.read.parquet(f"{path}/{t}") for t in ("features", "vocab", "stats")))
 
 
-def _epoch_path(path: str, table: str, tag: str, epoch: int) -> str:
+def epoch_path(path: str, table: str, tag: str, epoch: int) -> str:
     return f"{path}/{table}/tag={tag}/epoch={epoch}"
 
 
-def write_epoch(path: str, tag: str, epoch: int, config: DataFrame, **tables: DataFrame) -> None:
-    """Tables of one epoch. The config row is written last and marks it complete."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(_epoch_path(path, name, tag, epoch))
-    config.write.mode("overwrite").parquet(_epoch_path(path, "config", tag, epoch))
+def complete_epoch(path: str, tag: str, epoch: int, config: DataFrame) -> None:
+    """Write the config row of an epoch after its tables; readers ignore epochs without."""
+    config.write.mode("overwrite").parquet(epoch_path(path, "config", tag, epoch))
 
 
 def read_epoch(spark: SparkSession, path: str, table: str, tag: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(_epoch_path(path, table, tag, epoch))
+    return spark.read.parquet(epoch_path(path, table, tag, epoch))
 
 
 def _folder_exists(spark: SparkSession, path: str) -> bool:
