@@ -132,12 +132,11 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
         mean, start = last["global_mean"], last["epoch"] + 1
     else:
         kept = _written(min_support(
-            ratings.select("userId", "movieId", "rating"), params.min_ratings), f"{work}/kept")
+            ratings.select("userId", "movieId", "rating"), params.min_ratings),
+            f"{work}/kept" if params.dry_run else f"{work}/ratings")
         mean, start = kept.agg({"rating": "avg"}).first()[0], 1
         # The mean is that of all users, also when a dry run keeps the first ones only.
         rows = _written(first_users(kept), f"{work}/ratings") if params.dry_run else kept
-        if not params.dry_run:
-            rows = _written(rows, f"{work}/ratings")
     if mean is None:
         raise ValueError("no item has enough ratings to train on")
     heavy_users, heavy_items = heavy_keys(rows, "userId"), heavy_keys(rows, "movieId")
