@@ -70,17 +70,21 @@ def _best(score: np.ndarray, n: int, keep_all: np.ndarray) -> tuple[np.ndarray,
 
     Rows marked in ``keep_all`` keep every finite score.
     """
+    if n < 1:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
     width = score.shape[1]
-    floor = np.full(len(score), -np.inf)
+    chosen = np.isfinite(score)
     if width > n:
-        floor = np.partition(score, width - n, axis=1)[:, width - n]
-        floor[keep_all] = -np.inf
-    row, column = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+        floor = np.partition(score, width - n, axis=1)[:, width - n, None]
+        above, tied = score > floor, score == floor
+        room = n - above.sum(axis=1)
+        # Clamped scores tie in masses; only the first ties of a row have room.
+        crowded = np.flatnonzero(tied.sum(axis=1) > room)
+        tied[crowded] &= np.cumsum(tied[crowded], axis=1) <= room[crowded, None]
+        chosen &= above | tied | keep_all[:, None]
+    row, column = np.nonzero(chosen)
     order = np.lexsort((column, -score[row, column], row))
-    row, column = row[order], column[order]
-    position = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-    chosen = (position < n) | keep_all[row]
-    return row[chosen], column[chosen]
+    return row[order], column[order]
 
 
 def _support(users: pa.Table, q: np.ndarray) -> np.ndarray:
