@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from starfold import schemas
 from starfold.operators import features as feat
