@@ -5,8 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, sharding
-from .common import documents
+from . import bpe, packing, quality_rules, sharding, vp_trees
+from .common import documents, table
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +26,11 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder), 24)
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op5_quality_rules, op9_sharding)}
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_bpe_round_trip, op5_quality_rules, op9_sharding, op10_nearest_neighbours)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)
