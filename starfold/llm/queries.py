@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, sharding, vp_trees
+from . import bpe, ngram_join, packing, quality_rules, sharding, vp_trees
 from .common import documents, table
 
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(documents(spark, folder), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,7 +34,7 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_bpe_round_trip, op5_quality_rules, op9_sharding, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_bpe_round_trip, op5_quality_rules, op9_sharding, op10_nearest_neighbours)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)
