@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from starfold.session import new_folder
 
@@ -30,3 +33,8 @@ def id_and_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+def none_of(schema: StructType | str) -> pa.Table:
+    """No rows, for a group that a task has nothing to return for."""
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
