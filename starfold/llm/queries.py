@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality_rules, repeats, sharding, vp_trees
+from . import bpe, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
 from .common import documents, table
 
 
@@ -30,6 +30,10 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove(documents(spark, folder), length=20, digest=True)
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(documents(spark, folder), table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder), 24)
 
@@ -38,7 +42,7 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_bpe_round_trip, op5_quality_rules, op7_substring_dedup, op9_sharding, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_bpe_round_trip, op5_quality_rules, op7_substring_dedup, op8_toxicity, op9_sharding, op10_nearest_neighbours)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)

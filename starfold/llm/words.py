@@ -6,7 +6,7 @@ sequence has one of these values, so byte runs and character runs are the same w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -105,17 +105,21 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the 64-bit hash of each byte run ``begin : end``; equal runs have equal hashes."""
+    powers, inverse = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+
+    def of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+    return of
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte run; equal runs have equal hashes."""
-    if len(begin) == 0:
-        return np.zeros(0, np.uint64)
-    low = int(begin[0])
-    powers, inverse = _tables(int(end[-1]) - low + 1)
-    part = data[low: int(end[-1])]
-    sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_BYTE[part] * powers[: len(part)], out=sums[1:])
-    value = (sums[end - low] - sums[begin - low]) * inverse[begin - low]
-    return mix(value + (end - begin).astype(np.uint64))
+    """64-bit hash of each byte run, all at once."""
+    return hasher(data)(begin, end)
 
 
 def windows(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
