@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words as W
 from .common import same, written
@@ -167,6 +168,18 @@ def thresholds(sketches: DataFrame, spreads: int = SPREADS, group_min: int = GRO
     return limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
 
 
+def _limits(rows: DataFrame, spreads: int, group_min: int) -> DataFrame:
+    found = thresholds(sketch(rows.where(~F.col("base_failed"))), spreads, group_min)
+    return found.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+
+
+def _judged(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
+    """``rows`` with ``failed``, the first rule that failed, and ``kept``."""
+    joined = rows.join(limits, same(F.col(lang), F.col("of_lang")) & same(F.col(source), F.col("of_source")), "left").drop("of_lang", "of_source")
+    failed = F.coalesce(*(F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES))
+    return joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("failed").isNull())
+
+
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
           spreads: int = SPREADS, group_min: int = GROUP_MIN) -> DataFrame:
     """Counts, measures, ``base_failed``, the rule that failed first (``failed``) and ``kept`` of every row.
@@ -176,17 +189,30 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rules. A null language or source is a group like any other. Repeated rows are judged alike.
     A group none of whose rows passes the base rules has no limits and needs none.
     """
-    spark = docs.sparkSession
     rows = measure(docs, id_column, text_column, lang_column, source_column)
-    rows = written(spark, rows.withColumns(rates()).withColumn("base_failed", base_failed()), "measures")
-    limits = thresholds(sketch(rows.where(~F.col("base_failed"))), spreads, group_min)
-    limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    joined = rows.join(limits, same(F.col("lang"), F.col("of_lang")) & same(F.col("source"), F.col("of_source")), "left").drop("of_lang", "of_source")
-    failed = F.coalesce(*(F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES))
-    return joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("failed").isNull())
+    rows = written(docs.sparkSession, rows.withColumns(rates()).withColumn("base_failed", base_failed()), "measures")
+    return _judged(rows, _limits(rows, spreads, group_min), "lang", "source")
 
 
-def keep(docs: DataFrame, id_column: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows are told apart by id; rows without an id go."""
-    kept = judge(docs, id_column, **columns).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col(id_column) == F.col("__kept"), "left_semi")
+def keep(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
+         spreads: int = SPREADS, group_min: int = GROUP_MIN) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Texts are counted twice, once for the limits and once beside the row, so that no text is shuffled.
+    """
+    rows = measure(docs, id_column, text_column, lang_column, source_column)
+    rows = written(docs.sparkSession, rows.withColumns(rates()).withColumn("base_failed", base_failed()), "measures")
+    limits = written(docs.sparkSession, _limits(rows, spreads, group_min), "limits")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in (text_column, lang_column, source_column)}
+    plain = docs.toDF(*names)  # the names do not matter inside
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.chunks(batch, text=at[text_column]):
+                counts = count_texts(part.column(names.index(at[text_column])))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[c], pa.int64()) for c in COUNTS)], [*names, *COUNTS])
+
+    schema = StructType([*plain.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
+    counted = plain.mapInArrow(run, schema).withColumns(rates()).withColumn("base_failed", base_failed())
+    return _judged(counted, limits, at[lang_column], at[source_column]).where("kept").select(*names).toDF(*docs.columns)

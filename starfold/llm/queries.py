@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
+from . import bpe, cotraining, masked_lm, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
 from .common import documents, table
 
 
@@ -17,6 +17,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(documents(spark, folder), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return masked_lm.score_all(documents(spark, folder))
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.judge(documents(spark, folder), table(spark, folder, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove(documents(spark, folder), length=20, digest=True)
 
@@ -42,7 +50,7 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_bpe_round_trip, op5_quality_rules, op7_substring_dedup, op8_toxicity, op9_sharding, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_lm_scoring, op4_bpe_round_trip, op5_quality_rules, op6_quality_classifier, op7_substring_dedup, op8_toxicity, op9_sharding, op10_nearest_neighbours)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)

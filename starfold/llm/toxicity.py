@@ -29,7 +29,7 @@ TOXIC_ROWS = 4_000
 CLEAN_ROWS = 8_000
 FEATURE_BITS = 18
 #: Bytes of a word's beginning that are features, besides the word itself and its end.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 END_BYTES = 3
 WINDOW = 32
 BLOCK = 64
@@ -392,6 +392,21 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return id_and_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<begin:int,end:int>>")
 
 
+def keep(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is not found toxic, with all their columns; every row is judged by itself."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.chunks(batch, text=names[at]):
+                fine = model.score(tag(part.column(at), model.field)[2]) < 0.5
+                yield part.filter(pa.array(fine))
+
+    plain = docs.toDF(*names)  # the names do not matter inside
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """Trains on the labels that are not held out and scores all rows, with ``held_out``. Rows without an id are not held out."""
     scored = score(docs, train(docs, labels, id_column, text_column, label_column), id_column, text_column)
