@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starfold.functions.scalars import HIGHEST_RATING, LOWEST_RATING
 from starfold.operators.ridge import (
     CHUNK_ROWS,
-    RESULT_DDL,
     RidgeSpec,
-    _accumulate,
+    Vectors,
     _list_matrix,
-    _segments,
-    add_chunks,
-    heavy_keys,
+    _runs,
+    add_blocks,
+    key_sizes,
     ridge_by_key,
+    routed,
 )
 
 DEFAULT_ALPHA = 100.0
@@ -32,17 +32,6 @@ def _as_column(mean: float | Column) -> Column:
     return mean if isinstance(mean, Column) else F.lit(float(mean))
 
 
-def fold_in_rows(ratings: DataFrame, items: DataFrame, mean: float | Column) -> DataFrame:
-    """Regression rows: the item's vector and the rating left after mean and item bias.
-
-    Ratings on items without a vector stay, with nulls, so that their user is reported.
-    """
-    factors = items.select("movieId", "vec", F.col("bias").alias("_item_bias"))
-    return ratings.join(factors, "movieId", "left").select(
-        "userId", "movieId", "rating", "vec",
-        (F.col("rating") - _as_column(mean) - F.col("_item_bias")).alias("y"))
-
-
 def fold_in(
     ratings: DataFrame,
     items: DataFrame,
@@ -62,9 +51,8 @@ def fold_in(
         intercept="lstsq" if solver == "least_squares" else "free",
         min_rows=min_rows,
     )
-    heavy = heavy_keys(ratings, "userId", chunk_rows)
-    solved = ridge_by_key(fold_in_rows(ratings, items, mean), "userId", "movieId", spec,
-                          heavy=heavy)
+    rows = ratings.select("userId", "movieId", (F.col("rating") - _as_column(mean)).alias("y"))
+    solved = ridge_by_key(rows, items, "userId", "movieId", spec, chunk_rows=chunk_rows)
     status = F.when(F.col("vec").isNull(), "too_few").otherwise("ok")
     return solved.select("userId", "alpha", "n", "vec", "bias", status.alias("status"))
 
@@ -81,6 +69,7 @@ def fold_in_user(ratings: DataFrame, items: DataFrame, mean: float | Column,
 
 # --------------------------------------------------------------------- leave one out
 
+_GRAM = pa.schema([("key", pa.int64()), ("gram", pa.list_(pa.float64()))])
 LOO_DDL = "key long, alpha double, n long, se double, ae double, e double"
 _LOO = pa.schema([("key", pa.int64()), ("alpha", pa.float64()), ("n", pa.int64()),
                   ("se", pa.float64()), ("ae", pa.float64()), ("e", pa.float64())])
@@ -142,42 +131,32 @@ def _loo_batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(columns, _LOO)], schema=_LOO)
 
 
-def _loo_light(alphas: Sequence[float], clamp: bool, min_rows: int):
-    """Keys of one chunk: hold the rows of the open key (bounded by the chunk size)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, parts, rows = None, [], []
-
-        def close():
-            z = np.concatenate(parts)
-            if len(z) >= min_rows:
-                rows.extend(_held_out_all(open_key, z[:, :-2], z[:, -2], z[:, -1], alphas, clamp))
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _list_matrix(batch.column("vec"))
-            z = np.column_stack([x, batch.column("y").to_numpy(),
-                                 batch.column("rating").to_numpy()])
-            key = batch.column("key").to_numpy()
-            bounds = _segments(key)
-            for start, stop in zip(bounds[:-1], bounds[1:]):
-                if int(key[start]) != open_key:
-                    if open_key is not None:
-                        close()
-                    open_key, parts = int(key[start]), []
-                parts.append(z[start:stop])
-            if rows:
-                yield _loo_batch(rows)
-                rows.clear()
-        if open_key is not None:
-            close()
-        if rows:
-            yield _loo_batch(rows)
+def _loo_block(alphas: Sequence[float], clamp: bool, min_rows: int):
+    """All keys of one chunk in a block."""
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows and sent.num_rows:
+            rating = rows.column("rating").to_numpy()
+            for key, _, _, z, places in _runs(rows, Vectors(sent)):
+                if z is not None and len(z) >= min_rows:
+                    out.extend(_held_out_all(key, z[:, :-1], z[:, -1], rating[places], alphas, clamp))
+        return pa.Table.from_batches([_loo_batch(out)] if out else [], _LOO)
 
     return run
 
 
+def _chunk_gram(rows: pa.Table, sent: pa.Table) -> pa.Table:
+    """Gram matrices of the chunks of heavy keys in a block."""
+    out: list[tuple] = []
+    if rows.num_rows and sent.num_rows:
+        for key, _, _, z, _ in _runs(rows, Vectors(sent)):
+            if z is not None:
+                z = np.column_stack([z, np.ones(len(z))])
+                out.append((key, (z.T @ z).ravel()))
+    return pa.Table.from_pydict({"key": [k for k, _ in out], "gram": [g for _, g in out]}, _GRAM)
+
+
 def _loo_chunk(alphas: Sequence[float], clamp: bool):
     """One chunk of a heavy key, beside the Gram matrix of the whole key."""
 
@@ -185,9 +164,9 @@ def _loo_chunk(alphas: Sequence[float], clamp: bool):
         if chunk.num_rows == 0 or total.num_rows == 0:
             return _LOO.empty_table()
         flat = _list_matrix(total.column("gram"))[0]
-        p = int(round((np.sqrt(5 + 4 * len(flat)) - 1) / 2))
+        p = int(round(np.sqrt(len(flat))))
         rows = _held_out_chunk(
-            chunk.column("key")[0].as_py(), flat[: p * p].reshape(p, p),
+            chunk.column("key")[0].as_py(), flat.reshape(p, p),
             _list_matrix(chunk.column("vec")), chunk.column("y").to_numpy(),
             chunk.column("rating").to_numpy(), alphas, clamp)
         return pa.Table.from_batches([_loo_batch(rows)])
@@ -197,48 +176,50 @@ def _loo_chunk(alphas: Sequence[float], clamp: bool):
 
 def _gram_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the partial Gram matrices of each key of a sorted partition."""
-    schema = pa.schema([("key", pa.int64()), ("gram", pa.list_(pa.float64()))])
     open_key, total = None, None
     for batch in batches:
         flat = _list_matrix(batch.column("gram"))
         for key, row in zip(batch.column("key").to_numpy(), flat):
             if open_key is not None and key != open_key:
-                yield pa.RecordBatch.from_pydict({"key": [open_key], "gram": [total]}, schema)
+                yield pa.RecordBatch.from_pydict({"key": [open_key], "gram": [total]}, _GRAM)
                 total = None
             open_key, total = int(key), row if total is None else total + row
     if open_key is not None:
-        yield pa.RecordBatch.from_pydict({"key": [open_key], "gram": [total]}, schema)
+        yield pa.RecordBatch.from_pydict({"key": [open_key], "gram": [total]}, _GRAM)
 
 
-def leave_one_out_sums(rows: DataFrame, key: str, alphas: Sequence[float], clamp: bool = True,
-                       min_rows: int = 3, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def leave_one_out_sums(ratings: DataFrame, key: str, items: DataFrame, mean: float | Column, alphas: Sequence[float],
+                       clamp: bool = True, min_rows: int = 3, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Error sums per key and penalty: ``key, alpha, n, se, ae, e``.
 
-    rows: ``key, movieId, rating, vec, y`` on known items only.
+    ratings: ``key, movieId, rating``; those on items without a vector take no part.
+    Keys of one chunk are finished in their block. Of the others the Gram matrices of all
+    chunks are added up first, and each chunk is then judged beside the sum.
     """
     alphas = tuple(float(a) for a in alphas)
-    heavy = heavy_keys(rows, key, chunk_rows)
-    marked = add_chunks(rows, key, F.col("movieId"), heavy).select(
-        F.col(key).alias("key"), "chunk", "n_chunks", F.lit(False).alias("is_prior"),
-        "vec", "y", "rating")
-    light = (marked.where("n_chunks = 1").repartition("key").sortWithinPartitions("key")
-             .mapInArrow(_loo_light(alphas, clamp, min_rows), LOO_DDL))
-    if heavy.table is None:
-        return light.withColumnRenamed("key", key)
-    large = marked.where("n_chunks > 1")
-    grams = (large.drop("rating").repartition("key", "chunk")
-             .sortWithinPartitions("key", "chunk")
-             .mapInArrow(_accumulate(RidgeSpec(alphas=alphas)), RESULT_DDL)
-             .select("key", "gram").repartition("key").sortWithinPartitions("key")
-             .mapInArrow(_gram_sum, "key long, gram array<double>"))
-    chunks = heavy.table.withColumnRenamed(key, "key")
-    per_chunk = grams.join(F.broadcast(chunks), "key").select(
+    sizes = key_sizes(ratings, key, chunk_rows)
+    rows = ratings.select(key, "movieId", F.col("rating").cast("double").alias("rating"),
+                          (F.col("rating") - _as_column(mean)).cast("double").alias("y"))
+    marked = add_blocks(rows, key, "movieId", sizes).select(
+        F.col(key).cast("long").alias("key"), F.col("movieId").alias("other"), "rating", "y", "chunk", "n_chunks", "block")
+    vectors = items.select(F.col("movieId").alias("other"), "vec", "bias")
+    light, large = marked.where("n_chunks = 1"), marked.where("n_chunks > 1")
+
+    def met(part: DataFrame, function, ddl: str) -> DataFrame:
+        sent = routed(part, "other", vectors).drop("kind")
+        return part.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(function, ddl)
+
+    light_sums = met(light, _loo_block(alphas, clamp, min_rows), LOO_DDL)
+    grams = (met(large, _chunk_gram, "key long, gram array<double>").repartition("key")
+             .sortWithinPartitions("key").mapInArrow(_gram_sum, "key long, gram array<double>"))
+    per_chunk = grams.join(sizes.heavy.withColumnRenamed(key, "key"), "key").select(
         "key", "gram", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-    per_chunk_sums = large.groupBy("key", "chunk").cogroup(
+    own = large.join(vectors, "other").select("key", "chunk", "rating", "vec", (F.col("y") - F.col("bias")).alias("y"))
+    per_chunk_sums = own.groupBy("key", "chunk").cogroup(
         per_chunk.groupBy("key", "chunk")).applyInArrow(_loo_chunk(alphas, clamp), LOO_DDL)
     heavy_sums = per_chunk_sums.groupBy("key", "alpha").agg(
         *[F.sum(c).alias(c) for c in ("n", "se", "ae", "e")])
-    return light.unionByName(heavy_sums).withColumnRenamed("key", key)
+    return light_sums.unionByName(heavy_sums).withColumnRenamed("key", key)
 
 
 def error_metrics(sums: DataFrame) -> DataFrame:
@@ -255,8 +236,7 @@ def leave_one_out(ratings: DataFrame, items: DataFrame, mean: float | Column,
 
     Returns ``userId, alpha, n, rmse, mae, mean_error``.
     """
-    rows = fold_in_rows(ratings, items, mean).where(F.col("vec").isNotNull())
-    return error_metrics(leave_one_out_sums(rows, "userId", alphas, clamp,
+    return error_metrics(leave_one_out_sums(ratings, "userId", items, mean, alphas, clamp,
                                             chunk_rows=chunk_rows))
 
 

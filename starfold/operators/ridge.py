@@ -1,11 +1,10 @@
 """Ridge regressions for very many groups at once.
 
-Rows ``(key, vec, y)`` are one regression per key. Spark brings the rows of a key
-together by hash partitioning and sorting; a task streams through its partition and
-keeps one Gram matrix per open key, so its memory does not depend on how many rows
-a key has. Keys above a row bound are cut into chunks that go to different tasks;
-their Gram matrices are added up in a second, small exchange. Few-key skew therefore
-never lands in one task.
+Rows ``(key, other, y)`` are one regression per key on the vectors of ``other``. Rows are
+dealt to blocks of bounded size by their key. A vector travels once to every block that
+holds a row of its owner, not once per row. Keys above a row bound are cut into chunks
+that go to different blocks; their Gram matrices are added up in a second, small
+exchange. Few-key skew therefore never lands in one task.
 
 A row without a vector (an item the model does not know) adds nothing but keeps its
 key in the result.
@@ -18,11 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from starfold.session import new_folder
 
 CHUNK_ROWS = 4096
-# More heavy keys than this cannot exist, which bounds the broadcast of their list.
-MAX_HEAVY_KEYS = 500_000
+BLOCK_ROWS = 200_000
+# Gram matrices that wait to be solved together, and rows that are multiplied at a time.
+OPEN_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -41,34 +43,37 @@ class RidgeSpec:
 
 
 @dataclass(frozen=True)
-class HeavyKeys:
-    """Keys with too many rows for one chunk, ``key, n_chunks``; ``None`` if there are none."""
+class KeySizes:
+    """Number of rows, and the keys with too many of them for one chunk: ``key, n_chunks``."""
 
-    table: DataFrame | None
+    rows: int
+    heavy: DataFrame
 
 
-def heavy_keys(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> HeavyKeys:
-    """Find the keys above the row bound; two numbers per table reach the driver.
+def key_sizes(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> KeySizes:
+    """Sizes of all keys, counted once and written; one number reaches the driver."""
+    path = new_folder(rows.sparkSession, "key-sizes")
+    rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = rows.sparkSession.read.parquet(path)
+    chunks = F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int").alias("n_chunks")
+    return KeySizes(counts.agg(F.sum("n")).first()[0] or 0,
+                    counts.where(F.col("n") > chunk_rows).select(key, chunks))
 
-    The bound rises with the table so that at most ``MAX_HEAVY_KEYS`` keys can pass;
-    the broadcast of the result is a few megabytes at any scale.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    bound = max(chunk_rows, -(-(total or 0) // MAX_HEAVY_KEYS))
-    if (largest or 0) <= bound:
-        return HeavyKeys(None)
-    chunks = F.ceil(F.col("_rows") / F.lit(bound)).cast("int").alias("n_chunks")
-    return HeavyKeys(counts.where(F.col("_rows") > bound).select(key, chunks))
+
+def add_blocks(rows: DataFrame, key: str, spread: str, sizes: KeySizes) -> DataFrame:
+    """Mark every row with the chunk of its key and the block of the chunk."""
+    blocks = max(1, -(-sizes.rows // BLOCK_ROWS))
+    marked = rows.join(sizes.heavy, key, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
+    chunk = F.pmod(F.xxhash64(spread), F.col("n_chunks")).cast("int")
+    return marked.withColumn("chunk", chunk).withColumn(
+        "block", F.pmod(F.xxhash64(key, "chunk"), F.lit(blocks)).cast("int"))
 
 
-def add_chunks(rows: DataFrame, key: str, spread: Column, heavy: HeavyKeys) -> DataFrame:
-    """Mark every row with the chunk of its key; light keys have one chunk."""
-    if heavy.table is None:
-        return rows.withColumn("n_chunks", F.lit(1)).withColumn("chunk", F.lit(0))
-    marked = rows.join(F.broadcast(heavy.table), key, "left").withColumn(
-        "n_chunks", F.coalesce("n_chunks", F.lit(1)))
-    return marked.withColumn("chunk", F.pmod(F.xxhash64(spread), F.col("n_chunks")).cast("int"))
+def routed(rows: DataFrame, other: str, vectors: DataFrame) -> DataFrame:
+    """Each vector once for every block with a row of its owner: ``block, kind, id, vec, bias``."""
+    wanted = rows.select(F.col("block").alias("block"), other).distinct()
+    return wanted.join(vectors.select(other, "vec", F.col("bias").cast("double").alias("bias")), other).select(
+        "block", F.lit(0).alias("kind"), F.col(other).cast("long").alias("id"), "vec", "bias")
 
 
 # --------------------------------------------------------------------------- solving
@@ -203,57 +208,75 @@ def _partials(keys: list, grams: list, priors: list) -> Iterator[pa.RecordBatch]
                  flat, np.ones(m, dtype=bool))
 
 
-def _accumulate(spec: RidgeSpec):
-    """Stream over rows sorted by (key, chunk); memory is one Gram matrix per open key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ident, gram, prior = None, None, None
-        done: list[tuple] = []
-
-        def flush():
-            light = [g for g in done if g[0][2] == 1]
-            heavy = [g for g in done if g[0][2] > 1]
-            done.clear()
+class Vectors:
+    """The vectors of a block, found by the id of their owner."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("id")
+        self.ids = table.column("id").to_numpy()
+        self.vec = _list_matrix(table.column("vec"))
+        self.bias = table.column("bias").to_numpy()
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each owner, and whether it is known."""
+        if not len(self.ids):
+            return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return at, self.ids[at] == ids
+
+
+def _runs(rows: pa.Table, vectors: Vectors) -> Iterator[tuple]:
+    """Key, chunk, chunks of the key, and matrix ``[x, y]`` of the known rows, run by run; ``None`` if there are none."""
+    key, chunk = rows.column("key").to_numpy(), rows.column("chunk").to_numpy()
+    n_chunks = rows.column("n_chunks").to_numpy()
+    at, known = vectors.find(rows.column("other").to_numpy())
+    y = rows.column("y").to_numpy()
+    order = np.lexsort((chunk, key))
+    key, chunk, n_chunks, at, known, y = (a[order] for a in (key, chunk, n_chunks, at, known, y))
+    bounds = _segments(key, chunk)
+    for start, stop in zip(bounds[:-1], bounds[1:]):
+        part, z = at[start:stop][known[start:stop]], None
+        if len(part):
+            z = np.column_stack([vectors.vec[part], y[start:stop][known[start:stop]] - vectors.bias[part]])
+        yield int(key[start]), int(chunk[start]), int(n_chunks[start]), z, order[start:stop][known[start:stop]]
+
+
+def _solve_block(spec: RidgeSpec):
+    """Solutions of a block's light keys, and partial Gram matrices of its heavy ones."""
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if rows.num_rows == 0:
+            return RESULT.empty_table()
+        kind = sent.column("kind").to_numpy()
+        vectors = Vectors(sent.filter(pa.array(kind == 0)))
+        prior_rows = sent.filter(pa.array(kind == 1))
+        priors = dict(zip(prior_rows.column("id").to_pylist(), np.column_stack(
+            [_list_matrix(prior_rows.column("vec")), prior_rows.column("bias").to_numpy()]))) if prior_rows.num_rows else {}
+        out: list[pa.RecordBatch] = []
+        light: list[tuple] = []
+        heavy: list[tuple] = []
+        held = 0
+
+        def flush() -> None:
             if light:
-                yield from _solved([g[0][0] for g in light], [g[1] for g in light],
-                                   [g[2] for g in light], spec)
+                out.extend(_solved(*map(list, zip(*light)), spec))
             if heavy:
-                yield from _partials([g[0][0] for g in heavy], [g[1] for g in heavy],
-                                     [g[2] for g in heavy])
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key = batch.column("key").to_numpy()
-            chunk = batch.column("chunk").to_numpy()
-            n_chunks = batch.column("n_chunks").to_numpy()
-            is_prior = batch.column("is_prior").to_numpy(zero_copy_only=False).astype(bool)
-            valid = np.asarray(batch.column("vec").is_valid())
-            x = _list_matrix(batch.column("vec"))
-            y = batch.column("y").to_numpy(zero_copy_only=False)[valid].astype(np.float64)
-            z = np.column_stack([x, y, np.ones(len(y))]) if len(y) else None
-            data = ~is_prior[valid]
-            position = np.concatenate([[0], np.cumsum(valid)])
-            bounds = _segments(key, chunk)
-            for start, stop in zip(bounds[:-1], bounds[1:]):
-                current = (int(key[start]), int(chunk[start]), int(n_chunks[start]))
-                if current != ident:
-                    if ident is not None:
-                        done.append((ident, gram, prior))
-                    ident, gram, prior = current, None, None
-                low, high = position[start], position[stop]
-                if low == high:
-                    continue
-                part, chosen = z[low:high], data[low:high]
-                if not chosen.all():
-                    prior = part[~chosen][0, :-1]
-                    part = part[chosen]
-                if len(part):
-                    gram = part.T @ part if gram is None else gram + part.T @ part
-            yield from flush()
-        if ident is not None:
-            done.append((ident, gram, prior))
-            yield from flush()
+                out.extend(_partials(*map(list, zip(*heavy))))
+            light.clear()
+            heavy.clear()
+
+        for key, chunk, n_chunks, z, _ in _runs(rows, vectors):
+            gram = None
+            if z is not None:
+                z = np.column_stack([z, np.ones(len(z))])
+                gram = z.T @ z
+                held += gram.nbytes
+            (light if n_chunks == 1 else heavy).append((key, gram, priors.get(key) if chunk == 0 else None))
+            if held > OPEN_BYTES:
+                flush()
+                held = 0
+        flush()
+        return pa.Table.from_batches(out, RESULT)
 
     return run
 
@@ -296,44 +319,36 @@ def _merge(spec: RidgeSpec):
 
 def ridge_by_key(
     rows: DataFrame,
+    vectors: DataFrame,
     key: str,
-    spread: str,
+    other: str,
     spec: RidgeSpec,
     priors: DataFrame | None = None,
-    heavy: HeavyKeys | None = None,
+    sizes: KeySizes | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One ridge solution per key.
 
-    rows: ``key, spread, vec, y``; ``spread`` is a column that differs between the
-    rows of a key and decides the chunk. Vectors travel in the type they have (floats
-    are half the exchange) and are computed with in double. priors: ``key, vec, bias`` the solution is
-    pulled towards (penalised intercept only). heavy: result of :func:`heavy_keys`
+    rows: ``key, other, y``. vectors: ``other, vec, bias``; the target of a row is ``y``
+    minus the bias of its ``other``. Vectors travel in the type they have (floats are half
+    the exchange) and are computed with in double. priors: ``key, vec, bias`` the solution is
+    pulled towards (penalised intercept only). sizes: result of :func:`key_sizes`
     on a table with the same keys, when the caller already has it.
     Returns ``key, alpha, n, vec, bias, sse, spread``; ``vec`` is null below
     ``spec.min_rows`` usable rows.
     """
-    if heavy is None:
-        heavy = heavy_keys(rows, key, chunk_rows)
-    data = add_chunks(rows, key, F.col(spread), heavy).select(
-        F.col(key).cast("long").alias("key"), "chunk", "n_chunks",
-        F.lit(False).alias("is_prior"), "vec", F.col("y").cast("double").alias("y"))
+    if sizes is None:
+        sizes = key_sizes(rows, key, chunk_rows)
+    blocks = max(1, -(-sizes.rows // BLOCK_ROWS))
+    data = add_blocks(rows.select(key, other, F.col("y").cast("double").alias("y")), key, other, sizes).select(
+        F.col(key).cast("long").alias("key"), F.col(other).cast("long").alias("other"), "y", "chunk", "n_chunks", "block")
+    sent = routed(data, "other", vectors.select(F.col(other).alias("other"), "vec", "bias"))
     if priors is not None:
-        # The prior of a heavy key travels as its own chunk and joins in the merge.
-        if heavy.table is None:
-            marked = priors.withColumn("n_chunks", F.lit(1))
-        else:
-            marked = priors.join(F.broadcast(heavy.table), key, "left").withColumn(
-                "n_chunks", F.coalesce("n_chunks", F.lit(1)))
-        prior = marked.select(
-            F.col(key).cast("long").alias("key"),
-            F.when(F.col("n_chunks") == 1, 0).otherwise(-1).alias("chunk"), "n_chunks",
-            F.lit(True).alias("is_prior"),
-            F.col("vec").cast(rows.schema["vec"].dataType).alias("vec"), F.col("bias").cast("double").alias("y"))
-        data = data.unionByName(prior)
-    grams = data.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(
-        _accumulate(spec), RESULT_DDL)
-    if heavy.table is not None:
-        grams = grams.repartition("key").sortWithinPartitions("key").mapInArrow(
-            _merge(spec), RESULT_DDL)
-    return grams.drop("gram").withColumnRenamed("key", key)
+        # A prior goes to the first chunk of its key.
+        first = F.pmod(F.xxhash64(F.col(key), F.lit(0)), F.lit(blocks)).cast("int")
+        sent = sent.unionByName(priors.select(
+            first.alias("block"), F.lit(1).alias("kind"), F.col(key).cast("long").alias("id"),
+            F.col("vec").cast(vectors.schema["vec"].dataType).alias("vec"), F.col("bias").cast("double").alias("bias")))
+    grams = data.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_solve_block(spec), RESULT_DDL)
+    merged = grams.repartition("key").sortWithinPartitions("key").mapInArrow(_merge(spec), RESULT_DDL)
+    return merged.drop("gram").withColumnRenamed("key", key)

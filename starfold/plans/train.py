@@ -22,7 +22,7 @@ from starfold.functions.vectors import weighted_sum
 from starfold.operators import evaluate
 from starfold.operators.features import project
 from starfold.operators.filters import MIN_RATINGS, first_users, min_support
-from starfold.operators.ridge import RidgeSpec, heavy_keys, ridge_by_key
+from starfold.operators.ridge import RidgeSpec, key_sizes, ridge_by_key
 from starfold.operators.stats import damped_bias, prediction_metrics
 from starfold.sources import store
 
@@ -139,7 +139,8 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
         rows = _written(first_users(kept), f"{work}/ratings") if params.dry_run else kept
     if mean is None:
         raise ValueError("no item has enough ratings to train on")
-    heavy_users, heavy_items = heavy_keys(rows, "userId"), heavy_keys(rows, "movieId")
+    user_sizes, item_sizes = key_sizes(rows, "userId"), key_sizes(rows, "movieId")
+    targets = rows.select("userId", "movieId", (F.col("rating") - mean).alias("y"))
     if features is not None:
         features = _written(features.join(
             rows.select("movieId").distinct(), "movieId", "left_semi"), f"{work}/features")
@@ -161,13 +162,10 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
     content = None if features is None else project(features, weights, params.components)
     for epoch in range(start, epochs + 1):
         total = _total(items, content)
-        by_user = rows.join(total, "movieId").select(
-            "userId", "movieId", as_floats, (F.col("rating") - mean - F.col("bias")).alias("y"))
-        users = _written(ridge_by_key(by_user, "userId", "movieId", user_spec,
-                                      heavy=heavy_users), store.epoch_path(path, "users", tag, epoch))
-        by_item = rows.join(users.select("userId", "vec", "bias"), "userId").select(
-            "userId", "movieId", as_floats, (F.col("rating") - mean - F.col("bias")).alias("y"))
-        solved = ridge_by_key(by_item, "movieId", "userId", item_spec, content, heavy=heavy_items)
+        users = _written(ridge_by_key(targets, total.select("movieId", as_floats, "bias"), "userId", "movieId", user_spec,
+                                      sizes=user_sizes), store.epoch_path(path, "users", tag, epoch))
+        solved = ridge_by_key(targets, users.select("userId", as_floats, "bias"), "movieId", "userId", item_spec, content,
+                              item_sizes)
         item_path = store.epoch_path(path, "items", tag, epoch)
         strength = F.lit(params.reg_item) * (
             F.col("n").cast("double") if params.reg_per_row else F.lit(1.0))

@@ -68,14 +68,15 @@ def test_heavy_items_are_split_with_their_prior(spark):
     rng = np.random.default_rng(1)
     rows = [(int(rng.integers(0, 2)), i, [float(v) for v in rng.normal(size=3)], float(rng.normal()))
             for i in range(60)] + [(9, 100, [1.0, 0.0, 0.0], 2.0)]
-    data = spark.createDataFrame(rows, "key long, other long, vec array<double>, y double")
+    data = spark.createDataFrame([(k, o, y) for k, o, _, y in rows], "key long, other long, y double")
+    vectors = spark.createDataFrame([(o, v, 0.0) for _, o, v, _ in rows], "other long, vec array<double>, bias double")
     priors = {0: ([1.0, 2.0, 3.0], 0.5), 9: ([0.5, 0.0, 0.0], 1.0)}
     prior = spark.createDataFrame([(k, v, b) for k, (v, b) in priors.items()],
                                   "key long, vec array<double>, bias double")
     for chunk_rows in (1000, 7):
         for per_row in (False, True):
             spec = RidgeSpec((2.0,), "penalised", per_row, 1)
-            got = ridge_by_key(data, "key", "other", spec, prior, chunk_rows=chunk_rows).collect()
+            got = ridge_by_key(data, vectors, "key", "other", spec, prior, chunk_rows=chunk_rows).collect()
             assert {r.key for r in got} == {0, 1, 9}
             for r in got:
                 x = np.array([[*v, 1.0] for k, _, v, _ in rows if k == r.key])
