@@ -22,9 +22,14 @@ def norm(vector: Column, size: int | None = None) -> Column:
     return F.sqrt(dot(vector, vector, size))
 
 
+def scaled(vector: Column, length: Column) -> Column:
+    """The vector divided by a number that is computed once, not per element."""
+    return F.zip_with(vector, F.array_repeat(length, F.size(vector)), lambda x, by: x.cast("double") / by)
+
+
 def unit(vector: Column, size: int | None = None) -> Column:
     length = F.greatest(norm(vector, size), F.lit(NORM_FLOOR))
-    return F.transform(vector, lambda x: x.cast("double") / length)
+    return scaled(vector, length)
 
 
 def cosine(left: Column, right: Column, size: int | None = None) -> Column:

@@ -4,32 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-ONE_RANGE_IDS = 100_000
-N_RANGES = 256
+from starfold.session import new_folder
 
 
-def dense_index(ids: DataFrame, key: str, name: str = "idx",
-                one_range_ids: int = ONE_RANGE_IDS) -> DataFrame:
+def dense_index(ids: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Number the distinct ids of a numeric key 0, 1, 2, … in ascending order.
 
-    Large id sets are cut into 256 value ranges of about equal population. Rows are numbered inside
-    their range, and the range's starting number is added; only one row per range ever
-    meets in a single task.
+    The ids are dealt to value ranges of about equal population, sorted in their range and
+    written with their place in it. Only one row per range, its size, meets in a single task.
     """
-    distinct = ids.select(key).distinct()
-    cuts = F.percentile_approx(key, [i / N_RANGES for i in range(1, N_RANGES)], 20_000)
-    n, bounds = distinct.agg(F.count(F.lit(1)), cuts).first()
-    if n <= one_range_ids:
-        numbered = F.row_number().over(Window.orderBy(key)) - 1
-        return distinct.select(key, numbered.cast("long").alias(name))
-    # The cut points are a list of N_RANGES - 1 numbers, whatever the number of ids.
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-    passed = F.size(F.filter(bounds, lambda bound: bound < F.col(key)))
-    ranged = distinct.withColumn("_range", passed)
-    within = Window.partitionBy("_range").orderBy(key)
-    numbered = ranged.withColumn("_pos", F.row_number().over(within))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    spark = ids.sparkSession
+    path = new_folder(spark, "ranges")
+    ranged = ids.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    # the number of the range above bit 33, the place in it below
+    ranged.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).select(
+        key, F.shiftright("_place", 33).alias("_range"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    joined = numbered.join(F.broadcast(starts), "_range")
-    return joined.select(key, (F.col("_start") + F.col("_pos") - 1).cast("long").alias(name))
+    return placed.join(starts, "_range").select(key, (F.col("_start") + F.col("_pos")).cast("long").alias(name))

@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.functions.scalars import HIGHEST_RATING, LOWEST_RATING, clamp
-from starfold.functions.vectors import NORM_FLOOR, dot
+from starfold.functions.vectors import NORM_FLOOR, dot, unit
 from starfold.operators.ridge import _list_matrix
 
 USERS_PER_BLOCK = 2048
 ITEMS_PER_BLOCK = 8192
-# Rated vectors of one user that may sit beside an item block at a time.
+# Rated vectors of one user that may sit beside an item block at a time, and of all users of a block.
 RATED_PER_PIECE = 4096
+RATED_PER_BLOCK = 131_072
 
 TOP_DDL = "userId long, movieId long, raw double, score double, support double"
 _TOP = pa.schema([("userId", pa.int64()), ("movieId", pa.int64()), ("raw", pa.float64()),
@@ -65,11 +66,8 @@ def _hide_rated(score: np.ndarray, ids: np.ndarray, rated: pa.Array) -> None:
         score[np.repeat(np.arange(len(lengths)), lengths), np.searchsorted(ids, flat)] = -np.inf
 
 
-def _best(score: np.ndarray, n: int, keep_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the n best finite scores per row, ties to the lower column.
-
-    Rows marked in ``keep_all`` keep every finite score.
-    """
+def _best(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the n best finite scores per row, ties to the lower column."""
     if n < 1:
         return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
     width = score.shape[1]
@@ -81,7 +79,7 @@ def _best(score: np.ndarray, n: int, keep_all: np.ndarray) -> tuple[np.ndarray,
         # Clamped scores tie in masses; only the first ties of a row have room.
         crowded = np.flatnonzero(tied.sum(axis=1) > room)
         tied[crowded] &= np.cumsum(tied[crowded], axis=1) <= room[crowded, None]
-        chosen &= above | tied | keep_all[:, None]
+        chosen &= above | tied
     row, column = np.nonzero(chosen)
     order = np.lexsort((column, -score[row, column], row))
     return row[order], column[order]
@@ -112,12 +110,13 @@ def _score_cell(n: int, low: float | None, high: float | None, min_support: floa
         raw += np.outer(users.column("bias_weight").to_numpy(), items.column("bias").to_numpy())
         score = raw.copy() if low is None else np.clip(raw, low, high)
         _hide_rated(score, ids, users.column("rated").combine_chunks())
-        keep_all, support = np.zeros(len(score), dtype=bool), None
+        support = None
         if min_support > 0:
+            # A long profile is here in pieces. An item of the overall top n is in the top n of
+            # every piece it passes in, so no piece needs to keep more.
             support = _support(users, q)
             score[support < min_support] = -np.inf
-            keep_all = users.column("pieces").to_numpy() > 1
-        row, column = _best(score, n, keep_all)
+        row, column = _best(score, n)
         support = np.full(len(row), np.nan) if support is None else support[row, column]
         arrays = (users.column("userId").to_numpy()[row], ids[column], raw[row, column],
                   score[row, column], support)
@@ -163,9 +162,12 @@ def top_items(
     if min_support > 0:
         vectors = (profile_items if profile_items is not None else items)
         left = left.join(_profile_pieces(rated, vectors), "userId")
+        n_user_blocks = max(n_user_blocks, -(-rated.count() // RATED_PER_BLOCK))
+    else:
+        left = left.withColumn("piece", F.lit(0))
     left = left.withColumn("item_block", _every_block(n_item_blocks))
     left = left.join(masked, ["userId", "item_block"], "left").withColumn(
-        "user_block", _block_of("userId", n_user_blocks))
+        "user_block", F.pmod(F.xxhash64("userId", "piece"), F.lit(n_user_blocks)).cast("int")).drop("piece")
     right = items.select(
         "movieId", "vec", F.col("bias").cast("double").alias("bias"),
         _block_of("movieId", n_item_blocks).alias("item_block"),
@@ -191,12 +193,10 @@ def _profile_pieces(rated: DataFrame, vectors: DataFrame) -> DataFrame:
         "userId", "movieId", F.col("vec").cast("array<double>").alias("vec"))
     sizes = directions.groupBy("userId").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(RATED_PER_PIECE)).cast("int").alias("pieces"))
-    length = F.greatest(F.sqrt(dot(F.col("vec"), F.col("vec"))), F.lit(NORM_FLOOR))
-    marked = directions.join(sizes, "userId").withColumn("_length", length).select(
-        "userId", "pieces", F.pmod(F.xxhash64("movieId"), F.col("pieces")).alias("piece"),
-        F.transform("vec", lambda x: x / F.col("_length")).alias("direction"))
-    return marked.groupBy("userId", "pieces", "piece").agg(
-        F.collect_list("direction").alias("rated_unit")).drop("piece")
+    marked = directions.join(sizes, "userId").select(
+        "userId", F.pmod(F.xxhash64("movieId"), F.col("pieces")).cast("int").alias("piece"),
+        unit(F.col("vec")).alias("direction"))
+    return marked.groupBy("userId", "piece").agg(F.collect_list("direction").alias("rated_unit"))
 
 
 # ------------------------------------------------------------------ score components

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.functions.scalars import NO_GENRES, UNKNOWN_TITLE, clamp
 from starfold.functions.vectors import unit, weighted_sum, zeros
@@ -75,26 +75,40 @@ def recommend_tiered(matched: DataFrame, factors: DataFrame, items: DataFrame,
     if users is not None:
         counts = users.select("userId").distinct().join(counts, "userId", "left")
     enough = F.coalesce("n_matched", F.lit(0)) >= TIER_MINIMUM
-    preferences = preference_vectors(matched, factors, mean, size)
-    weighted = counts.join(preferences, "userId", "left")
-    profile = weighted.select(
-        "userId", F.when(enough, "item_cf").otherwise("popularity").alias("tier"),
-        F.when(enough, F.coalesce("vec", zeros(size))).otherwise(zeros(size)).alias("vec"),
-        F.when(enough, F.lit(0.0)).otherwise(mean).alias("base"),
-        F.when(enough, F.lit(0.0)).otherwise(F.lit(1.0)).alias("bias_weight"))
-    # Directions are fine for both tiers: a popularity profile has a zero vector.
     directions = factors.select("movieId", unit(F.col("vec"), size).alias("vec"), "bias")
     if genre is not None:
         known = items.select("movieId", "genres")
         labelled = directions.join(known, "movieId", "left")
         directions = in_genre(labelled, genre).drop("genres")
-    best = top_items(profile, directions, matched, n, bounds=None, user_ids=matched)
-    tiers = profile.select("userId", "tier")
-    return with_metadata(best, items).join(tiers, "userId").select(
+    preferences = preference_vectors(matched, factors, mean, size)
+    profile = counts.where(enough).join(preferences, "userId", "left").select(
+        "userId", F.coalesce("vec", zeros(size)).alias("vec"), F.lit(0.0).alias("base"), F.lit(0.0).alias("bias_weight"))
+    warm = top_items(profile, directions, matched, n, bounds=None, user_ids=profile).select(
+        "userId", "movieId", "score", "rank", F.lit("item_cf").alias("tier"))
+    best = warm.unionByName(_most_popular(counts.where(~enough), directions, matched, mean, n))
+    return with_metadata(best, items).select(
         "userId", "movieId", "title", "genres", "tier",
         F.col("score").alias("predicted_score"), "rank")
 
 
+def _most_popular(users: DataFrame, items: DataFrame, matched: DataFrame, mean: Column, n: int) -> DataFrame:
+    """The n most popular items each user has not rated.
+
+    All these users rated fewer than ``TIER_MINIMUM`` items, so one short list serves them all.
+    """
+    score = (mean + F.col("bias")).cast("double")
+    enough = items.select("movieId", score.alias("score")).orderBy(F.desc("score"), "movieId").limit(n + TIER_MINIMUM - 1)
+    shown = enough.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "movieId"))).alias("list")).first()
+    offers = F.array(*[F.struct(F.lit(r["movieId"]).alias("movieId"), F.lit(-r["below"]).alias("score")) for r in shown["list"]])
+    if not shown["list"]:
+        offers = offers.cast("array<struct<movieId:bigint,score:double>>")
+    rows = users.select("userId", F.explode(offers).alias("o")).select("userId", F.col("o.movieId").cast("long").alias("movieId"), "o.score")
+    rows = rows.join(matched.select("userId", "movieId"), ["userId", "movieId"], "left_anti")
+    order = Window.partitionBy("userId").orderBy(F.desc("score"), "movieId")
+    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+    return ranked.select("userId", "movieId", "score", "rank", F.lit("popularity").alias("tier"))
+
+
 def predict_requests(requests: DataFrame, ratings: DataFrame, items: DataFrame,
                      factors: DataFrame, content: DataFrame, mean: float | Column,
                      size: int, alpha: float = DEFAULT_ALPHA, catalog: DataFrame | None = None,

@@ -282,7 +282,7 @@ def dense_index_users(d):
 
 @query
 def dense_index_items(d):
-    return dense_index(d.kept, "movieId", "idx", one_range_ids=100)
+    return dense_index(d.kept, "movieId")
 
 
 @query
