@@ -14,7 +14,7 @@ executor repeats one step at most, and a run continues after its last complete e
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -61,6 +61,14 @@ def _initial_items(ratings: DataFrame, mean: float, params: TrainParams) -> Data
     return biases.select("movieId", vec.alias("vec"), "bias")
 
 
+def _replaced(start: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Starting values, with those of an earlier epoch where there are any."""
+    old = known.select(key, F.col("vec").alias("_v"), F.col("bias").alias("_b"))
+    return start.join(old, key, "left").select(
+        key, F.coalesce(F.col("_v").cast("array<double>"), F.col("vec").cast("array<double>")).alias("vec"),
+        F.coalesce("_b", "bias").alias("bias"))
+
+
 def _total(items: DataFrame, content: DataFrame | None) -> DataFrame:
     """Identity plus content part of every item."""
     if content is None:
@@ -108,12 +116,43 @@ def _content_step(weights: DataFrame, identity: DataFrame, features: DataFrame,
         step(F.col("bias"), F.col("_pull_b")).alias("bias"))
 
 
+def _fingerprint(df: DataFrame | None, columns: list[str]) -> str:
+    """Row count and sum of row hashes; the same for the same rows in any order."""
+    if df is None:
+        return "none"
+    hashed = F.xxhash64(*[F.col(c).cast("double") for c in columns]).cast("decimal(38,0)")
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(hashed), F.lit(0))).first()
+    return f"{n}-{total}"
+
+
+# Parameters that decide what is learned. How many epochs to run and when to report are free.
+FIXED = ("components", "dry_run")
+LEARNED = ("reg_user", "reg_item", "reg_per_row", "weight_decay", "content_steps", "min_ratings", "seed")
+
+
+def _checked(last, params: TrainParams, inputs: dict[str, str], epochs: int, tag: str) -> None:
+    """An error where an earlier run of the variant cannot be continued."""
+    own = asdict(params)
+    other = [f"{name}={last[name]}" for name in FIXED if last[name] != own[name]]
+    if other:
+        raise ValueError(f"tag {tag!r} was trained with {' '.join(other)}; match them or pass fresh=True")
+    if last["features"] != "none" and inputs["features"] == "none":
+        raise ValueError(f"tag {tag!r} was trained with features; pass them or fresh=True")
+    same = all(last[k] == v for k, v in inputs.items()) and last["learned"] == str([own[k] for k in LEARNED])
+    if last["epoch"] >= epochs and not same:
+        raise ValueError(f"tag {tag!r} has finished {last['epoch']} epochs on other ratings, features or parameters; "
+                         "raise epochs to go on with the new ones, or pass fresh=True")
+
+
 def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFrame | None = None,
           params: TrainParams = TrainParams(), tag: str | None = None,
           fresh: bool = False) -> store.Model:
     """Train a variant below ``path`` and return it; continues an interrupted run.
 
-    Continuing with other components or another dry-run setting is an error unless
+    A continued run takes the given ratings, features and parameters, and the mean of these
+    ratings: what is known from the last complete epoch is its start. New items and features
+    start as in a fresh run, items without ratings drop out. Other components, another dry-run
+    setting, missing features, or new inputs with no epoch left to learn them are errors unless
     ``fresh``. Item factors, content weights and user factors are written per epoch.
     """
     tag = tag or store.DEFAULT_TAG
@@ -123,43 +162,42 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
     if fresh:
         store.forget(spark, path, tag)
     work = f"{path}/work/tag={tag}"
-    if last is not None:
-        if last["components"] != params.components or last["dry_run"] != params.dry_run:
-            raise ValueError(
-                f"tag {tag!r} was trained with components={last['components']} "
-                f"dry_run={last['dry_run']}; match them or pass fresh=True")
-        rows = spark.read.parquet(f"{work}/ratings")
-        mean, start = last["global_mean"], last["epoch"] + 1
-    else:
-        kept = _written(min_support(
-            ratings.select("userId", "movieId", "rating"), params.min_ratings),
-            f"{work}/kept" if params.dry_run else f"{work}/ratings")
-        mean, start = kept.agg({"rating": "avg"}).first()[0], 1
-        # The mean is that of all users, also when a dry run keeps the first ones only.
-        rows = _written(first_users(kept), f"{work}/ratings") if params.dry_run else kept
+    kept = _written(min_support(
+        ratings.select("userId", "movieId", "rating"), params.min_ratings),
+        f"{work}/kept" if params.dry_run else f"{work}/ratings")
+    mean = kept.agg({"rating": "avg"}).first()[0]
     if mean is None:
         raise ValueError("no item has enough ratings to train on")
-    user_sizes, item_sizes = key_sizes(rows, "userId"), key_sizes(rows, "movieId")
-    targets = rows.select("userId", "movieId", (F.col("rating") - mean).alias("y"))
+    # The mean is that of all users, also when a dry run keeps the first ones only.
+    rows = _written(first_users(kept), f"{work}/ratings") if params.dry_run else kept
+    inputs = {"ratings": _fingerprint(rows, ["userId", "movieId", "rating"])}
     if features is not None:
         features = _written(features.join(
             rows.select("movieId").distinct(), "movieId", "left_semi"), f"{work}/features")
+    inputs["features"] = _fingerprint(features, ["movieId", "feature_id", "value"])
+    if last is not None:
+        _checked(last, params, inputs, epochs, tag)
+    start = 1 if last is None else last["epoch"] + 1
+    user_sizes, item_sizes = key_sizes(rows, "userId"), key_sizes(rows, "movieId")
+    targets = rows.select("userId", "movieId", (F.col("rating") - mean).alias("y"))
     as_floats = F.col("vec").cast("array<float>").alias("vec")
     user_spec = RidgeSpec((params.reg_user,), "penalised", params.reg_per_row, 1)
     item_spec = RidgeSpec((params.reg_item,), "penalised", params.reg_per_row, 1)
+    items, weights = _initial_items(rows, mean, params), None
+    if features is not None:
+        weights = features.select("feature_id").distinct().select(
+            "feature_id", F.array_repeat(F.lit(0.0).cast("float"), params.components).alias("vec"),
+            F.lit(0.0).alias("bias"))
     if start > 1:
-        items = store.read_epoch(spark, path, "items", tag, start - 1)
-        weights = (None if features is None
-                   else store.read_epoch(spark, path, "weights", tag, start - 1))
-    else:
-        items = _written(_initial_items(rows, mean, params), f"{work}/start")
-        weights = None
-        if features is not None:
-            weights = features.select("feature_id").distinct().select(
-                "feature_id", F.array_repeat(F.lit(0.0), params.components).alias("vec"),
-                F.lit(0.0).alias("bias"))
+        items = _replaced(items, store.read_epoch(spark, path, "items", tag, start - 1), "movieId")
+        if features is not None and last["features"] != "none":
+            weights = _replaced(weights, store.read_epoch(spark, path, "weights", tag, start - 1), "feature_id")
+    items = _written(items, f"{work}/start")
+    if features is not None:
+        weights = _written(weights, f"{work}/start-weights")
     n_rows = rows.count()
-    content = None if features is None else project(features, weights, params.components)
+    content = None if features is None else _written(
+        project(features, weights, params.components), f"{work}/start-content")
     for epoch in range(start, epochs + 1):
         total = _total(items, content)
         users = _written(ridge_by_key(targets, total.select("movieId", as_floats, "bias"), "userId", "movieId", user_spec,
@@ -185,8 +223,10 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
             items = _written(_identity(total, content).withColumn(
                 "vec", F.col("vec").cast("array<float>")), item_path)
         config = spark.createDataFrame(
-            [(params.components, params.dry_run, float(mean), features is not None)],
-            "components int, dry_run boolean, global_mean double, has_content boolean")
+            [(params.components, params.dry_run, float(mean), features is not None, inputs["ratings"], inputs["features"],
+              str([asdict(params)[name] for name in LEARNED]))],
+            "components int, dry_run boolean, global_mean double, has_content boolean, ratings string, features string, "
+            "learned string")
         store.complete_epoch(path, tag, epoch, config)
         _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, users, items, weights,
                       strength, params)
@@ -209,11 +249,11 @@ def _log_progress(spark, path, tag, epoch, epochs, eval_every, n_rows, users, it
         "updated_at": time.strftime("%Y-%m-%d %H:%M:%S"), "done": epoch == epochs})
 
 
-def training_fit(predictions: DataFrame, n: int = 200_000, seed: int = 42) -> DataFrame:
-    """RMSE of a seeded sample of at most n training predictions (a fit signal only)."""
+def training_fit(predictions: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """RMSE of the training predictions, or of a seeded sample of ``n`` of them (a fit signal only)."""
     from starfold.operators.filters import sample_ratings
 
-    return prediction_metrics(sample_ratings(predictions, n, seed), [])
+    return prediction_metrics(predictions if n is None else sample_ratings(predictions, n, seed), [])
 
 
 # ------------------------------------------------------------------ evaluations
@@ -229,9 +269,9 @@ def model_predictions(rows: DataFrame, users: DataFrame, total: DataFrame, mean:
 
 
 def holdout_eval(spark: SparkSession, ratings: DataFrame, features: DataFrame, path: str,
-                 params: TrainParams = TrainParams(epochs=12), n_users: int | None = 20_000,
+                 params: TrainParams = TrainParams(epochs=12), n_users: int | None = None,
                  test_fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Held-out RMSE and MAE of one model with either part left out."""
+    """Held-out RMSE and MAE of one model with either part left out; of all users, or of a sample of ``n_users``."""
     split = _written(evaluate.holdout_split(ratings, test_fraction, seed, n_users,
                                             params.min_ratings), f"{path}/split")
     train_rows = split.where("part = 'train'")
@@ -265,33 +305,30 @@ def cross_validate(spark: SparkSession, ratings: DataFrame, path: str, folds: in
     rows = ratings if sample is None else sample_ratings(ratings, sample, seed)
     marked = _written(evaluate.fold_ids(rows, folds, seed), f"{path}/folds")
     plain = TrainParams(**{**params.__dict__, "min_ratings": 1})
-    out = None
     for fold in range(folds):
         tag = f"fold{fold}"
         model = train(spark, marked.where(F.col("fold") != fold), path, None, plain, tag, True)
+        part = F.when(F.col("fold") == fold, "test").otherwise("train")
         for epoch in range(1, plain.epochs + 1):
             users = store.read_epoch(spark, path, "users", tag, epoch)
             items = store.read_epoch(spark, path, "items", tag, epoch)
             predicted = model_predictions(marked, users, items, model.global_mean,
                                           plain.components)
-            part = F.when(F.col("fold") == fold, "test").otherwise("train")
-            scored = prediction_metrics(predicted.withColumn("part", part), ["part"]).select(
-                F.lit(fold).alias("fold"), F.lit(epoch).alias("n_epochs"), "part", "rmse", "mae")
-            out = scored if out is None else out.unionByName(scored)
-    return out
+            prediction_metrics(predicted.withColumn("part", part), ["part"]).select(
+                F.lit(fold).alias("fold"), F.lit(epoch).alias("n_epochs"), "part", "rmse", "mae").write.mode(
+                "overwrite").parquet(f"{path}/curve/{tag}-{epoch}")
+    return spark.read.parquet(f"{path}/curve/*")
 
 
 def regularisation_grid(spark: SparkSession, ratings: DataFrame, path: str, regs: list[float],
                         folds: int = 2, params: TrainParams = PLAIN,
                         sample: int | None = None) -> DataFrame:
     """Learning curves of the plain model for several penalties."""
-    out = None
     for reg in regs:
         each = TrainParams(**{**params.__dict__, "reg_user": reg, "reg_item": reg})
         curve = cross_validate(spark, ratings, f"{path}/reg={reg}", folds, each, sample)
-        curve = curve.withColumn("reg", F.lit(float(reg)))
-        out = curve if out is None else out.unionByName(curve)
-    return out
+        curve.withColumn("reg", F.lit(float(reg))).write.mode("overwrite").parquet(f"{path}/grid/{reg}")
+    return spark.read.parquet(f"{path}/grid/*")
 
 
 def joint_user(spark: SparkSession, ratings: DataFrame, personal: DataFrame, path: str,

@@ -64,6 +64,44 @@ def test_training_continues_and_improves(spark, planted):
         model.global_mean)
 
 
+def _means(model):
+    return model.items.count(), model.global_mean
+
+
+def test_a_continued_run_takes_the_given_ratings(spark):
+    few = spark.createDataFrame([(u, i, 3.0) for u in range(20) for i in range(4)], "userId long, movieId long, rating double")
+    more = spark.createDataFrame([(u, i, 5.0) for u in range(40) for i in range(6)], "userId long, movieId long, rating double")
+    folder = new_folder(spark, "resume")
+    one, two = (training.TrainParams(components=3, epochs=n, min_ratings=5) for n in (1, 2))
+    assert _means(training.train(spark, few, folder, None, one)) == (4, 3.0)
+    assert _means(training.train(spark, few, folder, None, one)) == (4, 3.0)
+    with pytest.raises(ValueError):  # finished, and the new ratings would not be learned
+        training.train(spark, more, folder, None, one)
+    with pytest.raises(ValueError):
+        training.train(spark, few, folder, None, training.TrainParams(components=3, epochs=1, min_ratings=5, reg_item=1.0))
+    model = training.train(spark, more, folder, None, two)
+    assert _means(model) == (6, 5.0)
+    assert store.read_epoch(spark, folder, "users", "default", 2).count() == 40
+    shrunk = training.train(spark, few, folder, None, training.TrainParams(components=3, epochs=3, min_ratings=5))
+    assert _means(shrunk) == (4, 3.0)
+
+
+def test_a_continued_run_takes_the_given_features(spark, planted):
+    ratings, features, _ = planted
+    folder = new_folder(spark, "refeature")
+    one, two, three = (training.TrainParams(components=3, epochs=n) for n in (1, 2, 3))
+    training.train(spark, ratings, folder, None, one)
+    with pytest.raises(ValueError):
+        training.train(spark, ratings, folder, features, one)
+    model = training.train(spark, ratings, folder, features.where("feature_id < 5"), two)
+    assert model.weights.count() == 5
+    assert training.train(spark, ratings, folder, features, three).weights.count() == 10
+    with pytest.raises(ValueError):
+        training.train(spark, ratings, folder, None, training.TrainParams(components=3, epochs=4))
+    fresh = training.train(spark, ratings, folder, None, one, fresh=True)
+    assert fresh.weights is None
+
+
 def test_heavy_items_are_split_with_their_prior(spark):
     rng = np.random.default_rng(1)
     rows = [(int(rng.integers(0, 2)), i, [float(v) for v in rng.normal(size=3)], float(rng.normal()))
