@@ -20,6 +20,7 @@ of all documents costs one row a part.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +35,8 @@ from .common import none_of
 
 ANCHOR_WORDS = 5
 PART_BYTES = 8 << 20
+#: A part is looked at in pieces of this size.
+PIECE_BYTES = 2 << 20
 #: Anchors with this many segments in a sample of one document of SAMPLE_ONE_OF are split by whole windows.
 SPLIT_FROM = 100
 SPLIT_KEPT = 20_000
@@ -187,11 +190,14 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
     dealt = base.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
     def occurrences(rows: pa.Table) -> pa.Table:
-        found = segments(rows["text"], length)
-        doc = rows["doc_id"].to_numpy()[found.doc]
-        at, n = _earliest(found.key, doc, found.start)
-        return pa.table({"part": np.full(len(at), rows["part"][0].as_py(), np.int32), "anchor": found.anchor[at].view(np.int64), "key": found.key[at].view(np.int64),
-                         "doc_id": doc[at], "start": found.start[at].astype(np.int32), "n_windows": found.n_windows[at].astype(np.int32), "n": n.astype(np.int32)})
+        held = []
+        for some in _pieces(rows):
+            found = segments(some.column("text"), length)
+            held.append((found.key, some.column("doc_id").to_numpy()[found.doc], found.start, found.anchor, found.n_windows))
+        key, doc, start, anchor, n_windows = map(np.concatenate, zip(*held))
+        at, n = _earliest(key, doc, start)
+        return pa.table({"part": np.full(len(at), rows["part"][0].as_py(), np.int32), "anchor": anchor[at].view(np.int64), "key": key[at].view(np.int64),
+                         "doc_id": doc[at], "start": start[at].astype(np.int32), "n_windows": n_windows[at].astype(np.int32), "n": n.astype(np.int32)})
 
     seen = dealt.groupBy("part").applyInArrow(occurrences, OCCURRENCE)
     wide = docs.sparkSession.createDataFrame([(int(a),) for a in split], "split long")
@@ -202,10 +208,10 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
               .withColumn("origin", F.min(F.struct("doc_id", "start")).over(equal)).withColumn("total", F.sum("n").over(equal))
               .withColumn("several", F.col("wide") | (F.min("key").over(group) != F.max("key").over(group)))
               .where((F.col("total") > 1) | F.col("several")))
-    # both uses read the same columns, so that one exchange serves both
-    copies = (judged.where("total > 1").select("part", "key", F.col("origin.doc_id").alias("doc_id"), F.col("origin.start").alias("start"), F.expr("-n_windows").cast("long").alias("bits")))
+    # both uses need all columns, so that one exchange serves both
+    copies = (judged.where("total > 1").select("part", "key", F.col("origin.doc_id").alias("doc_id"), F.col("origin.start").alias("start"), (-F.col("n_windows") - F.col("several").cast("int")).cast("long").alias("bits")))
     needed = (judged.where(F.col("several") & (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") == F.col("start")))
-              .select("part", "anchor", "doc_id", "start", "n_windows", "wide"))
+              .select("part", "anchor", "doc_id", "start", "n_windows", "wide", "total"))
     bins = 2 * parts
     no_work, out = none_of(TREE), "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else _schema(docs)
     no_rows = none_of(out)
@@ -213,24 +219,7 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
     def work(rows: pa.Table, need: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or need.num_rows == 0:
             return no_work
-        found = segments(rows["text"], length)
-        place = _place(rows["doc_id"].to_numpy()[found.doc], found.start)
-        order = np.argsort(place, kind="stable")
-        wanted = _place(need["doc_id"].to_numpy(), need["start"].to_numpy())
-        at = order[np.minimum(np.searchsorted(place[order], wanted), len(order) - 1)]
-        wide = need["wide"].to_numpy()
-        # a segment as a whole, or each of its windows by itself
-        n = np.where(wide, found.n_windows[at], 1)
-        row = np.repeat(np.arange(len(at)), n)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        begin = found.first[at][row] + shift
-        stop = begin + np.where(wide[row], 1, found.n_windows[at][row]) + length - 1
-        held = found.hashed.tobytes()
-        whole = _window_hash(found.hashed, begin, length)
-        goal = np.where(wide[row], whole, W.mix(need["anchor"].to_numpy().view(np.uint64)[row])) % np.uint64(bins)
-        return pa.table({"bin": goal.astype(np.int32), "part": need["part"].to_numpy()[row], "doc_id": need["doc_id"].to_numpy()[row],
-                         "start": need["start"].to_numpy()[row], "shift": shift.astype(np.int32),
-                         "words": pa.array([held[8 * b: 8 * s] for b, s in zip(begin.tolist(), stop.tolist())], pa.binary())})
+        return pa.concat_tables([_windows_of(some, need, length, bins) for some in _pieces(rows)])
 
     def tree(rows: pa.Table) -> pa.Table:
         shift = rows["shift"].to_numpy()
@@ -246,7 +235,7 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
     def finish(rows: pa.Table, marks: pa.Table) -> pa.Table:
         if rows.num_rows == 0:
             return no_rows
-        return _without(rows, marks, length, text_column, digest)
+        return pa.concat_tables([_without(some, marks, length, text_column, digest) for some in _pieces(rows)])
 
     return dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, out)
 
@@ -258,6 +247,35 @@ def _schema(docs: DataFrame) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long", "n_removed long"])
 
 
+def _pieces(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    return W.chunks(rows.combine_chunks().to_batches()[0], size=PIECE_BYTES)
+
+
+def _windows_of(rows: pa.RecordBatch, need: pa.Table, length: int, bins: int) -> pa.Table:
+    """Words of the segments in ``need`` that lie in ``rows``: each as a whole, or where ``wide`` each of its windows by itself."""
+    found = segments(rows.column("text"), length)
+    place = _place(rows.column("doc_id").to_numpy()[found.doc], found.start)
+    order = np.argsort(place, kind="stable")
+    wanted = _place(need["doc_id"].to_numpy(), need["start"].to_numpy())
+    if len(place):
+        at = order[np.minimum(np.searchsorted(place[order], wanted), len(order) - 1)]
+        here = np.flatnonzero(place[at] == wanted)
+        at = at[here]
+    else:
+        here = at = np.zeros(0, np.int64)
+    wide = need["wide"].to_numpy()[here]
+    n = np.where(wide, found.n_windows[at], 1)
+    row = np.repeat(np.arange(len(at)), n)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = found.first[at][row] + shift
+    stop = begin + np.where(wide[row], 1, found.n_windows[at][row]) + length - 1
+    held = found.hashed.tobytes()
+    goal = np.where(wide[row], _window_hash(found.hashed, begin, length), W.mix(need["anchor"].to_numpy().view(np.uint64)[here][row])) % np.uint64(bins)
+    return pa.table({"bin": goal.astype(np.int32), "part": need["part"].to_numpy()[here][row], "doc_id": need["doc_id"].to_numpy()[here][row],
+                     "start": need["start"].to_numpy()[here][row], "shift": shift.astype(np.int32),
+                     "words": pa.array([held[8 * b: 8 * s] for b, s in zip(begin.tolist(), stop.tolist())], pa.binary())})
+
+
 def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """One number for a document and a word's place in it."""
     return W.mix(W.mix(doc.view(np.uint64)) + start.astype(np.uint64))
@@ -270,10 +288,10 @@ def _window_hash(hashed: np.ndarray, begin: np.ndarray, length: int) -> np.ndarr
     return total
 
 
-def _without(rows: pa.Table, marks: pa.Table, length: int, text_column: str, digest: bool) -> pa.Table:
-    """The rows of one part, as ``remove`` returns them."""
-    found = segments(rows["text"], length)
-    ids = rows["doc_id"].to_numpy()
+def _without(rows: pa.RecordBatch, marks: pa.Table, length: int, text_column: str, digest: bool) -> pa.Table:
+    """Rows of one part, as ``remove`` returns them."""
+    found = segments(rows.column("text"), length)
+    ids = rows.column("doc_id").to_numpy()
     n_docs = len(ids)
     bits = np.zeros(len(found.key), np.int64)
     if marks.num_rows and len(bits):
@@ -310,7 +328,7 @@ def _without(rows: pa.Table, marks: pa.Table, length: int, text_column: str, dig
         view = memoryview(kept)
         named = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
         return pa.table({"doc_id": own, "n_words": n_words, "n_removed": n_removed, "kept_sha256": named})
-    texts = [kept[a:b].decode() if r else t for a, b, r, t in zip(limits[:-1].tolist(), limits[1:].tolist(), n_removed.tolist(), rows["text"].to_pylist())]
-    row = rows["row"].combine_chunks()
+    texts = [kept[a:b].decode() if r else t for a, b, r, t in zip(limits[:-1].tolist(), limits[1:].tolist(), n_removed.tolist(), rows.column("text").to_pylist())]
+    row = rows.column("row")
     columns = {f.name: pa.array(texts, pa.string()) if f.name == text_column else pc.struct_field(row, i) for i, f in enumerate(row.type)}
     return pa.table(columns | {"n_words": n_words, "n_removed": n_removed})

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -98,7 +98,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         back = np.uint64(pow(int(_BASE), -1, 1 << 64))
         _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]))
         _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, back)]))
