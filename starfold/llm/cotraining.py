@@ -178,8 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = (labels.select(F.col(id_column).cast("long").alias("of"), F.col(label_column).cast("int").alias("label")).where("of is not null and label is not null")
              .groupBy("of").agg(F.max("label").alias("label")).where(~held_out(F.col("of"))))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    def constant(odds: float) -> Model:
+        return Model(np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.array([odds, 0, 0]))
+
     if not n.get(0) or not n.get(1):
-        return Model(np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.array([0.0 if not n else 30.0 if n.get(1) else -30.0, 0, 0]))
+        return constant(0.0 if not n else 30.0 if n.get(1) else -30.0)
     draw = F.pmod(F.xxhash64("of", F.lit("quality")), F.lit(1_000_000))
     some = known.where(" or ".join(["false"] + [f"(label = {c} and pmod(xxhash64(of, 'quality'), 1000000) < {int(1e6 * min(1.0, labelled_rows / n[c]))})" for c in (0, 1)]))
     total = docs.count()
@@ -214,6 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return pa.table({"model": pa.array([file.getvalue()], pa.binary())})
 
     stored = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: run(t.drop_columns(["all"])), "model binary").first()  # a bounded sample
+    if stored is None:  # labels of other documents
+        return constant(0.0)
     held = np.load(io.BytesIO(stored["model"]))
     return Model(*(held[f"arr_{i}"] for i in range(3)))
 
