@@ -63,11 +63,36 @@ def median_sketch(column: str) -> Column:
                     F.percentile_approx(value, [0.499, 0.501], 2000).alias("edge"))
 
 
+STEPS = 1024
+FEW_VALUES = 4096
+
+
+def _value_at(inside: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value of a rank, counted from 0, among values from ``low`` to ``high``.
+
+    The range is cut into equal steps and their values are counted, until few are left.
+    """
+    while True:
+        step = (high - low) / STEPS
+        n = inside.count()
+        if n <= FEW_VALUES or step == 0 or low + step == low:
+            return sorted(row["v"] for row in inside.limit(FEW_VALUES).collect())[min(rank, FEW_VALUES - 1)]
+        place = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(step)), F.lit(STEPS - 1))
+        counted = inside.groupBy(place.alias("step")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(counted.collect()):
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        low, high = row["low"], row["high"]
+        inside = inside.where(F.col("v").between(low, high))
+
+
 def exact_medians(df: DataFrame, sketches: dict[str, tuple]) -> dict[str, float | None]:
     """Exact medians of the positive values, given each column's :func:`median_sketch`.
 
-    Only values inside the bracket, a few thousandths of all, are sorted; the middle
-    ones are picked by their exact rank.
+    Only values inside the bracket, a few thousandths of all, are looked at again; the
+    middle ones are found by counting, so that nothing is sorted as a whole.
     """
     known = {c: s for c, s in sketches.items() if s["n"]}
     medians: dict[str, float | None] = dict.fromkeys(sketches)
@@ -77,8 +102,8 @@ def exact_medians(df: DataFrame, sketches: dict[str, tuple]) -> dict[str, float
                      for c, s in known.items()]).first()
     for column, (n, (low, high)) in known.items():
         inside = df.select(_positive(column).alias("v")).where(F.col("v").between(low, high))
-        wanted = inside.orderBy("v").offset((n - 1) // 2 - below[column]).limit(2 - n % 2)
-        middle = [row["v"] for row in wanted.collect()]
+        ranks = {(n - 1) // 2 - below[column], n // 2 - below[column]}
+        middle = [_value_at(inside, rank, low, high) for rank in ranks]
         medians[column] = sum(middle) / len(middle)
     return medians
 
@@ -213,22 +238,22 @@ def fit_vocab(records: DataFrame, min_director_films: int = MIN_DIRECTOR_FILMS,
         (F.lit(base) + F.col("pos")).cast("int").alias("feature_id"), F.lit("keyword").alias("block"),
         F.col("term").alias("key"), F.concat(F.lit("kw:"), "term").alias("name"), "idf")
 
-    def people(occurrences, minimum, block, offset):
-        chosen = frequent_people(occurrences, minimum)
-        numbered = dense_index(chosen, "person", "pos")
-        return chosen.count(), numbered.select(
-            (F.lit(offset) + F.col("pos")).cast("int").alias("feature_id"),
-            F.lit(block).alias("block"), F.col("person").cast("string").alias("key"),
-            F.concat(F.lit(f"{block}:"), F.col("person").cast("string")).alias("name"),
-            F.lit(None).cast("double").alias("idf"))
-
     start = base + terms.count()
-    n_directors, directors = people(director_occurrences(records), min_director_films,
-                                    "director", start)
-    _, cast = people(cast_occurrences(records), min_cast_films, "cast", start + n_directors)
+    directors = people_vocab(director_occurrences(records), min_director_films, "director", start)
+    cast = people_vocab(cast_occurrences(records), min_cast_films, "cast", start + directors.count())
     return fixed.unionByName(terms).unionByName(directors).unionByName(cast)
 
 
+def people_vocab(occurrences: DataFrame, minimum: int, block: str, offset: int = 0) -> DataFrame:
+    """Feature columns of the people listed often enough, numbered by id from ``offset`` on."""
+    numbered = dense_index(frequent_people(occurrences, minimum), "person", "pos")
+    return numbered.select(
+        (F.lit(offset) + F.col("pos")).cast("int").alias("feature_id"),
+        F.lit(block).alias("block"), F.col("person").cast("string").alias("key"),
+        F.concat(F.lit(f"{block}:"), F.col("person").cast("string")).alias("name"),
+        F.lit(None).cast("double").alias("idf"))
+
+
 # ------------------------------------------------------------------- encoding
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.functions.scalars import release_year, trailing_year
+from starfold.session import new_folder
 
 YEAR_TOLERANCE = 1
 MATCHED, UNMATCHED = "matched", "unmatched"
@@ -164,10 +165,20 @@ def classify_matches(resolved: DataFrame, links: DataFrame, user: list[str],
     return routed.distinct() if dedup_unmatched else routed
 
 
+def spread_nulls(key: str, *by: str) -> Column:
+    """The key, or where it is null a negative number that no table holds and that differs between rows.
+
+    For left joins on a key that is null in many rows: these find nothing, and need not meet in one task.
+    """
+    return F.coalesce(F.col(key), -1 - F.pmod(F.xxhash64(*by), F.lit(1 << 40)))
+
+
 def lookup_items(resolved: DataFrame, one_item: DataFrame) -> DataFrame:
     """Left lookup in the last-wins bridge; ``movieId`` is null where there is none."""
-    bridge = one_item.select(F.col("tmdbId").alias("tmdb_id"), "movieId")
-    return resolved.join(bridge, "tmdb_id", "left")
+    bridge = one_item.select(F.col("tmdbId").alias("_id"), "movieId")
+    others = [c for c in resolved.columns if c != "tmdb_id"]
+    return resolved.join(bridge, spread_nulls("tmdb_id", *others) == F.col("_id"), "left").drop("_id").select(
+        "tmdb_id", *others, "movieId")
 
 
 def match_outcome(resolution: DataFrame, one_item: DataFrame) -> DataFrame:
@@ -201,25 +212,29 @@ def title_search(queries: DataFrame, items: DataFrame) -> DataFrame:
 
     Both sides are keyed by year and a substring of the query; a query uses the one
     that the fewest items have, so it meets those few items only and is then checked.
+    The index holds year, substring and item of the substrings that some query has, and
+    is written once; titles are joined back for the few candidates.
     """
-    lowered = items.select("movieId", F.col("title").alias("item_title"), "genres",
-                           F.lower("title").alias("_text"),
-                           trailing_year(F.col("title")).alias("year")).where(
-        F.col("year").isNotNull())
-    pieces = F.concat(F.array(F.lit("")), *[_grams(F.col("_text"), n) for n in (1, 2, 3)])
-    index = lowered.withColumn("_gram", F.explode(pieces))
-    frequency = index.groupBy("year", "_gram").agg(F.count(F.lit(1)).alias("_df"))
+    named = items.select("movieId", F.col("title").alias("item_title"), "genres",
+                         trailing_year(F.col("title")).alias("year")).where(F.col("year").isNotNull())
     wanted = queries.select("title", F.col("year").cast("int").alias("year")).where(
         F.col("title").isNotNull() & F.col("year").isNotNull()).distinct().withColumn(
         "_query", F.lower("title"))
     own = (F.when(F.length("_query") >= 3, _grams(F.col("_query"), 3))
            .otherwise(F.array("_query")))
-    keyed = wanted.withColumn("_gram", F.explode(own)).join(
-        frequency, ["year", "_gram"], "left")
+    keyed = wanted.withColumn("_gram", F.explode(own))
+    text = F.lower("item_title")
+    pieces = F.concat(F.array(F.lit("")), *[_grams(text, n) for n in (1, 2, 3)])
+    path = new_folder(items.sparkSession, "title-index")
+    (named.select("year", F.explode(pieces).alias("_gram"), "movieId")
+     .join(keyed.select("year", "_gram").distinct(), ["year", "_gram"], "left_semi").write.parquet(path))
+    index = items.sparkSession.read.parquet(path)
+    frequency = index.groupBy("year", "_gram").agg(F.count(F.lit(1)).alias("_df"))
     # A query piece that no item has sorts first and leads to no item, as it must.
-    rarest = keyed.groupBy("title", "year", "_query").agg(
+    rarest = keyed.join(frequency, ["year", "_gram"], "left").groupBy("title", "year", "_query").agg(
         F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), F.col("_gram"))).alias("_gram"))
-    hits = rarest.join(index, ["year", "_gram"]).where(F.contains("_text", "_query"))
+    near = rarest.join(index, ["year", "_gram"]).select("title", "year", "_query", "movieId")
+    hits = near.join(named.select("movieId", "item_title", "genres"), "movieId").where(F.contains(text, "_query"))
     return hits.select("title", "year", "movieId", "item_title", "genres")
 
 

@@ -14,15 +14,15 @@ def build_content_store(spark: SparkSession, records: DataFrame, links: DataFram
     """Fit on all linked records, encode them, and write the store to ``path``.
 
     The linked records and their term counts are written first: fitting and encoding
-    read them several times, by column.
+    read them several times, by column. Encoding uses the stored vocabulary and statistics.
     """
     feat.linked_records(records, tables.catalog_to_item(links)).write.mode("overwrite").parquet(
         f"{path}/records")
     linked = spark.read.parquet(f"{path}/records")
     feat.term_counts(linked).write.mode("overwrite").parquet(f"{path}/term_counts")
     counts = spark.read.parquet(f"{path}/term_counts")
-    vocab = feat.fit_vocab(linked, min_director_films, min_cast_films, counts)
-    stats = feat.fit_numeric(linked)
-    rows = feat.transform(linked, vocab, stats, counts)
-    store.write_content_store(store.ContentStore(rows, vocab, stats), path)
+    feat.fit_vocab(linked, min_director_films, min_cast_films, counts).write.mode("overwrite").parquet(f"{path}/vocab")
+    feat.fit_numeric(linked).write.mode("overwrite").parquet(f"{path}/stats")
+    vocab, stats = spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats")
+    feat.transform(linked, vocab, stats, counts).write.mode("overwrite").parquet(f"{path}/features")
     return store.load_content_store(spark, path)

@@ -11,8 +11,9 @@ from starfold.functions.vectors import unit, weighted_sum, zeros
 from starfold.operators import features as feat
 from starfold.operators.filters import in_all_genres, in_genre, rated_often, warm_only
 from starfold.operators.foldin import DEFAULT_ALPHA, _as_column, fold_in
-from starfold.operators.matching import first_hit, nearest_year_matches, search_status
+from starfold.operators.matching import first_hit, nearest_year_matches, search_status, spread_nulls
 from starfold.operators.scoring import predict, top_items
+from starfold.session import new_folder
 
 TIER_MINIMUM = 10
 
@@ -133,6 +134,9 @@ def predict_requests(requests: DataFrame, ratings: DataFrame, items: DataFrame,
     by_id = requests.where(F.col("movieId").isNotNull()).join(known, "movieId", "left")
     located = titled.unionByName(by_id).withColumn(
         "_search", F.coalesce("_search", F.lit("not_found")))
+    path = new_folder(requests.sparkSession, "located")
+    located.write.parquet(path)
+    located = requests.sparkSession.read.parquet(path)
     if catalog is None:
         located = located.withColumn("tmdb_id", F.lit(None).cast("long"))
         fresh = located.limit(0).select("tmdb_id", F.lit(None).cast("array<double>").alias("_f"),
@@ -152,8 +156,12 @@ def predict_requests(requests: DataFrame, ratings: DataFrame, items: DataFrame,
     users = fold_in(ratings, factors, mean, [alpha]).select(
         "userId", F.col("vec").alias("_u"), F.col("bias").alias("_ub"))
     own = ratings.select("userId", "movieId", F.col("rating").alias("own_rating"))
-    joined = (located.join(vectors, "movieId", "left").join(fresh, "tmdb_id", "left")
-              .join(users, "userId", "left").join(own, ["userId", "movieId"], "left"))
+    # Requests without an item or a catalog id are many; they find nothing and must not meet.
+    joined = (located.withColumn("_item", spread_nulls("movieId", "request_id"))
+              .withColumn("_entry", spread_nulls("tmdb_id", "request_id"))
+              .join(vectors.withColumnRenamed("movieId", "_item"), "_item", "left")
+              .join(fresh.withColumnRenamed("tmdb_id", "_entry"), "_entry", "left")
+              .join(users, "userId", "left").join(own.withColumnRenamed("movieId", "_item"), ["userId", "_item"], "left"))
     raw = predict(F.col("_u"), F.col("_ub"), F.coalesce("_i", "_f"), F.coalesce("_ib", "_fb"),
                   mean, size)
     missing = F.col("tmdb_id").isNull() & (F.col("_search") != "found")

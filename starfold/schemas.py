@@ -4,11 +4,6 @@ RATINGS = "userId long, movieId long, rating double, timestamp long"
 ITEMS = "movieId long, title string, genres string"
 LINKS = "movieId long, imdbId string, tmdbId double"
 EXPORT = "`Date` string, `Name` string, `Year` int, `URI` string, `Rating` double"
-RESOLVED = (
-    "query_title string, query_year int, tmdb_id long, original_title string, "
-    "release_year string, rating double"
-)
-CATALOG = "id long, title string, original_title string, release_date string, rnk int"
 RECORD = (
     "tmdb_id long, genre_ids array<long>, runtime double, release_date string, "
     "original_language string, vote_average double, vote_count long, budget double, "
@@ -25,7 +20,6 @@ CREDITS_RESPONSE = (
 )
 ITEM_FEATURES = "movieId long, feature_id int, value double"
 VOCAB = "feature_id int, block string, key string, name string, idf double"
-ITEM_FACTORS = "movieId long, vec array<float>, bias double"
 FEATURE_WEIGHTS = "feature_id int, vec array<float>, bias double"
 PROGRESS = (
     "epoch int, of int, mse_loss double, rmse double, objective double, "

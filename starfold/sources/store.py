@@ -46,13 +46,15 @@ def append_records(records: DataFrame, path: str) -> None:
 
 
 def write_content_store(store: ContentStore, path: str) -> None:
-    store.features.write.mode("overwrite").parquet(f"{path}/features")
+    """The parts of a store that are already stored tables elsewhere; vocabulary and statistics first."""
     store.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     store.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    store.features.write.mode("overwrite").parquet(f"{path}/features")
 
 
 def load_content_store(spark: SparkSession, path: str) -> ContentStore:
-    return ContentStore(*(spark.read.parquet(f"{path}/{t}") for t in ("features", "vocab", "stats")))
+    return ContentStore(spark.read.schema(schemas.ITEM_FEATURES).parquet(f"{path}/features"),
+                        spark.read.schema(schemas.VOCAB).parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats"))
 
 
 def epoch_path(path: str, table: str, tag: str, epoch: int) -> str:
@@ -93,7 +95,7 @@ def load_model(spark: SparkSession, path: str, tag: str | None = None) -> Model:
         raise ValueError(f"no trained model with tag {tag!r} in {path}")
     weights = None
     if config["has_content"]:
-        weights = read_epoch(spark, path, "weights", tag, config["epoch"])
+        weights = spark.read.schema(schemas.FEATURE_WEIGHTS).parquet(epoch_path(path, "weights", tag, config["epoch"]))
     items = read_epoch(spark, path, "items", tag, config["epoch"])
     return Model(items.select("movieId", "vec", "bias"), config["global_mean"], weights)
 

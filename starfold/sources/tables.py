@@ -18,8 +18,23 @@ def items(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def links(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Bridge to the external catalog; ``tmdbId`` is nullable."""
-    return _read(spark, path, fmt, schemas.LINKS).withColumn("tmdbId", F.col("tmdbId").cast("long"))
+    """Bridge to the external catalog; ``tmdbId`` is nullable, ``line_no`` orders rows as in the files."""
+    return with_line_order(_read(spark, path, fmt, schemas.LINKS)).withColumn("tmdbId", F.col("tmdbId").cast("long"))
+
+
+def exports(spark: SparkSession, path: str) -> DataFrame:
+    """Personal export as it was downloaded, with the order of its lines."""
+    return export_rows(with_line_order(_read(spark, path, "csv", schemas.EXPORT)))
+
+
+def with_line_order(df: DataFrame) -> DataFrame:
+    """``line_no`` to compare rows by: file, place of the block in the file, place of the row in the block.
+
+    A block is read by one task from its start to its end, so the last part ascends within it.
+    """
+    return df.withColumn("line_no", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
@@ -29,14 +44,18 @@ def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def catalog_to_item(links: DataFrame, order: str = "movieId") -> DataFrame:
-    """One item per catalog id: rows without an id dropped, the last row wins."""
+def catalog_to_item(links: DataFrame, order: str | None = None) -> DataFrame:
+    """One item per catalog id: rows without an id dropped, the last row wins.
+
+    The last row has the highest ``line_no``, or without such a column the highest item id.
+    """
+    order = order or ("line_no" if "line_no" in links.columns else "movieId")
     known = links.where(F.col("tmdbId").isNotNull())
     return known.groupBy(F.col("tmdbId").cast("long").alias("tmdbId")).agg(
         F.max_by("movieId", order).alias("movieId"))
 
 
-def item_to_catalog(links: DataFrame, order: str = "movieId") -> DataFrame:
+def item_to_catalog(links: DataFrame, order: str | None = None) -> DataFrame:
     """Inverse of :func:`catalog_to_item`; items that lost their id have no row."""
     return catalog_to_item(links, order).select("movieId", "tmdbId")
 

@@ -21,14 +21,33 @@ def _stream(df: DataFrame, handle, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+# Stored rows lie in folders by key, so that a batch reads only the folders it touches.
+BUCKETS = 256
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Output of the batches before this one; empty for the first."""
-    return spark.read.schema(schema).option("basePath", path).parquet(
-        f"{path}/batch_id=*").where(F.col("batch_id") < batch_id)
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int, key: str | None = None) -> None:
+    writer = (df if key is None else df.withColumn("bucket", _bucket(key)).repartition("bucket")).write
+    writer = writer if key is None else writer.partitionBy("bucket")
+    writer.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _touched(batch: DataFrame, key: str) -> list[int]:
+    """Folders with a key of the batch, at most ``BUCKETS``."""
+    return [row[0] for row in batch.select(_bucket(key)).distinct().collect()]
+
+
+def _stored(spark: SparkSession, path: str, schema: str, buckets: list[int]) -> DataFrame:
+    """Rows of all batches in these folders."""
+    return spark.read.schema(f"{schema}, batch_id long, bucket int").option("basePath", path).parquet(
+        f"{path}/batch_id=*").where(F.col("bucket").isin(buckets))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def fold_in_stream(arrivals: DataFrame, factors: DataFrame, mean: float, path: str,
@@ -42,10 +61,10 @@ def fold_in_stream(arrivals: DataFrame, factors: DataFrame, mean: float, path: s
     spark = arrivals.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, f"{path}/rows", batch_id)
-        rows = spark.read.option("basePath", f"{path}/rows").parquet(
-            f"{path}/rows/batch_id=*").where(F.col("batch_id") <= batch_id)
-        touched = rows.where(F.col("batch_id") == batch_id).select("userId").distinct()
+        _write_batch(batch, f"{path}/rows", batch_id, "userId")
+        own = spark.read.parquet(f"{path}/rows/batch_id={batch_id}")
+        rows = _stored(spark, f"{path}/rows", _ddl(batch), _touched(own, "userId")).where(F.col("batch_id") <= batch_id)
+        touched = own.select("userId").distinct()
         profile = tables.profile(rows.join(touched, "userId", "left_semi"))
         _write_batch(fold_in(profile, factors, mean, alphas), f"{path}/users", batch_id)
 
@@ -62,26 +81,29 @@ def current_users(spark: SparkSession, path: str) -> DataFrame:
 def record_stream(arrivals: DataFrame, key: str, order: str, path: str) -> StreamingQuery:
     """Append records whose key is not stored yet; in a batch the last of a key counts."""
     spark = arrivals.sparkSession
-    schema = arrivals.schema
+    names = arrivals.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         new = tables.latest_records(batch, key, order)
         if batch_id > 0:
-            stored = _earlier(spark, f"{path}/records", batch_id, schema).select(key)
-            new = new.join(stored, key, "left_anti")
-        _write_batch(new.select(*schema.names), f"{path}/records", batch_id)
+            stored = _stored(spark, f"{path}/records", _ddl(batch), _touched(batch, key)).where(F.col("batch_id") < batch_id)
+            new = new.join(stored.select(key), key, "left_anti")
+        _write_batch(new.select(*names), f"{path}/records", batch_id, key)
 
     return _stream(arrivals, handle, f"{path}/checkpoint")
 
 
 def stored_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/records").parquet(
-        f"{path}/records/batch_id=*").drop("batch_id")
+        f"{path}/records/batch_id=*").drop("batch_id", "bucket")
 
 
 def encode_stream(arrivals: DataFrame, links: DataFrame, vocab: DataFrame, stats: DataFrame,
                   path: str) -> StreamingQuery:
-    """Encode arriving content records with the saved vocabulary and statistics."""
+    """Encode arriving content records with the saved vocabulary and statistics.
+
+    A record that arrives again is encoded again; :func:`current_features` has the newest.
+    """
     one_item = tables.catalog_to_item(links)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -89,3 +111,10 @@ def encode_stream(arrivals: DataFrame, links: DataFrame, vocab: DataFrame, stats
         _write_batch(rows, f"{path}/features", batch_id)
 
     return _stream(arrivals, handle, f"{path}/checkpoint")
+
+
+def current_features(spark: SparkSession, path: str) -> DataFrame:
+    """Features of every item, from the newest batch that held it."""
+    rows = spark.read.option("basePath", f"{path}/features").parquet(f"{path}/features/batch_id=*")
+    newest = rows.groupBy("movieId").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, ["movieId", "batch_id"], "left_semi").drop("batch_id")

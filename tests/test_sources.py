@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from starfold import schemas
 from starfold.operators import features as feat
@@ -114,3 +115,20 @@ def test_batch_that_runs_again_replaces_itself(spark, tmp_path):
     for _ in range(2):
         jobs._write_batch(rows, str(tmp_path / "rows"), 0)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
+
+
+def test_last_line_of_the_links_file_wins(spark, tmp_path):
+    lines = ["movieId,imdbId,tmdbId"] + [f"{i},0{i},{i * 10}" for i in range(50, 20, -1)] + ["3,x,400.0", "60,y,", "2,z,400.0"]
+    (tmp_path / "links.csv").write_text("\n".join(lines) + "\n")
+    bridge = {r.tmdbId: r.movieId for r in tables.catalog_to_item(tables.links(spark, str(tmp_path / "links.csv"))).collect()}
+    assert bridge[400] == 2 and bridge[500] == 50 and len(bridge) == 30
+    plain = spark.createDataFrame([(9, 1), (4, 1)], "movieId long, tmdbId long")
+    assert tables.catalog_to_item(plain).first().movieId == 9
+
+
+def test_last_line_of_an_export_wins(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Date,Name,Year,URI,Rating\n2020,A,1999,u,2\n2020,B,,u,3.5\n2021,A,1999,u,4\n")
+    rows = tables.exports(spark, str(tmp_path / "e.csv"))
+    own = rows.withColumn("userId", F.lit(1)).withColumn("movieId", F.length("title"))
+    assert {(r.movieId, r.rating) for r in tables.profile(own.where("title = 'A'")).collect()} == {(1, 4.0)}
+    assert [r.year for r in rows.where("title = 'B'").collect()] == [None]
