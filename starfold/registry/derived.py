@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from starfold.operators import features as feat
 from starfold.operators.filters import min_support
 from starfold.operators.stats import damped_bias
+from starfold.plans.content import build_content_store
 from starfold.session import new_folder
 from starfold.sources import tables
 
@@ -166,6 +167,11 @@ class Derived:
                 p["id"].alias("id"), p["order"].cast("int").alias("order"))),
                 F.array().cast("array<struct<id:long,order:int>>")).alias("cast"))
 
+    @cached_property
+    def content(self):
+        """Content store of all linked records."""
+        return build_content_store(self.spark, self.records, self.links, new_folder(self.spark, "content"))
+
     @cached_property
     def linked(self) -> DataFrame:
         """Records with their item; its id is the last one linked to the catalog id."""

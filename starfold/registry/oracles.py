@@ -7,7 +7,15 @@ from __future__ import annotations
 
 import re
 
-from starfold.operators.features import GENRE_IDS, GENRE_NAMES, NUMERIC
+# The catalog's genre ids in column order, their names, and the numeric columns.
+GENRE_IDS = [28, 12, 16, 35, 80, 99, 18, 10751, 14, 36, 27, 10402, 9648, 10749, 878, 10770,
+             53, 10752, 37]
+GENRE_NAMES = ["Action", "Adventure", "Animation", "Comedy", "Crime", "Documentary", "Drama",
+               "Family", "Fantasy", "History", "Horror", "Music", "Mystery", "Romance",
+               "Sci-Fi", "TV Movie", "Thriller", "War", "Western"]
+NUMERIC = ["vote_average_bayesian", "vote_count_log", "runtime", "budget_log", "revenue_log",
+           "release_year", "is_english"]
+# End of fixed values.
 
 TABLES: dict[str, str] = {
     "ratings": """
@@ -210,7 +218,7 @@ TABLES: dict[str, str] = {
         select "movieId", sum(value * ((31 * feature_id) % 101 - 50) / 500.0::double) as c1,
                sum(value * ((31 * feature_id + 17) % 101 - 50) / 500.0::double) as c2,
                sum(value * (feature_id % 13 - 6) / 100.0::double) as cb
-        from genre_rows group by 1""",
+        from feature_rows group by 1""",
     "split": """
         with m as (select *, ('0x' || substr(md5(concat_ws('-', '5', "userId", "movieId")), 1, 8))::bigint
                              / 4294967296.0::double < 0.3 as is_test from kept)
@@ -269,12 +277,77 @@ def loo_sql(rows: str, alpha: str, keys: str = '"userId"', clamp: bool = True) -
                       (select unnest([{alpha}])::double as a)))), mu"""
 
 
-TABLES["catalog_genres"] = TABLES["genre_rows"].replace(
-    "from encoded)", 'from (select p_partkey * 10 as "movieId", * from part))')
-TABLES["catalog_content2"] = TABLES["content2"].replace("genre_rows", "catalog_genres")
+# All catalog records, encoded with the vocabulary of the linked ones.
+TABLES["catalog_encoded"] = """
+    select p_partkey * 10 as "movieId", """ + TABLES["linked"].split('o."movieId", ', 1)[1].replace(
+        """join one_item o on o."tmdbId" = p_partkey * 10""", "")
+for _name in ("tokens", "genre_rows", "numeric_rows", "keyword_rows", "person_rows", "feature_rows", "content2"):
+    _body = TABLES[_name]
+    for _old in ("genre_rows", "numeric_rows", "keyword_rows", "person_rows", "feature_rows", "encoded"):
+        _body = re.sub(rf"\b{_old}\b", f"catalog_{_old}", _body)
+    _body = re.sub(r"\bfrom tokens\b", "from catalog_tokens", _body)
+    TABLES[f"catalog_{_name}"] = _body.replace("from linked)", "from catalog_encoded)")
 TABLES["fold2"] = fold_sql("warm2", "100")
+# Without a penalty: two rows leave a line of solutions, of which the shortest counts, a combination of the rows.
+TABLES["least2"] = f"""
+    select "userId", b, w1, w2 from ({fold_sql("warm2", "0", minimum=3)})
+    union all
+    select "userId", l1 + l2, l1 * p1 + l2 * q1, l1 * p2 + l2 * q2 from (
+        select *, (k22 * yp - k12 * yq) / (k11 * k22 - k12 * k12) as l1,
+               (k11 * yq - k12 * yp) / (k11 * k22 - k12 * k12) as l2
+        from (select *, 1 + p1 * p1 + p2 * p2 as k11, 1 + q1 * q1 + q2 * q2 as k22, 1 + p1 * q1 + p2 * q2 as k12
+              from (select "userId", min_by(x1, "movieId") as p1, min_by(x2, "movieId") as p2, min_by(y, "movieId") as yp,
+                           max_by(x1, "movieId") as q1, max_by(x2, "movieId") as q2, max_by(y, "movieId") as yq
+                    from warm2 group by 1 having count(*) = 2)))"""
 TABLES["loo"] = loo_sql("warm2", "1, 10, 100")
 TABLES["loo_free"] = loo_sql("warm2", "1, 10, 100", clamp=False)
+# The full model. With n rows and k = 64 factors, K the products of the centred rows and Z = (K + aI)^-1, the
+# solution is X'Z y, and leaving row i out changes its error to a (Zy)_i / (a Z_ii - 1/n). Z comes from
+# Gauss-Jordan steps on [K + aI | I], one row of the matrix a row of the table.
+TABLES["warm64"] = """
+    select r."userId", r."movieId", r.rating, f.vec, f.bias, r.rating - mu - f.bias as y,
+           row_number() over u as i, count(*) over (partition by r."userId") as n,
+           avg(r.rating - mu - f.bias) over (partition by r."userId") as my
+    from ratings r join f64 f on r."movieId" = f."movieId", mu window u as (partition by r."userId" order by r."movieId")"""
+TABLES["means64"] = """
+    select "userId", list(m order by d) as m from (
+        select "userId", d, avg(x) as m from (select "userId", unnest(vec) as x, unnest(range(1, 65)) as d from warm64)
+        group by 1, 2) group by 1"""
+TABLES["centred64"] = """
+    select w.*, m, list_transform(list_zip(vec, m), lambda z: z[1] - z[2]) as c
+    from warm64 w join means64 using ("userId") where n >= 2"""
+TABLES["inverse64"] = """
+    select 0 as k, "userId", a, n, i, list(p + case when i = j then a else 0 end order by j)
+           || list(case when i = j then 1.0::double else 0 end order by j) as row
+    from (select x."userId", x.n, x.i, z.i as j, list_dot_product(x.c, z.c) as p
+          from centred64 x join centred64 z on x."userId" = z."userId"),
+         (select unnest([1, 10, 100])::double as a) group by all
+    union all
+    select x.k + 1, x."userId", x.a, x.n, x.i, case when x.i = x.k + 1
+           then list_transform(x.row, lambda v: v / x.row[x.k + 1])
+           else list_transform(list_zip(x.row, p.row), lambda z: z[1] - x.row[x.k + 1] / p.row[x.k + 1] * z[2]) end
+    from inverse64 x join inverse64 p on x."userId" = p."userId" and x.a = p.a and p.i = x.k + 1 where x.k < x.n"""
+TABLES["duals64"] = """
+    select z."userId", z.a, z.i, z.n, z.row[z.n + z.i] as own, list_dot_product(z.row[z.n + 1:2 * z.n], t.t) as dual
+    from inverse64 z join (select "userId", list(y - my order by i) as t from centred64 group by 1) t using ("userId")
+    where z.k = z.n"""
+TABLES["fold64"] = """
+    select "userId", list(w order by d) as w from (
+        select "userId", d, sum(x * dual) as w from (
+            select c."userId", unnest(c.c) as x, unnest(range(1, 65)) as d, dual
+            from centred64 c join duals64 q on q."userId" = c."userId" and q.i = c.i and q.a = 100)
+        group by 1, 2) group by 1"""
+TABLES["bias64"] = """
+    select f."userId", w, any_value(my) - list_dot_product(w, any_value(m)) as b
+    from fold64 f join centred64 c using ("userId") group by 1, 2"""
+TABLES["loo64"] = """
+    select c."userId", a as alpha,
+           greatest(0.5::double, least(5.0::double, rating - a * dual / (a * own - 1.0::double / c.n))) - rating as error
+    from centred64 c join duals64 q on q."userId" = c."userId" and q.i = c.i where c.n >= 3"""
+TABLES["all_scores64"] = """
+    select u."userId", f."movieId", mu + b + bias + list_dot_product(w, vec) as raw,
+           greatest(0.5::double, least(5.0::double, mu + b + bias + list_dot_product(w, vec))) as score
+    from bias64 u, f64 f semi join items i on i."movieId" = f."movieId", mu"""
 TABLES["all_scores"] = """
     select u."userId", f."movieId", mu + b + bias + w1 * x1 + w2 * x2 as raw,
            greatest(0.5::double, least(5.0::double, mu + b + bias + w1 * x1 + w2 * x2)) as score
@@ -313,7 +386,8 @@ def with_tables(sql: str, **replaced: str) -> str:
         return sql
     body = ", ".join(f"{name} as ({known[name]})" for name in ordered)
     own = re.match(r"\s*with\b", sql)
-    return f"with {body}, {sql[own.end():]}" if own else f"with {body} {sql}"
+    start = "with recursive" if "inverse64" in ordered else "with"
+    return f"{start} {body}, {sql[own.end():]}" if own else f"{start} {body} {sql}"
 
 
 R2 = "round(w1, 6) as w1, round(w2, 6) as w2"
@@ -321,20 +395,19 @@ ERRORS = """round(sqrt(avg(error * error)), 6) as rmse, round(avg(abs(error)), 6
             round(avg(error), 6) as mean_error"""
 CORPUS = {"corpus": """select l.* from linked l semi join f2 f on f."movieId" = l."movieId" """}
 LATER = {"encoded": """select l.* from linked l anti join f2 f on f."movieId" = l."movieId" """}
-FAVOURITE_SCORES = """
-    with fav as (select * from ratings where rating >= 4.75),
-    u2 as (select *, greatest(sqrt(x1 * x1 + x2 * x2), 1e-9) as len from f2),
-    counts as (select c_custkey as "userId", count(f."movieId") as n from customer
-               left join fav f on f."userId" = c_custkey group by 1),
-    prefs as (select "userId", sum((rating - mu) * x1 / len) as p1, sum((rating - mu) * x2 / len) as p2
-              from fav join u2 using ("movieId"), mu group by 1),
+TIERED_SCORES = """
+    with u2 as (select *, greatest(sqrt(x1 * x1 + x2 * x2), 1e-9) as len from f2),
+    counts as (select c_custkey as "userId", count(w."movieId") as n from customer
+               left join warm2 w on w."userId" = c_custkey group by 1),
+    prefs as (select "userId", sum((rating - mu) * u2.x1 / len) as p1, sum((rating - mu) * u2.x2 / len) as p2
+              from warm2 join u2 using ("movieId"), mu group by 1),
     scored as (
         select c."userId", u."movieId", case when c.n >= 10 then 'item_cf' else 'popularity' end as tier,
                case when c.n >= 10 then (coalesce(p1, 0) * x1 + coalesce(p2, 0) * x2) / len
                     else mu + bias end as predicted_score
         from counts c left join prefs p using ("userId"), u2 u, mu
-        where not exists (select 1 from fav f where f."userId" = c."userId"
-                          and f."movieId" = u."movieId"))"""
+        where not exists (select 1 from warm2 w where w."userId" = c."userId"
+                          and w."movieId" = u."movieId"))"""
 TRAIN_FOLD = {"train2": """
     select s."userId", f.x1, f.x2, s.rating - mu - f.bias as y
     from split s join f2 f using ("movieId"), mu where part = 'train'"""}
@@ -539,7 +612,7 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
         with i as (select distinct "movieId" from kept)
         select count(*) as n_items, count(g."movieId") as n_covered,
                round(count(g."movieId") / count(*)::double, 6) as coverage
-        from i left join (select distinct "movieId" from genre_rows) g using ("movieId")""",
+        from i left join (select distinct "movieId" from feature_rows) g using ("movieId")""",
     "item_repr": """
         select i."movieId", f."movieId" is null as is_cold,
                case when f."movieId" is not null then 'warm' when c."movieId" is not null then 'cold'
@@ -563,9 +636,18 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
         from (select distinct "userId" from ratings) u
         left join (select "userId", count(*) as n from warm2 group by 1) w using ("userId")
         left join (select "userId", b, w1, w2 from fold2) f using ("userId")""",
-    "fold_in_least_squares": f"""
-        select "userId", n, round(b, 6) as bias, {R2}
-        from ({fold_sql("warm2", "0", minimum=5)})""",
+    "fold_in": """
+        select u."userId", case when w is null then 'too_few' else 'ok' end as status,
+               unnest(case when w is null then [null] else range(64) end)::int as dim,
+               round(unnest(case when w is null then [null::double] else w end), 6) as value
+        from (select distinct "userId" from ratings) u left join fold64 using ("userId")""",
+    "loo_alpha_full": f"""
+        select "userId", alpha, count(*) as n, {ERRORS} from loo64 group by 1, 2""",
+    "fold_in_least_squares": """
+        select u."userId", coalesce(w.n, 0) as n, round(b, 4) as bias, round(w1, 4) as w1, round(w2, 4) as w2
+        from (select distinct "userId" from ratings) u
+        left join (select "userId", count(*) as n from warm2 group by 1) w using ("userId")
+        left join least2 using ("userId")""",
     "loo_alpha": f"""
         select "userId", alpha, count(*) as n, {ERRORS} from loo group by 1, 2""",
     "loo_alpha_unclamped": f"""
@@ -591,6 +673,13 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                round(mu + b + bias + w1 * x1 + w2 * x2 - rating, 6) as error
         from warm2 w join fold2 f using ("userId"), mu
         order by round(abs(mu + b + bias + w1 * x1 + w2 * x2 - rating), 9) desc, 1, 2 limit 25""",
+    "solver_comparison": f"""
+        with solved as (
+            select "userId", case a when 0.1 then 'ridge_0.1' else 'ridge_100.0' end as solver, b, w1, w2
+            from ({fold_sql("warm2", "0.1, 100")})
+            union all select "userId", 'least_squares', b, w1, w2 from least2)
+        select solver, count(*) as n_test, round(sqrt(avg((mu + b + bias + w1 * x1 + w2 * x2 - rating) ** 2)), 6) as rmse
+        from warm2 join solved using ("userId"), mu group by 1""",
     "alpha_spread": f"""
         select f.a as alpha,
                round(stddev_pop(mu + b + bias + w1 * x1 + w2 * x2), 6) as pred_spread
@@ -602,6 +691,7 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                    greatest(0.5::double, least(5.0::double, mu + b + bias + w1 * x1 + w2 * x2)) as score
             from fold2 u, f2 f, mu) s using ("userId", "movieId")""",
     "recommend_topn": _top(UNRATED, 5, ", title, genres"),
+    "recommend_full": _top(UNRATED, 5, ", title", source="all_scores64"),
     "recommend_filtered": _top(UNRATED + """ and s."movieId" in (
         select "movieId" from items where contains(lower(genres), 'brand#1')
         and contains(lower(genres), 'o')) and s."movieId" in (
@@ -615,13 +705,13 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
             select "movieId", unnest(vec) as x, unnest(range(64)) as dim,
                    sqrt(list_sum([v * v for v in vec])) as len from f64) f using ("movieId"), mu
         group by 1, 2""",
-    "recommend_tiered": FAVOURITE_SCORES + """
+    "recommend_tiered": TIERED_SCORES + """
         select t."userId", t."movieId", title, genres, tier, rank,
                round(predicted_score, 6) as predicted_score
         from (select *, row_number() over (partition by "userId"
                   order by predicted_score desc, "movieId") as rank
               from scored qualify rank <= 5) t join items using ("movieId")""",
-    "recommend_tiered_genre": FAVOURITE_SCORES + """
+    "recommend_tiered_genre": TIERED_SCORES + """
         select "userId", "movieId", tier, rank, round(predicted_score, 6) as predicted_score
         from (select *, row_number() over (partition by "userId"
                   order by predicted_score desc, "movieId") as rank
@@ -687,7 +777,7 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
             select e."userId", e.rating, h."movieId"
             from export e join (select title, year, min("movieId") as "movieId" from title_hits
                                 group by 1, 2) h on h.title = e.title and h.year = e.year
-            where e.rating >= 4.75""",
+""",
         "demo_warm": """
             select d.*, x1, x2, d.rating - mu - bias as y
             from demo_rows d join f2 using ("movieId"), mu""",
@@ -732,8 +822,8 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
         qualify row_number() over (partition by "movieId" order by line_no desc) = 1""",
     "text_functions": """
         select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) as n_tokens,
-               array_to_string(list_sort(list_distinct(
-                   regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')))[1:3], ' ') as first_tokens,
+               md5(array_to_string(list_sort(list_distinct(
+                   regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))), ' ')) as tokens,
                contains(lower(text), 'the') and contains(lower(text), 'an') as has_both
         from documents""",
     "title_functions": """

@@ -10,7 +10,6 @@ from starfold.functions import scalars, vectors
 from starfold.operators import evaluate, features as feat, filters, foldin, matching, scoring, stats
 from starfold.operators.indexing import dense_index
 from starfold.plans import recommend as rec, train as training
-from starfold.plans.content import build_content_store
 from starfold.registry.derived import SMALL, Derived
 from starfold.session import new_folder
 from starfold.sources import store, tables
@@ -31,7 +30,7 @@ def r6(column) -> "F.Column":
 
 def _exploded(users: DataFrame, *extra: str) -> DataFrame:
     """Vectors as one row per dimension, so that they can be compared."""
-    return users.select("userId", *extra, F.posexplode("vec").alias("dim", "value")).withColumn(
+    return users.select("userId", *extra, F.posexplode_outer("vec").alias("dim", "value")).withColumn(
         "value", r6(F.col("value")))
 
 
@@ -122,14 +121,12 @@ def sample_users(d):
 
 @query
 def title_search(d):
-    wanted = d.export.where(F.col("year").isNotNull()).select("title", "year")
-    return matching.title_search(wanted, d.items)
+    return matching.title_search(d.export.select("title", "year"), d.items)
 
 
 @query
 def title_candidates(d):
-    wanted = d.export.where(F.col("year").isNotNull()).select("title", "year")
-    return matching.shown_candidates(matching.title_search(wanted, d.items)).select(
+    return matching.shown_candidates(matching.title_search(d.export.select("title", "year"), d.items)).select(
         "title", "year", "movieId")
 
 
@@ -399,7 +396,7 @@ def features_tfidf(d):
 
 @query
 def features_director(d):
-    vocab = _vocab(d)
+    vocab = feat.people_vocab(feat.director_occurrences(d.linked), feat.MIN_DIRECTOR_FILMS, "director")
     names = vocab.select("feature_id", "name")
     return feat.director_block(d.linked, vocab).join(names, "feature_id").select(
         "movieId", "name", "value")
@@ -407,7 +404,7 @@ def features_director(d):
 
 @query
 def features_cast(d):
-    vocab = _vocab(d)
+    vocab = feat.people_vocab(feat.cast_occurrences(d.linked), feat.MIN_CAST_FILMS, "cast")
     names = vocab.select("feature_id", "name")
     return _rounded(feat.cast_block(d.linked, vocab).join(names, "feature_id").select(
         "movieId", "name", "value"))
@@ -415,8 +412,7 @@ def features_cast(d):
 
 @query
 def features_all(d):
-    built = build_content_store(d.spark, d.records, d.links, new_folder(d.spark, "content"))
-    return _rounded(built.features)
+    return _rounded(d.content.features)
 
 
 def _served(d):
@@ -445,23 +441,17 @@ def content_row(d):
 
 @query
 def feature_density(d):
-    built = build_content_store(d.spark, d.records, d.links, new_folder(d.spark, "content"))
-    return feat.density(built.features, built.vocab).withColumn("density", r6(F.col("density")))
-
-
-def _genre_features(d):
-    return feat.genre_block(d.linked, feat.genre_dictionary(d.linked))
+    return feat.density(d.content.features, d.content.vocab).withColumn("density", r6(F.col("density")))
 
 
 def _content2(d):
-    """Content vectors of the small model from genre features and formula weights."""
-    weights = d.weights(feat.genre_dictionary(d.linked), SMALL)
-    return feat.project(_genre_features(d), weights, SMALL)
+    """Content vectors of the small model from all features and formula weights."""
+    return feat.project(d.content.features, d.weights(d.content.vocab, SMALL), SMALL)
 
 
 @query
 def content_coverage(d):
-    return feat.content_coverage(d.kept, _genre_features(d)).withColumn(
+    return feat.content_coverage(d.kept, d.content.features).withColumn(
         "coverage", r6(F.col("coverage")))
 
 
@@ -493,14 +483,15 @@ def fold_in_k2(d):
 
 @query
 def fold_in(d):
-    return _exploded(foldin.fold_in(d.stored, d.factors(), d.mean).where("status = 'ok'"))
+    return _exploded(foldin.fold_in(d.stored, d.factors(), d.mean), "status")
 
 
 @query
 def fold_in_least_squares(d):
-    users = foldin.fold_in(d.stored, d.factors2, d.mean, solver="least_squares").where("n >= 5")
-    return users.select("userId", "n", r6(F.col("bias")).alias("bias"),
-                        r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
+    users = foldin.fold_in(d.stored, d.factors2, d.mean, solver="least_squares")
+    # Nearly dependent rows have solutions in the thousands.
+    return users.select("userId", "n", F.round("bias", 4).alias("bias"),
+                        F.round(F.col("vec")[0], 4).alias("w1"), F.round(F.col("vec")[1], 4).alias("w2"))
 
 
 LOO_ALPHAS = (1.0, 10.0, 100.0)
@@ -618,26 +609,27 @@ def popularity(d):
     return rec.popularity(d.factors2, d.mean).withColumn("score", r6(F.col("score")))
 
 
-def _favourites(d):
-    return d.stored.where("rating >= 4.75")
-
-
 @query
 def item_cf(d):
     return _exploded(rec.preference_vectors(d.stored, d.factors(), d.mean, 64))
 
 
+def _matched(d):
+    """Ratings of items the model knows, which leaves users on both sides of the tier."""
+    return filters.warm_only(d.stored, d.factors2)
+
+
 @query
 def recommend_tiered(d):
     users = d.table("customer").select(F.col("c_custkey").alias("userId"))
-    rows = rec.recommend_tiered(_favourites(d), d.factors2, d.items, d.mean, SMALL, 5, users=users)
+    rows = rec.recommend_tiered(_matched(d), d.factors2, d.items, d.mean, SMALL, 5, users=users)
     return rows.withColumn("predicted_score", r6(F.col("predicted_score")))
 
 
 @query
 def recommend_tiered_genre(d):
     users = d.table("customer").select(F.col("c_custkey").alias("userId"))
-    rows = rec.recommend_tiered(_favourites(d), d.factors2, d.items, d.mean, SMALL, 3,
+    rows = rec.recommend_tiered(_matched(d), d.factors2, d.items, d.mean, SMALL, 3,
                                 genre="SMALL", users=users)
     return rows.select("userId", "movieId", "tier", "rank",
                        r6(F.col("predicted_score")).alias("predicted_score"))
@@ -661,9 +653,8 @@ def predict_requests(d):
         F.concat(F.lit("e"), F.col("line_no").cast("string")).alias("request_id"), "userId",
         F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"),
         (F.col("movieId") * 23).alias("movieId"))
-    genres = feat.genre_dictionary(d.items)
-    by_record = feat.genre_block(d.records.withColumnRenamed("tmdb_id", "movieId"), genres)
-    fresh = feat.project(by_record, d.weights(genres, SMALL), SMALL)
+    by_record = feat.transform(d.records.withColumnRenamed("tmdb_id", "movieId"), d.content.vocab, d.content.stats)
+    fresh = feat.project(by_record, d.weights(d.content.vocab, SMALL), SMALL)
     out = rec.predict_requests(by_title.unionByName(by_id), d.stored, d.items, d.factors2,
                                _content2(d), d.mean, SMALL, catalog=d.catalog,
                                catalog_content=fresh.withColumnRenamed("movieId", "tmdb_id"))
@@ -672,9 +663,8 @@ def predict_requests(d):
 
 @query
 def demo_profile(d):
-    """Profiles of titles: each user's dated favourites."""
-    liked = d.export.where("rating >= 4.75 and year is not null")
-    rows = rec.recommend_for_titles(liked.select("userId", "title", "year", "rating"),
+    """Profiles of titles: each user's export."""
+    rows = rec.recommend_for_titles(d.export.select("userId", "title", "year", "rating"),
                                     d.factors2, d.items, d.mean, 15)
     return _top(rows)
 
@@ -688,7 +678,7 @@ def holdout_split(d):
 
 
 def _ablation(d):
-    split = evaluate.holdout_split(d.stored, 0.3, 5)
+    split = d.written(evaluate.holdout_split(d.stored, 0.3, 5), "split")
     users = foldin.fold_in(split.where("part = 'train'").drop("part"), d.factors2, d.mean)
     return evaluate.ablation_predictions(split.where("part = 'test'").drop("part"), users,
                                          d.factors2, _content2(d), d.mean, SMALL)
@@ -760,7 +750,7 @@ def _progress(d, features, params):
 @query
 def train_hybrid(d):
     params = training.TrainParams(components=8, epochs=3)
-    return _progress(d, _genre_features(d), params)
+    return _progress(d, d.content.features, params)
 
 
 @query
@@ -804,8 +794,7 @@ def text_functions(d):
     docs = d.table("documents")
     return docs.select(
         "doc_id", F.size(scalars.word_tokens(F.col("text"))).cast("long").alias("n_tokens"),
-        F.array_join(F.slice(F.array_sort(F.array_distinct(scalars.word_tokens(F.col("text")))),
-                             1, 3), " ").alias("first_tokens"),
+        F.md5(F.array_join(F.array_sort(F.array_distinct(scalars.word_tokens(F.col("text")))), " ")).alias("tokens"),
         scalars.has_all_tokens(F.col("text"), scalars.comma_tokens(F.lit(" The,AN "))).alias(
             "has_both"))
 
