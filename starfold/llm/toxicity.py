@@ -13,7 +13,7 @@ Training uses a bounded sample of labelled rows (``toxic_rows``, ``clean_rows``)
 from __future__ import annotations
 
 import io
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -186,25 +186,22 @@ def candidates(rows: DataFrame, toxic: int, clean: int, kept: int = 20_000) -> n
     """Word beginnings that are at least twenty times as frequent in toxic as in clean training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = {0: Counter(), 1: Counter()}
-            for part in W.chunks(batch):
-                data, borders = W.text_bytes(part.column(1))
-                words = W.split(data, borders)
-                features = _beginnings(token_features(data, words))
-                label = part.column(2).to_numpy()
-                key = features.reshape(-1)
-                doc = np.repeat(words.doc, features.shape[1])
-                order = np.lexsort((key, doc))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                key, doc = key[order][fresh], doc[order][fresh]
-                for c in (0, 1):
-                    value, count = np.unique(key[label[doc] == c], return_counts=True)
-                    counts[c].update(dict(zip(value.tolist(), count.tolist())))
-            every = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(every, np.uint64).view(np.int64)), *(pa.array([counts[c][k] for k in every], pa.int64()) for c in (0, 1))],
-                                             ["feature", "clean", "toxic"])
+        for part in (p for batch in batches for p in W.chunks(batch)):
+            data, borders = W.text_bytes(part.column(1))
+            words = W.split(data, borders)
+            features = _beginnings(token_features(data, words))
+            doc = np.repeat(words.doc, features.shape[1])
+            key = features.reshape(-1)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, toxic = key[fresh], part.column(2).to_numpy()[doc[fresh]] == 1
+            value, opens = np.unique(key, return_index=True)
+            if len(value):
+                held = np.add.reduceat(toxic.astype(np.int64), opens)
+                size = np.diff(np.append(opens, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(size - held), pa.array(held)], ["feature", "clean", "toxic"])
 
     found = rows.mapInArrow(run, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odd = (F.col("toxic") >= 4) & (F.col("toxic") * clean >= 20 * (F.col("clean") + 0.25) * toxic)

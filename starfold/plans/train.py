@@ -18,6 +18,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from starfold.functions.scalars import seeded_unit
 from starfold.functions.vectors import weighted_sum
 from starfold.operators import evaluate
 from starfold.operators.features import project
@@ -54,9 +55,8 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def _initial_items(ratings: DataFrame, mean: float, params: TrainParams) -> DataFrame:
     """Small vectors from a seeded hash of the item id, and damped mean biases."""
     width = 1.0 / params.components ** 0.5
-    unit = lambda d: F.pmod(F.xxhash64(F.col("movieId"), d, F.lit(params.seed)), F.lit(1_000_003))
     vec = F.transform(F.sequence(F.lit(0), F.lit(params.components - 1)),
-                      lambda d: (unit(d) / F.lit(1_000_003.0) - 0.5) * width)
+                      lambda d: (seeded_unit(params.seed, F.col("movieId"), d) - 0.5) * width)
     biases = damped_bias(ratings, F.lit(mean))
     return biases.select("movieId", vec.alias("vec"), "bias")
 

@@ -390,6 +390,76 @@ def with_tables(sql: str, **replaced: str) -> str:
     return f"{start} {body}, {sql[own.end():]}" if own else f"{start} {body} {sql}"
 
 
+def train_sql(epochs: int, hybrid: bool) -> dict[str, str]:
+    """Steps of a model of one factor as common tables ``users_e``, ``items_e`` and, with content, ``weights_e``.
+
+    Vectors are stored and sent in single precision, as the model has them.
+    """
+    penalty = "5.0::double" if hybrid else "0.1::double * n"
+
+    def solve(rows: str, key: str, prior: str = "") -> str:
+        p, q = ("coalesce(px, 0)", "coalesce(pb, 0)") if prior else ("0", "0")
+        join = f"left join {prior} using ({key})" if prior else ""
+        return f"""
+            select s.*, sum((r.y - s.x * r.x - s.bias) ** 2) as sse from (
+                select {key}, n, a, ((n + a) * h1 - sx * h2) / det as x, ((sxx + a) * h2 - sx * h1) / det as bias
+                from (select *, sxy + a * {p} as h1, sy + a * {q} as h2, (sxx + a) * (n + a) - sx * sx as det from (
+                    select *, {penalty} as a from (
+                        select {key}, count(*) as n, sum(x) as sx, sum(x * x) as sxx, sum(x * y) as sxy, sum(y) as sy
+                        from {rows} group by 1)) {join})) s join {rows} r using ({key}) group by all"""
+
+    out = {"total_0": """
+        select "movieId", ('0x' || substr(md5(concat_ws('-', '0', "movieId", '0')), 1, 8))::bigint / 4294967296.0::double - 0.5 as x, bias
+        from biases"""}
+    if hybrid:
+        out["trained_rows"] = """select f.* from feature_rows f semi join biases b on b."movieId" = f."movieId" """
+        out["breadth"] = """select "movieId", sum(abs(value)) as l1 from trained_rows group by 1"""
+        out["weights_0"] = "select distinct feature_id, 0.0::double as w, 0.0::double as wb from trained_rows"
+    for e in range(1, epochs + 1):
+        if hybrid:
+            out[f"content_{e - 1}"] = f"""
+                select "movieId", sum(value * w) as cx, sum(value * wb) as cb from trained_rows join weights_{e - 1} using (feature_id) group by 1"""
+            out[f"prior_{e}"] = f"""select "movieId", cx::float::double as px, cb as pb from content_{e - 1}"""
+        out[f"by_user_{e}"] = f"""
+            select k."userId", t.x::float::double as x, rating - mu - t.bias as y
+            from kept k join total_{e - 1} t using ("movieId"), mu"""
+        out[f"users_{e}"] = solve(f"by_user_{e}", '"userId"')
+        out[f"by_item_{e}"] = f"""
+            select k."movieId", u.x::float::double as x, rating - mu - u.bias as y
+            from kept k join users_{e} u using ("userId"), mu"""
+        out[f"items_{e}"] = solve(f"by_item_{e}", '"movieId"', f"prior_{e}" if hybrid else "")
+        if hybrid:
+            out[f"pulls_{e}"] = f"""
+                select feature_id, sum(5 * value * (x - coalesce(cx, 0))) as px, sum(5 * value * (bias - coalesce(cb, 0))) as pb,
+                       sum(5 * abs(value) * l1) as curve
+                from trained_rows join items_{e} using ("movieId") join breadth using ("movieId")
+                left join content_{e - 1} using ("movieId") group by 1"""
+            out[f"weights_{e}"] = f"""
+                select feature_id, (w + (px - 1e-5 * w) / (curve + 1e-5))::float::double as w, wb + (pb - 1e-5 * wb) / (curve + 1e-5) as wb
+                from weights_{e - 1} join pulls_{e} using (feature_id)"""
+            out[f"content_after_{e}"] = f"""
+                select "movieId", sum(value * w) as cx, sum(value * wb) as cb from trained_rows join weights_{e} using (feature_id) group by 1"""
+            out[f"own_{e}"] = f"""
+                select "movieId", (x - coalesce(cx, 0))::float::double as x, bias - coalesce(cb, 0) as bias, sse, a
+                from items_{e} left join content_after_{e} using ("movieId")"""
+            out[f"total_{e}"] = f"""
+                select "movieId", x + coalesce(cx, 0) as x, bias + coalesce(cb, 0) as bias
+                from own_{e} left join content_after_{e} using ("movieId")"""
+        else:
+            out[f"own_{e}"] = f"select * from items_{e}"
+            out[f"total_{e}"] = f"select * from items_{e}"
+        weight = f"+ 1e-5 * (select sum(w * w + wb * wb) from weights_{e})" if hybrid else ""
+        out[f"progress_{e}"] = f"""
+            select {e} as epoch, (select sum(sse) from own_{e}) as squares, (select count(*) from kept) as n_rows,
+                   (select sum(a * (x * x + bias * bias)) from own_{e}) + (select sum(a * (x * x + bias * bias)) from users_{e}) {weight} as penalty"""
+    return out
+
+
+def _progress(epochs: int, done: str = f", epoch = 2 as done") -> str:
+    rows = " union all ".join(f"select * from progress_{e}" for e in range(1, epochs + 1))
+    return f"select epoch, round(squares / n_rows, 6) as mse_loss, round(squares + penalty, 3) as objective{done} from ({rows})"
+
+
 R2 = "round(w1, 6) as w1, round(w2, 6) as w2"
 ERRORS = """round(sqrt(avg(error * error)), 6) as rmse, round(avg(abs(error)), 6) as mae,
             round(avg(error), 6) as mean_error"""
@@ -812,11 +882,44 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
             select w.* replace (case when k = 1 then 0 else x2 end as x2), k
             from warm2 w, (select unnest([1, 2]) as k)""",
         "sanity_loo": loo_sql("sanity_rows", "1, 100", '"userId", k')}),
+    "train_mf_one_factor": (_progress(2), train_sql(2, False)),
+    "train_hybrid_one_factor": (_progress(2), train_sql(2, True)),
+    "continued_training": (_progress(2, ""), train_sql(2, False)),
+    "trained_factors": ("""
+        select 'svd' as tag, "movieId", round(x, 6) as x, round(bias, 6) as bias from items_2""", train_sql(2, False)),
+    "joint_user": ("""
+        select "userId", n, round(bias, 6) as bias, round(x, 6) as w from users_1 where "userId" = -1""", {
+        **train_sql(1, False),
+        "joint_ratings": """
+            select * from kept union all select -1, "movieId", rating from kept where "userId" = (select min("userId") from ratings)""",
+        "joint_mu": "select avg(rating) as mu from joint_ratings",
+        "total_0": train_sql(1, False)["total_0"].replace("from biases", """from (
+            select "movieId", sum(rating - mu) / (count(*) + 10.0::double) as bias from joint_ratings, joint_mu group by 1)"""),
+        "by_user_1": train_sql(1, False)["by_user_1"].replace("from kept", "from joint_ratings").replace(", mu", ", joint_mu")}),
+    "training_fit": """
+        select count(*) as n_test, round(sqrt(avg((mu + b + bias + w1 * x1 + w2 * x2 - rating) ** 2)), 6) as rmse,
+               round(avg(abs(mu + b + bias + w1 * x1 + w2 * x2 - rating)), 6) as mae
+        from warm2 w join fold2 f using ("userId"), mu""",
+    "result_tables": "select * from classified",
+    "record_lines": """
+        select p_partkey * 10 as tmdb_id, coalesce(vote_count, 0) + case when p_partkey % 2 = 0 then 1 else 0 end as vote_count,
+               case when p_partkey % 11 = 0 then 0 else p_size::double end as runtime,
+               case when p_partkey % 7 = 0 then 0 else p_retailprice end as budget,
+               case when p_partkey % 29 = 0 then '' else concat(cast(1980 + p_partkey % 41 as varchar), '-06-15') end as release_date,
+               coalesce(lang, '') as original_language,
+               len([x for x in regexp_split_to_array(coalesce(text, ''), '\\s+') if x <> '']) as n_keywords
+        from part left join votes v on v."movieId" = p_partkey left join documents on doc_id = p_partkey""",
+    "stream_record_keys": """select "movieId", 1::bigint as n from profile_events group by 1""",
     "stream_fold_in": (f"""
         select "userId", n, round(b, 6) as bias, {R2} from ({fold_sql("live2", "100")})""", {
         "live2": """
             select p."userId", x1, x2, p.rating - mu - bias as y
             from profile p join f2 using ("movieId"), mu"""}),
+    "stream_fold_in_batches": (f"""
+        select "userId", n, round(b, 6) as bias, {R2} from ({fold_sql("live2", "100")})""", {
+        "live2": """
+            select p."userId", x1, x2, p.rating - mu - bias as y
+            from profile p join f2 using ("movieId"), mu"""}),
     "stream_records": """
         select "movieId", "userId", rating, line_no from profile_events
         qualify row_number() over (partition by "movieId" order by line_no desc) = 1""",

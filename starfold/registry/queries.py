@@ -758,13 +758,118 @@ def train_mf(d):
     return _progress(d, None, training.TrainParams(**{**training.PLAIN.__dict__, "epochs": 3}))
 
 
+def _one_factor(d, features, params):
+    """Models of one factor have closed forms in SQL."""
+    return _progress(d, features, params).withColumn("objective", F.round("objective", 3))
+
+
+@query
+def train_mf_one_factor(d):
+    params = {**training.PLAIN.__dict__, "components": 1, "epochs": 2}
+    return _one_factor(d, None, training.TrainParams(**params))
+
+
+@query
+def train_hybrid_one_factor(d):
+    return _one_factor(d, d.content.features, training.TrainParams(components=1, epochs=2))
+
+
+@query
+def continued_training(d):
+    """One epoch, then another on the same ratings: as if it had not stopped."""
+    folder = new_folder(d.spark, "train")
+    for epochs in (1, 2):
+        params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 1, "epochs": epochs})
+        training.train(d.spark, d.stored, folder, None, params)
+    return store.read_progress(d.spark, folder).select(
+        "epoch", r6(F.col("mse_loss")).alias("mse_loss"), F.round("objective", 3).alias("objective"))
+
+
+@query
+def trained_factors(d):
+    """Factors of a trained variant, loaded by its tag."""
+    folder = new_folder(d.spark, "train")
+    params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 1, "epochs": 2})
+    training.train(d.spark, d.stored, folder, None, params, tag="svd")
+    tags = store.available_tags(d.spark, folder, ["k64", "svd"])
+    loaded = [store.load_model(d.spark, folder, tag).items.withColumn("tag", F.lit(tag)) for tag in tags]
+    return loaded[0].select("tag", "movieId", r6(F.col("vec")[0]).alias("x"), r6(F.col("bias")).alias("bias"))
+
+
+@query
+def holdout_trained(d):
+    """Ablation of a hybrid that is trained on its own split."""
+    params = training.TrainParams(components=8, epochs=2)
+    out = training.holdout_eval(d.spark, d.stored, d.content.features, new_folder(d.spark, "holdout"), params)
+    return out.drop("elapsed_min")
+
+
+@query
+def learning_curve(d):
+    params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 2, "epochs": 2})
+    return training.cross_validate(d.spark, d.stored, new_folder(d.spark, "cv"), 2, params).select(
+        "fold", "n_epochs", "part", r6(F.col("rmse")).alias("rmse"), r6(F.col("mae")).alias("mae"))
+
+
+@query
+def joint_user(d):
+    """The first customer's ratings once more, as a person that is trained along."""
+    params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 1, "epochs": 1})
+    first = d.stored.agg(F.min("userId").alias("userId"))
+    own = d.stored.join(first, "userId", "left_semi").select("movieId", "rating")
+    rows = training.joint_user(d.spark, d.stored, own, new_folder(d.spark, "joint"), params, -1)
+    return rows.select("userId", "n", r6(F.col("bias")).alias("bias"), r6(F.col("vec")[0]).alias("w"))
+
+
+@query
+def training_fit(d):
+    """Error of the folded-in model on all ratings it was fitted to."""
+    fit = training.training_fit(_residuals(d).where("alpha = 100"))
+    return fit.select("n_test", r6(F.col("rmse")).alias("rmse"), r6(F.col("mae")).alias("mae"))
+
+
+# ------------------------------------------------------------------ sinks
+
+
+@query
+def result_tables(d):
+    """Matched and unmatched rows of the whole job, written and read again."""
+    path = new_folder(d.spark, "result")
+    resolution = d.written(_resolution(d), "resolution")
+    classified = matching.classify_matches(matching.resolved_rows(resolution), d.links, ["userId"])
+    for kind in (matching.MATCHED, matching.UNMATCHED):
+        rows = classified.where(F.col("kind") == kind)
+        store.write_result(rows.where("false"), f"{path}/{kind}", "2026-01-01")
+        store.write_result(rows, f"{path}/{kind}", "2026-01-01")
+    matched, unmatched = (d.spark.read.parquet(f"{path}/{kind}").drop("run_date") for kind in (matching.MATCHED, matching.UNMATCHED))
+    return matched.unionByName(unmatched)
+
+
+@query
+def record_lines(d):
+    """Records appended as JSON lines, some of them again with one vote more; the last of each counts."""
+    path = new_folder(d.spark, "records")
+    store.append_records(d.records, path)
+    store.append_records(d.records.where("tmdb_id % 20 = 0").withColumn("vote_count", F.col("vote_count") + 1), path)
+    last = tables.latest_records(tables.record_store(d.spark, path), "tmdb_id", "vote_count")
+    return last.select("tmdb_id", "vote_count", "runtime", "budget", "release_date", "original_language",
+                       F.size("keyword_names").cast("long").alias("n_keywords"))
+
+
 # ------------------------------------------------------------------ streaming
 
 
-def _arrivals(d):
-    schema = d.table("events").schema
-    stream = d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
-        d.folder)
+def _arrivals(d, batches=False):
+    """Profile rows as they arrive: the table as one file, or in a file a month, some files a batch."""
+    schema, folder, reader = d.table("events").schema, d.folder, d.spark.readStream
+    if batches:
+        folder = new_folder(d.spark, "arrivals")
+        month = F.date_format("ts", "yyyyMM")
+        d.table("events").repartition(12, month).write.parquet(folder)
+        reader = reader.option("maxFilesPerTrigger", 4)
+    else:
+        reader = reader.option("pathGlobFilter", "events.parquet")
+    stream = reader.schema(schema).parquet(folder)
     live = Derived(d.spark, d.folder)
     live.table = lambda name: stream
     return live.profile_events.select("userId", "movieId", "rating", "line_no")
@@ -779,6 +884,23 @@ def stream_fold_in(d):
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
 
 
+@query
+def stream_fold_in_batches(d):
+    folder = new_folder(d.spark, "stream")
+    jobs.fold_in_stream(_arrivals(d, batches=True), d.factors2, d.mean, folder).awaitTermination()
+    users = jobs.current_users(d.spark, folder)
+    return users.select("userId", "n", r6(F.col("bias")).alias("bias"),
+                        r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
+
+
+@query
+def stream_record_keys(d):
+    """Keys stored after several batches; which row of a key came first depends on the files."""
+    folder = new_folder(d.spark, "stream")
+    jobs.record_stream(_arrivals(d, batches=True), "movieId", "line_no", folder).awaitTermination()
+    return jobs.stored_records(d.spark, folder).groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_records(d):
     folder = new_folder(d.spark, "stream")
