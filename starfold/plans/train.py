@@ -22,9 +22,10 @@ from starfold.functions.scalars import seeded_unit
 from starfold.functions.vectors import weighted_sum
 from starfold.operators import evaluate
 from starfold.operators.features import project
-from starfold.operators.filters import MIN_RATINGS, first_users, min_support
+from starfold.operators.filters import MIN_RATINGS, first_users, min_support, warm_only
 from starfold.operators.ridge import RidgeSpec, key_sizes, ridge_by_key
 from starfold.operators.stats import damped_bias, prediction_metrics
+from starfold.session import new_folder
 from starfold.sources import store
 
 
@@ -331,6 +332,23 @@ def regularisation_grid(spark: SparkSession, ratings: DataFrame, path: str, regs
     return spark.read.parquet(f"{path}/grid/*")
 
 
+def cascade(spark: SparkSession, path: str, tags: dict[int, str], ratings: DataFrame, alphas: list[float],
+            n_values: list[int], n_draws: int = 8, seed: int = 0) -> DataFrame:
+    """Leave-one-out error by number of factors, penalty and profile size, over stored variants.
+
+    tags: number of factors -> tag; variants that are not trained are left out.
+    """
+    found = set(store.available_tags(spark, path, list(tags.values())))
+    models = {k: store.load_model(spark, path, tag) for k, tag in tags.items() if tag in found}
+    if not models:
+        raise ValueError(f"none of {sorted(tags.values())} is trained in {path}")
+    pool = warm_only(ratings, next(iter(models.values())).items)
+    samples = _written(evaluate.draws(pool, n_values, n_draws, seed), new_folder(spark, "draws"))
+    mean = next(iter(models.values())).global_mean
+    errors = evaluate.cascade_errors(pool, {k: m.items for k, m in models.items()}, mean, samples, alphas, n_values, n_draws)
+    return evaluate.cascade_results(errors)
+
+
 def joint_user(spark: SparkSession, ratings: DataFrame, personal: DataFrame, path: str,
                params: TrainParams = PLAIN, user_id: int = 0) -> DataFrame:
     """Vector and bias of a person whose ratings take part in the training."""

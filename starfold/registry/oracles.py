@@ -870,6 +870,9 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
     "loo_cascade": """
         select "userId", k::bigint as k, n::bigint as n, alpha, n_draws,
                round(mean_rmse, 6) as mean_rmse, round(std_rmse, 6) as std_rmse from cascade""",
+    "cascade_stored": """
+        select "userId", k::bigint as k, n::bigint as n, alpha, n_draws,
+               round(mean_rmse, 6) as mean_rmse, round(std_rmse, 6) as std_rmse from cascade""",
     "cascade_best": """
         select "userId", n::bigint as n, k::bigint as best_k, alpha as best_alpha,
                round(round(mean_rmse, 9), 6) as best_mean_rmse from cascade

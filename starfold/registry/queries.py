@@ -719,6 +719,20 @@ def loo_cascade(d):
         r6(F.col("std_rmse")).alias("std_rmse"))
 
 
+@query
+def cascade_stored(d):
+    """The same from stored variants, of which one was never trained."""
+    folder = new_folder(d.spark, "variants")
+    for k in (1, 2):
+        d.factors(k).write.parquet(store.epoch_path(folder, "items", f"k{k}", 1))
+        store.complete_epoch(folder, f"k{k}", 1, d.spark.createDataFrame(
+            [(k, False, d.mean, False)], "components int, dry_run boolean, global_mean double, has_content boolean"))
+    rows = training.cascade(d.spark, folder, {1: "k1", 2: "k2", 64: "k64"}, d.stored, list(CASCADE_ALPHAS), list(DRAW_SIZES), DRAWS)
+    return rows.select(
+        "userId", F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), "alpha",
+        "n_draws", r6(F.col("mean_rmse")).alias("mean_rmse"), r6(F.col("std_rmse")).alias("std_rmse"))
+
+
 @query
 def cascade_best(d):
     rounded = _cascade(d).withColumn("mean_rmse", F.round("mean_rmse", 9))

@@ -15,7 +15,9 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = ["links_last_wins", "profile_dedup", "latest_snapshot", "record_parse", "resolve_export",
            "match_ambiguous", "title_search", "dense_index_items", "tfidf_vocab", "features_all",
            "fold_in_k2", "loo_alpha", "recommend_topn", "support_filter", "recommend_tiered",
-           "predict_requests", "holdout_metrics", "loo_cascade", "stream_fold_in"]
+           "predict_requests", "holdout_metrics", "loo_cascade", "stream_fold_in", "fold_in", "recommend_full",
+           "loo_alpha_full", "fold_in_least_squares", "train_hybrid_one_factor", "continued_training", "record_lines",
+           "stream_fold_in_batches", "cascade_stored"]
 
 
 def test_every_sql_has_a_query():
