@@ -912,6 +912,8 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                coalesce(lang, '') as original_language,
                len([x for x in regexp_split_to_array(coalesce(text, ''), '\\s+') if x <> '']) as n_keywords
         from part left join votes v on v."movieId" = p_partkey left join documents on doc_id = p_partkey""",
+    "stream_features": """
+        select "movieId", feature_id::int as feature_id, round(value, 6) as value from feature_rows""",
     "stream_record_keys": """select "movieId", 1::bigint as n from profile_events group by 1""",
     "stream_fold_in": (f"""
         select "userId", n, round(b, 6) as bias, {R2} from ({fold_sql("live2", "100")})""", {

@@ -907,6 +907,17 @@ def stream_fold_in_batches(d):
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
 
 
+@query
+def stream_features(d):
+    """Records that arrive in several batches, a tenth of them twice, encoded with the saved vocabulary."""
+    folder = new_folder(d.spark, "stream")
+    again = d.records.where("tmdb_id % 100 = 0")
+    d.records.unionByName(again).repartition(6).write.parquet(f"{folder}/arrivals")
+    records = d.spark.readStream.schema(d.records.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrivals")
+    jobs.encode_stream(records, d.links, d.content.vocab, d.content.stats, folder).awaitTermination()
+    return _rounded(jobs.current_features(d.spark, folder).select("movieId", "feature_id", "value")).distinct()
+
+
 @query
 def stream_record_keys(d):
     """Keys stored after several batches; which row of a key came first depends on the files."""

@@ -102,12 +102,14 @@ def encode_stream(arrivals: DataFrame, links: DataFrame, vocab: DataFrame, stats
                   path: str) -> StreamingQuery:
     """Encode arriving content records with the saved vocabulary and statistics.
 
-    A record that arrives again is encoded again; :func:`current_features` has the newest.
+    A record that arrives again in the same batch counts once; one that arrives later is encoded
+    again, and :func:`current_features` has the newest.
     """
     one_item = tables.catalog_to_item(links)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = feat.transform(feat.linked_records(batch, one_item), vocab, stats)
+        once = batch.dropDuplicates(["tmdb_id"])
+        rows = feat.transform(feat.linked_records(once, one_item), vocab, stats)
         _write_batch(rows, f"{path}/features", batch_id)
 
     return _stream(arrivals, handle, f"{path}/checkpoint")

@@ -139,6 +139,14 @@ def test_learning_curve_and_joint_user(spark, planted):
     assert [(r.userId, len(r.vec), r.n) for r in own.collect()] == [(-1, 3, 30)]
 
 
+def test_learning_curves_of_several_penalties(spark, planted):
+    params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 2, "epochs": 1})
+    rows = training.regularisation_grid(spark, planted[0], new_folder(spark, "grid"), [0.1, 10.0], 2, params).collect()
+    assert {(r.reg, r.fold, r.part) for r in rows} == {(g, f, p) for g in (0.1, 10.0) for f in (0, 1) for p in ("train", "test")}
+    fit = {g: sum(r.rmse for r in rows if r.reg == g and r.part == "train") for g in (0.1, 10.0)}
+    assert fit[0.1] < fit[10.0]
+
+
 def test_dry_run_keeps_the_mean_of_all_users(spark, planted):
     ratings, _, _ = planted
     folder = new_folder(spark, "dry")
