@@ -11,6 +11,17 @@ from pyspark.sql.types import StructType
 from starfold.session import new_folder
 
 
+#: Rows that travel to a Python worker at a time. Texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size for Python workers to ``BATCH_ROWS`` if it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -21,6 +32,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
+    bounded_batches(spark)
     path = new_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -28,6 +40,7 @@ def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The two columns an operator reads; all others, whatever their names, stay outside."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 

@@ -34,6 +34,7 @@ END_BYTES = 3
 WINDOW = 32
 BLOCK = 64
 STEPS = 80
+SLICE = 2_048
 
 _SALT = W.mix(np.arange(1, 16, dtype=np.uint64))
 
@@ -131,35 +132,41 @@ def fit_field(where: np.ndarray, label: np.ndarray, mask: np.ndarray, steps: int
     """Gradient ascent on the likelihood of labelled windows, with step sizes per weight."""
     weights, moves = np.zeros(1 << FEATURE_BITS), np.zeros((2, 2))
     weight_sum, move_sum = np.full_like(weights, 1e-3), np.full((2, 2), 1e-3)
-    n, width = label.shape
-    begin = np.zeros((n, 2))
-    begin[:, 0] = 1.0
     tokens = mask.sum()
-    before = np.concatenate([np.zeros((n, 1), np.int64), label[:, :-1]], axis=1)
-    flat = where[mask].reshape(-1)
-    seen = np.array([[np.sum((before == i) & (label == j) & mask) for j in (0, 1)] for i in (0, 1)])
-    used = np.unique(flat)
-    flat = np.searchsorted(used, flat)
     for _ in range(steps):
-        emission = np.zeros((n, width))
-        emission[mask] = np.clip(weights[where[mask]].sum(axis=1), -25, 25)
-        odds, exp = np.exp(emission), np.exp(moves)
-        forward, backward = _sweep(odds, mask, exp, begin, np.ones((n, 2)))
-        both = forward * backward
-        toxic = both[:, :, 1] / both.sum(axis=2)
-        last = np.concatenate([begin[:, None], forward[:, :-1]], axis=1)
-        ahead = backward * np.stack([np.ones_like(odds), odds], axis=2)
-        pair = last[:, :, :, None] * exp * ahead[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        move_up = (seen - pair[mask].sum(axis=0)) / tokens
-        up = np.bincount(flat, np.repeat((label - toxic)[mask], where.shape[2]), len(used)) / tokens * 100 - decay * weights[used]
-        weight_sum[used] += up ** 2
+        up, move_up = -decay * weights, np.zeros((2, 2))
+        for begin in range(0, len(label), SLICE):  # some windows at a time, for the memory
+            part = slice(begin, begin + SLICE)
+            miss, turns = _slopes(where[part], label[part], mask[part], weights, moves)
+            up += np.bincount(where[part][mask[part]].reshape(-1), np.repeat(miss, where.shape[2]), len(weights)) / tokens * 100
+            move_up += turns / tokens
+        weight_sum += up ** 2
         move_sum += move_up ** 2
-        weights[used] += 0.5 * up / np.sqrt(weight_sum[used])
+        weights += 0.5 * up / np.sqrt(weight_sum)
         moves += 0.2 * move_up / np.sqrt(move_sum)
     return Field(weights.astype(np.float32), moves)
 
 
+def _slopes(feature: np.ndarray, label: np.ndarray, mask: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label minus marginal of each token, and seen minus expected transitions, of some windows."""
+    n, width = label.shape
+    begin = np.zeros((n, 2))
+    begin[:, 0] = 1.0
+    emission = np.zeros((n, width))
+    emission[mask] = np.clip(weights[feature[mask]].sum(axis=1), -25, 25)
+    odds, exp = np.exp(emission), np.exp(moves)
+    forward, backward = _sweep(odds, mask, exp, begin, np.ones((n, 2)))
+    both = forward * backward
+    toxic = both[:, :, 1] / both.sum(axis=2)
+    last = np.concatenate([begin[:, None], forward[:, :-1]], axis=1)
+    ahead = backward * np.stack([np.ones_like(odds), odds], axis=2)
+    pair = last[:, :, :, None] * exp * ahead[:, :, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    before = np.concatenate([np.zeros((n, 1), np.int64), label[:, :-1]], axis=1)
+    seen = np.array([[np.sum((before == i) & (label == j) & mask) for j in (0, 1)] for i in (0, 1)])
+    return (label - toxic)[mask], seen - pair[mask].sum(axis=0)
+
+
 # ---------------------------------------------------------------- training
 
 def held_out(doc_id: Column) -> Column:
