@@ -149,7 +149,7 @@ def kept_texts(words: W.Words, n_docs: int, gone: np.ndarray) -> tuple[bytes, np
 
 
 OCCURRENCE = "part int, anchor long, key long, doc_id long, start int, n_windows int, n int"
-TREE = "bin int, part int, doc_id long, start int, shift int, words binary"
+TREE = "bin int, part int, key long, doc_id long, start int, shift int, words binary"
 MARK = "part int, key long, doc_id long, start int, bits long"
 
 
@@ -187,7 +187,8 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
     base = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_column).cast("string").alias("text"),
                        *([] if digest else [F.struct(*docs.columns).alias("row")]))
     split = _sample(base, length)
-    dealt = base.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    # by text as well, so that an id, or none, that many rows have does not fill one part
+    dealt = base.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
 
     def occurrences(rows: pa.Table) -> pa.Table:
         held = []
@@ -211,7 +212,7 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
     # both uses need all columns, so that one exchange serves both
     copies = (judged.where("total > 1").select("part", "key", F.col("origin.doc_id").alias("doc_id"), F.col("origin.start").alias("start"), (-F.col("n_windows") - F.col("several").cast("int")).cast("long").alias("bits")))
     needed = (judged.where(F.col("several") & (F.col("origin.doc_id") == F.col("doc_id")) & (F.col("origin.start") == F.col("start")))
-              .select("part", "anchor", "doc_id", "start", "n_windows", "wide", "total"))
+              .select("part", "anchor", "key", "doc_id", "start", "n_windows", "wide", "total"))
     bins = 2 * parts
     no_work, out = none_of(TREE), "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else _schema(docs)
     no_rows = none_of(out)
@@ -226,7 +227,7 @@ def remove(docs: DataFrame, length: int = 20, id_column: str = "doc_id", text_co
         moved = rows.set_column(rows.schema.get_field_index("start"), "start", pa.array(rows["start"].to_numpy() + shift))
         bits = marked(moved, length) << shift
         hit = np.flatnonzero(bits)
-        return pa.table({"part": rows["part"].to_numpy()[hit], "key": np.zeros(len(hit), np.int64), "doc_id": rows["doc_id"].to_numpy()[hit],
+        return pa.table({"part": rows["part"].to_numpy()[hit], "key": rows["key"].to_numpy()[hit], "doc_id": rows["doc_id"].to_numpy()[hit],
                          "start": rows["start"].to_numpy()[hit], "bits": bits[hit]})
 
     trees = dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(work, TREE).groupBy("bin").applyInArrow(tree, MARK)
@@ -254,9 +255,9 @@ def _pieces(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 def _windows_of(rows: pa.RecordBatch, need: pa.Table, length: int, bins: int) -> pa.Table:
     """Words of the segments in ``need`` that lie in ``rows``: each as a whole, or where ``wide`` each of its windows by itself."""
     found = segments(rows.column("text"), length)
-    place = _place(rows.column("doc_id").to_numpy()[found.doc], found.start)
+    place = _place(rows.column("doc_id").to_numpy()[found.doc], found.start, found.key)
     order = np.argsort(place, kind="stable")
-    wanted = _place(need["doc_id"].to_numpy(), need["start"].to_numpy())
+    wanted = _place(need["doc_id"].to_numpy(), need["start"].to_numpy(), need["key"].to_numpy().view(np.uint64))
     if len(place):
         at = order[np.minimum(np.searchsorted(place[order], wanted), len(order) - 1)]
         here = np.flatnonzero(place[at] == wanted)
@@ -271,14 +272,14 @@ def _windows_of(rows: pa.RecordBatch, need: pa.Table, length: int, bins: int) ->
     stop = begin + np.where(wide[row], 1, found.n_windows[at][row]) + length - 1
     held = found.hashed.tobytes()
     goal = np.where(wide[row], _window_hash(found.hashed, begin, length), W.mix(need["anchor"].to_numpy().view(np.uint64)[here][row])) % np.uint64(bins)
-    return pa.table({"bin": goal.astype(np.int32), "part": need["part"].to_numpy()[here][row], "doc_id": need["doc_id"].to_numpy()[here][row],
+    return pa.table({"bin": goal.astype(np.int32), "part": need["part"].to_numpy()[here][row], "key": need["key"].to_numpy()[here][row], "doc_id": need["doc_id"].to_numpy()[here][row],
                      "start": need["start"].to_numpy()[here][row], "shift": shift.astype(np.int32),
                      "words": pa.array([held[8 * b: 8 * s] for b, s in zip(begin.tolist(), stop.tolist())], pa.binary())})
 
 
-def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """One number for a document and a word's place in it."""
-    return W.mix(W.mix(doc.view(np.uint64)) + start.astype(np.uint64))
+def _place(doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a segment and where it is; the key tells rows of the same id apart."""
+    return W.mix(W.mix(doc.view(np.uint64)) + start.astype(np.uint64)) + key
 
 
 def _window_hash(hashed: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
@@ -304,12 +305,13 @@ def _without(rows: pa.RecordBatch, marks: pa.Table, length: int, text_column: st
             at = order[np.minimum(np.searchsorted(key[order], found.key.view(np.int64)), len(order) - 1)]
             copy = (key[at] == found.key.view(np.int64)) & ((origin[at] != doc) | (start[at] != found.start))
             bits[copy] = every[copy]
-        place, some = _place(*(marks[c].to_numpy()[~whole] for c in ("doc_id", "start"))), marks["bits"].to_numpy()[~whole]
+        own, begin, kind, some = (marks[c].to_numpy()[~whole] for c in ("doc_id", "start", "key", "bits"))
+        place = _place(own, begin, kind.view(np.uint64))
         if len(place):
             order = np.argsort(place, kind="stable")
             place, opens = np.unique(place[order], return_index=True)
             some = np.bitwise_or.reduceat(some[order], opens)
-            here = _place(doc, found.start)
+            here = _place(doc, found.start, found.key)
             at = np.minimum(np.searchsorted(place, here), len(place) - 1)
             bits |= np.where(place[at] == here, some[at], 0)
     words = found.words

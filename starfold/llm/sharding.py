@@ -21,11 +21,15 @@ MAP = "version int, slot int, shard int, bytes long"
 
 
 def records(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot`` of every row. The slot follows from the id and the text's checksum."""
+    """``doc_id, size, text_crc32, virtual_slot`` of every row.
+
+    The slot follows from the id and the text's checksum, without an id from the row's number in the table.
+    """
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return (id_and_text(docs, id_column, text_column)
             .select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-            .withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOTS)).cast("int")))
+            .withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", alone), F.lit(SLOTS)).cast("int")))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -91,8 +95,8 @@ def latest(stored: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Shard and gapless place in the shard of every row, under the law ``bytes``.
 
-    A null text has no bytes and checksum 0. A null id hashes as null, together with the text's
-    checksum, so that many null ids are still spread. Repeated rows each take a place of their own.
+    A null text has no bytes and checksum 0. Rows without an id are spread by their number. Repeated
+    rows each take a place of their own, all in one slot.
     An empty table gives no rows. Columns: ``doc_id, size, text_crc32, law, shard, slot,
     grown_shard`` (null under this law) and ``virtual_slot``.
     """

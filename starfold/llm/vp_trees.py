@@ -177,7 +177,7 @@ def index(df: DataFrame, k: int, shard_rows: int = SHARD_ROWS, id_column: str =
 
     Vectors of different lengths are never compared; each length has its own trees.
     """
-    rows = vectors(df, id_column, vector_column)
+    rows = vectors(df, id_column, vector_column).dropDuplicates(["vec_id", "vec"])
     shards = max(1, math.ceil(rows.count() / shard_rows))
 
     def build(part: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def index(df: DataFrame, k: int, shard_rows: int = SHARD_ROWS, id_column: str =
         return pa.table({"dim": pa.array([points.shape[1]], pa.int32()), "shard": part["shard"][:1].combine_chunks(),
                          "tree": pa.array([Tree(ids, points, k).to_bytes()], pa.binary())})
 
-    return (rows.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    return (rows.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int"))
             .groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"))
 
 

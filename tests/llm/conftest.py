@@ -37,6 +37,8 @@ def make_rows(seed=3, n=60):
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["a", "b", None]), None if t is None else len(t)) for i, t in zip(ids, texts)]
     rows += [rows[4], rows[4]]  # the same row again
     rows += [(None, texts[7], "en", "a", 1), (None, "no id here", None, None, None)]
+    # an id that several texts have, with passages in the same places
+    rows += [(500, f"{passage} {prose(30)}", "en", "a", 1), (500, f"{passage} {prose(30)}", "en", "b", 1), (None, f"{passage} {prose(9)}", "fr", "a", 2)]
     return [r + ("p", "k", "b", "l", "c", "r") for r in rows]
 
 
