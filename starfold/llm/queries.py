@@ -55,7 +55,31 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join,
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)
 
-ORACLES = {"op5_quality_rules": rf"""
+ORACLES = {"op2_ngram_jaccard_join": rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) as w
+  from documents),
+sh as (select distinct doc_id, s from (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+sides as (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id as root from n union select b, root from reach join sides on doc_id = a)
+select d.doc_id, coalesce(any_value(n), 0) as n_shingles, coalesce(min(root), d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join reach r on r.doc_id = d.doc_id group by d.doc_id""",
+           "op7_substring_dedup": rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
+wins as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w)),
+later as (select doc_id, i from wins qualify row_number() over (partition by h order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from later),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t from words anti join gone using (doc_id, p) group by 1)
+select w.doc_id, len(w)::bigint as n_words, (select count(*) from gone g where g.doc_id = w.doc_id) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from w left join kept k on k.doc_id = w.doc_id""",
+           "op5_quality_rules": rf"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
 lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines
           from (select doc_id, unnest(string_split(text, chr(10))) as l from d) where len(regexp_extract_all(l, {_WORDS})) > 0 group by doc_id),
