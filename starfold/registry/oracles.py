@@ -230,7 +230,7 @@ TABLES: dict[str, str] = {
     "draw_rows": """
         with sizes as (select "userId", count(*) as pool from warm2 group by 1),
         cells as (select "userId", n, pool, unnest(case when n = pool then [0] else [0, 1, 2] end) as draw
-                  from sizes, (select unnest([5, 10]) as n) where n <= pool)
+                  from sizes, (select unnest([5, 10, 15]) as n) where n <= pool)
         select "userId", n, draw, "movieId" from cells join warm2 using ("userId")
         qualify row_number() over (partition by "userId", n, draw order by
             ('0x' || substr(md5(concat_ws('-', '0', n, draw, "userId", "movieId")), 1, 8))::bigint,
@@ -352,16 +352,55 @@ TABLES["all_scores"] = """
     select u."userId", f."movieId", mu + b + bias + w1 * x1 + w2 * x2 as raw,
            greatest(0.5::double, least(5.0::double, mu + b + bias + w1 * x1 + w2 * x2)) as score
     from fold2 u, f2 f semi join items i on i."movieId" = f."movieId", mu"""
+
+def dual_sql(name: str, rows: str, keys: str, alphas: str) -> dict[str, str]:
+    """Held-out errors ``name`` of ridge models with any number of factors, from products of rows.
+
+    With n rows, K the products of the centred rows and Z = (K + aI)^-1, leaving row i out changes
+    its error to a (Zy)_i / (a Z_ii - 1/n). Z comes from Gauss-Jordan steps on [K + aI | I], one
+    row of the matrix a row of the table. ``rows`` has the keys, ``"movieId", rating, vec, y``.
+    """
+    on = " and ".join(f"x.{k} = z.{k}" for k in keys.split(", "))
+    own = ", ".join(f"x.{k}" for k in keys.split(", "))
+    return {
+        f"{name}_numbered": f"""
+            select *, row_number() over (partition by {keys} order by "movieId") as i,
+                   count(*) over (partition by {keys}) as size, avg(y) over (partition by {keys}) as my from ({rows})""",
+        f"{name}_means": f"""
+            select {keys}, list(m order by d) as m from (
+                select {keys}, d, avg(v) as m from (
+                    select {keys}, unnest(vec) as v, unnest(range(1, len(vec) + 1)) as d from {name}_numbered)
+                group by {keys}, d) group by {keys}""",
+        f"{name}_centred": f"""
+            select x.*, list_transform(list_zip(vec, m), lambda e: e[1] - e[2]) as c
+            from {name}_numbered x join {name}_means z on {on} where size >= 3""",
+        f"{name}_inverse": f"""
+            select 0 as step, {keys}, a, size, i, list(p + case when i = j then a else 0 end order by j)
+                   || list(case when i = j then 1.0::double else 0 end order by j) as line
+            from (select {own}, x.size, x.i, z.i as j, list_dot_product(x.c, z.c) as p
+                  from {name}_centred x join {name}_centred z on {on}),
+                 (select unnest([{alphas}])::double as a) group by all
+            union all
+            select x.step + 1, {own}, x.a, x.size, x.i, case when x.i = x.step + 1
+                   then list_transform(x.line, lambda v: v / x.line[x.step + 1])
+                   else list_transform(list_zip(x.line, z.line), lambda e: e[1] - x.line[x.step + 1] / z.line[x.step + 1] * e[2]) end
+            from {name}_inverse x join {name}_inverse z on {on} and x.a = z.a and z.i = x.step + 1 where x.step < x.size""",
+        name: f"""
+            select {own}, x.a as alpha, r.rating, greatest(0.5::double, least(5.0::double, r.rating
+                   - x.a * list_dot_product(x.line[x.size + 1:2 * x.size], z.t) / (x.a * x.line[x.size + x.i] - 1.0::double / x.size)))
+                   - r.rating as error
+            from {name}_inverse x join (select {keys}, list(y - my order by i) as t from {name}_centred group by {keys}) z on {on}
+            join {name}_centred r on {on.replace("z.", "r.")} and x.i = r.i where x.step = x.size"""}
+
+
+TABLES |= dual_sql("cascade_loo", """
+    select d."userId", d.n, d.draw, k, w."movieId", w.rating, w.y, w.vec[1:k] as vec
+    from draw_rows d join warm64 w using ("userId", "movieId"), (select unnest([1, 2, 64]) as k)""", '"userId", k, n, draw', "1, 10, 100")
 TABLES["cascade"] = """
-    with rows as (
-        select d."userId", n, draw, w."movieId", rating, x1, x2, bias, y, k
-        from draw_rows d join warm2 w using ("userId", "movieId"), (select unnest([1, 2]) as k)),
-    flat as (select * replace (case when k = 1 then 0 else x2 end as x2) from rows),
-    errors as (""" + loo_sql("flat", "1, 100", '"userId", k, n, draw') + """),
-    per_draw as (select "userId", k, n, draw, alpha, sqrt(avg(error * error)) as rmse
-                 from errors group by all)
-    select "userId", k, n, alpha, avg(rmse) as mean_rmse, stddev_pop(rmse) as std_rmse,
-           count(*) as n_draws from per_draw group by all"""
+    select "userId", k, n, alpha, avg(rmse) as mean_rmse, stddev_pop(rmse) as std_rmse, count(*) as n_draws
+    from (select "userId", k, n, draw, alpha, sqrt(avg(error * error)) as rmse from cascade_loo group by all) group by all"""
+TABLES |= dual_sql("sanity_loo", """
+    select "userId", k, "movieId", rating, y, vec[1:k] as vec from warm64, (select unnest([1, 2, 64]) as k)""", '"userId", k', "1, 10, 100")
 
 
 def _needs(sql: str) -> set[str]:
@@ -386,7 +425,7 @@ def with_tables(sql: str, **replaced: str) -> str:
         return sql
     body = ", ".join(f"{name} as ({known[name]})" for name in ordered)
     own = re.match(r"\s*with\b", sql)
-    start = "with recursive" if "inverse64" in ordered else "with"
+    start = "with recursive" if any("inverse" in name for name in ordered) else "with"
     return f"{start} {body}, {sql[own.end():]}" if own else f"{start} {body} {sql}"
 
 
@@ -878,13 +917,9 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
                round(round(mean_rmse, 9), 6) as best_mean_rmse from cascade
         qualify row_number() over (partition by "userId", n
             order by round(mean_rmse, 9), k, alpha) = 1""",
-    "sanity_check": ("""
+    "sanity_check": """
         select "userId", k::bigint as k, alpha, count(*) as n,
-               round(sqrt(avg(error * error)), 6) as rmse from sanity_loo group by 1, 2, 3""", {
-        "sanity_rows": """
-            select w.* replace (case when k = 1 then 0 else x2 end as x2), k
-            from warm2 w, (select unnest([1, 2]) as k)""",
-        "sanity_loo": loo_sql("sanity_rows", "1, 100", '"userId", k')}),
+               round(sqrt(avg(error * error)), 6) as rmse from sanity_loo group by 1, 2, 3""",
     "train_mf_one_factor": (_progress(2), train_sql(2, False)),
     "train_hybrid_one_factor": (_progress(2), train_sql(2, True)),
     "continued_training": (_progress(2, ""), train_sql(2, False)),

@@ -690,7 +690,7 @@ def holdout_metrics(d):
         "variant", "n_test", r6(F.col("rmse")).alias("rmse"), r6(F.col("mae")).alias("mae"))
 
 
-DRAW_SIZES, DRAWS, CASCADE_ALPHAS = (5, 10), 3, (1.0, 100.0)
+DRAW_SIZES, DRAWS, CASCADE_ALPHAS, FACTORS = (5, 10, 15), 3, (1.0, 10.0, 100.0), (1, 2, 64)
 
 
 def _pool(d):
@@ -706,7 +706,7 @@ def draws(d):
 
 def _cascade(d):
     samples = d.written(evaluate.draws(_pool(d), DRAW_SIZES, DRAWS, 0), "draws")
-    errors = evaluate.cascade_errors(_pool(d), {1: d.factors(1), 2: d.factors2}, d.mean, samples,
+    errors = evaluate.cascade_errors(_pool(d), {k: d.factors(k) for k in FACTORS}, d.mean, samples,
                                      CASCADE_ALPHAS, DRAW_SIZES, DRAWS)
     return evaluate.cascade_results(errors)
 
@@ -723,11 +723,11 @@ def loo_cascade(d):
 def cascade_stored(d):
     """The same from stored variants, of which one was never trained."""
     folder = new_folder(d.spark, "variants")
-    for k in (1, 2):
+    for k in FACTORS:
         d.factors(k).write.parquet(store.epoch_path(folder, "items", f"k{k}", 1))
         store.complete_epoch(folder, f"k{k}", 1, d.spark.createDataFrame(
             [(k, False, d.mean, False)], "components int, dry_run boolean, global_mean double, has_content boolean"))
-    rows = training.cascade(d.spark, folder, {1: "k1", 2: "k2", 64: "k64"}, d.stored, list(CASCADE_ALPHAS), list(DRAW_SIZES), DRAWS)
+    rows = training.cascade(d.spark, folder, {k: f"k{k}" for k in (*FACTORS, 128)}, d.stored, list(CASCADE_ALPHAS), list(DRAW_SIZES), DRAWS)
     return rows.select(
         "userId", F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), "alpha",
         "n_draws", r6(F.col("mean_rmse")).alias("mean_rmse"), r6(F.col("std_rmse")).alias("std_rmse"))
@@ -744,7 +744,7 @@ def cascade_best(d):
 
 @query
 def sanity_check(d):
-    rows = evaluate.sanity_check(d.stored, {1: d.factors(1), 2: d.factors2}, d.mean,
+    rows = evaluate.sanity_check(d.stored, {k: d.factors(k) for k in FACTORS}, d.mean,
                                  CASCADE_ALPHAS)
     return rows.select("userId", F.col("k").cast("long").alias("k"), "alpha", "n",
                        r6(F.col("rmse")).alias("rmse"))
