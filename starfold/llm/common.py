@@ -12,7 +12,7 @@ from starfold.session import new_folder
 
 
 #: Rows that travel to a Python worker at a time. Texts may be long, and a batch is in memory on both sides.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -67,6 +67,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def split(data: np.ndarray, borders: np.ndarray) -> Words:
