@@ -251,7 +251,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.words.clear()  # the worker goes on to other work
+        codec.words.clear()  # the worker lives on, and other work needs its memory
 
     return id_and_text(docs, id_column, text_column).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
