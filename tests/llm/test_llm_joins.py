@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
 import pyarrow as pa
@@ -50,6 +51,21 @@ def test_one_row_of_each_component_stays(odd, odd_rows):
     assert {c for i, n, c in brute_join(odd_rows, 5, 80) if n} <= set(kept)
 
 
+def test_repeated_rows_stay_once(spark, odd, odd_rows):
+    """Counts of rows, not sets of ids: repeated rows, copies without an id, and rows without words."""
+    first, second = "one text that many rows hold, each of them without an id", "another text of a row that comes again and again"
+    rows = ([(None, first, "x")] * 40 + [(7, second, "x")] * 30 + [(7, second, "y")] * 3 + [(8, second, "x"), (None, second, "x"), (9, None, "x"), (9, None, "x"), (9, "", "x")]
+            + [(None, None, "x")] * 5 + [(7, "a text of its own under an id that others have", "x")] * 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    left = ngram_join.unique(docs, 5, 80)
+    assert left.columns == docs.columns
+    want = [(None, first), (7, second), (9, None), (9, ""), (None, None), (7, "a text of its own under an id that others have")]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+    found = ngram_join.join(odd, 5, 80).where("is_first").select("doc_id", "text_hash").distinct().count()
+    kept = ngram_join.unique(odd, 5, 80).collect()
+    assert len(kept) == found and set(map(tuple, kept)) <= set(odd_rows)
+
+
 def test_join_nothing(empty):
     assert ngram_join.join(empty).count() == 0
     assert ngram_join.unique(empty).count() == 0
