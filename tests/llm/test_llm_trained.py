@@ -232,6 +232,21 @@ def test_gradient_steps_learn_both_sides():
     assert before < -6 and after > -1.6  # the best possible is about -0.7, without context about -2.5
 
 
+def test_every_word_is_predicted_once(odd, odd_rows, monkeypatch):
+    hashed, doc, _ = masked_lm.word_hashes(pa.array([r[1] for r in odd_rows]))
+    places = [masked_lm.masked(hashed, doc, r, masked_lm.MASK_ONE_OF) for r in range(masked_lm.ROUNDS)]
+    assert np.array_equal(np.sort(np.concatenate(places)), np.arange(len(hashed)))
+    whole, trained = masked_lm._averaged, []
+
+    def counted(found):
+        trained.append(found.agg(F.sum("n")).first()[0])
+        return whole(found)
+
+    monkeypatch.setattr(masked_lm, "_averaged", counted)
+    masked_lm.train(odd)
+    assert sum(trained) == sum(len(words_of(r[1])) for r in odd_rows)
+
+
 def test_scores_of_odd_rows(odd, empty, odd_rows):
     found = masked_lm.score_all(odd).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter((r[0], len(words_of(r[1]))) for r in odd_rows)
