@@ -147,12 +147,17 @@ class Search:
         low, high, vantage, near, far = self.nodes[number, :5].astype(np.int64)
         if vantage < 0:
             score = self.queries[who] @ self.points[low:high].T
-            better = np.flatnonzero(score.max(axis=1) > self.score[who, -1])
+            better = np.flatnonzero(score.max(axis=1) >= self.score[who, -1])
             if len(better):
                 who, score = who[better], score[better]
                 scores = np.concatenate([self.score[who], score], axis=1)
                 rows = np.concatenate([self.row[who], np.broadcast_to(np.arange(low, high), score.shape)], axis=1)
                 pick = np.argpartition(-scores, self.width - 1, axis=1)[:, : self.width]
+                least = np.take_along_axis(scores, pick, 1).min(axis=1)
+                tied = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > self.width)
+                if len(tied):  # of equal scores, the vectors with the smallest ids stay
+                    smallest = np.where(rows[tied] >= 0, self.ids[self.first[np.maximum(rows[tied], 0)]], np.iinfo(np.int64).max)
+                    pick[tied] = np.lexsort((smallest, -scores[tied]), axis=1)[:, : self.width]
                 scores, rows = np.take_along_axis(scores, pick, 1), np.take_along_axis(rows, pick, 1)
                 order = np.argsort(-scores, axis=1, kind="stable")
                 self.score[who], self.row[who] = np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)

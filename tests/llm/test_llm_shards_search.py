@@ -114,6 +114,21 @@ def test_neighbours(spark, factor, shard_rows):
         assert hits >= 0.9 * sum(len(v) for v in want.values())
 
 
+def test_ties_go_to_the_smaller_id():
+    """More distinct vectors than a search keeps have the same product with a query."""
+    rng = np.random.default_rng(9)
+    points = np.unique(rng.integers(0, 3, (1500, 8)), axis=0).astype(float)
+    points = points[points.any(axis=1)]
+    ids = rng.permutation(len(points)).astype(np.int64)
+    queries = np.concatenate([np.eye(8), -np.eye(8), points[:20]])
+    asked = np.concatenate([np.arange(-16, 0), ids[:20]])
+    for leaf_rows in (64, 256, 5_000):
+        q, found, score = vp_trees.Search(vp_trees.Tree(ids, points, 20, leaf_rows).to_bytes()).nearest(asked, queries, 20, 1.0)
+        for own, v in zip(asked, queries):
+            near = sorted((-float(w @ v), int(i)) for i, w in zip(ids, points) if i != own)[:20]
+            assert list(zip(-score[q == own], found[q == own])) == near
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vp_trees.neighbours(none, 20, 20).count() == 0
