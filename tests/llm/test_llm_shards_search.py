@@ -1,10 +1,12 @@
 """Shards and nearest neighbours against their laws and brute force."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from starfold.llm import sharding, vp_trees
@@ -129,6 +131,49 @@ def test_ties_go_to_the_smaller_id():
             assert list(zip(-score[q == own], found[q == own])) == near
 
 
+def recall(points, every=20, k=20, factor=vp_trees.FACTOR):
+    """Share of the true nearest that a tree of production size finds, and share of its rows that are compared."""
+    class Counting(vp_trees.Search):
+        seen = 0
+
+        def _visit(self, number, who):
+            low, high, vantage = self.nodes[number, :3].astype(np.int64)
+            if vantage < 0:
+                self.seen += len(who) * (high - low)
+            super()._visit(number, who)
+
+    ids = np.arange(len(points))
+    hits = seen = wanted = 0
+    for shard in np.array_split(ids, -(-len(ids) // vp_trees.SHARD_ROWS)):
+        tree = vp_trees.Tree(shard, points[shard], k)
+        assert len(tree.nodes) >= 7  # several levels
+        search, asked = Counting(tree.to_bytes()), ids[::every]
+        q, found, _ = search.nearest(asked, points[asked], k, factor)
+        seen += search.seen
+        for own in asked:
+            score = points[shard] @ points[own]
+            score[shard == own] = -np.inf
+            kth = np.partition(score, -k)[-k]
+            hits += (points[found[q == own]] @ points[own] >= kth - 1e-9).sum()
+            wanted += k
+    return hits / wanted, seen / (len(ids) * len(asked))
+
+
+@pytest.mark.parametrize("dim", [3, 6])
+def test_recall_where_halves_are_skipped(dim):
+    points = np.random.default_rng(2).normal(size=(16_000, dim))
+    found, visited = recall(points / np.linalg.norm(points, axis=1)[:, None])
+    print(f"{dim} dimensions: recall {found:.4f}, rows visited {visited:.4f}")
+    assert found >= 0.9 and visited < 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables not present")
+def test_recall_of_embeddings():
+    found, visited = recall(np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), np.float64))
+    print(f"embeddings: recall {found:.4f}, rows visited {visited:.4f}")
+    assert found >= 0.9
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vp_trees.neighbours(none, 20, 20).count() == 0
