@@ -67,7 +67,8 @@ class Pieces(Tokens):
         self.forget()
 
     def _numbers(self, words: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.model.encode([w[1:] for w in words], num_threads=1)]
+        blank = [self.model.piece_to_id("▁")]  # the model has nothing for an empty text
+        return [np.array(ids or blank, "<u4").tobytes() for ids in self.model.encode([w[1:] for w in words], num_threads=1)]
 
     def encode_all(self, column: pa.Array) -> list[bytes]:
         data, borders = W.text_bytes(column)
