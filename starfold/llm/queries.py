@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, cotraining, masked_lm, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
+from . import alignment, bpe, cotraining, hard_negatives, masked_lm, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
 from .common import documents, table
 
 
@@ -50,12 +50,16 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_lm_scoring, op4_bpe_round_trip, op5_quality_rules, op6_quality_classifier, op7_substring_dedup, op8_toxicity, op9_sharding, op10_nearest_neighbours,
-                                   op13_tokenizer_alignment)}
+                                   op12_hard_negatives, op13_tokenizer_alignment)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)
@@ -74,6 +78,20 @@ sides as (select a, b from links union select b, a from links),
 reach as (select doc_id, doc_id as root from n union select b, root from reach join sides on doc_id = a)
 select d.doc_id, coalesce(any_value(n), 0) as n_shingles, coalesce(min(root), d.doc_id) as component_id
 from documents d left join n on n.doc_id = d.doc_id left join reach r on r.doc_id = d.doc_id group by d.doc_id""",
+           "op12_hard_negatives": """
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)) as q
+           from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+p as (select anchor_id, own, vec_id as positive_id, score as positive_score from s where label = own
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and s.label <> p.own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10""",
            "op7_substring_dedup": rf"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
 wins as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w)),
