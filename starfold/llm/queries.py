@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, cotraining, hard_negatives, masked_lm, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
+from . import alignment, bpe, cotraining, hard_negatives, masked_lm, mixing, ngram_join, packing, quality_rules, repeats, sharding, toxicity, vp_trees
 from .common import documents, table
 
 
@@ -50,6 +50,10 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vp_trees.neighbours(table(spark, folder, "embeddings"), every=20, k=20)
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"))
 
@@ -59,7 +63,7 @@ def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_lm_scoring, op4_bpe_round_trip, op5_quality_rules, op6_quality_classifier, op7_substring_dedup, op8_toxicity, op9_sharding, op10_nearest_neighbours,
-                                   op12_hard_negatives, op13_tokenizer_alignment)}
+                                   op11_source_mixing, op12_hard_negatives, op13_tokenizer_alignment)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _MEASURES = list(quality_rules.MEASURES)
