@@ -873,6 +873,9 @@ def record_lines(d):
 # ------------------------------------------------------------------ streaming
 
 
+ARRIVALS = "userId long, movieId long, rating double, line_no long"
+
+
 def _arrivals(d, batches=False):
     """Profile rows as they arrive: the table as one file, or in a file a month, some files a batch."""
     schema, folder, reader = d.table("events").schema, d.folder, d.spark.readStream
@@ -892,7 +895,7 @@ def _arrivals(d, batches=False):
 @query
 def stream_fold_in(d):
     folder = new_folder(d.spark, "stream")
-    jobs.fold_in_stream(_arrivals(d), d.factors2, d.mean, folder).awaitTermination()
+    jobs.fold_in_stream(_arrivals(d), d.factors2, d.mean, folder, partitions=8).awaitTermination()
     users = jobs.current_users(d.spark, folder)
     return users.select("userId", "n", r6(F.col("bias")).alias("bias"),
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
@@ -901,7 +904,7 @@ def stream_fold_in(d):
 @query
 def stream_fold_in_batches(d):
     folder = new_folder(d.spark, "stream")
-    jobs.fold_in_stream(_arrivals(d, batches=True), d.factors2, d.mean, folder).awaitTermination()
+    jobs.fold_in_stream(_arrivals(d, batches=True), d.factors2, d.mean, folder, partitions=8).awaitTermination()
     users = jobs.current_users(d.spark, folder)
     return users.select("userId", "n", r6(F.col("bias")).alias("bias"),
                         r6(F.col("vec")[0]).alias("w1"), r6(F.col("vec")[1]).alias("w2"))
@@ -922,15 +925,16 @@ def stream_features(d):
 def stream_record_keys(d):
     """Keys stored after several batches; which row of a key came first depends on the files."""
     folder = new_folder(d.spark, "stream")
-    jobs.record_stream(_arrivals(d, batches=True), "movieId", "line_no", folder).awaitTermination()
-    return jobs.stored_records(d.spark, folder).groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
+    # three batches, merged after the first and again after the second
+    jobs.record_stream(_arrivals(d, batches=True), "movieId", "line_no", folder, compact_every=1).awaitTermination()
+    return jobs.stored_records(d.spark, folder, ARRIVALS).groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def stream_records(d):
     folder = new_folder(d.spark, "stream")
     jobs.record_stream(_arrivals(d), "movieId", "line_no", folder).awaitTermination()
-    return jobs.stored_records(d.spark, folder).select("movieId", "userId", "rating", "line_no")
+    return jobs.stored_records(d.spark, folder, ARRIVALS).select("movieId", "userId", "rating", "line_no")
 
 
 # ------------------------------------------------------------------ scalar functions

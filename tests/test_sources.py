@@ -1,6 +1,8 @@
 """Readers, stores and streams on small files."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from starfold import schemas
 from starfold.operators import features as feat
 from starfold.sources import store, tables
 from starfold.streaming import jobs
+from starfold.streaming.store import BatchStore, newest
 
 
 def test_csv_tables(spark, tmp_path):
@@ -101,7 +104,7 @@ def test_streams_over_several_batches(spark, tmp_path):
         jobs.record_stream(arrivals, "movieId", "line_no", out + "-records").awaitTermination()
     users = {r.userId: r for r in jobs.current_users(spark, out).collect()}
     assert {u: (r.n, r.status) for u, r in users.items()} == {1: (2, "ok"), 2: (2, "ok")}
-    stored = {r.movieId: r.line_no for r in jobs.stored_records(spark, out + "-records").collect()}
+    stored = {r.movieId: r.line_no for r in jobs.stored_records(spark, out + "-records", schema).collect()}
     assert stored == {0: 2, 1: 1, 3: 3}
     batch = spark.createDataFrame([r for b in batches for r in b], schema)
     from starfold.operators.foldin import fold_in
@@ -112,9 +115,10 @@ def test_streams_over_several_batches(spark, tmp_path):
 
 def test_batch_that_runs_again_replaces_itself(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 4.0, 0)], "userId long, movieId long, rating double, line_no long")
+    store = BatchStore(spark, str(tmp_path / "rows"), "userId")
     for _ in range(2):
-        jobs._write_batch(rows, str(tmp_path / "rows"), 0)
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
+        store.write(rows, 0)
+    assert store.read(RATED).count() == 1
 
 
 def test_last_line_of_the_links_file_wins(spark, tmp_path):
@@ -132,3 +136,79 @@ def test_last_line_of_an_export_wins(spark, tmp_path):
     own = rows.withColumn("userId", F.lit(1)).withColumn("movieId", F.length("title"))
     assert {(r.movieId, r.rating) for r in tables.profile(own.where("title = 'A'")).collect()} == {(1, 4.0)}
     assert [r.year for r in rows.where("title = 'B'").collect()] == [None]
+
+
+RATED = "userId long, movieId long, rating double, line_no long"
+
+
+def test_fold_in_state_over_twelve_batches(spark, tmp_path):
+    """A batch reads what arrives and no more, and the solutions are those of all latest ratings."""
+    from starfold.operators.foldin import fold_in
+
+    rng = random.Random(7)
+    factors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], 0.0) for i in range(40)], "movieId long, vec array<float>, bias double")
+    rows, line = [], 0
+    for batch in range(12):
+        for _ in range(60):  # items 40 to 44 are unknown, and ratings change
+            rows.append((batch, rng.randrange(8), rng.randrange(45), rng.randrange(1, 11) / 2, line))
+            line += 1
+    late = rows[5]
+    rows += [(11, *late[1:4], late[4]), (11, late[1], late[2], 0.5, -1)]  # the same line again, and one older than all
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in range(12):
+        spark.createDataFrame([r[1:] for r in rows if r[0] == batch], RATED).coalesce(1).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema(RATED).option("maxFilesPerTrigger", 1).parquet(source)
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    query = jobs.fold_in_stream(arrivals, factors, 3.0, out, [1.0, 10.0], partitions=2, compact_every=5)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    query.awaitTermination()
+    # the frozen factors and the batch are all that is read, and no ratings are stored beside the state
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(read) == 12 and max(read) <= 62
+    assert sorted(os.listdir(out)) == ["checkpoint", "users"]
+    found = {(r.userId, r.alpha): r for r in jobs.current_users(spark, out).collect()}
+    whole = fold_in(tables.profile(spark.createDataFrame([r[1:] for r in rows], RATED)), factors, 3.0, [1.0, 10.0]).collect()
+    assert len(found) == len(whole) == 16
+    for row in whole:
+        mine = found[row.userId, row.alpha]
+        assert (mine.n, mine.status) == (row.n, row.status)
+        assert mine.vec == pytest.approx(row.vec, abs=1e-9) and mine.bias == pytest.approx(row.bias, abs=1e-9)
+
+
+def test_state_of_users_with_too_few_or_unknown_items(spark, tmp_path):
+    factors = spark.createDataFrame([(1, [1.0], 0.0), (2, [2.0], 0.0)], "movieId long, vec array<float>, bias double")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 9, 3.0, 0), (2, 1, 3.0, 1), (3, 1, 3.0, 2), (3, 2, None, 3)], RATED).write.parquet(source)
+    jobs.fold_in_stream(spark.readStream.schema(RATED).parquet(source), factors, 3.0, out, partitions=2).awaitTermination()
+    assert sorted((r.userId, r.n, r.status, r.vec) for r in jobs.current_users(spark, out).collect()) == [
+        (1, 0, "too_few", None), (2, 1, "too_few", None), (3, 1, "too_few", None)]
+
+
+def test_compaction_between_batches_and_a_failure_in_it(spark, tmp_path):
+    store = BatchStore(spark, str(tmp_path / "rows"), "userId")
+
+    def batch(n):
+        return spark.createDataFrame([(u, n, float(n), n) for u in range(20)], RATED)
+
+    def now():
+        return sorted((r.userId, r.movieId, r.batch_id) for r in store.read(RATED).collect())
+
+    for n in range(3):
+        store.write(batch(n), n)
+    before = now()
+    store.merge(RATED, 1)  # ends before its mark is set
+    assert now() == before and store.marks() == []
+    store.compact(RATED, 1)
+    assert now() == before and [last for last, _ in store.marks()] == [1]
+    # what the first mark covers is still there for readers that began before it
+    assert store.batches() == [0, 1, 2]
+    store.write(batch(3), 3)
+    store.write(batch(3), 3)  # runs again
+    old = store.read(RATED)
+    store.compact(RATED, 2, lambda rows: newest(rows, "userId"))
+    assert store.batches() == [2, 3] and len(os.listdir(tmp_path / "rows" / "_merged")) == 2
+    assert old.count() == 80  # its files have outlived the mark
+    assert now() == sorted((u, n, n) for u in range(20) for n in (2, 3))
+    assert sorted(r.movieId for r in store.read(RATED, before=3, buckets=store.touched(batch(0).where("userId = 4"))).where("userId = 4").collect()) == [2]
+    store.compact(RATED, 2)  # nothing new
+    assert [last for last, _ in store.marks()] == [1, 2]
