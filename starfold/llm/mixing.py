@@ -201,11 +201,12 @@ def allotted(draws: DataFrame, shards: int, seed: int = 0, members: int = MEMBER
     while (highest or 0) >= members ** depth:
         depth += 1
     each = [total // shards + (r < total % shards) for r in range(shards)]
-    capacity = spark.range(1).select(F.lit(0).cast("long").alias("parent"), F.lit(each).cast("array<bigint>").alias("capacity"))
+    capacity = None
     for level in range(depth - 1, -1, -1):
         inside = quotas.groupBy(F.floor(F.col("s") / members ** level).alias("id")).agg(F.sum("quota").alias("quota"))
         rows = (inside.groupBy(F.floor(F.col("id") / members).alias("parent")).agg(F.sort_array(F.collect_list(F.struct("id", "quota"))).alias("list"))
-                .select("parent", F.col("list.id").alias("ids"), F.col("list.quota").alias("quotas")).join(capacity, "parent"))
+                .select("parent", F.col("list.id").alias("ids"), F.col("list.quota").alias("quotas")))
+        rows = rows.withColumn("capacity", F.lit(each).cast("array<bigint>")) if capacity is None else rows.join(capacity, "parent")
         dealt = written(spark, split(rows, shards, seed + level), "quotas-split")
         capacity = (dealt.groupBy(F.col("id").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("list"))
                     .select("parent", F.col("list.n").alias("capacity")))
