@@ -60,9 +60,9 @@ def fold_in_stream(arrivals: DataFrame, factors: DataFrame, mean: float, path: s
     """
     spark = arrivals.sparkSession
     users = BatchStore(spark, f"{path}/users")
-    known = factors.select("movieId", F.col("vec").cast("array<double>").alias("vec"))
+    known = factors.select("movieId", F.col("vec").cast("array<double>").alias("vec"), F.col("bias").cast("double").alias("bias"))
     rows = arrivals.join(known, "movieId", "left").select(
-        F.col("userId").cast("long").alias("userId"), "movieId", F.col("rating").cast("double").alias("rating"), F.col("line_no").cast("long").alias("line_no"), "vec")
+        F.col("userId").cast("long").alias("userId"), "movieId", F.col("rating").cast("double").alias("rating"), F.col("line_no").cast("long").alias("line_no"), "vec", "bias")
     solved = rows.groupBy("userId").transformWithStateInPandas(TasteState(float(mean), alphas), USERS, "Update", "None")
 
     def handle(batch: DataFrame, batch_id: int) -> None:

@@ -1,6 +1,6 @@
 """Fold-in as state: what a user's ratings add up to, changed by the ratings that arrive.
 
-A user's state is the Gram matrix of their rows ``[item vector, rating - mean, 1]`` and their latest
+A user's state is the Gram matrix of their rows ``[item vector, rating - mean - item bias, 1]`` and their latest
 rating per item. A new rating is a rank-one update of the matrix, a changed one a downdate by the old row and an
 update by the new one; a rating that is older than the stored one changes nothing. So a batch costs what
 arrives in it, at any length of the history. The latest ratings are kept in chunks by item, and only the
@@ -40,7 +40,7 @@ def changed(chunk: dict[int, tuple[float, int]], arrived: pd.DataFrame) -> tuple
 
 
 class TasteState(StatefulProcessor):
-    """Rows ``movieId, rating, line_no, vec`` of a user -> their solution for every penalty."""
+    """Rows ``movieId, rating, line_no, vec, bias`` of a user -> their solution for every penalty."""
 
     def __init__(self, mean: float, alphas: Sequence[float], min_rows: int = 2):
         self.mean, self.alphas, self.min_rows = mean, tuple(map(float, alphas)), min_rows
@@ -49,9 +49,9 @@ class TasteState(StatefulProcessor):
         self.latest = handle.getMapState("latest", "chunk int", "items array<long>, ratings array<double>, lines array<long>")
         self.sums = handle.getValueState("sums", "gram array<double>")
 
-    def _rows(self, vectors: np.ndarray, pairs: list[tuple[int, float]]) -> np.ndarray:
+    def _rows(self, vectors: np.ndarray, bias: np.ndarray, pairs: list[tuple[int, float]]) -> np.ndarray:
         at = [row for row, _ in pairs]
-        rating = np.array([rating for _, rating in pairs], np.float64) - self.mean
+        rating = np.array([rating for _, rating in pairs], np.float64) - self.mean - bias[at]
         return np.column_stack([vectors[at], rating, np.ones(len(at))])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,8 @@ class TasteState(StatefulProcessor):
             if not add:
                 continue
             vectors = np.array(arrived["vec"].tolist(), np.float64)
-            new, old = self._rows(vectors, add), self._rows(vectors, take)
+            bias = arrived["bias"].to_numpy(np.float64)
+            new, old = self._rows(vectors, bias, add), self._rows(vectors, bias, take)
             gram = new.T @ new - old.T @ old + (0 if gram is None else gram)
             self.latest.updateValue(at, (list(chunk), [r for r, _ in chunk.values()], [n for _, n in chunk.values()]))
         if gram is not None:

@@ -146,7 +146,7 @@ def test_fold_in_state_over_twelve_batches(spark, tmp_path):
     from starfold.operators.foldin import fold_in
 
     rng = random.Random(7)
-    factors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], 0.0) for i in range(40)], "movieId long, vec array<float>, bias double")
+    factors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], rng.gauss(0, 0.5)) for i in range(40)], "movieId long, vec array<float>, bias double")
     rows, line = [], 0
     for batch in range(12):
         for _ in range(60):  # items 40 to 44 are unknown, and ratings change
