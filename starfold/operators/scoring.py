@@ -1,20 +1,27 @@
 """Scores of user-item pairs, and the best items of every user without forming all pairs.
 
-The ranking cuts users and items into blocks. A task gets one user block and one item
-block, multiplies the two matrices and keeps the best n items per user; only those
-leave the task. Blocks have bounded size, every item vector is sent once per user
-block instead of once per user, and a final rank merges the blocks of a user.
+The ranking cuts items into blocks of bounded size by falling vector length, and users into blocks. A task gets
+one user block and one item block, multiplies the two matrices and keeps the best n items per user; only those
+leave the task. All users meet the first block. No item of another block can score more with a user than the
+block's highest bias and its greatest length times the user's length allow, so a user meets only those
+blocks that can still beat the n-th score found. Users with about as many blocks to meet share user blocks.
+
+With a required support, candidates are verified lazily: in score order, until n of them pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.functions.scalars import HIGHEST_RATING, LOWEST_RATING, clamp
-from starfold.functions.vectors import NORM_FLOOR, dot, unit
+from starfold.functions.vectors import NORM_FLOOR, dot, norm, unit
 from starfold.operators.ridge import _list_matrix
+from starfold.session import new_folder
 
 USERS_PER_BLOCK = 2048
 ITEMS_PER_BLOCK = 8192
@@ -44,18 +51,41 @@ def predict_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, mean: Co
         "_u", "_ub", "_i", "_ib")
 
 
-def _block_count(df: DataFrame, key: str, per_block: int) -> int:
-    """Number of blocks, from an approximate count of the keys."""
-    n = df.agg(F.approx_count_distinct(key)).first()[0]
-    return max(1, -(-n // per_block))
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ------------------------------------------------------------------ item blocks
 
 
-def _block_of(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+class Blocks(NamedTuple):
+    """What the items of each block can reach at most; one row per ``ITEMS_PER_BLOCK`` items."""
 
+    number: np.ndarray
+    length: np.ndarray
+    high_bias: np.ndarray
+    low_bias: np.ndarray
+    first_id: np.ndarray
 
-def _every_block(blocks: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    def reach(self, base: np.ndarray, weight: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Bounds of the scores of users (rows) in the blocks (columns)."""
+        bias = np.maximum(np.outer(weight, self.high_bias), np.outer(weight, self.low_bias))
+        bound = base[:, None] + bias + np.outer(length, self.length)
+        return bound + 1e-9 * (1 + np.abs(bound))
+
+
+def item_blocks(items: DataFrame) -> tuple[DataFrame, Blocks]:
+    """Items with their ``item_block``, numbered by falling vector length, and the blocks' bounds."""
+    plain = items.select("movieId", "vec", F.col("bias").cast("double").alias("bias"), norm(F.col("vec")).alias("length"))
+    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
+    # of equal lengths the ids decide, so that any number of items of one length is split too
+    ranged = plain.repartitionByRange(blocks, F.desc("length"), "movieId").withColumn("item_block", F.spark_partition_id())
+    placed = _written(ranged, "item-blocks")
+    rows = placed.groupBy("item_block").agg(F.max("length"), F.max("bias"), F.min("bias"), F.min("movieId")).orderBy("item_block").collect()
+    columns = [np.array(c) for c in zip(*rows)] if rows else [np.zeros(0)] * 5
+    return placed, Blocks(*columns)
 
 
 def _hide_rated(score: np.ndarray, ids: np.ndarray, rated: pa.Array) -> None:
@@ -85,16 +115,70 @@ def _best(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return row[order], column[order]
 
 
-def _support(users: pa.Table, q: np.ndarray) -> np.ndarray:
-    """Largest cosine of every item to the rated items of each user."""
-    lengths = np.linalg.norm(q, axis=1)
-    directions = q / np.maximum(lengths, NORM_FLOOR)[:, None]
-    support = np.empty((users.num_rows, len(q)))
-    for row, piece in enumerate(users.column("rated_unit")):
-        profile = _list_matrix(piece.values)
-        support[row] = (directions @ profile.T).max(axis=1)
-    support[:, lengths < NORM_FLOOR] = 0.0
-    return support
+# ------------------------------------------------------------------ lazy verification
+
+
+class Profile:
+    """Directions of the items a user rated, in clusters with the largest angle of a member to its center."""
+
+    SMALL = 32
+
+    def __init__(self, directions: np.ndarray):
+        self.directions = directions
+        self.computed = 0
+        rows = directions[np.linalg.norm(directions, axis=1) > 0.5]  # those without a length support nothing
+        count = 1 if len(rows) < self.SMALL else int(len(rows) ** 0.5)
+        centers = rows[np.linspace(0, len(rows) - 1, count).astype(int)] if len(rows) else rows
+        for _ in range(2 if len(rows) else 0):
+            nearest = (rows @ centers.T).argmax(axis=1)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, nearest, rows)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centers = np.where(size > NORM_FLOOR, sums / np.maximum(size, NORM_FLOOR), centers)
+        nearest = (rows @ centers.T).argmax(axis=1) if len(rows) else np.zeros(0, int)
+        self.centers = centers
+        self.members = [rows[nearest == c] for c in range(len(centers))]
+        self.angle = np.array([np.arccos(np.clip(m @ c, -1, 1)).max(initial=0.0) for m, c in zip(self.members, centers)])
+
+    def passing(self, items: np.ndarray, least: float) -> np.ndarray:
+        """Which item directions have a cosine of ``least`` with some member.
+
+        An item is nearer than its angle to the center less the cluster's to no member, so most clusters are not looked into.
+        """
+        passed = np.zeros(len(items), bool)
+        if not len(self.centers):
+            return passed
+        angle = np.arccos(np.clip(items @ self.centers.T, -1, 1))
+        bound = np.cos(np.maximum(angle - self.angle, 0.0))
+        self.computed += angle.size
+        for c in np.argsort(angle.min(axis=0)):
+            rows = np.flatnonzero(~passed & (bound[:, c] >= least - 1e-9))
+            if len(rows):
+                passed[rows] = (items[rows] @ self.members[c].T).max(axis=1) >= least
+                self.computed += len(rows) * len(self.members[c])
+        return passed
+
+    def support(self, items: np.ndarray) -> np.ndarray:
+        """Largest cosine of each item direction to a member."""
+        self.computed += len(items) * len(self.directions)
+        return (items @ self.directions.T).max(axis=1) if len(items) else np.zeros(0)
+
+
+def verified(score: np.ndarray, directions: np.ndarray, profile: Profile, n: int, least: float, need: float) -> np.ndarray:
+    """Columns of the n best scores whose items have the support; scores below ``need`` do not matter."""
+    order = np.argsort(-score, kind="stable")
+    order = order[score[order] >= need]
+    order = order[np.isfinite(score[order])]
+    found: list[int] = []
+    begin, size = 0, 4 * n
+    while begin < len(order) and len(found) < n:
+        some = order[begin: begin + size]
+        found.extend(some[profile.passing(directions[some], least)].tolist())
+        begin, size = begin + size, 2 * size
+    return np.array(found[:n], int)
+
+
+# ------------------------------------------------------------------ ranking
 
 
 def _score_cell(n: int, low: float | None, high: float | None, min_support: float):
@@ -110,14 +194,23 @@ def _score_cell(n: int, low: float | None, high: float | None, min_support: floa
         raw += np.outer(users.column("bias_weight").to_numpy(), items.column("bias").to_numpy())
         score = raw.copy() if low is None else np.clip(raw, low, high)
         _hide_rated(score, ids, users.column("rated").combine_chunks())
-        support = None
         if min_support > 0:
             # A long profile is here in pieces. An item of the overall top n is in the top n of
             # every piece it passes in, so no piece needs to keep more.
-            support = _support(users, q)
-            score[support < min_support] = -np.inf
-        row, column = _best(score, n)
-        support = np.full(len(row), np.nan) if support is None else support[row, column]
+            lengths = np.linalg.norm(q, axis=1)
+            directions = np.where(lengths[:, None] < NORM_FLOOR, 0.0, q / np.maximum(lengths, NORM_FLOOR)[:, None])
+            need = users.column("need").to_numpy()
+            rows, columns, supports = [], [], []
+            for row, piece in enumerate(users.column("rated_unit")):
+                profile = Profile(_list_matrix(piece.values))
+                chosen = verified(score[row], directions, profile, n, min_support, need[row])
+                rows.append(np.full(len(chosen), row))
+                columns.append(chosen)
+                supports.append(profile.support(directions[chosen]))
+            row, column, support = (np.concatenate(x) for x in (rows, columns, supports))
+        else:
+            row, column = _best(score, n)
+            support = np.full(len(row), np.nan)
         arrays = (users.column("userId").to_numpy()[row], ids[column], raw[row, column],
                   score[row, column], support)
         return pa.Table.from_arrays(
@@ -126,6 +219,54 @@ def _score_cell(n: int, low: float | None, high: float | None, min_support: floa
     return run
 
 
+def wanted_blocks(users: DataFrame, blocks: Blocks, bounds: tuple[float, float] | None) -> DataFrame:
+    """Users once per block they must still meet, with ``bucket``, the magnitude of their number of blocks.
+
+    ``need`` and ``need_id`` are the n-th score found in the first block and its item; the first block is done.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            base, weight, length, need = (column[c].to_numpy(zero_copy_only=False) for c in ("base", "bias_weight", "length", "need"))
+            bound = blocks.reach(base, weight, length)
+            if bounds is not None:
+                bound = np.clip(bound, *bounds)
+            # a block that can only tie needs an item with a smaller id
+            tie = (bound == need[:, None]) & (blocks.first_id < column["need_id"].to_numpy(zero_copy_only=False)[:, None])
+            open_blocks = ((bound > need[:, None]) | tie) & (blocks.number > 0)
+            row, block = np.nonzero(open_blocks)
+            bucket = np.floor(np.log2(np.maximum(open_blocks.sum(axis=1), 1))).astype(np.int32)
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(blocks.number[block].astype(np.int32)), pa.array(bucket[row])],
+                names=[*batch.schema.names, "item_block", "bucket"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in users.schema)
+    return users.mapInArrow(run, f"{fields}, item_block int, bucket int")
+
+
+def _met(routes: DataFrame, sizes: DataFrame, items: DataFrame, masked: DataFrame, n: int,
+         bounds: tuple[float, float] | None, min_support: float) -> DataFrame:
+    """The best items of every routed user in the blocks they are routed to.
+
+    sizes: ``bucket, load`` of the users of each bucket; it says how many user blocks a bucket has.
+    """
+    # a bucket is a magnitude of a number of blocks, so there are a few dozen of them
+    blocks = {r["bucket"]: max(1, int(np.ceil(r["load"]))) for r in sizes.collect()}
+    if not blocks:
+        return items.sparkSession.createDataFrame([], TOP_DDL)
+    count = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("bucket"))
+    own = F.pmod(F.xxhash64("userId", "piece"), count).cast("int")
+    placed = routes.withColumn("user_block", F.concat_ws("-", "bucket", own))
+    pairs = placed.select(F.col("user_block").alias("user_block"), F.col("item_block").alias("item_block")).distinct()
+    left = placed.join(masked, ["userId", "item_block"], "left")
+    right = items.join(pairs, "item_block").select("movieId", "vec", "bias", "user_block", "item_block")
+    low, high = bounds or (None, None)
+    return left.groupBy("user_block", "item_block").cogroup(
+        right.groupBy("user_block", "item_block")).applyInArrow(_score_cell(n, low, high, min_support), TOP_DDL)
+
+
 def top_items(
     users: DataFrame,
     items: DataFrame,
@@ -134,7 +275,6 @@ def top_items(
     bounds: tuple[float, float] | None = (LOWEST_RATING, HIGHEST_RATING),
     min_support: float = 0.0,
     profile_items: DataFrame | None = None,
-    user_ids: DataFrame | None = None,
 ) -> DataFrame:
     """The n best unrated items of every user: ``userId, movieId, raw, score, support, rank``.
 
@@ -143,47 +283,47 @@ def top_items(
     must not be returned. The order is by score (clamped to ``bounds``), then item id.
     min_support: a candidate must reach this cosine to some item the user rated;
     ``profile_items`` supplies the vectors of rated items (default: ``items``).
-    user_ids: a cheap table with a ``userId`` column to size the blocks from.
     """
     if "bias_weight" not in users.columns:
         users = users.withColumn("bias_weight", F.lit(1.0))
-    n_item_blocks = _block_count(items, "movieId", ITEMS_PER_BLOCK)
-    n_user_blocks = _block_count(user_ids if user_ids is not None else users, "userId",
-                                 USERS_PER_BLOCK)
+    placed, blocks = item_blocks(items)
     # Only rated items that are candidates need masking; as distinct items of one block
     # their number per user is bounded, and repeats are dropped before the shuffle.
-    masked = rated.join(items.select("movieId"), "movieId", "left_semi").groupBy(
-        "userId", _block_of("movieId", n_item_blocks).alias("item_block")).agg(
+    masked = rated.join(placed.select("movieId", "item_block"), "movieId").groupBy("userId", "item_block").agg(
         F.collect_set("movieId").alias("rated"))
     left = users.where(F.col("vec").isNotNull()).select(
         "userId", F.col("vec").cast("array<double>").alias("vec"),
         F.col("base").cast("double").alias("base"),
         F.col("bias_weight").cast("double").alias("bias_weight"))
+    left = left.withColumn("length", norm(F.col("vec")))
     if min_support > 0:
         vectors = (profile_items if profile_items is not None else items)
         left = left.join(_profile_pieces(rated, vectors), "userId")
-        n_user_blocks = max(n_user_blocks, -(-rated.count() // RATED_PER_BLOCK))
+        load = F.greatest(F.lit(1.0 / USERS_PER_BLOCK), F.size("rated_unit") / RATED_PER_BLOCK)
     else:
-        left = left.withColumn("piece", F.lit(0))
-    left = left.withColumn("item_block", _every_block(n_item_blocks))
-    left = left.join(masked, ["userId", "item_block"], "left").withColumn(
-        "user_block", F.pmod(F.xxhash64("userId", "piece"), F.lit(n_user_blocks)).cast("int")).drop("piece")
-    right = items.select(
-        "movieId", "vec", F.col("bias").cast("double").alias("bias"),
-        _block_of("movieId", n_item_blocks).alias("item_block"),
-        _every_block(n_user_blocks).alias("user_block"))
-    low, high = bounds or (None, None)
-    cells = left.groupBy("user_block", "item_block").cogroup(
-        right.groupBy("user_block", "item_block")).applyInArrow(
-        _score_cell(n, low, high, min_support), TOP_DDL)
-    if min_support > 0:
-        # A long profile was compared piece by piece; its best piece counts.
-        cells = cells.groupBy("userId", "movieId").agg(
-            F.max("raw").alias("raw"), F.max("score").alias("score"),
-            F.max("support").alias("support"))
+        left, load = left.withColumn("piece", F.lit(0)), F.lit(1.0 / USERS_PER_BLOCK)
+    left = _written(left.withColumn("load", load), "ranked-users")
     order = Window.partitionBy("userId").orderBy(F.col("score").desc(), "movieId")
-    ranked = cells.withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= n)
+
+    def ranked(cells: DataFrame) -> DataFrame:
+        if min_support > 0:
+            # A long profile was compared piece by piece; its best piece counts.
+            cells = cells.groupBy("userId", "movieId").agg(
+                F.max("raw").alias("raw"), F.max("score").alias("score"), F.max("support").alias("support"))
+        return cells.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+
+    first = left.withColumns({"item_block": F.lit(0), "bucket": F.lit(0), "need": F.lit(float("-inf"))})
+    some = _met(first, left.groupBy(F.lit(0).alias("bucket")).agg(F.sum("load").alias("load")), placed, masked, n, bounds, min_support)
+    if len(blocks.number) <= 1 or n < 1:
+        return ranked(some)
+    some = _written(some, "first-block")
+    found = ranked(some).where(F.col("rank") == n).select("userId", F.col("score").alias("need"), F.col("movieId").alias("need_id"))
+    known = left.join(found, "userId", "left").withColumns({"need": F.coalesce("need", F.lit(float("-inf"))), "need_id": F.coalesce("need_id", F.lit(0)).cast("long")})
+    routes = _written(wanted_blocks(known, blocks, bounds), "routes")
+    # a user's load counts once, not once per block
+    each = routes.groupBy("userId", "piece").agg(F.first("bucket").alias("bucket"), F.first("load").alias("load"))
+    sizes = each.groupBy("bucket").agg(F.sum("load").alias("load"))
+    return ranked(some.unionByName(_met(routes, sizes, placed, masked, n, bounds, min_support)))
 
 
 def _profile_pieces(rated: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -201,59 +341,58 @@ def _profile_pieces(rated: DataFrame, vectors: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ score components
 
-_SUMMARY = pa.schema([("userId", pa.int64())] + [
-    (f"{part}_{stat}", pa.float64()) for part in ("popularity", "personal")
-    for stat in ("min", "max", "sum", "sumsq")] + [("n", pa.int64())])
-SUMMARY_DDL = ", ".join(["userId long"] + [
-    f"{part}_{stat} double" for part in ("popularity", "personal")
-    for stat in ("min", "max", "sum", "sumsq")] + ["n long"])
-
-
-def _summarise_cell(users: pa.Table, items: pa.Table) -> pa.Table:
-    if users.num_rows == 0 or items.num_rows == 0:
-        return _SUMMARY.empty_table()
-    personal = _list_matrix(users.column("vec")) @ _list_matrix(items.column("vec")).T
-    bias = items.column("bias").to_numpy()
-    m = users.num_rows
-    popularity = [np.full(m, v) for v in (bias.min(), bias.max(), bias.sum(), (bias ** 2).sum())]
-    own = [personal.min(axis=1), personal.max(axis=1), personal.sum(axis=1),
-           (personal ** 2).sum(axis=1)]
-    columns = [users.column("userId").combine_chunks(), *map(pa.array, popularity),
-               *map(pa.array, own), pa.array(np.full(m, len(bias), dtype=np.int64))]
-    return pa.Table.from_arrays(columns, schema=_SUMMARY)
-
-
-def score_components(users: DataFrame, items: DataFrame,
-                     user_ids: DataFrame | None = None) -> DataFrame:
+SPREAD_DDL = "userId long, personal_std double"
+
+
+def moments(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of items, mean vector, and covariance matrix of the vectors (k x k numbers, summed by the tasks)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            q = _list_matrix(batch.column(0))
+            rows = np.column_stack([q, np.ones(len(q))])
+            total = rows.T @ rows if total is None else total + rows.T @ rows
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"])
+
+    parts = items.where(F.col("vec").isNotNull()).select("vec").mapInArrow(sums, "place long, value double")
+    values = [r["value"] for r in parts.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()]
+    size = round(len(values) ** 0.5)
+    gram = np.array(values).reshape(size, size) if values else np.zeros((1, 1))
+    n = round(gram[-1, -1])
+    mean = gram[:-1, -1] / max(n, 1)
+    return n, mean, gram[:-1, :-1] / max(n, 1) - np.outer(mean, mean)
+
+
+def score_components(users: DataFrame, items: DataFrame) -> DataFrame:
     """Range and spread of the popular part (item bias) and the personal part
     (user . item) of each user's scores over all items, and the ratio of the spreads.
 
-    Items are met in blocks as in the ranking; only sums and extremes leave a task.
+    The spread is the quadratic form of the items' covariance matrix; the extremes are the best
+    items for the user's vector and for its opposite, found by the ranking.
     """
-    n_items = _block_count(items, "movieId", ITEMS_PER_BLOCK)
-    n_users = _block_count(user_ids if user_ids is not None else users, "userId",
-                           USERS_PER_BLOCK)
-    left = users.where(F.col("vec").isNotNull()).select(
-        "userId", F.col("vec").cast("array<double>").alias("vec"),
-        _block_of("userId", n_users).alias("user_block"),
-        _every_block(n_items).alias("item_block"))
-    right = items.select(
-        "movieId", "vec", F.col("bias").cast("double").alias("bias"), _block_of("movieId", n_items).alias("item_block"),
-        _every_block(n_users).alias("user_block"))
-    cells = left.groupBy("user_block", "item_block").cogroup(
-        right.groupBy("user_block", "item_block")).applyInArrow(_summarise_cell, SUMMARY_DDL)
-    merged = []
-    for part in ("popularity", "personal"):
-        merged += [F.min(f"{part}_min").alias(f"{part}_min"),
-                   F.max(f"{part}_max").alias(f"{part}_max"),
-                   F.sum(f"{part}_sum").alias(f"{part}_sum"),
-                   F.sum(f"{part}_sumsq").alias(f"{part}_sumsq")]
-    totals = cells.groupBy("userId").agg(*merged, F.sum("n").alias("n"))
-    for part in ("popularity", "personal"):
-        average = F.col(f"{part}_sum") / F.col("n")
-        variance = F.col(f"{part}_sumsq") / F.col("n") - average * average
-        totals = totals.withColumn(f"{part}_std", F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return totals.select(
-        "userId", *[f"{part}_{stat}" for part in ("popularity", "personal")
-                    for stat in ("min", "max", "std")],
-        F.try_divide("personal_std", "popularity_std").alias("std_ratio"))
+    spark = users.sparkSession
+    _, _, covariance = moments(items)
+    own = _written(users.where(F.col("vec").isNotNull()).select("userId", F.col("vec").cast("array<double>").alias("vec")), "component-users")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = _list_matrix(batch.column(1))
+            if batch.num_rows:
+                variance = np.einsum("ij,ij->i", u @ covariance, u)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sqrt(np.maximum(variance, 0.0)))], names=["userId", "personal_std"])
+
+    nobody = spark.createDataFrame([], "userId long, movieId long")
+
+    def extreme(sign: float, name: str) -> DataFrame:
+        turned = own.select("userId", F.transform("vec", lambda x: x * F.lit(sign)).alias("vec"), F.lit(0.0).alias("base"), F.lit(0.0).alias("bias_weight"))
+        return top_items(turned, items, nobody, 1, bounds=None).select("userId", (F.col("raw") * sign).alias(name))
+
+    bias = F.col("bias").cast("double")
+    popular = items.agg(F.min(bias).alias("low"), F.max(bias).alias("high"), F.stddev_pop(bias).alias("std")).first()
+    part = {f"popularity_{k}": F.lit(v).cast("double") for k, v in (("min", popular["low"]), ("max", popular["high"]), ("std", popular["std"]))}
+    return (own.mapInArrow(spread, SPREAD_DDL).join(extreme(-1.0, "personal_min"), "userId").join(extreme(1.0, "personal_max"), "userId")
+            .withColumns(part)
+            .select("userId", *[f"{part}_{stat}" for part in ("popularity", "personal") for stat in ("min", "max", "std")],
+                    F.try_divide("personal_std", "popularity_std").alias("std_ratio")))

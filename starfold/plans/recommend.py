@@ -39,7 +39,7 @@ def recommend(ratings: DataFrame, factors: DataFrame, items: DataFrame, mean: fl
     wanted = rated_often(in_all_genres(items, genres), counted, min_ratings)
     candidates = factors.join(wanted.select("movieId"), "movieId", "left_semi")
     best = top_items(users, candidates, ratings, n, min_support=min_support_sim,
-                     profile_items=factors, user_ids=ratings)
+                     profile_items=factors)
     return with_metadata(best, items)
 
 
@@ -84,7 +84,7 @@ def recommend_tiered(matched: DataFrame, factors: DataFrame, items: DataFrame,
     preferences = preference_vectors(matched, factors, mean, size)
     profile = counts.where(enough).join(preferences, "userId", "left").select(
         "userId", F.coalesce("vec", zeros(size)).alias("vec"), F.lit(0.0).alias("base"), F.lit(0.0).alias("bias_weight"))
-    warm = top_items(profile, directions, matched, n, bounds=None, user_ids=profile).select(
+    warm = top_items(profile, directions, matched, n, bounds=None).select(
         "userId", "movieId", "score", "rank", F.lit("item_cf").alias("tier"))
     best = warm.unionByName(_most_popular(counts.where(~enough), directions, matched, mean, n))
     return with_metadata(best, items).select(

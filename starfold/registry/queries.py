@@ -638,7 +638,7 @@ def recommend_tiered_genre(d):
 @query
 def score_components(d):
     users = foldin.fold_in(d.stored, d.factors2, d.mean).where("status = 'ok'")
-    parts = scoring.score_components(users, d.factors2, d.stored)
+    parts = scoring.score_components(users, d.factors2)
     return parts.select("userId", *[r6(F.col(c)).alias(c) for c in parts.columns if c != "userId"])
 
 

@@ -56,6 +56,81 @@ def test_ties_keep_ascending_ids_and_zero_is_empty(spark):
     assert scoring.top_items(users, items, none, 0).count() == 0
 
 
+def test_most_blocks_are_skipped_when_lengths_are_skewed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(scoring, "ITEMS_PER_BLOCK", 100)
+    monkeypatch.setattr(scoring, "USERS_PER_BLOCK", 16)
+    q = rng.normal(size=(3_000, 8)) * (rng.pareto(2.0, 3_000)[:, None] + 0.05)
+    b, u = rng.normal(size=3_000) * 0.1, rng.normal(size=(60, 8))
+    items = spark.createDataFrame([(i, [float(x) for x in q[i]], float(b[i])) for i in range(3_000)], "movieId long, vec array<double>, bias double")
+    users = spark.createDataFrame([(x, [float(y) for y in u[x]], 0.0) for x in range(60)], "userId long, vec array<double>, base double")
+    rated = spark.createDataFrame([(x, i) for x in range(60) for i in range(x, 3_000, 7)], "userId long, movieId long")
+    met = []
+    wanted = scoring.wanted_blocks
+    monkeypatch.setattr(scoring, "wanted_blocks", lambda *a: met.append(wanted(*a)) or met[-1])
+    found = {}
+    for r in scoring.top_items(users, items, rated, 5, bounds=None).orderBy("userId", "rank").collect():
+        found.setdefault(r.userId, []).append(r.movieId)
+    for x in range(60):
+        score = q @ u[x] + b
+        score[x::7] = -np.inf
+        assert found[x] == np.lexsort((np.arange(3_000), -score))[:5].tolist()
+    visits = met[0].count() + 60
+    print("blocks met:", visits, "of", 60 * 30)
+    assert visits < 0.5 * 60 * 30
+
+
+def test_a_block_that_can_only_tie_is_met_for_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ITEMS_PER_BLOCK", 2)
+    # all clamped to five; the longest vectors have the largest ids
+    items = spark.createDataFrame([(i, [10.0 + i], 0.0) for i in range(9)], "movieId long, vec array<float>, bias double")
+    users = spark.createDataFrame([(1, [1.0], 3.0), (2, [-1.0], 3.0)], "userId long, vec array<double>, base double")
+    none = spark.createDataFrame([], "userId long, movieId long")
+    top = scoring.top_items(users, items, none, 2).orderBy("userId", "rank").collect()
+    assert [(r.userId, r.movieId, r.score) for r in top] == [(1, 0, 5.0), (1, 1, 5.0), (2, 0, 0.5), (2, 1, 0.5)]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.9, 0.999])
+def test_cosines_are_computed_lazily(least):
+    rng = np.random.default_rng(6)
+    groups = rng.normal(size=(20, 16))
+    rated = np.repeat(groups, 60, axis=0) + rng.normal(size=(1_200, 16)) * 0.15
+    rated /= np.linalg.norm(rated, axis=1, keepdims=True)
+    items = np.concatenate([rated[::3] + rng.normal(size=(400, 16)) * 0.005, rng.normal(size=(3_600, 16))])
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    score = rng.normal(size=4_000).round(2)
+    score[::50] = -np.inf
+    profile = scoring.Profile(rated)
+    found = scoring.verified(score, items, profile, 5, least, -np.inf)
+    support = (items @ rated.T).max(axis=1)
+    open_items = np.flatnonzero((support >= least) & np.isfinite(score))
+    assert found.tolist() == open_items[np.lexsort((open_items, -score[open_items]))][:5].tolist()
+    assert profile.computed < 0.2 * len(items) * len(rated)
+    assert scoring.verified(score, items, profile, 5, least, 10.0).tolist() == []
+    assert profile.support(items[found]) == pytest.approx(support[found])
+
+
+def test_no_rated_direction_and_no_item():
+    nothing = scoring.Profile(np.zeros((3, 2)))
+    assert not nothing.passing(np.array([[1.0, 0.0]]), 0.1).any()
+    assert scoring.verified(np.zeros(0), np.zeros((0, 2)), nothing, 5, 0.5, -np.inf).tolist() == []
+
+
+def test_components_are_those_of_all_scores(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(scoring, "ITEMS_PER_BLOCK", 40)
+    q, b, u = rng.normal(size=(300, 5)) * rng.pareto(2.0, 300)[:, None], rng.normal(size=300), rng.normal(size=(12, 5))
+    items = spark.createDataFrame([(i, [float(x) for x in q[i]], float(b[i])) for i in range(300)], "movieId long, vec array<double>, bias double").repartition(4)
+    users = spark.createDataFrame([(x, [float(y) for y in u[x]]) for x in range(12)] + [(99, None)], "userId long, vec array<double>")
+    rows = {r.userId: r for r in scoring.score_components(users, items).collect()}
+    assert sorted(rows) == list(range(12))
+    for x, r in rows.items():
+        own = q @ u[x]
+        assert [r.personal_min, r.personal_max, r.personal_std] == pytest.approx([own.min(), own.max(), own.std()])
+        assert [r.popularity_min, r.popularity_max, r.popularity_std] == pytest.approx([b.min(), b.max(), b.std()])
+        assert r.std_ratio == pytest.approx(own.std() / b.std())
+
+
 def test_two_tiers(spark):
     items = spark.createDataFrame([(i, [1.0, i / 10], i / 100) for i in range(30)],
                                   "movieId long, vec array<float>, bias double")
