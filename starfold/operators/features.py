@@ -20,8 +20,8 @@ from starfold.functions.scalars import (
     word_tokens,
     z_score,
 )
-from starfold.functions.vectors import weighted_sum
 from starfold.operators.indexing import dense_index
+from starfold.operators.tiles import Tiles, tiled, times
 
 # The catalog's genre ids in column order, and their names.
 GENRE_IDS = [28, 12, 16, 35, 80, 99, 18, 10751, 14, 36, 27, 10402, 9648, 10749, 878, 10770,
@@ -352,12 +352,12 @@ def density(features: DataFrame, vocab: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- item vectors
 
 
-def project(features: DataFrame, weights: DataFrame, size: int) -> DataFrame:
+def project(features: DataFrame | Tiles, weights: DataFrame, size: int) -> DataFrame:
     """Content vector and bias of every item: its features times the feature weights."""
-    w = weights.select("feature_id", F.col("vec").alias("_w"), F.col("bias").alias("_b"))
-    return features.join(w, "feature_id").groupBy("movieId").agg(
-        weighted_sum(F.col("_w"), F.col("value"), size).alias("vec"),
-        F.sum(F.col("value") * F.col("_b").cast("double")).alias("bias"))
+    tiles = features if isinstance(features, Tiles) else tiled(features)
+    rows = weights.select("feature_id", F.concat(F.col("vec").cast("array<double>"), F.array(F.col("bias").cast("double"))).alias("vec"))
+    return times(tiles, rows, size + 1).select(
+        "movieId", F.slice("vec", 1, size).alias("vec"), F.element_at("vec", -1).alias("bias"))
 
 
 def item_representations(items: DataFrame, factors: DataFrame, content: DataFrame,

@@ -2,8 +2,8 @@
 
 The model scores ``p_u . (q_i + W f_i) + b_u + b_i + c . f_i`` against the rating minus
 the mean. It is fitted by block descent: all users given the items, all items given the
-users, the content weights given the items. The first two are ridge regressions by key
-and the third is one weighted sum per feature, so an epoch is a handful of joins and
+users, the content weights given the items. The first two are ridge regressions by key,
+the third goes by conjugate gradients through the tiles of the feature matrix, so an epoch is some joins and
 aggregations. An item is pulled towards its content part, not towards zero, which is the
 same objective as a penalty on its identity part ``q_i``.
 
@@ -16,15 +16,15 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starfold.functions.scalars import seeded_unit
-from starfold.functions.vectors import weighted_sum
 from starfold.operators import evaluate
 from starfold.operators.features import project
 from starfold.operators.filters import MIN_RATINGS, first_users, min_support, warm_only
 from starfold.operators.ridge import RidgeSpec, key_sizes, ridge_by_key
 from starfold.operators.stats import damped_bias, prediction_metrics
+from starfold.operators.tiles import Tiles, tiled, times, transposed_times
 from starfold.session import new_folder
 from starfold.sources import store
 
@@ -38,6 +38,9 @@ class TrainParams:
     reg_per_row: bool = False
     weight_decay: float = 1e-5
     content_steps: int = 1
+    content_solver: str = "gradients"  # conjugate gradients, or one damped "step"
+    content_rounds: int = 12
+    content_tolerance: float = 0.05
     eval_every: int = 5
     min_ratings: int = MIN_RATINGS
     dry_run: bool = False
@@ -92,29 +95,78 @@ def _identity(total: DataFrame, content: DataFrame | None) -> DataFrame:
     return rest.join(total.select("movieId", "n", "sse"), "movieId")
 
 
-def _content_step(weights: DataFrame, identity: DataFrame, features: DataFrame, strength,
+def _pulls(tiles: Tiles, rest: DataFrame, strength, size: int) -> DataFrame:
+    """``feature_id, pull``: the transposed feature matrix times the items' weighted vectors and biases."""
+    rows = rest.select("movieId", F.transform(F.concat(F.col("vec").cast("array<double>"), F.array(F.col("bias").cast("double"))),
+                                              lambda x: x * strength).alias("vec"))
+    return transposed_times(tiles, rows, size + 1).select("feature_id", F.col("vec").alias("pull"))
+
+
+def _content_step(weights: DataFrame, identity: DataFrame, tiles: Tiles, strength,
                   params: TrainParams) -> DataFrame:
     """Move the content weights towards what the identity parts still carry.
 
     The step per feature is divided by a bound on the curvature that accounts for all
     features of its items, so the penalised objective cannot rise.
     """
-    k = params.components
+    features = tiles.rows
     breadth = features.groupBy("movieId").agg(F.sum(F.abs("value")).alias("_l1"))
-    rows = features.join(identity.select(
-        "movieId", F.col("vec").alias("_q"), F.col("bias").alias("_b"),
-        strength.alias("_s")), "movieId").join(breadth, "movieId")
-    weight = F.col("_s") * F.col("value")
-    pulls = rows.groupBy("feature_id").agg(
-        weighted_sum(F.col("_q"), weight, k).alias("_pull"),
-        F.sum(weight * F.col("_b")).alias("_pull_b"),
+    scalars = identity.select("movieId", strength.alias("_s")).join(breadth, "movieId")
+    curves = features.join(scalars, "movieId").groupBy("feature_id").agg(
         F.sum(F.col("_s") * F.abs("value") * F.col("_l1")).alias("_curve"))
+    pulls = _pulls(tiles, identity, strength, params.components)
     decay = F.lit(params.weight_decay)
-    joined = weights.join(pulls, "feature_id")
+    joined = weights.join(pulls, "feature_id").join(curves, "feature_id")
     step = lambda w, pull: w + (pull - decay * w) / (F.col("_curve") + decay)
+    vector = F.slice("pull", 1, params.components)
     return joined.select(
-        "feature_id", F.zip_with("vec", "_pull", lambda w, p: step(w, p)).alias("vec"),
-        step(F.col("bias"), F.col("_pull_b")).alias("bias"))
+        "feature_id", F.zip_with(F.col("vec").cast("array<double>"), vector, lambda w, p: step(w, p)).alias("vec"),
+        step(F.col("bias"), F.element_at("pull", -1)).alias("bias"))
+
+
+def conjugate_weights(weights: DataFrame, identity: DataFrame, tiles: Tiles, strength, params: TrainParams, work: str) -> DataFrame:
+    """Content weights that the items' totals ask for, by preconditioned conjugate gradients from the present ones.
+
+    Solves ``(F'SF + decay) W = F'S total`` for every dimension and the bias at once: each has its own step
+    lengths, and the products go through the tiles. A rank of features is one row, and a round ends in a written
+    table. Stops when every residual is below ``content_tolerance`` of its first, or after ``content_rounds``.
+    """
+    size, decay = params.components + 1, params.weight_decay
+    features = tiles.rows
+    items = identity.select("movieId", strength.alias("_s"))
+    diagonal = features.join(items, "movieId").groupBy("feature_id").agg((F.sum(F.col("_s") * F.col("value") * F.col("value")) + F.lit(decay)).alias("diag"))
+    w = F.concat(F.col("vec").cast("array<double>"), F.array(F.col("bias").cast("double")))
+    residual = F.zip_with("pull", "w", lambda p, x: p - F.lit(decay) * x)
+    start = (weights.select("feature_id", w.alias("w")).join(_pulls(tiles, identity, strength, params.components), "feature_id").join(diagonal, "feature_id")
+             .select("feature_id", "w", "diag", residual.alias("r")))
+    state = _written(start.withColumn("p", F.transform("r", lambda x: x / F.col("diag"))), f"{work}-0")
+
+    def sums(df: DataFrame, left: str, right: str, by: Column = F.lit(1.0)) -> list[float]:
+        """Inner products, one for each column of the vectors."""
+        row = df.agg(*[F.sum(F.col(left)[d] * F.col(right)[d] / by) for d in range(size)]).first()
+        return [x or 0.0 for x in row]
+
+    def along(vector: str, by: list[float], other: str) -> Column:
+        scaled = F.zip_with(F.col(other), F.array(*map(F.lit, by)), lambda x, a: x * a)
+        return F.zip_with(F.col(vector), scaled, lambda x, y: x + y)
+
+    now = first = sums(state, "r", "r", F.col("diag"))
+    for turn in range(1, params.content_rounds + 1):
+        if all(x <= params.content_tolerance ** 2 * y or x == 0.0 for x, y in zip(now, first)):
+            break
+        reached = times(tiles, state.select("feature_id", F.col("p").alias("vec")), size)
+        weighted = reached.join(items, "movieId").select("movieId", F.transform("vec", lambda x: x * F.col("_s")).alias("vec"))
+        image = transposed_times(tiles, weighted, size).select("feature_id", F.col("vec").alias("_a"))
+        mapped = _written(state.join(image, "feature_id").withColumn(
+            "a", F.zip_with("_a", "p", lambda a, x: a + F.lit(decay) * x)).drop("_a"), f"{work}-image-{turn % 2}")
+        length = [x / y if y > 0 else 0.0 for x, y in zip(now, sums(mapped, "p", "a"))]
+        moved = mapped.select("feature_id", "diag", along("w", length, "p").alias("w"), along("r", [-x for x in length], "a").alias("r"), "p")
+        moved = _written(moved, f"{work}-moved-{turn % 2}")
+        last, now = now, sums(moved, "r", "r", F.col("diag"))
+        turn_back = [x / y if y > 0 else 0.0 for x, y in zip(now, last)]
+        ahead = F.zip_with(F.transform("r", lambda x: x / F.col("diag")), F.zip_with("p", F.array(*map(F.lit, turn_back)), lambda x, b: x * b), lambda z, x: z + x)
+        state = moved.withColumn("p", ahead)
+    return state.select("feature_id", F.slice("w", 1, params.components).alias("vec"), F.element_at("w", -1).alias("bias"))
 
 
 def _fingerprint(df: DataFrame | None, columns: list[str]) -> str:
@@ -128,7 +180,7 @@ def _fingerprint(df: DataFrame | None, columns: list[str]) -> str:
 
 # Parameters that decide what is learned. How many epochs to run and when to report are free.
 FIXED = ("components", "dry_run")
-LEARNED = ("reg_user", "reg_item", "reg_per_row", "weight_decay", "content_steps", "min_ratings", "seed")
+LEARNED = ("reg_user", "reg_item", "reg_per_row", "weight_decay", "content_steps", "content_solver", "content_rounds", "content_tolerance", "min_ratings", "seed")
 
 
 def _checked(last, params: TrainParams, inputs: dict[str, str], epochs: int, tag: str) -> None:
@@ -175,6 +227,7 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
     if features is not None:
         features = _written(features.join(
             rows.select("movieId").distinct(), "movieId", "left_semi"), f"{work}/features")
+        tiles = tiled(features, written=True)
     inputs["features"] = _fingerprint(features, ["movieId", "feature_id", "value"])
     if last is not None:
         _checked(last, params, inputs, epochs, tag)
@@ -198,7 +251,7 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
         weights = _written(weights, f"{work}/start-weights")
     n_rows = rows.count()
     content = None if features is None else _written(
-        project(features, weights, params.components), f"{work}/start-content")
+        project(tiles, weights, params.components), f"{work}/start-content")
     for epoch in range(start, epochs + 1):
         total = _total(items, content)
         users = _written(ridge_by_key(targets, total.select("movieId", as_floats, "bias"), "userId", "movieId", user_spec,
@@ -213,13 +266,15 @@ def train(spark: SparkSession, ratings: DataFrame, path: str, features: DataFram
         else:
             total = _written(solved, f"{work}/total-{epoch % 2}")
             for step in range(params.content_steps):
-                moved = _content_step(weights, _identity(total, content), features, strength, params)
+                rest = _identity(total, content)
+                moved = (_content_step(weights, rest, tiles, strength, params) if params.content_solver == "step"
+                         else conjugate_weights(weights, rest, tiles, strength, params, f"{work}/gradients"))
                 last_step = step == params.content_steps - 1
                 weights = _written(
                     moved.withColumn("vec", F.col("vec").cast("array<float>")),
                     store.epoch_path(path, "weights", tag, epoch) if last_step
                     else f"{work}/weights-{epoch % 2}-{step}")
-                content = _written(project(features, weights, params.components),
+                content = _written(project(tiles, weights, params.components),
                                    f"{work}/content-{epoch % 2}-{step}")
             items = _written(_identity(total, content).withColumn(
                 "vec", F.col("vec").cast("array<float>")), item_path)

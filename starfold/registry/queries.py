@@ -785,7 +785,7 @@ def train_mf_one_factor(d):
 
 @query
 def train_hybrid_one_factor(d):
-    return _one_factor(d, d.content.features, training.TrainParams(components=1, epochs=2))
+    return _one_factor(d, d.content.features, training.TrainParams(components=1, epochs=2, content_solver="step"))
 
 
 @query
