@@ -16,7 +16,7 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from starfold.functions.scalars import seeded_unit
 from starfold.operators import evaluate
@@ -39,7 +39,7 @@ class TrainParams:
     weight_decay: float = 1e-5
     content_steps: int = 1
     content_solver: str = "gradients"  # conjugate gradients, or one damped "step"
-    content_rounds: int = 12
+    content_rounds: int = 3
     content_tolerance: float = 0.05
     eval_every: int = 5
     min_ratings: int = MIN_RATINGS
@@ -128,8 +128,7 @@ def conjugate_weights(weights: DataFrame, identity: DataFrame, tiles: Tiles, str
     """Content weights that the items' totals ask for, by preconditioned conjugate gradients from the present ones.
 
     Solves ``(F'SF + decay) W = F'S total`` for every dimension and the bias at once: each has its own step
-    lengths, and the products go through the tiles. A rank of features is one row, and a round ends in a written
-    table. Stops when every residual is below ``content_tolerance`` of its first, or after ``content_rounds``.
+    lengths, and the products go through the tiles. A feature is one row, and a round is one written table. Stops when every residual is below ``content_tolerance`` of its first, or after ``content_rounds``.
     """
     size, decay = params.components + 1, params.weight_decay
     features = tiles.rows
@@ -139,32 +138,42 @@ def conjugate_weights(weights: DataFrame, identity: DataFrame, tiles: Tiles, str
     residual = F.zip_with("pull", "w", lambda p, x: p - F.lit(decay) * x)
     start = (weights.select("feature_id", w.alias("w")).join(_pulls(tiles, identity, strength, params.components), "feature_id").join(diagonal, "feature_id")
              .select("feature_id", "w", "diag", residual.alias("r")))
-    state = _written(start.withColumn("p", F.transform("r", lambda x: x / F.col("diag"))), f"{work}-0")
 
-    def sums(df: DataFrame, left: str, right: str, by: Column = F.lit(1.0)) -> list[float]:
+    def product(left: str, right: str, name: str, by: Column = F.lit(1.0)) -> list[Column]:
         """Inner products, one for each column of the vectors."""
-        row = df.agg(*[F.sum(F.col(left)[d] * F.col(right)[d] / by) for d in range(size)]).first()
-        return [x or 0.0 for x in row]
+        return [F.sum(F.col(left)[d] * F.col(right)[d] / by).alias(f"{name}{d}") for d in range(size)]
+
+    def observed(df: DataFrame, path: str, *sums: list[Column]) -> tuple[DataFrame, list[list[float]]]:
+        """A written table, and sums that are taken while it is written."""
+        seen = Observation()
+        table = _written(df.observe(seen, *[column for columns in sums for column in columns]), path)
+        values = [x or 0.0 for x in seen.get.values()]
+        return table, [values[i: i + size] for i in range(0, len(values), size)]
 
     def along(vector: str, by: list[float], other: str) -> Column:
         scaled = F.zip_with(F.col(other), F.array(*map(F.lit, by)), lambda x, a: x * a)
         return F.zip_with(F.col(vector), scaled, lambda x, y: x + y)
 
-    now = first = sums(state, "r", "r", F.col("diag"))
+    def ratio(above: list[float], below: list[float]) -> list[float]:
+        return [x / y if y > 0 else 0.0 for x, y in zip(above, below)]
+
+    state, (now,) = observed(start.withColumn("p", F.transform("r", lambda x: x / F.col("diag"))), f"{work}-0", product("r", "r", "rr", F.col("diag")))
+    first = now
     for turn in range(1, params.content_rounds + 1):
-        if all(x <= params.content_tolerance ** 2 * y or x == 0.0 for x, y in zip(now, first)):
+        if all(x <= params.content_tolerance ** 2 * y for x, y in zip(now, first)):
             break
         reached = times(tiles, state.select("feature_id", F.col("p").alias("vec")), size)
         weighted = reached.join(items, "movieId").select("movieId", F.transform("vec", lambda x: x * F.col("_s")).alias("vec"))
         image = transposed_times(tiles, weighted, size).select("feature_id", F.col("vec").alias("_a"))
-        mapped = _written(state.join(image, "feature_id").withColumn(
-            "a", F.zip_with("_a", "p", lambda a, x: a + F.lit(decay) * x)).drop("_a"), f"{work}-image-{turn % 2}")
-        length = [x / y if y > 0 else 0.0 for x, y in zip(now, sums(mapped, "p", "a"))]
+        mapped = state.join(image, "feature_id").withColumn("a", F.zip_with("_a", "p", lambda a, x: a + F.lit(decay) * x)).drop("_a")
+        # with these three the next residual's length is known before the residual is
+        mapped, (pa, ra, aa) = observed(mapped, f"{work}-{turn % 2 + 1}", product("p", "a", "pa"), product("r", "a", "ra", F.col("diag")),
+                                        product("a", "a", "aa", F.col("diag")))
+        length = ratio(now, pa)
+        last, now = now, [max(rr - 2 * t * x + t * t * y, 0.0) for rr, t, x, y in zip(now, length, ra, aa)]
         moved = mapped.select("feature_id", "diag", along("w", length, "p").alias("w"), along("r", [-x for x in length], "a").alias("r"), "p")
-        moved = _written(moved, f"{work}-moved-{turn % 2}")
-        last, now = now, sums(moved, "r", "r", F.col("diag"))
-        turn_back = [x / y if y > 0 else 0.0 for x, y in zip(now, last)]
-        ahead = F.zip_with(F.transform("r", lambda x: x / F.col("diag")), F.zip_with("p", F.array(*map(F.lit, turn_back)), lambda x, b: x * b), lambda z, x: z + x)
+        back = F.array(*map(F.lit, ratio(now, last)))
+        ahead = F.zip_with(F.transform("r", lambda x: x / F.col("diag")), F.zip_with("p", back, lambda x, b: x * b), lambda z, x: z + x)
         state = moved.withColumn("p", ahead)
     return state.select("feature_id", F.slice("w", 1, params.components).alias("vec"), F.element_at("w", -1).alias("bias"))
 

@@ -52,7 +52,7 @@ def test_weights_are_those_of_a_direct_solve(spark, sparse, tmp_path):
     total, bias, strength = rng.normal(size=(60, 2)), rng.normal(size=60), rng.uniform(1, 4, 60)
     start = rng.normal(size=(25, 3)) * 0.1
     content = matrix @ start
-    params = training.TrainParams(components=2, weight_decay=0.3, content_rounds=60, content_tolerance=1e-9)
+    params = training.TrainParams(components=2, weight_decay=0.3, content_rounds=60, content_tolerance=1e-6)
     weights = spark.createDataFrame([(j, [float(v) for v in start[j, :2]], float(start[j, 2])) for j in range(25)], "feature_id int, vec array<double>, bias double")
     rest = spark.createDataFrame([(i, [float(v) for v in total[i] - content[i, :2]], float(bias[i] - content[i, 2]), float(strength[i])) for i in range(60)],
                                  "movieId long, vec array<double>, bias double, s double")
@@ -62,7 +62,7 @@ def test_weights_are_those_of_a_direct_solve(spark, sparse, tmp_path):
     got = np.zeros((25, 3))
     for r in found:
         got[r.feature_id] = [*r.vec, r.bias]
-    assert got == pytest.approx(want, abs=1e-6)
+    assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_the_objective_falls_below_that_of_single_steps(spark, tmp_path):
