@@ -256,13 +256,56 @@ def test_scores_of_odd_rows(odd, empty, odd_rows):
     assert masked_lm.score_all(empty).count() == 0
 
 
+def test_scores_are_those_of_a_plain_loop(spark, monkeypatch):
+    """Every word has a probability of its own: with few own tokens, nearly all words are in buckets."""
+    monkeypatch.setattr(masked_lm, "BATCH_DOCS", 7)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = [" ".join(words[int(3_000 * x ** 2)] for x in rng.random(rng.integers(0, 90))) for _ in range(120)] + [None, "", " \t", "w1 " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    network, known = masked_lm.train(docs)
+    got = sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in masked_lm.score(docs, network, known, part_bytes=1 << 10).collect())
+    counts = Counter(w for t in [*texts, texts[3]] for w in words_of(t))
+    hashes = {w: int(masked_lm.word_hashes(pa.array([w]))[0][0]) for w in counts}
+    own = dict(zip(known.own.tolist(), known.numbers.tolist()))
+    assert len(own) == masked_lm.OWN
+    bucket = Counter()
+    for w, n in counts.items():
+        if hashes[w] not in own:
+            bucket[hashes[w] % masked_lm.BUCKETS] += n
+    assert len([w for w in counts if hashes[w] not in own]) > 100
+    for number, n_tokens, likelihood in got:
+        mine = words_of(texts[number])
+        token = [own.get(hashes[w], masked_lm.OWN + hashes[w] % masked_lm.BUCKETS) for w in mine]
+        total = 0.0
+        for place, w in enumerate(mine):
+            around = [token[place + side] if 0 <= place + side < len(mine) else masked_lm.VOCABULARY for side in masked_lm.SIDES]
+            total += float(network.log_probability(np.array([around]), np.array([token[place]]))[0])
+            if hashes[w] not in own:
+                total += np.log(counts[w] / bucket[hashes[w] % masked_lm.BUCKETS])
+        assert n_tokens == len(mine) and likelihood == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_an_invented_word_is_less_likely_than_one_of_its_bucket(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 2_000, 400))) for i in range(60)], "doc_id long, text string")
+    network, known = masked_lm.train(docs)
+    shared = [w for w in (f"w{i}" for i in range(2_000)) if int(masked_lm.word_hashes(pa.array([w]))[0][0]) not in known.own.tolist()]
+    place = {int(masked_lm.word_hashes(pa.array([w]))[0][0]) % masked_lm.BUCKETS: w for w in shared}
+    invented = next(w for w in (f"zz{i}" for i in range(10_000)) if int(masked_lm.word_hashes(pa.array([w]))[0][0]) % masked_lm.BUCKETS in place)
+    usual = place[int(masked_lm.word_hashes(pa.array([invented]))[0][0]) % masked_lm.BUCKETS]
+    rows = spark.createDataFrame([(1, usual), (2, invented)], "doc_id long, text string")
+    score = {r.doc_id: r.log_likelihood for r in masked_lm.score(rows, network, known).collect()}
+    assert score[2] < score[1] - 0.5
+
+
 @needs_tables
 def test_context_beats_counts(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     network, words = masked_lm.train(docs.where("doc_id % 5 != 0"))
     test = docs.where("doc_id % 5 = 0").select("text").toPandas()["text"]
     hashed, doc, _ = masked_lm.word_hashes(pa.array(test))
-    token = masked_lm.tokens(hashed, *words)
+    token = words.tokens(hashed)
     share = (np.bincount(token, minlength=masked_lm.VOCABULARY) + 1) / (len(token) + masked_lm.VOCABULARY)
     assert network.log_probability(masked_lm.neighbourhood(token, doc), token).mean() > np.log(share)[token].mean()
     # the same words in another order are less likely
