@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starfold.llm import bpe, packing
@@ -104,3 +105,25 @@ def test_genetic_operators():
     assert packing.from_bytes(packing.to_bytes(a, 300)) == [sorted(x) for x in a]
     # four items fill each bin exactly: found although best fit alone may not
     assert len(packing.evolve(packing.seeds([60, 60, 40, 40, 30, 30, 20, 20], 100, 3, rng), [60, 60, 40, 40, 30, 30, 20, 20], 100, 20, 4, rng)[0]) == 3
+
+
+def test_a_table_of_full_pieces_needs_no_block(spark, odd_rows):
+    library = Tokenizer.from_file(BYTE_FILE)
+    texts = [t for t in (r[1] for r in odd_rows) if len(library.encode(t or "", add_special_tokens=False).ids) % 8 == 7]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "doc_id long, text string").repartition(8)
+    found = packing.pack(docs, BYTE_FILE, 8)
+    rows = found.collect()
+    assert len(rows) == len({r["sequence_id"] for r in rows}) and {(r["length"], r["offset"]) for r in rows} == {(8, 0)}
+    # each row is placed where it lies: all tasks have some
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 0.5 * len(rows)
+
+
+def test_a_hard_block_ends_below_best_fit():
+    rng = np.random.default_rng(1)
+    lengths = sorted(rng.integers(300, 900, 800).tolist(), reverse=True)
+    best_fit = packing.packed(np.arange(800), lengths, 2048)
+    start = packing.seeds(lengths, 2048, packing.POPULATION, np.random.default_rng(2))
+    found = packing.evolve(start, lengths, 2048, packing.GENERATIONS * packing.EPOCHS, packing.POPULATION, np.random.default_rng(2))[0]
+    assert sorted(i for b in found for i in b) == list(range(800))
+    assert len(found) < len(best_fit)
