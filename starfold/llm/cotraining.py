@@ -1,11 +1,15 @@
 """Quality by co-training of two views.
 
 One classifier sees the words of a text, the other what is known about the page: language, source,
-length and layout. Both start from the labelled rows. In each round each names the pool documents it
-is surest of, and the other learns from them. At the end both are calibrated on labelled rows that
-they were not trained on, their log-odds are added with fitted weights, and all documents are scored.
-
-Training uses bounded samples: ``labelled_rows`` of each class and ``pool_rows`` without labels.
+length and layout. Both start from the labelled rows. In each round each scores all documents and names
+those it is surest of within every language and source, and the other learns from them. At the end both
+are calibrated on labelled rows that they were not trained on, their log-odds are added with fitted
+weights, and all documents are scored.
+
+Only the labelled rows are a bounded sample, ``labelled_rows`` of each class. Who is surest is read off
+counts of log-odds per language and source; the named documents' features are written, and a step sums
+the slopes of all of them. Named documents count for as much as the labelled ones of their class,
+however many there are.
 """
 
 from __future__ import annotations
@@ -16,21 +20,28 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import written
+from .common import same, written
 from .quality_rules import count_texts
 from .toxicity import held_out
 
 LABELLED_ROWS = 2_000
-POOL_ROWS = 6_000
 ROUNDS = 4
-#: Documents of each class that a view names in a round, as a share of the pool.
+#: Documents of each class that a view names in a round, as a share of each language and source.
 NAMED = 0.04
+#: Least log-odds of a named document.
+SURE = 2
 BITS = 16
+#: Steps on the labelled rows alone, and steps of a round.
 STEPS = 40
+ROUND_STEPS = 8
+#: Log-odds up to ``MOST`` are counted in buckets of one in ``PER_UNIT``.
+PER_UNIT, MOST = 64, 30
+#: Slopes are summed as whole numbers of this unit, so that the order of rows does not matter.
+UNIT = 2.0 ** -40
 
 
 class Rows(NamedTuple):
@@ -102,22 +113,40 @@ def hash_name(name: str | None) -> int:
     return int(W.hashes(raw, np.array([0]), np.array([len(raw)]))[0]) if len(raw) else 0
 
 
-def fit(rows: Rows, label: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Logistic regression with balanced classes; the last weight is the intercept."""
-    weights = np.zeros((1 << BITS) + 1) if start is None else start.copy()
-    used, feature = np.unique(rows.feature, return_inverse=True)
-    used = np.append(used, 1 << BITS)
+class View(NamedTuple):
+    """A view's weights, the intercept last, and the squared slopes so far, which set the size of its steps."""
+
+    weights: np.ndarray
+    squares: np.ndarray
+
+
+def untaught() -> View:
+    return View(np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-10))
+
+
+def slopes(rows: Rows, label: np.ndarray, share: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Slope of the logistic loss in each weight, each row taken with its share."""
+    miss = share * (_sigmoid(decide(rows, weights)) - label)
     row = np.repeat(np.arange(len(label)), np.diff(rows.first))
-    balance = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
-    own, squares = weights[used], np.full(len(used), 1e-10)
-    for _ in range(STEPS):
-        p = _sigmoid(np.bincount(row, own[feature] * rows.value, len(label)) + own[-1])
-        miss = balance * (p - label)
-        slope = np.append(np.bincount(feature, rows.value * miss[row], len(used) - 1), miss.sum()) + 1e-6 * own
-        squares += slope ** 2
-        own -= 0.5 * slope / np.sqrt(squares)
-    weights[used] = own
-    return weights
+    return np.append(np.bincount(rows.feature, rows.value * miss[row], 1 << BITS), miss.sum())
+
+
+def stepped(view: View, slope: np.ndarray) -> View:
+    weights, squares = view.weights.copy(), view.squares.copy()
+    used = np.flatnonzero(slope)
+    slope = slope[used] + 1e-6 * weights[used]
+    squares[used] += slope ** 2
+    weights[used] -= 0.5 * slope / np.sqrt(squares[used])
+    return View(weights, squares)
+
+
+def fit(rows: Rows, label: np.ndarray, steps: int = STEPS) -> View:
+    """Logistic regression with balanced classes."""
+    view = untaught()
+    share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    for _ in range(steps):
+        view = stepped(view, slopes(rows, label, share, view.weights))
+    return view
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -139,88 +168,194 @@ class Model(NamedTuple):
         return _sigmoid(odds @ self.combined)
 
 
-def co_train(views: tuple[Rows, Rows], label: np.ndarray, rounds: int = ROUNDS, named: float = NAMED) -> Model:
-    """``label`` is 0, 1 or, in the pool, -1. Every fourth labelled row is kept for calibration."""
-    known = np.flatnonzero(label >= 0)
-    aside, learned = known[::4], np.setdiff1d(known, known[::4])
-    pool = np.flatnonzero(label < 0)
-    take = max(1, int(named * len(pool))) if len(pool) else 0
-    given = [{int(i): int(label[i]) for i in learned} for _ in views]
-    weights: list[np.ndarray | None] = [None, None]
-    for number in range(rounds):
-        for v, rows in enumerate(views):
-            mine = np.array(sorted(given[v]), np.int64)
-            weights[v] = fit(rows.take(mine), np.array([given[v][i] for i in mine.tolist()]), weights[v])
-        if number == rounds - 1 or not take:
-            continue
-        for v, rows in enumerate(views):
-            other = given[1 - v]
-            odds = decide(rows.take(pool), weights[v])
-            order = np.argsort(odds, kind="stable")
-            for sure, value in ((order[:take], 0), (order[::-1][:take], 1)):
-                for i in sure.tolist():
-                    if abs(odds[i]) > 2 and (odds[i] > 0) == bool(value):
-                        other.setdefault(int(pool[i]), value)
-    inputs = np.stack([np.ones(len(aside)), *(decide(rows.take(aside), w) for rows, w in zip(views, weights))], axis=1)
-    combined, goal = np.zeros(3), label[aside]
+def calibrate(odds: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Intercept and weights of the two views' log-odds, by Newton steps with a light ridge."""
+    inputs, combined = np.column_stack([np.ones(len(odds)), odds]), np.zeros(3)
     for _ in range(40):
         p = _sigmoid(inputs @ combined)
-        slope = inputs.T @ (goal - p) - 0.05 * combined
+        slope = inputs.T @ (label - p) - 0.05 * combined
         curve = (inputs * (p * (1 - p))[:, None]).T @ inputs + 0.05 * np.eye(3)
         combined += np.clip(np.linalg.solve(curve, slope), -2, 2)
-    return Model(weights[0], weights[1], combined)
+    return combined
+
+
+def buckets(odds: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(odds, -MOST, MOST) * PER_UNIT).astype(np.int32)
+
+
+FEATURES = "f0 array<int>, v0 array<float>, f1 array<int>, v1 array<float>"
+
+
+def _stored(rows: Rows) -> list[pa.Array]:
+    first = rows.first.astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(first), pa.array(rows.feature, pa.int32())), pa.ListArray.from_arrays(pa.array(first), pa.array(rows.value, pa.float32()))]
+
+
+def _loaded(rows: pa.Table | pa.RecordBatch, view: int) -> Rows:
+    lists, values = (rows[f"{c}{view}"] for c in "fv")
+    if isinstance(lists, pa.ChunkedArray):
+        lists, values = lists.combine_chunks(), values.combine_chunks()
+    return Rows(lists.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]))
+
+
+def limits(texts: DataFrame, views: tuple[View, View], named: float = NAMED) -> DataFrame:
+    """``low0, high0, low1, high1`` per ``of_lang, of_source``: the buckets of log-odds that hold the surest ``named`` of its rows on either side.
+
+    A bucket that goes beyond the share stays outside, unless it is the outermost.
+    """
+    weights = [v.weights for v in views]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.chunks(batch):
+                text, lang, source = part.column(1), part.column(2), part.column(3)
+                yield pa.RecordBatch.from_arrays([lang, source, pa.array(buckets(decide(content(text), weights[0]))), pa.array(buckets(decide(page(text, lang, source), weights[1])))],
+                                                 ["of_lang", "of_source", "b0", "b1"])
+
+    cells = texts.mapInArrow(run, "of_lang string, of_source string, b0 int, b1 int").select("of_lang", "of_source", F.expr("stack(2, 0, b0, 1, b1) as (view, bucket)"))
+    counted = cells.groupBy("of_lang", "of_source", "view", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("of_lang", "of_source", "view")  # a bounded number of buckets
+    reached = counted.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("most", named * F.sum("n").over(group)).withColumn("down", F.sum("n").over(group.orderBy(F.desc("bucket"))))
+
+    def end(view: int, outer, inner, reach: str):
+        mine = F.col("view") == view
+        return F.coalesce(inner(F.when(mine & (F.col(reach) <= F.col("most")), F.col("bucket"))), outer(F.when(mine, F.col("bucket"))))
+
+    return reached.groupBy("of_lang", "of_source").agg(*(c for v in (0, 1) for c in (end(v, F.min, F.max, "upto").alias(f"low{v}"), end(v, F.max, F.min, "down").alias(f"high{v}"))))
+
+
+def name(texts: DataFrame, views: tuple[View, View], ends: DataFrame, learned: np.ndarray) -> DataFrame:
+    """``label0, label1`` and features of the documents that a view is taught: ``label0`` comes from the page, ``label1`` from the content, -1 is none.
+
+    ``learned`` are the ids of the labelled sample, which are not named.
+    """
+    weights = [v.weights for v in views]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.chunks(batch):
+                text, lang, source = part.column(1), part.column(2), part.column(3)
+                rows = content(text), page(text, lang, source)
+                free = ~np.isin(part.column(0).fill_null(0).to_numpy(), learned) | part.column(0).is_null().to_numpy(zero_copy_only=False)
+                label = [np.full(part.num_rows, -1, np.int32) for _ in rows]
+                for v in (0, 1):
+                    odds = decide(rows[v], weights[v])
+                    bucket, low, high = buckets(odds), part.column(4 + 2 * v).to_numpy(), part.column(5 + 2 * v).to_numpy()
+                    label[1 - v][free & (odds < -SURE) & (bucket <= low)] = 0
+                    label[1 - v][free & (odds > SURE) & (bucket >= high)] = 1
+                hit = np.flatnonzero((label[0] >= 0) | (label[1] >= 0))
+                if len(hit):
+                    held = [c for v in (0, 1) for c in _stored(_emptied(rows[v].take(hit), label[v][hit] < 0))]
+                    yield pa.RecordBatch.from_arrays([pa.array(label[0][hit]), pa.array(label[1][hit]), *held], ["label0", "label1", "f0", "v0", "f1", "v1"])
+
+    found = texts.join(ends, same(F.col("lang"), F.col("of_lang")) & same(F.col("source"), F.col("of_source"))).select("doc_id", "text", "lang", "source", "low0", "high0", "low1", "high1")
+    return found.mapInArrow(run, f"label0 int, label1 int, {FEATURES}")
+
+
+def _emptied(rows: Rows, which: np.ndarray) -> Rows:
+    """``rows`` without the features of some, which stay as empty rows."""
+    size = np.where(which, 0, np.diff(rows.first))
+    kept = rows.take(np.flatnonzero(~which))
+    return Rows(kept.feature, kept.value, np.concatenate([[0], np.cumsum(size)]))
+
+
+def teach(sample: DataFrame, taught: DataFrame, views: tuple[View, View], steps: int = ROUND_STEPS) -> tuple[View, View]:
+    """The views after some steps on the labelled sample and the named documents; the driver sees one slope a feature."""
+    counted = taught.agg(*(F.count_if(F.col(f"label{v}") == c).alias(f"n{v}{c}") for v in (0, 1) for c in (0, 1))).first()
+    known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    # half of a class's weight is that of its labelled rows
+    share = np.array([[[0.25 / max(1, n) for n in (known.get(c, 0), counted[f"n{v}{c}"])] for c in (0, 1)] for v in (0, 1)])
+    rows = (sample.select(F.lit(0).alias("given"), F.col("label").alias("label0"), F.col("label").alias("label1"), "f0", "v0", "f1", "v1")
+            .unionByName(taught.withColumn("given", F.lit(1))))
+    for _ in range(steps):
+        weights = [v.weights for v in views]
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, (1 << BITS) + 1))
+            for batch in batches:
+                given = batch["given"].to_numpy()
+                for v in (0, 1):
+                    label = batch[f"label{v}"].to_numpy()
+                    part = np.where(label >= 0, share[v][np.maximum(label, 0), given], 0.0)
+                    total[v] += slopes(_loaded(batch, v), label, part, weights[v])
+            whole = np.rint(total.reshape(-1) / UNIT).astype(np.int64)
+            at = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(whole[at])], ["at", "slope"])
+
+        summed = rows.mapInArrow(run, "at int, slope long").groupBy("at").agg(F.sum("slope").alias("slope")).toArrow()  # one row a feature and view at most
+        slope = np.zeros(2 * ((1 << BITS) + 1))
+        slope[summed["at"].to_numpy()] = summed["slope"].to_numpy() * UNIT
+        views = tuple(stepped(view, part) for view, part in zip(views, slope.reshape(2, -1)))
+    return views
+
+
+def _on_sample(sample: DataFrame, work) -> list[np.ndarray] | None:
+    """What ``work`` makes of the whole sample, which is bounded, in one task; nothing for no rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        file = io.BytesIO()
+        np.savez(file, *work(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])))
+        return pa.table({"arrays": pa.array([file.getvalue()], pa.binary())})
+
+    stored = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "arrays binary").first()
+    if stored is None:
+        return None
+    held = np.load(io.BytesIO(stored["arrays"]))
+    return [held[f"arr_{i}"] for i in range(len(held.files))]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
-          label_column: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Model:
-    """A model from labelled rows that are not held out. With one class or none among them, every score is that class, or a half."""
+          label_column: str = "quality", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, named: float = NAMED) -> Model:
+    """A model from labelled rows that are not held out, and from all documents.
+
+    With one class or none among the labels, every score is that class, or a half. One labelled row
+    in four is kept for the calibration, if both parts then have both classes. Repeated rows and rows
+    without an id are named and learned from like others, each by itself.
+    """
     spark = docs.sparkSession
     known = (labels.select(F.col(id_column).cast("long").alias("of"), F.col(label_column).cast("int").alias("label")).where("of is not null and label is not null")
              .groupBy("of").agg(F.max("label").alias("label")).where(~held_out(F.col("of"))))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+
     def constant(odds: float) -> Model:
         return Model(np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.array([odds, 0, 0]))
 
     if not n.get(0) or not n.get(1):
         return constant(0.0 if not n else 30.0 if n.get(1) else -30.0)
-    draw = F.pmod(F.xxhash64("of", F.lit("quality")), F.lit(1_000_000))
     some = known.where(" or ".join(["false"] + [f"(label = {c} and pmod(xxhash64(of, 'quality'), 1000000) < {int(1e6 * min(1.0, labelled_rows / n[c]))})" for c in (0, 1)]))
-    total = docs.count()
-    pool = docs.select(F.col(id_column).cast("long").alias("of")).where(draw < int(1e6 * min(1.0, pool_rows / max(1, total))))
-    pool = pool.where("of is not null").join(known, "of", "left_anti").distinct().withColumn("label", F.lit(-1))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"),
                         F.col(source_column).cast("string").alias("source"))
-    # bounded by the two parameters
-    rows = texts.join(F.broadcast(some.unionByName(pool)), F.col("doc_id") == F.col("of")).select("doc_id", "text", "lang", "source", "label")
+    # bounded by the parameter
+    rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "text", "lang", "source", "label").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch):
-                held = [part.column(0), part.column(4)]
-                for rows in (content(part.column(1)), page(part.column(1), part.column(2), part.column(3))):
-                    first = rows.first.astype(np.int32)
-                    held += [pa.ListArray.from_arrays(pa.array(first), pa.array(rows.feature)), pa.ListArray.from_arrays(pa.array(first), pa.array(rows.value))]
-                yield pa.RecordBatch.from_arrays(held, ["doc_id", "label", "f0", "v0", "f1", "v1"])
-
-    schema = "doc_id long, label int, f0 array<int>, v0 array<float>, f1 array<int>, v1 array<float>"
-    sample = written(spark, rows.mapInArrow(features, schema), "quality-training")
-
-    def run(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        views = []
-        for i in (0, 1):
-            lists, values = sample[f"f{i}"].combine_chunks(), sample[f"v{i}"].combine_chunks()
-            views.append(Rows(lists.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
-        model = co_train(tuple(views), sample["label"].to_numpy())
-        file = io.BytesIO()
-        np.savez(file, *model)
-        return pa.table({"model": pa.array([file.getvalue()], pa.binary())})
+                held = [*_stored(content(part.column(1))), *_stored(page(part.column(1), part.column(2), part.column(3)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), *held], ["doc_id", "label", "f0", "v0", "f1", "v1"])
+
+    sample = written(spark, rows.mapInArrow(features, f"doc_id long, label int, {FEATURES}"), "quality-training")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0
+    sides = {(r["apart"], r["label"]) for r in sample.groupBy(apart.alias("apart"), "label").count().collect()}
+    learned, aside = (sample.where(~apart), sample.where(apart)) if len(sides) == 4 else (sample, sample)
+
+    def first_fit(rows: pa.Table) -> list[np.ndarray]:
+        return [a for v in (0, 1) for a in fit(_loaded(rows, v), rows["label"].to_numpy())]
 
-    stored = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: run(t.drop_columns(["all"])), "model binary").first()  # a bounded sample
-    if stored is None:  # labels of other documents
+    begun = _on_sample(learned, first_fit)
+    if begun is None:  # labels of other documents
         return constant(0.0)
-    held = np.load(io.BytesIO(stored["model"]))
-    return Model(*(held[f"arr_{i}"] for i in range(3)))
+    views = View(*begun[:2]), View(*begun[2:])
+    ids = np.array([r[0] for r in some.select("of").collect()], np.int64)  # bounded by the parameter
+    for _ in range(rounds - 1):
+        ends = written(spark, limits(texts, views, named), "quality-limits")
+        taught = written(spark, name(texts, views, ends, ids), "quality-named")
+        views = teach(learned, taught, views)
+
+    def last_fit(rows: pa.Table) -> list[np.ndarray]:
+        return [calibrate(np.column_stack([decide(_loaded(rows, v), views[v].weights) for v in (0, 1)]), rows["label"].to_numpy())]
+
+    return Model(views[0].weights, views[1].weights, _on_sample(aside, last_fit)[0])
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:

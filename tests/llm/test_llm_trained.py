@@ -166,23 +166,89 @@ def test_toxicity_held_out(spark):
 
 # ---------------------------------------------------------------- co-training
 
-def test_views_teach_each_other():
-    """The labelled rows show each view few of its features; only the pool ties the rest together."""
+def two_views(spark, n=1200, width=30):
+    """Texts of four words and a language and source, each of a class of its own; nothing else tells the classes apart."""
     rng = np.random.default_rng(6)
-    n, width = 1200, 30
     truth = rng.integers(0, 2, n)
-    views = []
-    for v in (0, 1):
-        feature = (rng.integers(0, width, (n, 4)) + np.where(truth == 1, 0, width)[:, None] + 1000 * v).astype(np.int32)
-        views.append(cotraining.Rows(feature.reshape(-1), np.ones(4 * n, np.float32), np.arange(n + 1) * 4))
-    label = np.where(np.arange(n) < 24, truth, -1)
-    alone, taught = (cotraining.co_train(tuple(views), label, rounds=r) for r in (1, 6))
-
-    def right(model):
-        odds = np.stack([np.ones(n), *(cotraining.decide(rows, w) for rows, w in zip(views, (model.content, model.page)))], axis=1)
-        return ((odds @ model.combined > 0) == (truth == 1))[24:].mean()
-
-    assert right(taught) >= right(alone) and right(taught) > 0.95
+    rows = []
+    for i, c in enumerate(truth.tolist()):
+        words = " ".join(f"{'pq'[c]}{chr(97 + w % 26)}{chr(97 + w // 26)}x" for w in rng.choice(width, 4, replace=False))
+        rows.append((i, words, f"l{c}{rng.integers(0, width)}", f"s{c}{rng.integers(0, width)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    return docs, spark.createDataFrame([(i, int(truth[i])) for i in range(30)], "doc_id long, quality int"), truth
+
+
+def test_views_teach_each_other(spark):
+    """The labelled rows show each view few of its features; only the documents without labels tie the rest together."""
+    docs, labels, truth = two_views(spark)
+
+    def right(rounds):
+        model = cotraining.train(docs, labels, rounds=rounds)
+        return np.mean([r["predicted"] == truth[r["doc_id"]] for r in cotraining.score(docs, model).collect()])
+
+    alone, taught = right(1), right(5)
+    assert taught >= alone and taught > 0.95
+
+
+def test_surest_of_each_group(spark):
+    docs, _, _ = two_views(spark)
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise("s")).withColumn("lang", F.lit(None).cast("string"))
+    rng = np.random.default_rng(1)
+    views = tuple(cotraining.View(rng.normal(size=(1 << cotraining.BITS) + 1), np.ones((1 << cotraining.BITS) + 1)) for _ in (0, 1))
+    found = {r["of_source"]: r for r in cotraining.limits(docs, views, 0.1).collect()}
+    rows = docs.toArrow()
+    odds = [cotraining.decide(cotraining.content(rows["text"]), views[0].weights), cotraining.decide(cotraining.page(rows["text"], rows["lang"], rows["source"]), views[1].weights)]
+    assert set(found) == {None, "s"}
+    for source, row in found.items():
+        mine = np.array([s == source for s in rows["source"].to_pylist()])
+        for v in (0, 1):
+            bucket = cotraining.buckets(odds[v][mine])
+            values = np.unique(bucket)
+            low = [b for b in values if (bucket <= b).sum() <= 0.1 * len(bucket)]
+            high = [b for b in values if (bucket >= b).sum() <= 0.1 * len(bucket)]
+            assert row[f"low{v}"] == (max(low) if low else values[0]) and row[f"high{v}"] == (min(high) if high else values[-1])
+
+
+def test_all_documents_are_named(spark):
+    """Every sure document beyond its group's limits teaches the other view, labelled ones excepted; the number grows with the table."""
+    docs, _, _ = two_views(spark)
+    docs = docs.withColumn("lang", F.lit("l")).withColumn("source", F.lit("s"))
+    rng = np.random.default_rng(2)
+    views = tuple(cotraining.View(8 * rng.normal(size=(1 << cotraining.BITS) + 1), np.ones((1 << cotraining.BITS) + 1)) for _ in (0, 1))
+    counts = []
+    for copies in (1, 3):
+        many = docs.withColumn("doc_id", F.explode(F.array(*(F.col("doc_id") + 10_000 * i for i in range(copies)))))
+        taught = cotraining.name(many, views, cotraining.limits(many, views, 0.1), np.arange(50))
+        counts.append({r["label1"]: r["count"] for r in taught.groupBy("label1").count().collect()})
+    rows = docs.toArrow()
+    odds = cotraining.decide(cotraining.content(rows["text"]), views[0].weights)
+    bucket = cotraining.buckets(odds)
+    high = min(b for b in np.unique(bucket) if (bucket >= b).sum() <= 0.1 * len(bucket))
+    beyond = (bucket >= high) & (odds > cotraining.SURE)
+    assert counts[0][1] == (beyond & (rows["doc_id"].to_numpy() >= 50)).sum()
+    assert counts[1][1] == 3 * beyond.sum() - (beyond & (rows["doc_id"].to_numpy() < 50)).sum()
+
+
+def test_summed_slopes_are_those_of_one_table(spark):
+    docs, labels, truth = two_views(spark)
+    rows = docs.where("doc_id < 400").toArrow().sort_by("doc_id")
+    stored = [cotraining.content(rows["text"]), cotraining.page(rows["text"], rows["lang"], rows["source"])]
+    columns = {f"{c}{v}": a for v in (0, 1) for c, a in zip("fv", cotraining._stored(stored[v]))}
+    label = truth[:400].astype(np.int32)
+    taught_label = np.where(np.arange(300) % 3 == 0, -1, label[100:]).astype(np.int32)
+    sample = spark.createDataFrame(pa.table({"label": label[:100], **{k: a.slice(0, 100) for k, a in columns.items()}})).repartition(2)
+    taught = spark.createDataFrame(pa.table({"label0": taught_label, "label1": label[100:], **{k: a.slice(100) for k, a in columns.items()}})).repartition(5)
+    found = cotraining.teach(sample, taught, (cotraining.untaught(), cotraining.untaught()), steps=2)
+    for v, given in ((0, np.concatenate([label[:100], taught_label])), (1, label)):
+        share = np.zeros(400)
+        for part in (slice(0, 100), slice(100, 400)):
+            for c in (0, 1):
+                hit = np.flatnonzero(given[part] == c) + part.start
+                share[hit] = 0.25 / len(hit)
+        view = cotraining.untaught()
+        for _ in range(2):
+            view = cotraining.stepped(view, cotraining.slopes(stored[v], given, share, view.weights))
+        assert np.allclose(view.weights, found[v].weights, atol=1e-3)
 
 
 def test_quality_of_odd_rows(odd, empty, odd_rows, spark):
