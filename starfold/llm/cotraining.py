@@ -7,8 +7,9 @@ are calibrated on labelled rows that they were not trained on, their log-odds ar
 weights, and all documents are scored.
 
 Only the labelled rows are a bounded sample, ``labelled_rows`` of each class. Who is surest is read off
-counts of log-odds per language and source; the named documents' features are written, and a step sums
-the slopes of all of them. Named documents count for as much as the labelled ones of their class,
+counts of log-odds per language and source. Features of all documents are written once, which all rounds
+and the scores read; those of the named documents are written each round, and a step sums the slopes of
+all of them. Named documents count for as much as the labelled ones of their class,
 however many there are.
 """
 
@@ -64,6 +65,17 @@ class Rows(NamedTuple):
 
 def content(column: pa.Array) -> Rows:
     """Words, their ends and their shapes, each hashed; counts damped and scaled to length one."""
+    return damped(content_counts(column))
+
+
+def damped(counts: Rows) -> Rows:
+    n_docs = len(counts.first) - 1
+    row, value = np.repeat(np.arange(n_docs), np.diff(counts.first)), np.log1p(counts.value)
+    norm = np.sqrt(np.bincount(row, value ** 2, n_docs))
+    return Rows(counts.feature, (value / norm[row]).astype(np.float32), counts.first)
+
+
+def content_counts(column: pa.Array) -> Rows:
     data, borders = W.text_bytes(column)
     words = W.split(data, borders)
     n_docs = len(borders) - 1
@@ -72,12 +84,9 @@ def content(column: pa.Array) -> Rows:
     begin, end = words.begin, words.end
     key = np.concatenate([W.mix(of(begin, end) + np.uint64(1)), W.mix(of(np.maximum(end - 3, begin), end) + np.uint64(2)),
                           W.mix(shape(begin, np.minimum(begin + 12, end)) + np.uint64(3))]) >> np.uint64(64 - BITS)
-    doc = np.tile(words.doc, 3)
-    cell, count = np.unique((doc.astype(np.uint64) << np.uint64(BITS)) | key, return_counts=True)
-    row, value = (cell >> np.uint64(BITS)).astype(np.int64), np.log1p(count)
-    norm = np.sqrt(np.bincount(row, value ** 2, n_docs))
-    return Rows((cell & np.uint64((1 << BITS) - 1)).astype(np.int32), (value / norm[row]).astype(np.float32) if len(row) else value.astype(np.float32),
-                np.searchsorted(row, np.arange(n_docs + 1)))
+    wide = np.uint32 if n_docs <= 1 << (32 - BITS) else np.uint64
+    cell, count = np.unique((np.tile(words.doc, 3).astype(wide) << wide(BITS)) | key.astype(wide), return_counts=True)
+    return Rows((cell & wide((1 << BITS) - 1)).astype(np.int32), count.astype(np.int32), np.searchsorted((cell >> wide(BITS)).astype(np.int64), np.arange(n_docs + 1)))
 
 
 def _shape(data: np.ndarray) -> np.ndarray:
@@ -164,7 +173,10 @@ class Model(NamedTuple):
     combined: np.ndarray
 
     def score(self, text: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
-        odds = np.stack([np.ones(len(text)), decide(content(text), self.content), decide(page(text, lang, source), self.page)], axis=1)
+        return self.score_views(content(text), page(text, lang, source))
+
+    def score_views(self, words: Rows, layout: Rows) -> np.ndarray:
+        odds = np.stack([np.ones(len(words.first) - 1), decide(words, self.content), decide(layout, self.page)], axis=1)
         return _sigmoid(odds @ self.combined)
 
 
@@ -183,22 +195,51 @@ def buckets(odds: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(odds, -MOST, MOST) * PER_UNIT).astype(np.int32)
 
 
-FEATURES = "f0 array<int>, v0 array<float>, f1 array<int>, v1 array<float>"
+FEATURES = "f0 array<int>, n0 array<int>, f1 array<int>"
+#: Documents whose features are looked at together.
+SLICE = 64
+
+
+def _stored(words: Rows, layout: Rows) -> list[pa.Array]:
+    """Features of the content with their counts, and features of the page."""
+
+    def lists(first: np.ndarray, held: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(held.astype(np.int32)))
+
+    return [lists(words.first, words.feature), lists(words.first, words.value), lists(layout.first, layout.feature)]
 
 
-def _stored(rows: Rows) -> list[pa.Array]:
-    first = rows.first.astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(first), pa.array(rows.feature, pa.int32())), pa.ListArray.from_arrays(pa.array(first), pa.array(rows.value, pa.float32()))]
+def _raw(rows: pa.Table | pa.RecordBatch, view: int) -> Rows:
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows[name] for name in (("f0", "n0"), ("f1",))[view])]
+    held = [c.flatten().to_numpy() for c in lists]
+    return Rows(held[0], held[1] if view == 0 else np.ones(len(held[0]), np.float32), np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]))
 
 
 def _loaded(rows: pa.Table | pa.RecordBatch, view: int) -> Rows:
-    lists, values = (rows[f"{c}{view}"] for c in "fv")
-    if isinstance(lists, pa.ChunkedArray):
-        lists, values = lists.combine_chunks(), values.combine_chunks()
-    return Rows(lists.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]))
+    return damped(_raw(rows, view)) if view == 0 else _raw(rows, view)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
+
+
+def featured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
+    """``doc_id, lang, source`` and both views' features of every row, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.chunks(batch):
+                text, lang, source = part.column(1), part.column(2), part.column(3)
+                yield pa.RecordBatch.from_arrays([part.column(0), lang, source, *_stored(content_counts(text), page(text, lang, source))], ["doc_id", "lang", "source", "f0", "n0", "f1"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"),
+                       F.col(source_column).cast("string").alias("source"))
+    return written(docs.sparkSession, rows.mapInArrow(run, f"doc_id long, lang string, source string, {FEATURES}"), "quality-features")
 
 
-def limits(texts: DataFrame, views: tuple[View, View], named: float = NAMED) -> DataFrame:
+def limits(rows: DataFrame, views: tuple[View, View], named: float = NAMED) -> DataFrame:
     """``low0, high0, low1, high1`` per ``of_lang, of_source``: the buckets of log-odds that hold the surest ``named`` of its rows on either side.
 
     A bucket that goes beyond the share stays outside, unless it is the outermost.
@@ -206,13 +247,10 @@ def limits(texts: DataFrame, views: tuple[View, View], named: float = NAMED) ->
     weights = [v.weights for v in views]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.chunks(batch):
-                text, lang, source = part.column(1), part.column(2), part.column(3)
-                yield pa.RecordBatch.from_arrays([lang, source, pa.array(buckets(decide(content(text), weights[0]))), pa.array(buckets(decide(page(text, lang, source), weights[1])))],
-                                                 ["of_lang", "of_source", "b0", "b1"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part["lang"], part["source"], *(pa.array(buckets(decide(_loaded(part, v), weights[v]))) for v in (0, 1))], ["of_lang", "of_source", "b0", "b1"])
 
-    cells = texts.mapInArrow(run, "of_lang string, of_source string, b0 int, b1 int").select("of_lang", "of_source", F.expr("stack(2, 0, b0, 1, b1) as (view, bucket)"))
+    cells = rows.mapInArrow(run, "of_lang string, of_source string, b0 int, b1 int").select("of_lang", "of_source", F.expr("stack(2, 0, b0, 1, b1) as (view, bucket)"))
     counted = cells.groupBy("of_lang", "of_source", "view", "bucket").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("of_lang", "of_source", "view")  # a bounded number of buckets
     reached = counted.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("most", named * F.sum("n").over(group)).withColumn("down", F.sum("n").over(group.orderBy(F.desc("bucket"))))
@@ -224,7 +262,7 @@ def limits(texts: DataFrame, views: tuple[View, View], named: float = NAMED) ->
     return reached.groupBy("of_lang", "of_source").agg(*(c for v in (0, 1) for c in (end(v, F.min, F.max, "upto").alias(f"low{v}"), end(v, F.max, F.min, "down").alias(f"high{v}"))))
 
 
-def name(texts: DataFrame, views: tuple[View, View], ends: DataFrame, learned: np.ndarray) -> DataFrame:
+def name(rows: DataFrame, views: tuple[View, View], ends: DataFrame, learned: np.ndarray) -> DataFrame:
     """``label0, label1`` and features of the documents that a view is taught: ``label0`` comes from the page, ``label1`` from the content, -1 is none.
 
     ``learned`` are the ids of the labelled sample, which are not named.
@@ -232,24 +270,21 @@ def name(texts: DataFrame, views: tuple[View, View], ends: DataFrame, learned: n
     weights = [v.weights for v in views]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.chunks(batch):
-                text, lang, source = part.column(1), part.column(2), part.column(3)
-                rows = content(text), page(text, lang, source)
-                free = ~np.isin(part.column(0).fill_null(0).to_numpy(), learned) | part.column(0).is_null().to_numpy(zero_copy_only=False)
-                label = [np.full(part.num_rows, -1, np.int32) for _ in rows]
-                for v in (0, 1):
-                    odds = decide(rows[v], weights[v])
-                    bucket, low, high = buckets(odds), part.column(4 + 2 * v).to_numpy(), part.column(5 + 2 * v).to_numpy()
-                    label[1 - v][free & (odds < -SURE) & (bucket <= low)] = 0
-                    label[1 - v][free & (odds > SURE) & (bucket >= high)] = 1
-                hit = np.flatnonzero((label[0] >= 0) | (label[1] >= 0))
-                if len(hit):
-                    held = [c for v in (0, 1) for c in _stored(_emptied(rows[v].take(hit), label[v][hit] < 0))]
-                    yield pa.RecordBatch.from_arrays([pa.array(label[0][hit]), pa.array(label[1][hit]), *held], ["label0", "label1", "f0", "v0", "f1", "v1"])
-
-    found = texts.join(ends, same(F.col("lang"), F.col("of_lang")) & same(F.col("source"), F.col("of_source"))).select("doc_id", "text", "lang", "source", "low0", "high0", "low1", "high1")
-    return found.mapInArrow(run, f"label0 int, label1 int, {FEATURES}")
+        for part in _slices(batches):
+            free = ~np.isin(part["doc_id"].fill_null(0).to_numpy(), learned) | part["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            label = [np.full(part.num_rows, -1, np.int32) for _ in weights]
+            for v in (0, 1):
+                odds = decide(_loaded(part, v), weights[v])
+                bucket, low, high = buckets(odds), part[f"low{v}"].to_numpy(), part[f"high{v}"].to_numpy()
+                label[1 - v][free & (odds < -SURE) & (bucket <= low)] = 0
+                label[1 - v][free & (odds > SURE) & (bucket >= high)] = 1
+            hit = np.flatnonzero((label[0] >= 0) | (label[1] >= 0))
+            if len(hit):
+                held = _stored(*(_emptied(_raw(part, v).take(hit), label[v][hit] < 0) for v in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(label[0][hit]), pa.array(label[1][hit]), *held], ["label0", "label1", "f0", "n0", "f1"])
+
+    found = rows.join(ends, same(F.col("lang"), F.col("of_lang")) & same(F.col("source"), F.col("of_source")))
+    return found.select("doc_id", "low0", "high0", "low1", "high1", "f0", "n0", "f1").mapInArrow(run, f"label0 int, label1 int, {FEATURES}")
 
 
 def _emptied(rows: Rows, which: np.ndarray) -> Rows:
@@ -265,14 +300,14 @@ def teach(sample: DataFrame, taught: DataFrame, views: tuple[View, View], steps:
     known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     # half of a class's weight is that of its labelled rows
     share = np.array([[[0.25 / max(1, n) for n in (known.get(c, 0), counted[f"n{v}{c}"])] for c in (0, 1)] for v in (0, 1)])
-    rows = (sample.select(F.lit(0).alias("given"), F.col("label").alias("label0"), F.col("label").alias("label1"), "f0", "v0", "f1", "v1")
+    rows = (sample.select(F.lit(0).alias("given"), F.col("label").alias("label0"), F.col("label").alias("label1"), "f0", "n0", "f1")
             .unionByName(taught.withColumn("given", F.lit(1))))
     for _ in range(steps):
         weights = [v.weights for v in views]
 
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, (1 << BITS) + 1))
-            for batch in batches:
+            for batch in _slices(batches):
                 given = batch["given"].to_numpy()
                 for v in (0, 1):
                     label = batch[f"label{v}"].to_numpy()
@@ -306,7 +341,13 @@ def _on_sample(sample: DataFrame, work) -> list[np.ndarray] | None:
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
           label_column: str = "quality", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, named: float = NAMED) -> Model:
-    """A model from labelled rows that are not held out, and from all documents.
+    """A model from labelled rows that are not held out, and from all documents; see ``train_featured``."""
+    return train_featured(featured(docs, id_column, text_column, lang_column, source_column), labels, id_column, label_column, labelled_rows, rounds, named)
+
+
+def train_featured(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality", labelled_rows: int = LABELLED_ROWS,
+                   rounds: int = ROUNDS, named: float = NAMED) -> Model:
+    """A model from documents as ``featured`` writes them.
 
     With one class or none among the labels, every score is that class, or a half. One labelled row
     in four is kept for the calibration, if both parts then have both classes. Repeated rows and rows
@@ -323,18 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     if not n.get(0) or not n.get(1):
         return constant(0.0 if not n else 30.0 if n.get(1) else -30.0)
     some = known.where(" or ".join(["false"] + [f"(label = {c} and pmod(xxhash64(of, 'quality'), 1000000) < {int(1e6 * min(1.0, labelled_rows / n[c]))})" for c in (0, 1)]))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"),
-                        F.col(source_column).cast("string").alias("source"))
     # bounded by the parameter
-    rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "text", "lang", "source", "label").distinct()
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.chunks(batch):
-                held = [*_stored(content(part.column(1))), *_stored(page(part.column(1), part.column(2), part.column(3)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), *held], ["doc_id", "label", "f0", "v0", "f1", "v1"])
-
-    sample = written(spark, rows.mapInArrow(features, f"doc_id long, label int, {FEATURES}"), "quality-training")
+    labelled = docs.join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "label", "f0", "n0", "f1").distinct()
+    sample = written(spark, labelled, "quality-training")
     apart = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0
     sides = {(r["apart"], r["label"]) for r in sample.groupBy(apart.alias("apart"), "label").count().collect()}
     learned, aside = (sample.where(~apart), sample.where(apart)) if len(sides) == 4 else (sample, sample)
@@ -348,8 +380,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     views = View(*begun[:2]), View(*begun[2:])
     ids = np.array([r[0] for r in some.select("of").collect()], np.int64)  # bounded by the parameter
     for _ in range(rounds - 1):
-        ends = written(spark, limits(texts, views, named), "quality-limits")
-        taught = written(spark, name(texts, views, ends, ids), "quality-named")
+        ends = written(spark, limits(docs, views, named), "quality-limits")
+        taught = written(spark, name(docs, views, ends, ids), "quality-named")
         views = teach(learned, taught, views)
 
     def last_fit(rows: pa.Table) -> list[np.ndarray]:
@@ -376,6 +408,18 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def score_featured(docs: DataFrame, model: Model) -> DataFrame:
+    """``score`` for documents as ``featured`` writes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            value = model.score_views(_loaded(part, 0), _loaded(part, 1))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return docs.select("doc_id", "f0", "n0", "f1").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains and scores all rows, with ``held_out``; rows without an id are not held out."""
-    return score(docs, train(docs, labels)).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    rows = featured(docs)
+    return score_featured(rows, train_featured(rows, labels)).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))

@@ -195,7 +195,7 @@ def test_surest_of_each_group(spark):
     docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise("s")).withColumn("lang", F.lit(None).cast("string"))
     rng = np.random.default_rng(1)
     views = tuple(cotraining.View(rng.normal(size=(1 << cotraining.BITS) + 1), np.ones((1 << cotraining.BITS) + 1)) for _ in (0, 1))
-    found = {r["of_source"]: r for r in cotraining.limits(docs, views, 0.1).collect()}
+    found = {r["of_source"]: r for r in cotraining.limits(cotraining.featured(docs), views, 0.1).collect()}
     rows = docs.toArrow()
     odds = [cotraining.decide(cotraining.content(rows["text"]), views[0].weights), cotraining.decide(cotraining.page(rows["text"], rows["lang"], rows["source"]), views[1].weights)]
     assert set(found) == {None, "s"}
@@ -218,6 +218,7 @@ def test_all_documents_are_named(spark):
     counts = []
     for copies in (1, 3):
         many = docs.withColumn("doc_id", F.explode(F.array(*(F.col("doc_id") + 10_000 * i for i in range(copies)))))
+        many = cotraining.featured(many)
         taught = cotraining.name(many, views, cotraining.limits(many, views, 0.1), np.arange(50))
         counts.append({r["label1"]: r["count"] for r in taught.groupBy("label1").count().collect()})
     rows = docs.toArrow()
@@ -233,7 +234,7 @@ def test_summed_slopes_are_those_of_one_table(spark):
     docs, labels, truth = two_views(spark)
     rows = docs.where("doc_id < 400").toArrow().sort_by("doc_id")
     stored = [cotraining.content(rows["text"]), cotraining.page(rows["text"], rows["lang"], rows["source"])]
-    columns = {f"{c}{v}": a for v in (0, 1) for c, a in zip("fv", cotraining._stored(stored[v]))}
+    columns = dict(zip(("f0", "n0", "f1"), cotraining._stored(cotraining.content_counts(rows["text"]), stored[1])))
     label = truth[:400].astype(np.int32)
     taught_label = np.where(np.arange(300) % 3 == 0, -1, label[100:]).astype(np.int32)
     sample = spark.createDataFrame(pa.table({"label": label[:100], **{k: a.slice(0, 100) for k, a in columns.items()}})).repartition(2)
