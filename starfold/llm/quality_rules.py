@@ -2,14 +2,17 @@
 
 Every rule looks at one whole-number measure of a document. Its values are put into buckets of
 bounded relative width, and counts per bucket are the sketch: sketches of parts of the data merge by
-adding counts, and any quantile is read off with that width as its error. The threshold of a group is
-its median plus a multiple of its spread. Groups that are too small for that use the merged sketch of
-their language, then that of all documents. The thresholds are joined back to filter the documents.
+adding counts, and any quantile is read off with that width as its error. The limits of a group are
+its median plus and minus a multiple of its spread; measures that are 0 for most documents (``TAILS``)
+have no spread to speak of, and their limit is an upper quantile plus a margin. Groups that are too
+small for that use the merged sketch of their language, then that of all documents. A group that is
+noisy itself does not widen its own limits beyond those its language's spread or tail would give. The
+limits are joined back to filter the documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,11 @@ from . import words as W
 from .common import same, written
 
 SYMBOLS = "#*$%&|<>"
-#: Rule: least spread that is taken for a group, in the measure's unit.
-MEASURES = {"symbol_rate": 8, "dup_line_rate": 80, "repeat_rate": 80, "word_length": 25}
+MEASURES = ["symbol_rate", "dup_line_rate", "repeat_rate", "word_length"]
+#: Rule by spread: least spread that is taken for a group, in the measure's unit.
+FLOORS = {"symbol_rate": 8, "word_length": 25}
+#: Rule by tail: what a document may have above the 95 % quantile of its group, in the measure's unit.
+TAILS = {"dup_line_rate": 340, "repeat_rate": 300}
 SPREADS = 6
 GROUP_MIN = 50
 
@@ -132,14 +138,14 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """``total, q25, q50, q75`` per group and rule: the bucket at which a quarter, half and three quarters are reached."""
+    """``total, q25, q50, q75, q95`` per group and rule: the bucket at which that share of the group is reached."""
     group = Window.partitionBy(*by, "rule")
     reached = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
 
-    def at(quarters: int) -> Column:
-        return F.min(F.when(4 * F.col("upto") >= quarters * F.col("total"), F.col("bucket")))
+    def at(percent: int) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket"))).alias(f"q{percent}")
 
-    return reached.groupBy(*by, "rule").agg(F.max("total").alias("total"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75"))
+    return reached.groupBy(*by, "rule").agg(F.max("total").alias("total"), at(25), at(50), at(75), at(95))
 
 
 def thresholds(sketches: DataFrame, spreads: int = SPREADS, group_min: int = GROUP_MIN) -> DataFrame:
@@ -151,7 +157,7 @@ def thresholds(sketches: DataFrame, spreads: int = SPREADS, group_min: int = GRO
     own = quantiles(sketches, ["lang", "source"])
     by_lang = quantiles(merged(sketches, ["lang"]), ["lang"])
     of_all = quantiles(merged(sketches, []), [])
-    names = ["total", "q25", "q50", "q75"]
+    names = ["total", "q25", "q50", "q75", "q95"]
 
     def renamed(df: DataFrame, level: str, keys: list[str]) -> DataFrame:
         return df.select(*(F.col(k).alias(f"{level}_{k}") for k in keys), *(F.col(n).alias(f"{level}_{n}") for n in names))
@@ -159,12 +165,26 @@ def thresholds(sketches: DataFrame, spreads: int = SPREADS, group_min: int = GRO
     joined = (own.join(renamed(by_lang, "l", ["lang", "rule"]), same(F.col("lang"), F.col("l_lang")) & (F.col("rule") == F.col("l_rule")))
               .join(renamed(of_all, "a", ["rule"]), F.col("rule") == F.col("a_rule")))
 
-    def chosen(name: str) -> Column:
-        return F.when(F.col("total") >= group_min, F.col(name)).when(F.col("l_total") >= group_min, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
+    def wider(value: Callable[[str], Column]) -> Column:
+        return F.when(F.col("l_total") >= group_min, value("l_")).otherwise(value("a_"))
 
-    floor = F.expr("case rule " + " ".join(f"when '{m}' then {least}" for m, least in MEASURES.items()) + " end")
-    reach = spreads * F.greatest(chosen("q75") - chosen("q25"), floor)
-    limits = joined.select("lang", "source", "rule", (chosen("q50") - reach).alias("low"), (chosen("q50") + reach).alias("high"))
+    def chosen(value: Callable[[str], Column]) -> Column:
+        return F.when(F.col("total") >= group_min, value("")).otherwise(wider(value))
+
+    def spread(level: str) -> Column:
+        return F.col(f"{level}q75") - F.col(f"{level}q25")
+
+    def tail(level: str) -> Column:
+        return F.col(f"{level}q95")
+
+    def of_rule(values: dict[str, int]) -> Column:
+        return F.expr("case rule " + " ".join(f"when '{m}' then {value}" for m, value in values.items()) + " end")
+
+    middle = chosen(lambda level: F.col(f"{level}q50"))
+    reach = spreads * F.greatest(F.least(chosen(spread), wider(spread)), of_rule(FLOORS))
+    by_tail = F.col("rule").isin(*TAILS)
+    limits = joined.select("lang", "source", "rule", F.when(by_tail, 0).otherwise(middle - reach).alias("low"),
+                           F.when(by_tail, F.least(chosen(tail), wider(tail)) + of_rule(TAILS)).otherwise(middle + reach).alias("high"))
     return limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
 
 

@@ -66,7 +66,7 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join,
                                    op11_source_mixing, op12_hard_negatives, op13_tokenizer_alignment)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
-_MEASURES = list(quality_rules.MEASURES)
+_MEASURES = quality_rules.MEASURES
 
 ORACLES = {"op2_ngram_jaccard_join": rf"""
 with recursive w as (
@@ -131,17 +131,23 @@ c as (select level, lang, source, rule, bucket, count(*) as n from levels group
 r as (select *, sum(n) over (partition by level, lang, source, rule order by bucket) as upto,
              sum(n) over (partition by level, lang, source, rule) as total from c),
 q as (select level, lang, source, rule, max(total) as total, min(case when 4 * upto >= total then bucket end) as q25,
-             min(case when 2 * upto >= total then bucket end) as q50, min(case when 4 * upto >= 3 * total then bucket end) as q75
+             min(case when 2 * upto >= total then bucket end) as q50, min(case when 4 * upto >= 3 * total then bucket end) as q75,
+             min(case when 20 * upto >= 19 * total then bucket end) as q95
       from r group by all),
-pick as (select o.lang, o.source, o.rule, case when o.total >= 50 then o.q25 when l.total >= 50 then l.q25 else a.q25 end as q25,
-                case when o.total >= 50 then o.q50 when l.total >= 50 then l.q50 else a.q50 end as q50,
-                case when o.total >= 50 then o.q75 when l.total >= 50 then l.q75 else a.q75 end as q75
-         from q o join q l on o.level = 1 and l.level = 2 and o.lang is not distinct from l.lang and o.rule = l.rule
-              join q a on a.level = 3 and a.rule = o.rule),
-lim as (select *, 6 * greatest(q75 - q25, case rule when 'symbol_rate' then 8 when 'word_length' then 25 else 80 end) as reach from pick),
+wide as (select l.lang, l.rule, case when l.total >= 50 then l.q25 else a.q25 end as q25, case when l.total >= 50 then l.q50 else a.q50 end as q50,
+                case when l.total >= 50 then l.q75 else a.q75 end as q75, case when l.total >= 50 then l.q95 else a.q95 end as q95
+         from q l join q a on l.level = 2 and a.level = 3 and a.rule = l.rule),
+pick as (select o.lang, o.source, o.rule, case when o.total >= 50 then o.q50 else w.q50 end as q50,
+                least(case when o.total >= 50 then o.q75 - o.q25 else w.q75 - w.q25 end, w.q75 - w.q25) as spread,
+                least(case when o.total >= 50 then o.q95 else w.q95 end, w.q95) as q95
+         from q o join wide w on o.level = 1 and o.lang is not distinct from w.lang and o.rule = w.rule),
+lim as (select lang, source, rule,
+               case rule when 'symbol_rate' then q50 - 6 * greatest(spread, 8) when 'word_length' then q50 - 6 * greatest(spread, 25) else 0 end as low,
+               case rule when 'symbol_rate' then q50 + 6 * greatest(spread, 8) when 'word_length' then q50 + 6 * greatest(spread, 25)
+                         when 'dup_line_rate' then q95 + 340 else q95 + 300 end as high from pick),
 bad as (select distinct m.doc_id from m join lim on m.lang is not distinct from lim.lang and m.source is not distinct from lim.source
         where case rule when 'symbol_rate' then symbol_rate when 'dup_line_rate' then dup_line_rate when 'repeat_rate' then repeat_rate else word_length end
-              not between q50 - reach and q50 + reach)
+              not between low and high)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and doc_id not in (select doc_id from bad) as kept
 from m"""}

@@ -42,20 +42,21 @@ def brute_quality(rows, group_min):
 
     def quantiles(values):
         values = sorted(values)
-        return [values[math.ceil(len(values) * q / 4) - 1] for q in (1, 2, 3)]
+        return [values[-(-len(values) * q // 100) - 1] for q in (25, 50, 75, 95)]
 
     result = []
     for row, c, m, failed in measured:
         kept = not failed
-        for rule, floor in quality_rules.MEASURES.items():
-            for same in (lambda r: (r[2], r[3]) == (row[2], row[3]), lambda r: r[2] == row[2], lambda r: True):
-                values = [bucket(o[2][rule]) for o in measured if not o[3] and same(o[0])]
-                if len(values) >= group_min:
-                    break
-            if kept:
-                low, mid, high = quantiles(values)
-                reach = quality_rules.SPREADS * max(high - low, floor)
-                kept = mid - reach <= m[rule] <= mid + reach
+        for rule in quality_rules.MEASURES if kept else []:
+            levels = [[bucket(o[2][rule]) for o in measured if not o[3] and same(o[0])]
+                      for same in (lambda r: (r[2], r[3]) == (row[2], row[3]), lambda r: r[2] == row[2], lambda r: True)]
+            wide = quantiles(levels[1] if len(levels[1]) >= group_min else levels[2])
+            own = quantiles(levels[0]) if len(levels[0]) >= group_min else wide
+            if rule in quality_rules.TAILS:
+                kept = kept and m[rule] <= min(own[3], wide[3]) + quality_rules.TAILS[rule]
+            else:
+                reach = quality_rules.SPREADS * max(min(own[2] - own[0], wide[2] - wide[0]), quality_rules.FLOORS[rule])
+                kept = kept and own[1] - reach <= m[rule] <= own[1] + reach
         result.append((row[0], *(c[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, kept))
     return result
 
@@ -71,6 +72,37 @@ def test_quality_rules(odd, odd_rows, group_min):
     assert Counter(map(tuple, kept.collect())) == Counter(r for r, w in zip(odd_rows, want) if w[-1])
 
 
+def fresh_words(n, start, length=5):
+    return [("".join(chr(97 + (i // 26 ** k) % 26) for k in range(4)) + "n" * length)[:length] for i in range(start, start + n)]
+
+
+def planted_rows():
+    """Sixty plain documents of one group, and one for every rule that only this rule rejects."""
+    plain = [(i, "\n".join(" ".join(fresh_words(20, 1000 * i + 20 * k)) for k in range(6))) for i in range(60)]
+    symbols = " ".join(w + "#$%" * (k % 2) for k, w in enumerate(fresh_words(100, 70_000)))
+    lines = "\n".join(" ".join(fresh_words(20, 80_000 + 20 * k)) + "\nsame line" for k in range(6))
+    passage = fresh_words(45, 90_000)
+    repeats = " ".join(passage + fresh_words(55, 91_000) + passage + fresh_words(55, 92_000))
+    return plain, {100: ("symbol_rate", symbols), 101: ("dup_line_rate", lines), 102: ("repeat_rate", repeats), 103: ("word_length", " ".join(fresh_words(100, 95_000, 12)))}
+
+
+def test_every_rule_rejects_its_planted_document(spark):
+    plain, planted = planted_rows()
+    rows = [(i, t, "en", "web", len(t)) for i, t in plain + [(i, t) for i, (_, t) in planted.items()]]
+    found = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {i: r["failed"] for i, r in found.items() if not r["kept"]} == {i: rule for i, (rule, _) in planted.items()}
+
+
+def test_a_noisy_group_does_not_switch_its_rules_off(spark):
+    """Half of one source repeats a good part of its lines; its language as a whole does not."""
+    plain, planted = planted_rows()
+    rows = [(10 * i + k, t, "en", f"s{k}", len(t)) for i, t in plain for k in range(4)]
+    rows += [(10_000 + i, planted[101][1].replace("same", f"same{i}"), "en", "noisy", 1) for i in range(5)] + [(20_000 + i, t, "en", "noisy", len(t)) for i, t in plain[:5]]
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), group_min=10)
+    assert {r["doc_id"] for r in found.where("not kept").collect()} == {10_000 + i for i in range(5)}
+
+
 def test_no_rows_to_judge(empty):
     assert quality_rules.judge(empty).count() == 0
     assert quality_rules.keep(empty).count() == 0
@@ -123,6 +155,45 @@ def test_a_field_learns_runs():
     assert field.weights[5] > 1 and field.weights[10:60].mean() < 0
 
 
+def test_all_tokens_of_the_training_texts_have_slopes(odd, odd_rows, spark):
+    """Windows cover every word once, and slopes summed by Spark are those of all windows together, and of the likelihood."""
+    rows = odd.select("doc_id", "text", F.coalesce((F.col("doc_id") % 2).cast("int"), F.lit(0)).alias("label"))
+    raw = np.frombuffer(b"the", np.uint8)
+    chosen = np.unique(toxicity._beginnings(toxicity.token_features(raw, toxicity.W.split(raw, np.array([0, 3])))))
+    windows = toxicity.training_windows(rows, chosen)
+    table = windows.toArrow()
+    where, label, mask, before = toxicity._padded(table)
+    assert mask.sum() == sum(len(words_of(r[1])) for r in odd_rows)
+    held = {r[0]: r for r in odd_rows if "the " in (r[1] or "") and r[0] is not None}
+    assert label.sum() == sum(90 * (i % 2) for i in held) and ((before == 1) == ((label[:, 0] == 1) & (before == 1))).all()
+    rng = np.random.default_rng(8)
+    field = toxicity.Field(rng.normal(0, 0.1, 1 << toxicity.FEATURE_BITS), np.array([[0.3, -0.5], [0.2, 0.1]]))
+    up, turns = toxicity.slopes_of_all(windows, field)
+    want = toxicity.summed_slopes(where, label, mask, before, field.weights, field.moves)
+    assert np.allclose(up, want[0]) and np.allclose(turns, want[1])
+
+    def likelihood(moves, weights):
+        total = 0.0
+        for f, y, m, b in zip(where[:9], label[:9], mask[:9], before[:9]):
+            path, free, last = 0.0, np.where(np.arange(2) == b, 0.0, -np.inf), b
+            for t in np.flatnonzero(m):
+                e = np.array([0.0, weights[f[t]].sum()])
+                path += moves[last, y[t]] + e[y[t]]
+                free = np.array([np.logaddexp(*(free + moves[:, j])) for j in (0, 1)]) + e
+                last = y[t]
+            total += path - np.logaddexp(*free)
+        return total
+
+    up, turns = toxicity.summed_slopes(where[:9], label[:9], mask[:9], before[:9], field.weights, field.moves)
+    step = np.zeros((2, 2))
+    step[1, 0] = step[0, 1] = 1e-5
+    assert np.isclose((likelihood(field.moves + step, field.weights) - likelihood(field.moves - step, field.weights)) / 2e-5, turns[1, 0] + turns[0, 1], atol=1e-4)
+    slot = np.argmax(np.abs(up))
+    bump = np.zeros_like(field.weights)
+    bump[slot] = 1e-5
+    assert np.isclose((likelihood(field.moves, field.weights + bump) - likelihood(field.moves, field.weights - bump)) / 2e-5, up[slot], atol=1e-4)
+
+
 @pytest.fixture(scope="module")
 def toxic_labels(spark, odd_rows):
     rows = [(r[0], int("the " in (r[1] or ""))) for r in odd_rows if r[0] is not None] + [(10, None), (None, 1), (77777, 1)]
