@@ -3,8 +3,9 @@
 Labels are per document, so token labels are made first: beginnings of words that are far more common
 in toxic training documents than in others are candidates, and the fewest of them that explain the
 toxic documents are kept; their tokens are the toxic ones. The field has features of a word and its
-beginnings and a 2 x 2 transition, and is fitted by gradient ascent with exact forward-backward sums.
-Marginals of every token of a whole text are added up to a document's score, calibrated on training
+beginnings and a 2 x 2 transition, and is fitted by gradient ascent with exact forward-backward sums:
+first on a pilot of windows in one task, then on every token of the training texts, whose slopes each
+partition sums. Marginals of every token of a whole text are added up to a document's score, calibrated on training
 documents, and runs of likely tokens are the offending spans.
 
 Training uses a bounded sample of labelled rows (``toxic_rows``, ``clean_rows``); scoring uses all texts.
@@ -34,6 +35,8 @@ END_BYTES = 3
 WINDOW = 32
 BLOCK = 64
 STEPS = 80
+#: Steps over all tokens of the training texts, after those on the pilot.
+ROUNDS = 8
 SLICE = 2_048
 
 _SALT = W.mix(np.arange(1, 16, dtype=np.uint64))
@@ -128,30 +131,52 @@ def marginals(emission: np.ndarray, doc: np.ndarray, n_docs: int, moves: np.ndar
     return (both[:, :, 1] / both.sum(axis=2))[row, column]
 
 
-def fit_field(where: np.ndarray, label: np.ndarray, mask: np.ndarray, steps: int = STEPS, decay: float = 1e-4) -> Field:
+class Ascent(NamedTuple):
+    """State of the ascent: weights and transitions, and the sums of squares that set their step sizes."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+    weight_sum: np.ndarray
+    move_sum: np.ndarray
+
+    def step(self, up: np.ndarray, move_up: np.ndarray, tokens: int, decay: float = 1e-4) -> Ascent:
+        up, move_up = up / tokens * 100 - decay * self.weights, move_up / tokens
+        weight_sum, move_sum = self.weight_sum + up ** 2, self.move_sum + move_up ** 2
+        return Ascent(self.weights + 0.5 * up / np.sqrt(weight_sum), self.moves + 0.2 * move_up / np.sqrt(move_sum), weight_sum, move_sum)
+
+    def field(self) -> Field:
+        return Field(self.weights.astype(np.float32), self.moves)
+
+
+def summed_slopes(where: np.ndarray, label: np.ndarray, mask: np.ndarray, before: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of every weight and transition, summed over windows, some at a time for the memory."""
+    up, move_up = np.zeros(len(weights)), np.zeros((2, 2))
+    for begin in range(0, len(label), SLICE):
+        part = slice(begin, begin + SLICE)
+        miss, turns = _slopes(where[part], label[part], mask[part], before[part], weights, moves)
+        up += np.bincount(where[part][mask[part]].reshape(-1), np.repeat(miss, where.shape[2]), len(weights))
+        move_up += turns
+    return up, move_up
+
+
+def ascend(where: np.ndarray, label: np.ndarray, mask: np.ndarray, before: np.ndarray | None = None, steps: int = STEPS) -> Ascent:
     """Gradient ascent on the likelihood of labelled windows, with step sizes per weight."""
-    weights, moves = np.zeros(1 << FEATURE_BITS), np.zeros((2, 2))
-    weight_sum, move_sum = np.full_like(weights, 1e-3), np.full((2, 2), 1e-3)
-    tokens = mask.sum()
+    before = np.zeros(len(label), np.int64) if before is None else before
+    size = 1 << FEATURE_BITS
+    state = Ascent(np.zeros(size), np.zeros((2, 2)), np.full(size, 1e-3), np.full((2, 2), 1e-3))
     for _ in range(steps):
-        up, move_up = -decay * weights, np.zeros((2, 2))
-        for begin in range(0, len(label), SLICE):  # some windows at a time, for the memory
-            part = slice(begin, begin + SLICE)
-            miss, turns = _slopes(where[part], label[part], mask[part], weights, moves)
-            up += np.bincount(where[part][mask[part]].reshape(-1), np.repeat(miss, where.shape[2]), len(weights)) / tokens * 100
-            move_up += turns / tokens
-        weight_sum += up ** 2
-        move_sum += move_up ** 2
-        weights += 0.5 * up / np.sqrt(weight_sum)
-        moves += 0.2 * move_up / np.sqrt(move_sum)
-    return Field(weights.astype(np.float32), moves)
-
-
-def _slopes(feature: np.ndarray, label: np.ndarray, mask: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label minus marginal of each token, and seen minus expected transitions, of some windows."""
+        state = state.step(*summed_slopes(where, label, mask, before, state.weights, state.moves), int(mask.sum()))
+    return state
+
+
+def fit_field(where: np.ndarray, label: np.ndarray, mask: np.ndarray, steps: int = STEPS) -> Field:
+    return ascend(where, label, mask, None, steps).field()
+
+
+def _slopes(feature: np.ndarray, label: np.ndarray, mask: np.ndarray, opens: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label minus marginal of each token, and seen minus expected transitions, of some windows; ``opens`` is the label before each."""
     n, width = label.shape
-    begin = np.zeros((n, 2))
-    begin[:, 0] = 1.0
+    begin = np.eye(2)[opens]
     emission = np.zeros((n, width))
     emission[mask] = np.clip(weights[feature[mask]].sum(axis=1), -25, 25)
     odds, exp = np.exp(emission), np.exp(moves)
@@ -162,7 +187,7 @@ def _slopes(feature: np.ndarray, label: np.ndarray, mask: np.ndarray, weights: n
     ahead = backward * np.stack([np.ones_like(odds), odds], axis=2)
     pair = last[:, :, :, None] * exp * ahead[:, :, None, :]
     pair /= pair.sum(axis=(2, 3), keepdims=True)
-    before = np.concatenate([np.zeros((n, 1), np.int64), label[:, :-1]], axis=1)
+    before = np.concatenate([opens[:, None], label[:, :-1]], axis=1)
     seen = np.array([[np.sum((before == i) & (label == j) & mask) for j in (0, 1)] for i in (0, 1)])
     return (label - toxic)[mask], seen - pair[mask].sum(axis=0)
 
@@ -189,7 +214,7 @@ def _beginnings(features: np.ndarray) -> np.ndarray:
     return features[:, : 1 + len(BEGINNINGS)]
 
 
-def candidates(rows: DataFrame, toxic: int, clean: int, kept: int = 20_000) -> np.ndarray:
+def candidates(rows: DataFrame, toxic: int, clean: int) -> np.ndarray:
     """Word beginnings that are at least twenty times as frequent in toxic as in clean training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +237,7 @@ def candidates(rows: DataFrame, toxic: int, clean: int, kept: int = 20_000) -> n
 
     found = rows.mapInArrow(run, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odd = (F.col("toxic") >= 4) & (F.col("toxic") * clean >= 20 * (F.col("clean") + 0.25) * toxic)
-    top = found.where(odd).orderBy(F.desc("toxic"), "feature").limit(kept).collect()
-    return np.sort(np.array([r["feature"] for r in top], np.int64).view(np.uint64))
+    return np.sort(np.array([r["feature"] for r in found.where(odd).select("feature").collect()], np.int64).view(np.uint64))
 
 
 def _is_in(features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -254,45 +278,68 @@ def explain(rows: DataFrame, odd: np.ndarray, least: int = 3) -> np.ndarray:
 
 
 def training_windows(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """Labelled windows of ``WINDOW`` tokens: around toxic tokens, and two of every clean document."""
-    width = len(BEGINNINGS) + 2
+    """All tokens of the training texts in windows of up to ``WINDOW``, with the label before each window.
+
+    ``pilot`` marks those that the first fit uses: with toxic tokens, and two of every clean text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch):
                 data, borders = W.text_bytes(part.column(1))
                 words = W.split(data, borders)
+                if not len(words.begin):
+                    continue
                 features = token_features(data, words)
-                toxic = _is_in(_beginnings(features), chosen).any(axis=1)
                 where = slots(features)
-                label = part.column(2).to_numpy()
-                held: list[tuple[bytes, bytes]] = []
-                for d in range(len(borders) - 1):
-                    low, high = words.first[d], words.first[d + 1]
-                    if high == low:
-                        continue
-                    if label[d] == 1:
-                        centres = low + np.flatnonzero(toxic[low:high])[:: max(1, int(toxic[low:high].sum()) // 3)][:4]
-                    else:
-                        centres = low + (np.array([1, 3]) * (high - low)) // 4
-                    for c in centres.tolist():
-                        a = max(low, min(c - WINDOW // 2, high - WINDOW))
-                        b = min(a + WINDOW, high)
-                        held.append((where[a:b].tobytes(), (toxic[a:b] & (label[d] == 1)).astype(np.uint8).tobytes()))
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.binary()) for i in (0, 1)], ["features", "labels"])
-
-    return rows.mapInArrow(run, "features binary, labels binary")
-
-
-def _padded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                clean = part.column(2).to_numpy() != 1
+                toxic = (_is_in(_beginnings(features), chosen).any(axis=1) & ~clean[words.doc]).astype(np.uint8)
+                place = np.arange(len(toxic)) - words.first[words.doc]
+                opens = np.flatnonzero(place % WINDOW == 0)
+                closes = np.append(opens[1:], len(toxic))
+                doc = words.doc[opens]
+                before = np.where(place[opens] == 0, 0, toxic[opens - 1])
+                n = -(-np.diff(words.first)[doc] // WINDOW)
+                pilot = (np.add.reduceat(toxic.astype(np.int64), opens) > 0) | (clean[doc] & ((place[opens] // WINDOW == n // 4) | (place[opens] // WINDOW == 3 * n // 4)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([where[a:b].tobytes() for a, b in zip(opens, closes)], pa.binary()), pa.array([toxic[a:b].tobytes() for a, b in zip(opens, closes)], pa.binary()),
+                     pa.array(before.astype(np.int32)), pa.array(pilot)], ["features", "labels", "before", "pilot"])
+
+    return rows.mapInArrow(run, "features binary, labels binary, before int, pilot boolean")
+
+
+def _padded(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     width, n = len(BEGINNINGS) + 2, table.num_rows
     where, label, mask = np.zeros((n, WINDOW, width), np.int32), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
     for i, (f, y) in enumerate(zip(table["features"].to_pylist(), table["labels"].to_pylist())):
         where[i, : len(y)] = np.frombuffer(f, np.int32).reshape(-1, width)
         label[i, : len(y)] = np.frombuffer(y, np.uint8)
         mask[i, : len(y)] = True
-    return where, label, mask
+    return where, label, mask, table["before"].to_numpy().astype(np.int64)
+
+
+def slopes_of_all(windows: DataFrame, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of weights and transitions over all windows: each partition sums its own, equal slots are added in Spark.
+
+    What comes to the driver is one number a slot, at most ``2 ** FEATURE_BITS`` and four.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, turns = np.zeros(len(field.weights)), np.zeros((2, 2))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                a, b = summed_slopes(*_padded(batch.slice(begin, SLICE)), field.weights, field.moves)
+                up += a
+                turns += b
+        slot = np.flatnonzero(up)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([slot, -1 - np.arange(4)]).astype(np.int32)), pa.array(np.concatenate([up[slot], turns.reshape(-1)]))], ["slot", "slope"])
+
+    summed = windows.select("features", "labels", "before").mapInArrow(run, "slot int, slope double").groupBy("slot").agg(F.sum("slope").alias("slope")).toPandas()
+    slot, slope = summed["slot"].to_numpy(), summed["slope"].to_numpy()
+    up, turns = np.zeros(len(field.weights)), np.zeros(4)
+    up[slot[slot >= 0]] = slope[slot >= 0]
+    turns[-1 - slot[slot < 0]] = slope[slot < 0]
+    return up, turns.reshape(2, 2)
 
 
 class Model(NamedTuple):
@@ -335,7 +382,7 @@ def tag(column: pa.Array, field: Field) -> tuple[W.Words, np.ndarray, np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-          toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
+          toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, rounds: int = ROUNDS) -> Model:
     """Fits the field and its calibration. Without labelled rows of both classes every score is the share of toxic labels, or 0."""
     spark = docs.sparkSession
     rows = written(spark, training_rows(docs, labels, id_column, text_column, label_column, toxic_rows, clean_rows), "toxic-training")
@@ -345,15 +392,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return Model(Field(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros((2, 2))), np.array([30.0 if toxic else -30.0, 0, 0]))
     chosen = explain(rows, candidates(rows, toxic, clean))
 
-    def fit(windows: pa.Table) -> pa.Table:
-        field = fit_field(*_padded(windows))
+    windows = written(spark, training_windows(rows, chosen), "toxic-windows")
+
+    def fit(pilot: pa.Table) -> pa.Table:
+        padded = _padded(pilot)
         file = io.BytesIO()
-        np.savez(file, weights=field.weights, moves=field.moves)
+        np.savez(file, tokens=padded[2].sum(), **ascend(*padded)._asdict())
         return pa.table({"model": pa.array([file.getvalue()], pa.binary())})
 
-    stored = training_windows(rows, chosen).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "model binary").collect()  # a bounded sample
+    stored = windows.where("pilot").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "model binary").collect()  # a bounded sample
+    if not stored:  # no text holds a word
+        return Model(Field(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros((2, 2))), np.array([30.0 if toxic else -30.0, 0, 0]))
     held = np.load(io.BytesIO(stored[0][0]))
-    field = Field(held["weights"], held["moves"])
+    state = Ascent(*(held[name] for name in Ascent._fields))
+    for _ in range(rounds):
+        state = state.step(*slopes_of_all(windows, state.field()), int(held["tokens"]))
+    field = state.field()
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
