@@ -34,9 +34,9 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 END_BYTES = 3
 WINDOW = 32
 BLOCK = 64
-STEPS = 80
-#: Steps over all tokens of the training texts, after those on the pilot.
-ROUNDS = 8
+#: Steps on the pilot, and then over all tokens of the training texts.
+STEPS = 40
+ROUNDS = 6
 SLICE = 2_048
 
 _SALT = W.mix(np.arange(1, 16, dtype=np.uint64))
@@ -153,8 +153,9 @@ def summed_slopes(where: np.ndarray, label: np.ndarray, mask: np.ndarray, before
     up, move_up = np.zeros(len(weights)), np.zeros((2, 2))
     for begin in range(0, len(label), SLICE):
         part = slice(begin, begin + SLICE)
-        miss, turns = _slopes(where[part], label[part], mask[part], before[part], weights, moves)
-        up += np.bincount(where[part][mask[part]].reshape(-1), np.repeat(miss, where.shape[2]), len(weights))
+        feature = where[part][mask[part]]
+        miss, turns = _slopes(feature, label[part], mask[part], before[part], weights, moves)
+        up += np.bincount(feature.reshape(-1), np.repeat(miss, where.shape[2]), len(weights))
         move_up += turns
     return up, move_up
 
@@ -174,22 +175,24 @@ def fit_field(where: np.ndarray, label: np.ndarray, mask: np.ndarray, steps: int
 
 
 def _slopes(feature: np.ndarray, label: np.ndarray, mask: np.ndarray, opens: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label minus marginal of each token, and seen minus expected transitions, of some windows; ``opens`` is the label before each."""
-    n, width = label.shape
+    """Label minus marginal of each token, and seen minus expected transitions, of some windows.
+
+    ``feature`` has a row for each place of ``mask``; ``opens`` is the label before each window.
+    """
     begin = np.eye(2)[opens]
-    emission = np.zeros((n, width))
-    emission[mask] = np.clip(weights[feature[mask]].sum(axis=1), -25, 25)
+    emission = np.zeros(label.shape)
+    emission[mask] = np.clip(weights[feature].sum(axis=1), -25, 25)
     odds, exp = np.exp(emission), np.exp(moves)
-    forward, backward = _sweep(odds, mask, exp, begin, np.ones((n, 2)))
-    both = forward * backward
-    toxic = both[:, :, 1] / both.sum(axis=2)
-    last = np.concatenate([begin[:, None], forward[:, :-1]], axis=1)
-    ahead = backward * np.stack([np.ones_like(odds), odds], axis=2)
-    pair = last[:, :, :, None] * exp * ahead[:, :, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    forward, backward = _sweep(odds, mask, exp, begin, np.ones(begin.shape))
+    last = np.concatenate([begin[:, None], forward[:, :-1]], axis=1)[mask]
+    ahead = backward[mask]
+    ahead[:, 1] *= odds[mask]
+    both = (last @ exp) * ahead
+    whole = both.sum(axis=1)
     before = np.concatenate([opens[:, None], label[:, :-1]], axis=1)
-    seen = np.array([[np.sum((before == i) & (label == j) & mask) for j in (0, 1)] for i in (0, 1)])
-    return (label - toxic)[mask], seen - pair[mask].sum(axis=0)
+    now = label[mask]
+    seen = np.bincount(2 * before[mask] + now, minlength=4).reshape(2, 2)
+    return now - both[:, 1] / whole, seen - exp * ((last / whole[:, None]).T @ ahead)
 
 
 # ---------------------------------------------------------------- training
