@@ -863,8 +863,8 @@ def result_tables(d):
 def record_lines(d):
     """Records appended as JSON lines, some of them again with one vote more; the last of each counts."""
     path = new_folder(d.spark, "records")
-    store.append_records(d.records, path)
-    store.append_records(d.records.where("tmdb_id % 20 = 0").withColumn("vote_count", F.col("vote_count") + 1), path)
+    store.append_records(d.records, path, "first")
+    store.append_records(d.records.where("tmdb_id % 20 = 0").withColumn("vote_count", F.col("vote_count") + 1), path, "second")
     last = tables.latest_records(tables.record_store(d.spark, path), "tmdb_id", "vote_count")
     return last.select("tmdb_id", "vote_count", "runtime", "budget", "release_date", "original_language",
                        F.size("keyword_names").cast("long").alias("n_keywords"))

@@ -41,8 +41,9 @@ def write_result(df: DataFrame, path: str, run_date: str, fmt: str = "parquet")
     writer.format(fmt).save(f"{path}/run_date={run_date}")
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+def append_records(records: DataFrame, path: str, run: str) -> None:
+    """Lines of one run, in a folder of its own; running again under the same name replaces them."""
+    records.write.mode("overwrite").json(f"{path}/{run}")
 
 
 def write_content_store(store: ContentStore, path: str) -> None:
@@ -101,13 +102,14 @@ def load_model(spark: SparkSession, path: str, tag: str | None = None) -> Model:
 
 
 def append_progress(spark: SparkSession, path: str, tag: str, row: dict) -> None:
+    """The row of one epoch, in a folder of its own; a repeated epoch replaces its row."""
     names = [field.split()[0] for field in schemas.PROGRESS.split(", ")]
     spark.createDataFrame([tuple(row.get(name) for name in names)], schemas.PROGRESS).coalesce(1).write.mode(
-        "append").parquet(f"{path}/progress/tag={tag}")
+        "overwrite").parquet(f"{path}/progress/tag={tag}/at-{row['epoch']:06d}")
 
 
 def read_progress(spark: SparkSession, path: str, tag: str = DEFAULT_TAG) -> DataFrame:
-    return spark.read.schema(schemas.PROGRESS).parquet(f"{path}/progress/tag={tag}")
+    return spark.read.schema(schemas.PROGRESS).option("recursiveFileLookup", True).parquet(f"{path}/progress/tag={tag}")
 
 
 def forget(spark: SparkSession, path: str, tag: str) -> None:

@@ -75,8 +75,8 @@ def profile(ratings: DataFrame, order: str = "line_no", dedup: bool = True) -> D
 
 
 def record_store(spark: SparkSession, path: str) -> DataFrame:
-    """Content records kept as JSON lines; lines that hold no record are skipped."""
-    return spark.read.schema(schemas.RECORD).json(path).where(F.col("tmdb_id").isNotNull())
+    """Content records kept as JSON lines, in any depth of folders; lines that hold no record are skipped."""
+    return spark.read.schema(schemas.RECORD).option("recursiveFileLookup", True).json(path).where(F.col("tmdb_id").isNotNull())
 
 
 def latest_records(records: DataFrame, key: str, order: str) -> DataFrame:
