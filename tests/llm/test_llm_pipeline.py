@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_all_operators_are_registered():
     known = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(known)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
