@@ -146,3 +146,48 @@ def test_two_tiers(spark):
     assert [r.movieId for r in by_user[3]] == [29, 28, 27, 26]
     assert by_user[3][0].title == "Unknown" and by_user[3][0].genres == "(no genres listed)"
     assert not {r.movieId for r in by_user[2]} & set(range(10))
+
+
+def test_most_blocks_are_skipped_when_only_biases_differ(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(scoring, "ITEMS_PER_BLOCK", 100)
+    q = rng.normal(size=(3_000, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)  # of equal lengths
+    b, u = rng.normal(size=3_000), rng.normal(size=(20, 4)) * 0.05
+    items = spark.createDataFrame([(i, [float(x) for x in q[i]], float(b[i])) for i in range(3_000)], "movieId long, vec array<double>, bias double")
+    users = spark.createDataFrame([(x, [float(y) for y in u[x]], 3.0) for x in range(20)], "userId long, vec array<double>, base double")
+    none = spark.createDataFrame([], "userId long, movieId long")
+    met = []
+    wanted = scoring.wanted_blocks
+    monkeypatch.setattr(scoring, "wanted_blocks", lambda *a: met.append(wanted(*a)) or met[-1])
+    found = {}
+    for r in scoring.top_items(users, items, none, 5, bounds=None).orderBy("userId", "rank").collect():
+        found.setdefault(r.userId, []).append(r.movieId)
+    for x in range(20):
+        assert found[x] == np.argsort(-(q @ u[x] + b))[:5].tolist()
+    assert met[0].count() < 0.1 * 20 * 30
+
+
+def test_bounds_of_blocks_hold_for_all_users():
+    rng = np.random.default_rng(10)
+    q, b = rng.normal(size=(400, 3)) * rng.pareto(2.0, 400)[:, None], rng.normal(size=400)
+    length = np.linalg.norm(q, axis=1)
+    for weight, usual in ((1.0, 0.7), (0.5, 3.0), (0.0, 1.0)):
+        reach = weight * b + usual * length
+        parts = np.array_split(np.argsort(-reach), 10)
+        stat = lambda f, x: np.array([f(x[p]) for p in parts])
+        blocks = scoring.Blocks(np.arange(10), stat(np.max, length), stat(np.max, b), stat(np.min, b), stat(np.min, np.arange(400)),
+                                stat(np.min, length), stat(np.max, reach), (weight, usual))
+        u, w, base = rng.normal(size=(50, 3)), rng.normal(size=50), rng.normal(size=50)
+        w[:10] = 0.0
+        score = base[:, None] + np.outer(w, b) + u @ q.T
+        bound = blocks.reach(base, w, np.linalg.norm(u, axis=1))
+        assert (np.column_stack([score[:, p].max(axis=1) for p in parts]) <= bound).all()
+
+
+def test_a_profile_of_equal_directions_has_no_empty_cluster():
+    rows = np.repeat([[1.0, 0.0]], 40, axis=0)
+    rows[-1] = [0.0, 1.0]
+    profile = scoring.Profile(rows)
+    assert all(len(m) for m in profile.members)
+    assert profile.passing(np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), 0.9).tolist() == [True, True, False]
