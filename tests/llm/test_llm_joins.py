@@ -142,3 +142,22 @@ def test_tree_marks_all_but_the_earliest():
     words = np.arange(30, dtype=np.uint64) + np.uint64(7)
     rows = pa.table({"doc_id": [5, 3, 9], "start": [0, 4, 2], "words": [words[:22].tobytes(), words[2:24].tobytes(), words[20:].tobytes() + words[:10].tobytes()]})
     assert repeats.marked(rows, 20).tolist() == [0b100, 0, 0]
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 30)
+    rows = [(i, f"common words here own{i} more{i} last{i}" if i < 30 else f"a{i} b{i} c{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    value, count = ngram_join.frequent_shingles(ngram_join._keyed(docs, "doc_id", "text"), 3)
+    assert count.tolist() == [30]
+
+
+def test_counters_keep_what_is_frequent():
+    rng = np.random.default_rng(0)
+    held = ngram_join.Counters(100)
+    rows = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(1_000, 1 << 60, 8_000).astype(np.uint64)])
+    for part in np.array_split(rng.permutation(rows), 50):
+        held.add(part)
+    counts = dict(zip(held.value.tolist(), held.count.tolist()))
+    assert len(counts) <= 200
+    assert all(400 - len(rows) / 100 <= counts.get(v, 0) <= 400 for v in range(5))
