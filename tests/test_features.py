@@ -101,3 +101,12 @@ def test_representation_of_cold_and_unknown_items(spark):
     assert identity[2] == hybrid[2]
     assert identity[3] == hybrid[3] == ([1.0, 1.0], 0.75, "cold")
     assert identity[4] == (None, None, "unscorable")
+
+
+def test_terms_are_counted_without_a_row_per_term_in_the_shuffle(spark):
+    rows = [(1, ["Red fox", "fox"]), (2, ["red"]), (2, ["red", "a"]), (None, ["fox"])]
+    records = spark.createDataFrame(rows, "movieId long, keyword_names array<string>")
+    counts = feat.term_counts(records)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.movieId, r.term): r.tf for r in counts.collect()} == {(1, "red"): 1, (1, "fox"): 2, (2, "red"): 2, (None, "fox"): 1}
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")

@@ -80,3 +80,15 @@ def test_the_objective_falls_below_that_of_single_steps(spark, tmp_path):
 
         objective[solver] = store.read_progress(spark, str(tmp_path / solver)).orderBy(F.desc("epoch")).first()["objective"]
     assert objective["gradients"] < objective["step"]
+
+
+def test_a_feature_is_sent_to_the_tiles_that_hold_it(spark, monkeypatch):
+    monkeypatch.setattr(T, "ITEMS_PER_TILE", 1)
+    features = spark.createDataFrame([(i, i // 2, 2.0) for i in range(40)], "movieId long, feature_id int, value double")
+    tiles = T.tiled(features, written=True)
+    weights = spark.createDataFrame([(j, [float(j)]) for j in range(20)], "feature_id int, vec array<double>")
+    assert tiles.item_blocks > 20
+    assert T._to_tiles(tiles, weights).count() <= 40
+    scales = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "movieId long, vec array<double>")
+    got = {r.feature_id: r.vec[0] for r in T.there_and_back(tiles, weights, scales, 1).collect()}
+    assert got == {j: 4.0 * j * (4 * j + 1) for j in range(20)}
