@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import words_of
