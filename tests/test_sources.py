@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,87 @@ def test_compaction_between_batches_and_a_failure_in_it(spark, tmp_path):
     assert sorted(r.movieId for r in store.read(RATED, before=3, buckets=store.touched(batch(0).where("userId = 4"))).where("userId = 4").collect()) == [2]
     store.compact(RATED, 2)  # nothing new
     assert [last for last, _ in store.marks()] == [1, 2]
+
+
+class CountedState:
+    """State of one user in memory, with the number of accesses."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps = 0, {}, {}
+
+    def getValueState(self, name, *schema):
+        return CountedVariable(self, self.values, name)
+
+    def getMapState(self, name, *schema):
+        return CountedVariable(self, self.maps, name)
+
+
+class CountedVariable:
+    def __init__(self, owner, held, name):
+        self.owner, self.held, self.name = owner, held, name
+
+    def get(self):
+        self.owner.calls += 1
+        return self.held.get(self.name)
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.owner.calls += 1
+        self.held[self.name] = value
+
+    def getValue(self, key):
+        self.owner.calls += 1
+        return self.held.get(key)
+
+    def containsKey(self, key):
+        return self.getValue(key) is not None
+
+    def updateValue(self, key, value):
+        self.owner.calls += 1
+        self.held[key] = value
+
+
+def _arrive(taste, rows, vectors):
+    frame = pd.DataFrame(rows, columns=["movieId", "rating", "line_no"])
+    frame["vec"], frame["bias"] = [vectors[i] for i in frame["movieId"]], 0.1
+    return next(taste.handleInputRows((1,), iter([frame]), None)).iloc[0]
+
+
+def test_state_of_a_user_is_read_and_written_in_few_calls():
+    from starfold.streaming.state import TasteState
+
+    taste, state = TasteState(3.0, [1.0]), CountedState()
+    taste.init(state)
+    vectors = {i: np.array([1.0 + i % 7, i % 5 - 2.0]) for i in range(60)}
+    assert _arrive(taste, [(i, 4.0, i) for i in range(60)], vectors).n == 60
+    assert state.calls <= 4
+    state.calls = 0
+    assert _arrive(taste, [(i, 2.0, 100 + i) for i in range(60)], vectors).n == 60
+    assert state.calls <= 4
+
+
+def test_chunks_of_a_user_grow_with_their_ratings():
+    from starfold.operators.ridge import RidgeSpec, solve_grams
+    from starfold.streaming.state import CHUNK_ITEMS, TasteState
+
+    rng = np.random.default_rng(3)
+    taste, state = TasteState(3.0, [1.0]), CountedState()
+    taste.init(state)
+    ids = 10 ** 6 + 64 * np.arange(5 * CHUNK_ITEMS)  # a common factor does not crowd a chunk
+    vectors = {i: rng.normal(size=2) for i in ids.tolist()}
+    latest, line = {}, 0
+    for size in (40, CHUNK_ITEMS, 3 * CHUNK_ITEMS, 5 * CHUNK_ITEMS, 60):
+        some = rng.choice(ids, size, replace=False).tolist()
+        rows = [(i, float(rng.integers(1, 6)), line + n) for n, i in enumerate(some)]
+        line += size
+        state.calls = 0
+        found = _arrive(taste, rows + [(some[0], 0.5, -1)], vectors)
+        latest.update({i: r for i, r, _ in rows})
+        x = np.array([[*vectors[i], r - 3.1, 1.0] for i, r in latest.items()])
+        vec, bias, _, _ = solve_grams((x.T @ x)[None], np.zeros((1, 3)), 1.0, RidgeSpec(alphas=(1.0,)))
+        assert found.n == len(latest) and found.vec == pytest.approx(vec[0]) and found.bias == pytest.approx(bias[0])
+    held = [len(v[0]) // 24 for v in state.maps.values()]
+    assert sum(held) == len(latest) and max(held) < 2 * CHUNK_ITEMS and len(held) > 1
+    assert state.calls < 2 * len(held) + 4
