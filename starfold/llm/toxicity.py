@@ -321,10 +321,23 @@ def _padded(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, n
     return where, label, mask, table["before"].to_numpy().astype(np.int64)
 
 
+def numbers_of(df: DataFrame) -> list[np.ndarray]:
+    """Columns of numbers as arrays. They come packed, one row a partition, and not as objects for every row."""
+    types = [np.dtype({"int": "<i4", "double": "<f8"}[field.dataType.simpleString()]) for field in df.schema]
+    names = df.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(b.column(i).to_numpy().astype(t).tobytes() for b in held)], pa.binary()) for i, t in enumerate(types)], names)
+
+    rows = df.mapInArrow(pack, ", ".join(f"`{name}` binary" for name in names)).collect()
+    return [np.frombuffer(b"".join(row[i] for row in rows), t) for i, t in enumerate(types)]
+
+
 def slopes_of_all(windows: DataFrame, field: Field) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of weights and transitions over all windows: each partition sums its own, equal slots are added in Spark.
 
-    What comes to the driver is one number a slot, at most ``2 ** FEATURE_BITS`` and four.
+    What comes to the driver is one number a slot, at most ``2 ** FEATURE_BITS`` and four, packed by partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,8 +350,8 @@ def slopes_of_all(windows: DataFrame, field: Field) -> tuple[np.ndarray, np.ndar
         slot = np.flatnonzero(up)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([slot, -1 - np.arange(4)]).astype(np.int32)), pa.array(np.concatenate([up[slot], turns.reshape(-1)]))], ["slot", "slope"])
 
-    summed = windows.select("features", "labels", "before").mapInArrow(run, "slot int, slope double").groupBy("slot").agg(F.sum("slope").alias("slope")).toPandas()
-    slot, slope = summed["slot"].to_numpy(), summed["slope"].to_numpy()
+    summed = windows.select("features", "labels", "before").mapInArrow(run, "slot int, slope double").groupBy("slot").agg(F.sum("slope").alias("slope"))
+    slot, slope = numbers_of(summed)
     up, turns = np.zeros(len(field.weights)), np.zeros(4)
     up[slot[slot >= 0]] = slope[slot >= 0]
     turns[-1 - slot[slot < 0]] = slope[slot < 0]
@@ -418,7 +431,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 summary = tag(part.column(1), field)[2]
                 yield pa.RecordBatch.from_arrays([pa.array(summary[:, 0]), pa.array(summary[:, 1]), part.column(2)], ["top", "total", "label"])
 
-    sums = np.array([tuple(r) for r in rows.mapInArrow(summarise, "top double, total double, label int").collect()], float)
+    sums = np.column_stack(numbers_of(rows.mapInArrow(summarise, "top double, total double, label int")))
     every = {r["label"]: r["n"] for r in labels.where(~held_out(F.col(id_column))).groupBy(F.col(label_column).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = np.where(sums[:, 2] == 1, every.get(1, toxic) / toxic, every.get(0, clean) / clean)
     return Model(field, fit_calibration(sums[:, :2], sums[:, 2], weight / weight.mean()))

@@ -200,6 +200,27 @@ def toxic_labels(spark, odd_rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int")
 
 
+def test_slopes_reach_the_driver_packed(spark, monkeypatch):
+    """A row a partition, and not one for every slot."""
+    windows = spark.createDataFrame([(np.arange(8 * i, 8 * i + 8, dtype=np.int32).tobytes(), b"\x01", 0) for i in range(200)],
+                                    "features binary, labels binary, before int").repartition(4)
+    kind, counts = type(windows), []
+    collect = kind.collect
+
+    def counted(df):
+        rows = collect(df)
+        counts.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    monkeypatch.setattr(kind, "toPandas", lambda df: pytest.fail("rows become objects in the driver"))
+    up, turns = toxicity.slopes_of_all(windows, toxicity.Field(np.zeros(1 << toxicity.FEATURE_BITS, np.float32), np.zeros((2, 2))))
+    assert np.allclose(up[:1600], 0.5) and not up[1600:].any() and turns.shape == (2, 2)
+    assert counts and max(counts) <= 8
+    numbers = toxicity.numbers_of(spark.createDataFrame([(i, i / 3) for i in range(5000)], "a int, b double").repartition(3))
+    assert sorted(zip(numbers[0].tolist(), numbers[1].tolist())) == [(i, i / 3) for i in range(5000)]
+
+
 def test_toxicity_of_odd_rows(odd, empty, odd_rows, toxic_labels, spark):
     found = toxicity.judge(odd, toxic_labels).collect()
     assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in odd_rows)
