@@ -62,8 +62,9 @@ def fold_in_stream(arrivals: DataFrame, factors: DataFrame, mean: float, path: s
     users = BatchStore(spark, f"{path}/users")
     known = factors.select("movieId", F.col("vec").cast("array<double>").alias("vec"), F.col("bias").cast("double").alias("bias"))
     rows = arrivals.join(known, "movieId", "left").select(
-        F.col("userId").cast("long").alias("userId"), "movieId", F.col("rating").cast("double").alias("rating"), F.col("line_no").cast("long").alias("line_no"), "vec", "bias")
-    solved = rows.groupBy("userId").transformWithStateInPandas(TasteState(float(mean), alphas), USERS, "Update", "None")
+        F.coalesce(F.col("userId").cast("long"), F.lit(0)).alias("userId"), F.col("userId").isNull().alias("nobody"), "movieId", F.col("rating").cast("double").alias("rating"), F.col("line_no").cast("long").alias("line_no"), "vec", "bias")
+    # Keys without nulls: among null ids pandas turns the others to floats, and the state takes all of these for one user.
+    solved = rows.groupBy("userId", "nobody").transformWithStateInPandas(TasteState(float(mean), alphas), USERS, "Update", "None")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         users.write(batch, batch_id)

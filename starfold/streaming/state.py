@@ -68,7 +68,10 @@ def changed(chunk: np.ndarray, arrived: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class TasteState(StatefulProcessor):
-    """Rows ``movieId, rating, line_no, vec, bias`` of a user -> their solution for every penalty."""
+    """Rows ``movieId, rating, line_no, vec, bias`` of a user -> their solution for every penalty.
+
+    The key is the user's id, and whether there is none.
+    """
 
     def __init__(self, mean: float, alphas: Sequence[float], min_rows: int = 2):
         self.mean, self.alphas, self.min_rows = mean, tuple(map(float, alphas)), min_rows
@@ -128,9 +131,9 @@ class TasteState(StatefulProcessor):
             old = self._rows(vectors[take], bias[take], np.concatenate(replaced))
             gram = new.T @ new - old.T @ old + (0 if gram is None else gram)
             self.sums.update((gram.tobytes(), known, chunks, only))
-        yield self.solved(key[0], gram)
+        yield self.solved(None if key[1] else key[0], gram)
 
-    def solved(self, user: int, gram: np.ndarray | None) -> pd.DataFrame:
+    def solved(self, user: int | None, gram: np.ndarray | None) -> pd.DataFrame:
         n = 0 if gram is None else round(gram[-1, -1])
         out = []
         for alpha in self.alphas:

@@ -224,6 +224,20 @@ def test_compaction_between_batches_and_a_failure_in_it(spark, tmp_path):
     assert [last for last, _ in store.marks()] == [1, 2]
 
 
+def test_ratings_without_a_user_do_not_mix_with_others(spark, tmp_path):
+    from starfold.operators.foldin import fold_in
+
+    factors = spark.createDataFrame([(i, [float(i), 1.0 / (i + 1)], 0.0) for i in range(6)], "movieId long, vec array<float>, bias double")
+    rows = spark.createDataFrame([(u, i, float(1 + (i + u) % 5), 10 * u + i) for u in range(1, 5) for i in range(u)] + [(None, 5, 3.0, 90), (None, 4, 1.0, 91)], RATED)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.coalesce(1).write.parquet(source)
+    jobs.fold_in_stream(spark.readStream.schema(RATED).parquet(source), factors, 3.0, out, [1.0], partitions=1).awaitTermination()
+    found = {r.userId: r for r in jobs.current_users(spark, out).collect()}
+    assert {u: r.n for u, r in found.items()} == {1: 1, 2: 2, 3: 3, 4: 4}  # as before, nobody has no row in the result
+    for row in fold_in(rows.where("userId is not null"), factors, 3.0, [1.0]).where("status = 'ok'").collect():
+        assert found[row.userId].vec == pytest.approx(row.vec)
+
+
 class CountedState:
     """State of one user in memory, with the number of accesses."""
 
@@ -267,7 +281,7 @@ class CountedVariable:
 def _arrive(taste, rows, vectors):
     frame = pd.DataFrame(rows, columns=["movieId", "rating", "line_no"])
     frame["vec"], frame["bias"] = [vectors[i] for i in frame["movieId"]], 0.1
-    return next(taste.handleInputRows((1,), iter([frame]), None)).iloc[0]
+    return next(taste.handleInputRows((1, False), iter([frame]), None)).iloc[0]
 
 
 def test_state_of_a_user_is_read_and_written_in_few_calls():
