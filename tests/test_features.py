@@ -110,3 +110,14 @@ def test_terms_are_counted_without_a_row_per_term_in_the_shuffle(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert {(r.movieId, r.term): r.tf for r in counts.collect()} == {(1, "red"): 1, (1, "fox"): 2, (2, "red"): 2, (None, "fox"): 1}
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_records_that_are_kept_are_derived_once(spark):
+    from starfold.registry.derived import Derived
+
+    derived = Derived(spark, "nowhere")
+    derived.records = spark.createDataFrame([(1, ["a"]), (2, [])], "tmdb_id long, keyword_names array<string>").repartition(2)
+    kept = derived.keep_records()
+    assert derived.records is kept and kept.inputFiles()
+    assert sorted(r.tmdb_id for r in kept.collect()) == [1, 2]
+    assert "Exchange" not in kept._jdf.queryExecution().toString()  # a scan and nothing of what they came from
