@@ -112,6 +112,19 @@ def test_terms_are_counted_without_a_row_per_term_in_the_shuffle(spark):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
 
 
+def test_terms_are_counted_in_tasks_of_bounded_texts(spark):
+    rows = [(i % 50, [f"word{i % 7}", "fox " * 20]) for i in range(400)] + [(None, None), (None, ["fox"])]
+    records = spark.createDataFrame(rows, "movieId long, keyword_names array<string>")
+    counts = feat.term_counts(records, text_bytes=500)
+    assert counts.rdd.getNumPartitions() > 60  # about 35 kB of text; merged again, all of it would be held in one task
+    found = {(r.movieId, r.term): r.tf for r in counts.collect()}
+    expected = {}
+    for movie, names in rows:
+        for term in " ".join(names or []).split():
+            expected[movie, term] = expected.get((movie, term), 0) + 1
+    assert found == expected
+
+
 def test_records_that_are_kept_are_derived_once(spark):
     from starfold.registry.derived import Derived
 
