@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfold.operators import stats
-from starfold.operators.ridge import RidgeSpec, ridge_by_key
+from starfold.operators import ridge
+from starfold.operators.ridge import RidgeSpec, key_sizes, ridge_by_key, written_routes
 from starfold.plans import train as training
 from starfold.session import new_folder
 from starfold.sources import store
@@ -126,6 +127,23 @@ def test_heavy_items_are_split_with_their_prior(spark):
                 assert r.sse == pytest.approx(((y - x @ want) ** 2).sum())
 
 
+def test_stored_routes_send_the_same_vectors_without_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ridge, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 30)), int(rng.integers(0, 40)), float(rng.normal())) for _ in range(400)] + [(1, None, 1.0), (99, 1000, 1.0)]
+    data = spark.createDataFrame(rows, "key long, other long, y double")
+    vectors = spark.createDataFrame([(o, [float(o), 1.0], 0.1) for o in range(40)], "other long, vec array<double>, bias double")
+    spec, sizes = RidgeSpec((2.0,), "penalised", False, 1), key_sizes(data, "key", 8)
+    routes = written_routes(data, "key", "other", sizes)
+    marked = ridge.add_blocks(data, "key", "other", sizes)
+    assert sorted(map(str, ridge.routed(marked, "other", vectors, routes).collect())) == sorted(map(str, ridge.routed(marked, "other", vectors).collect()))
+    assert "key-sizes" not in "".join(ridge.routed(marked, "other", vectors, routes).inputFiles())  # the rows are not dealt again
+    plain, sent = ({r.key: r for r in ridge_by_key(data, vectors, "key", "other", spec, sizes=sizes, routes=known).collect()} for known in (None, routes))
+    assert plain.keys() == sent.keys() and sent[99].vec is None
+    for key, row in plain.items():
+        assert row.n == sent[key].n and (row.vec is None or np.allclose([*row.vec, row.bias, row.sse], [*sent[key].vec, sent[key].bias, sent[key].sse]))
+
+
 def test_learning_curve_and_joint_user(spark, planted):
     ratings, _, deviation = planted
     params = training.TrainParams(**{**training.PLAIN.__dict__, "components": 3, "epochs": 2})
