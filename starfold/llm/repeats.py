@@ -36,7 +36,7 @@ from .common import none_of
 ANCHOR_WORDS = 5
 PART_BYTES = 8 << 20
 #: A part is looked at in pieces of this size.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 #: Anchors with this many segments in a sample of one document of SAMPLE_ONE_OF are split by whole windows.
 SPLIT_FROM = 100
 SPLIT_KEPT = 20_000

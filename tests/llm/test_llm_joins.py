@@ -162,3 +162,10 @@ def test_counters_keep_what_is_frequent():
     counts = dict(zip(held.value.tolist(), held.count.tolist()))
     assert len(counts) <= 200
     assert all(400 - len(rows) / 100 <= counts.get(v, 0) <= 400 for v in range(5))
+
+
+def test_a_part_is_looked_at_in_pieces_of_256_kb():
+    rows = pa.table({"doc_id": list(range(200)), "text": ["word " * 2_000] * 198 + [None, "long " * 100_000]})
+    pieces = list(repeats._pieces(rows))
+    assert [i for piece in pieces for i in piece.column("doc_id").to_pylist()] == list(range(200))
+    assert all(piece.num_rows == 1 or sum(len(t or "") for t in piece.column("text").to_pylist()) <= 256 << 10 for piece in pieces)
