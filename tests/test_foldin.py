@@ -1,6 +1,7 @@
 """Fold-in, leave-one-out and prediction, against direct solutions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,24 @@ def test_tuned_fold_in_uses_each_users_best_penalty(world):
     assert tuned == best and best
 
 
+def test_cascade_holds_few_rows_and_each_users_items_once(spark, monkeypatch):
+    def block(alphas, clamp, min_rows):
+        def run(rows, sent):
+            width = float(foldin.Vectors(sent).vec.itemsize)
+            return pa.Table.from_pydict({"key": [0], "alpha": [1.0], "n": [rows.num_rows], "se": [float(sent.num_rows)],
+                                         "ae": [width], "e": [0.0]}, foldin._LOO)
+        return run
+
+    monkeypatch.setattr(foldin, "_loo_block", block)
+    ratings = spark.range(24_000).selectExpr("id div 12 as userId", "id as movieId", "3.5d as rating")
+    samples = ratings.selectExpr("userId", "12 as n", "explode(sequence(0, 4)) as draw", "movieId")
+    items = ratings.selectExpr("movieId", "array(1f, 2f) as vec", "0d as bias")
+    seen = evaluate.cascade_errors(ratings, {2: items}, 3.0, samples, [1.0], [12], 5).collect()
+    assert sum(r.n_rows for r in seen) == 120_000 and max(r.n_rows for r in seen) < 60_000
+    assert sum(round(r.rmse ** 2 * r.n_rows) for r in seen) == 24_000
+    assert {round(r.mae * r.n_rows) for r in seen} == {4}
+
+
 def test_draws_are_nested_in_the_pool(world):
     _, _, _, rows, table = world
     drawn = evaluate.draws(table, [5, 55, 99], 3).collect()
