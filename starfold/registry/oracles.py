@@ -517,6 +517,22 @@ TIERED_SCORES = """
         from counts c left join prefs p using ("userId"), u2 u, mu
         where not exists (select 1 from warm2 w where w."userId" = c."userId"
                           and w."movieId" = u."movieId"))"""
+# The same with the whole vectors; a user's sum of directions in long form, one row a number.
+TIERED_SCORES64 = """
+    with u64 as (select *, greatest(sqrt(list_sum([v * v for v in vec])), 1e-9) as len from f64),
+    matched as (select "userId", "movieId", rating from ratings semi join f64 using ("movieId")),
+    counts as (select c_custkey as "userId", count(w."movieId") as n from customer
+               left join matched w on w."userId" = c_custkey group by 1),
+    prefs as (select "userId", list(p order by dim) as w from (
+                  select "userId", dim, sum((rating - mu) * x / len) as p
+                  from matched join (select "movieId", len, unnest(vec) as x, unnest(range(64)) as dim from u64)
+                  using ("movieId"), mu group by 1, 2) group by 1),
+    scored as (
+        select c."userId", u."movieId", case when c.n >= 10 then 'item_cf' else 'popularity' end as tier,
+               case when c.n >= 10 then list_dot_product(w, vec) / len else mu + bias end as predicted_score
+        from counts c left join prefs p using ("userId"), u64 u, mu
+        where not exists (select 1 from matched w where w."userId" = c."userId"
+                          and w."movieId" = u."movieId"))"""
 TRAIN_FOLD = {"train2": """
     select s."userId", f.x1, f.x2, s.rating - mu - f.bias as y
     from split s join f2 f using ("movieId"), mu where part = 'train'"""}
@@ -814,12 +830,12 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
             select "movieId", unnest(vec) as x, unnest(range(64)) as dim,
                    sqrt(list_sum([v * v for v in vec])) as len from f64) f using ("movieId"), mu
         group by 1, 2""",
-    "recommend_tiered": TIERED_SCORES + """
+    "recommend_tiered": TIERED_SCORES64 + """
         select t."userId", t."movieId", title, genres, tier, rank,
                round(predicted_score, 6) as predicted_score
         from (select *, row_number() over (partition by "userId"
-                  order by predicted_score desc, "movieId") as rank
-              from scored qualify rank <= 5) t join items using ("movieId")""",
+                  order by round(predicted_score, 9) desc, "movieId") as rank
+              from scored qualify rank <= 25) t join items using ("movieId")""",
     "recommend_tiered_genre": TIERED_SCORES + """
         select "userId", "movieId", tier, rank, round(predicted_score, 6) as predicted_score
         from (select *, row_number() over (partition by "userId"

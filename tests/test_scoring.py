@@ -191,3 +191,33 @@ def test_a_profile_of_equal_directions_has_no_empty_cluster():
     profile = scoring.Profile(rows)
     assert all(len(m) for m in profile.members)
     assert profile.passing(np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), 0.9).tolist() == [True, True, False]
+
+
+def test_popular_items_whose_biases_differ_in_the_last_bits_are_tied(spark):
+    items = spark.createDataFrame([(1, [1.0], 0.1 + 0.2), (2, [1.0], 0.5), (0, [1.0], 0.3)], "movieId long, vec array<double>, bias double")
+    names = spark.createDataFrame([(i, str(i), "Drama") for i in range(3)], "movieId long, title string, genres string")
+    none = spark.createDataFrame([], "userId long, movieId long, rating double")
+    out = rec.recommend_tiered(none, items, names, 0.0, 1, users=spark.createDataFrame([(7,)], "userId long"))
+    assert [r.movieId for r in out.orderBy("rank").collect()] == [2, 0, 1]
+
+
+@pytest.mark.parametrize("name", ["recommend_tiered"])
+def test_queries_rank_by_the_whole_vectors(spark, name):
+    from starfold.registry import queries
+
+    class Tables(queries.Derived):
+        """Twelve rated and thirty open items that differ in the last of 64 numbers only."""
+
+        mean = 3.0
+        ratings = stored = property(lambda self: spark.createDataFrame([(1, m, 5.0 if m % 2 else 1.0) for m in range(12)], "userId long, movieId long, rating double"))
+        items = property(lambda self: spark.createDataFrame([(m, str(m), "Drama") for m in range(42)], "movieId long, title string, genres string"))
+
+        def table(self, name):
+            return spark.createDataFrame([(1,)], "c_custkey long")
+
+        def factors(self, size=None):
+            rows = [(m, ([1.0] + [0.0] * 62 + [m / 100 if m > 11 else m % 2 * 2.0 - 1])[:size], 0.0) for m in range(42)]
+            return spark.createDataFrame(rows, "movieId long, vec array<float>, bias double")
+
+    rows = getattr(queries, name)(Tables(spark, "")).orderBy("rank").collect()
+    assert [r.movieId for r in rows] == [41 - i for i in range(5 if name == "recommend_topn" else 25)]
