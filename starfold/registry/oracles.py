@@ -815,7 +815,7 @@ _SQL: dict[str, str | tuple[str, dict[str, str]]] = {
             select u."userId", f."movieId", mu + b + bias + w1 * x1 + w2 * x2 as raw,
                    greatest(0.5::double, least(5.0::double, mu + b + bias + w1 * x1 + w2 * x2)) as score
             from fold2 u, f2 f, mu) s using ("userId", "movieId")""",
-    "recommend_topn": _top(UNRATED, 5, ", title, genres"),
+    "recommend_topn": _top(UNRATED, 5, ", title, genres", source="all_scores64"),
     "recommend_full": _top(UNRATED, 5, ", title", source="all_scores64"),
     "recommend_filtered": _top(UNRATED + """ and s."movieId" in (
         select "movieId" from items where contains(lower(genres), 'brand#1')

@@ -201,7 +201,7 @@ def test_popular_items_whose_biases_differ_in_the_last_bits_are_tied(spark):
     assert [r.movieId for r in out.orderBy("rank").collect()] == [2, 0, 1]
 
 
-@pytest.mark.parametrize("name", ["recommend_tiered"])
+@pytest.mark.parametrize("name", ["recommend_topn", "recommend_tiered"])
 def test_queries_rank_by_the_whole_vectors(spark, name):
     from starfold.registry import queries
 
