@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from starfold import schemas
 from starfold.operators import features as feat
+from starfold.registry import queries
+from starfold.session import new_folder
 from starfold.sources import store, tables
 from starfold.streaming import jobs
 from starfold.streaming.store import BatchStore, newest
@@ -77,6 +80,42 @@ def test_record_store(spark, tmp_path):
     assert sorted(r.tmdb_id for r in tables.record_store(spark, path).collect()) == [3, 4, 5]
 
 
+def _shuffle_files(spark):
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark, tmp_path):
+    new_folder(spark, "any")
+    before, held = _shuffle_files(spark), spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    held.write.parquet(str(tmp_path / "counts"))
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert held.collect() and len(held.collect()) == 1000  # and again, from the start
+
+
+def test_record_lines_are_compressed(spark, tmp_path):
+    path = str(tmp_path / "records")
+    store.append_records(spark.createDataFrame([(5, ["word"] * 1000)], "tmdb_id long, keyword_names array<string>"), path, "first")
+    lines = [f for f in os.listdir(f"{path}/first") if f.startswith("part-")]
+    assert lines and all(f.endswith(".json.gz") for f in lines) and sum(os.path.getsize(f"{path}/first/{f}") for f in lines) < 1000
+    assert [len(r.keyword_names) for r in tables.record_store(spark, path).collect()] == [1000]
+
+
+@pytest.mark.parametrize("name", ["predict_requests", "stream_features"])
+def test_records_and_counts_go_when_all_that_reads_them_is_written(spark, name):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") if new_folder(spark, "any") else None
+    before = set(os.listdir(shared))
+    rows = queries.REGISTRY[name](spark, "/root/testdata/sf0.001")
+    made = set(os.listdir(shared)) - before
+    assert any(f.startswith("content-") for f in made) and not any(f.startswith("all-records-") for f in made)
+    for folder in (f for f in made if os.path.isdir(f"{shared}/{f}/features") and f.startswith("content-")):
+        assert not {"records", "term_counts"} & set(os.listdir(f"{shared}/{folder}"))
+    assert rows.count() > 0
+
+
 def test_progress_of_a_repeated_epoch_is_replaced(spark, tmp_path):
     for epoch, rmse in ((1, 0.9), (2, 0.8), (2, 0.7)):
         store.append_progress(spark, str(tmp_path), "k4", {"epoch": epoch, "of": 2, "rmse": rmse})
