@@ -87,6 +87,16 @@ def test_a_continued_run_takes_the_given_ratings(spark):
     assert _means(shrunk) == (4, 3.0)
 
 
+def test_features_are_stored_once_as_tiles(spark, planted):
+    import os
+
+    ratings, features, _ = planted
+    folder = new_folder(spark, "model")
+    one = training.TrainParams(components=2, epochs=1)
+    model = training.train(spark, ratings, folder, features, one)
+    assert "features" not in os.listdir(f"{folder.removeprefix('file://')}/work/tag=default") and model.weights.count() == 10
+
+
 def test_a_continued_run_takes_the_given_features(spark, planted):
     ratings, features, _ = planted
     folder = new_folder(spark, "refeature")
