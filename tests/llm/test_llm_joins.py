@@ -169,3 +169,19 @@ def test_a_part_is_looked_at_in_pieces_of_256_kb():
     pieces = list(repeats._pieces(rows))
     assert [i for piece in pieces for i in piece.column("doc_id").to_pylist()] == list(range(200))
     assert all(piece.num_rows == 1 or sum(len(t or "") for t in piece.column("text").to_pylist()) <= 256 << 10 for piece in pieces)
+
+
+def test_prefixes_do_not_stay_on_disk(spark):
+    import os
+
+    from starfold.session import new_folder
+
+    new_folder(spark, "any")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "something else that is short"), (4, None), (4, text)], "doc_id long, text string")
+    out = ngram_join.join(docs)
+    made = set(os.listdir(shared)) - before
+    assert any(f.startswith("narrowed-") for f in made) and not any(f.startswith(("sets-", "groups-")) for f in made)
+    assert sorted((r.doc_id, r.component_id, r.is_first) for r in out.collect()) == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (4, 4, True)]
